@@ -97,7 +97,7 @@ def is_excluded(path: Column | str, sep: str = "/",
 
 def is_archive(extension: Column | str,
                archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> Column:
-    return _col(extension).isin(*archive_extensions)
+    return F.coalesce(_col(extension).isin(*archive_extensions), F.lit(False))
 
 
 def hash_eligible(name: Column | str = "name", path: Column | str = "path",

