@@ -1,0 +1,3 @@
+"""Report sinks: one dataset per section, never overwriting an earlier scan."""
+
+from tallyfs.sinks.reports import new_scan_id, write_report, write_text_listing  # noqa: F401
