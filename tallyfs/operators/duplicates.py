@@ -167,20 +167,26 @@ class DuplicateResult:
 
 
 def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
-                    materialize_stages: bool = True) -> DuplicateResult:
+                    materialize_stages: bool = True,
+                    sizes_from: DataFrame | None = None) -> DuplicateResult:
     """Run the three-tier funnel over an inventory.
 
     Eligibility is applied before tier 1 (it cannot change the groups, only
     the work). With ``materialize_stages`` the size keys and the hashed
     candidates are written to the shared checkpoint folder, so later sections
     reuse them and a lost executor does not re-read content.
+
+    ``sizes_from`` is an optional persisted copy of the inventory without
+    content; tier 1 then reads it instead of the content table, so content is
+    read once, by the hashing pass.
     """
     reader = reader or default_reader(inv)
     spark = inv.sparkSession
     cols = ["path", "size"] + ([reader.content] if isinstance(reader, ColumnReader) else [])
     elig = eligible_files(inv).select(*cols)
+    sized = elig if sizes_from is None else eligible_files(sizes_from).select("size")
 
-    size_keys = (elig.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    size_keys = (sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
                  .filter(F.col("n") >= 2).select("size"))
     if materialize_stages:
         size_keys = materialize(spark, size_keys, "size_keys")

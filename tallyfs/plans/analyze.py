@@ -7,6 +7,7 @@ is shown or written.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,12 +24,14 @@ from tallyfs.operators.aggregates import (
 )
 from tallyfs.operators.duplicates import (
     ContentReader,
+    DuplicateResult,
     duplicate_listing,
     duplicate_summary,
     find_duplicates,
     funnel_stats,
     reclaimable_files,
 )
+from tallyfs.plans.materialize import materialize
 
 
 @dataclass(frozen=True)
@@ -80,42 +83,82 @@ FULL = select_sections(full=True)
 QUICK = select_sections(quick=True)
 
 
-def analyze(inv: DataFrame, sections: Sections = FULL, reader: ContentReader | None = None) -> dict[str, DataFrame]:
-    """Lazy result sections for an inventory.
+class Report(Mapping):
+    """Result sections of one analysis, built on first access.
+
+    Only requested sections are keys. Building a section only plans it
+    (DataFrames stay lazy); the duplicate funnel, which writes its stages to
+    the checkpoint folder, runs once, when the first duplicate section is
+    read.
+    """
+
+    def __init__(self, factories: dict[str, Callable[[], DataFrame]]):
+        self._factories = factories
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, key: str) -> DataFrame:
+        if key not in self._built:
+            self._built[key] = self._factories[key]()
+        return self._built[key]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._factories)
+
+    def __len__(self) -> int:
+        return len(self._factories)
 
-    Keys: ``summary`` always; ``extensions`` (top 10 or all) and
-    ``extension_counts``; ``categories``; ``largest_files`` and
-    ``largest_file``; ``duplicate_groups``, ``duplicate_summary``,
-    ``duplicate_listing``, ``reclaimable_files``, ``funnel_stats``,
-    ``hash_errors``.
 
-    Callers that read several sections should persist the inventory first
-    (:func:`tallyfs.plans.materialize.materialize`), so the listing or the
-    content table is read once.
+def analyze(inv: DataFrame, sections: Sections = FULL, reader: ContentReader | None = None,
+            persist: bool | None = None) -> Report:
+    """Result sections for an inventory (a :class:`Report`).
+
+    Keys: ``summary`` always; ``extensions`` (top 10 or all); ``categories``;
+    ``largest_files`` and ``largest_file``; ``duplicate_groups``,
+    ``duplicate_summary``, ``duplicate_listing``, ``reclaimable_files``,
+    ``funnel_stats``, ``hash_errors``.
+
+    With ``persist`` (default: when the inventory carries ``content``) the
+    inventory's narrow columns are written once to the shared checkpoint
+    folder and every section but the hashing pass reads that table, so the
+    content is read once per analysis. A listed tree (:func:`scan_tree`) is
+    persisted already.
     """
-    out: dict[str, DataFrame] = {"summary": scan_summary(inv)}
+    has_content = "content" in inv.columns
+    narrow = inv.drop("content") if has_content else inv
+    if persist is None:
+        persist = has_content
+    if persist:
+        narrow = materialize(inv.sparkSession, narrow, "inventory")
+    f: dict[str, Callable[[], DataFrame]] = {"summary": lambda: scan_summary(narrow)}
     if sections.extensions:
-        out["extensions"] = all_extensions(inv) if sections.all_extensions else top_extensions(inv)
+        f["extensions"] = (lambda: all_extensions(narrow)) if sections.all_extensions \
+            else (lambda: top_extensions(narrow))
     if sections.categories:
-        out["categories"] = category_sizes(inv)
+        f["categories"] = lambda: category_sizes(narrow)
     if sections.largest:
-        out["largest_files"] = largest_files(inv)
-        out["largest_file"] = largest_file(inv)
+        f["largest_files"] = lambda: largest_files(narrow)
+        f["largest_file"] = lambda: largest_file(narrow)
     if sections.duplicates:
-        result = find_duplicates(inv, reader)
-        out["duplicate_groups"] = result.groups
-        out["duplicate_summary"] = duplicate_summary(result.groups)
-        out["duplicate_listing"] = duplicate_listing(result)
-        out["reclaimable_files"] = reclaimable_files(result)
-        out["funnel_stats"] = funnel_stats(inv, result)
-        out["hash_errors"] = result.hash_errors
-    return out
+        funnel: list[DuplicateResult] = []
+
+        def result() -> DuplicateResult:
+            if not funnel:
+                funnel.append(find_duplicates(inv, reader, sizes_from=narrow if has_content else None))
+            return funnel[0]
+
+        f["duplicate_groups"] = lambda: result().groups
+        f["duplicate_summary"] = lambda: duplicate_summary(result().groups)
+        f["duplicate_listing"] = lambda: duplicate_listing(result())
+        f["reclaimable_files"] = lambda: reclaimable_files(result())
+        f["funnel_stats"] = lambda: funnel_stats(narrow, result())
+        f["hash_errors"] = lambda: result().hash_errors
+    return Report(f)
 
 
 SUMMARY_ROW_SCHEMA = "section string, key string, value bigint, size_text string"
 
 
-def summary_rows(sections: dict[str, DataFrame]) -> DataFrame:
+def summary_rows(sections: Mapping[str, DataFrame]) -> DataFrame:
     """Condensed view of the sections as (section, key, value, size_text):
     totals, extensions, categories, largest files and duplicate totals, but
     no duplicate paths. Each part is already small (one row, top-k or one row
