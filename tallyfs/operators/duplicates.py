@@ -25,8 +25,8 @@ from tallyfs.operators.aggregates import files_only
 from tallyfs.plans.materialize import bounded_broadcast, materialize
 from tallyfs.schema import QUICK_HASH_BYTES
 
-# Largest key set (rows) a semi join may broadcast; beyond it the join shuffles
-# narrow rows and AQE splits skewed keys.
+# Largest number of rows of group keys that may be broadcast to join them back
+# to the files; beyond it the join shuffles narrow rows and AQE splits skew.
 DEFAULT_BROADCAST_KEYS = 4_000_000
 
 
@@ -64,44 +64,30 @@ def candidates(inv: DataFrame) -> DataFrame:
 # Content readers
 # ---------------------------------------------------------------------------
 
-class ContentReader:
-    """How to get hashes for candidate files.
-
-    ``hash_candidates`` receives the eligible file rows and the size keys of
-    tier 1 and returns narrow rows ``path, size, quick_hash, full_hash, error``
-    (``full_hash`` may be null when the reader hashes lazily, see
-    ``full_hashes``).
-    """
+HASH_COLUMNS = ["path", "size", "quick_hash", "full_hash", "error"]
 
-    lazy_full = False
 
-    def hash_candidates(self, eligible: DataFrame, size_keys: DataFrame) -> DataFrame:
-        raise NotImplementedError
-
-    def full_hashes(self, survivors: DataFrame) -> DataFrame:
-        return survivors
+class ContentReader:
+    """Where file bytes come from, and so how the funnel spends its reads."""
 
 
 @dataclass
 class ColumnReader(ContentReader):
-    """Content held in a binary column of the inventory (table-backed).
-
-    The content is read once: candidates get their quick hash and, when
-    larger than the prefix, their full hash in the same pass (for a file of at
-    most 8 KB the quick hash *is* the full hash). Re-reading the content table
-    for the survivors of tier 2 would cost a second full scan of the content
-    column, which is dearer than hashing candidates that are already in memory.
-
-    When the set of shared sizes is small enough it is broadcast, so only
-    candidates are hashed and nothing is shuffled. Otherwise every eligible
-    file is hashed where it lies and the semi join shuffles narrow rows only.
+    """Content held in a binary column (table-backed inventories).
+
+    Reading a table's content column costs the same whether one row of a row
+    group is wanted or all of them, and here even ``size`` is often derived
+    from the content. So the content is read in exactly one pass that gives
+    every eligible file its quick hash and its full hash (for a file of at
+    most 8 KB the quick hash *is* the full hash) and keeps only narrow rows.
+    The three tiers then run over those narrow rows; they give the same
+    groups as hashing candidates alone, without a second scan of the content.
     """
 
     content: str = "content"
     prefix_bytes: int = QUICK_HASH_BYTES
-    broadcast_keys: int = DEFAULT_BROADCAST_KEYS
 
-    def _hash(self, df: DataFrame) -> DataFrame:
+    def hash_rows(self, df: DataFrame) -> DataFrame:
         c = F.col(self.content)
         quick = quick_sha256_hex(c, self.prefix_bytes)
         return df.select(
@@ -111,41 +97,50 @@ class ColumnReader(ContentReader):
             F.when(c.isNull(), F.lit("content missing")).alias("error"),
         )
 
-    def hash_candidates(self, eligible: DataFrame, size_keys: DataFrame) -> DataFrame:
-        keys, small = bounded_broadcast(size_keys, self.broadcast_keys)
-        if small:
-            return self._hash(eligible.join(keys, "size", "left_semi"))
-        return self._hash(eligible).join(keys, "size", "left_semi")
+
+@dataclass
+class HashedColumns(ContentReader):
+    """The inventory already carries ``quick_hash`` and ``full_hash`` (see
+    :func:`hash_annotate`)."""
 
 
 @dataclass
 class PathReader(ContentReader):
-    """Content read from storage by path on the executors (tree-backed).
+    """Content read from storage by path on the executors (listed trees).
 
-    Quick hashes read at most 8 KB per file; full hashes are computed only for
-    tier-2 survivors larger than the prefix, streamed in 1 MiB chunks, with
-    tasks balanced by bytes rather than by file count.
+    Here every byte read is I/O, so the funnel is followed literally: only
+    files whose size is shared are opened, for at most 8 KB; only survivors
+    of that tier larger than 8 KB are read whole, streamed in 1 MiB chunks,
+    with tasks balanced by bytes rather than by file count.
     """
 
     prefix_bytes: int = QUICK_HASH_BYTES
     target_task_bytes: int = 256 * 1024 * 1024
     files_per_task: int = 2_000
-    lazy_full = True
-
-    def hash_candidates(self, eligible: DataFrame, size_keys: DataFrame) -> DataFrame:
-        from tallyfs.sources.readers import quick_hash_files
-
-        cands = eligible.select("path", "size").join(size_keys, "size", "left_semi")
-        return quick_hash_files(cands, self.prefix_bytes, self.files_per_task)
-
-    def full_hashes(self, survivors: DataFrame) -> DataFrame:
-        from tallyfs.sources.readers import full_hash_files
-
-        return full_hash_files(survivors, self.prefix_bytes, self.target_task_bytes)
 
 
 def default_reader(inv: DataFrame) -> ContentReader:
-    return ColumnReader() if "content" in inv.columns else PathReader()
+    if "content" in inv.columns:
+        return ColumnReader()
+    if "full_hash" in inv.columns:
+        return HashedColumns()
+    return PathReader()
+
+
+def hash_annotate(inv: DataFrame, reader: ColumnReader | None = None) -> DataFrame:
+    """Inventory without content, plus ``quick_hash`` / ``full_hash`` on the
+    eligible files (null elsewhere): one pass over the content serves every
+    section of an analysis."""
+    reader = reader or ColumnReader()
+    c = F.col(reader.content)
+    quick = quick_sha256_hex(c, reader.prefix_bytes)
+    elig = (F.col("kind") == "file") & F.col("size").isNotNull() & hash_eligible()
+    return inv.select(
+        *[x for x in inv.columns if x != reader.content],
+        F.when(elig, quick).alias("quick_hash"),
+        F.when(elig, F.when(F.col("size") <= reader.prefix_bytes, quick).otherwise(sha256_hex(c)))
+        .alias("full_hash"),
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -166,47 +161,59 @@ class DuplicateResult:
     hash_errors: DataFrame     # (path, size, error)
 
 
+def _shared_sizes(rows: DataFrame) -> DataFrame:
+    return (rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= 2).select("size"))
+
+
 def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
-                    materialize_stages: bool = True,
-                    sizes_from: DataFrame | None = None) -> DuplicateResult:
+                    materialize_stages: bool = True) -> DuplicateResult:
     """Run the three-tier funnel over an inventory.
 
     Eligibility is applied before tier 1 (it cannot change the groups, only
-    the work). With ``materialize_stages`` the size keys and the hashed
-    candidates are written to the shared checkpoint folder, so later sections
-    reuse them and a lost executor does not re-read content.
-
-    ``sizes_from`` is an optional persisted copy of the inventory without
-    content; tier 1 then reads it instead of the content table, so content is
-    read once, by the hashing pass.
+    the work). Every tier is an aggregation with partial aggregation and a
+    semi join on narrow rows. With ``materialize_stages`` the hashed rows
+    (and, for path reads, the size keys) are written to the shared
+    checkpoint folder, so the later outputs reuse them and a lost executor
+    never re-reads content.
     """
     reader = reader or default_reader(inv)
     spark = inv.sparkSession
-    cols = ["path", "size"] + ([reader.content] if isinstance(reader, ColumnReader) else [])
-    elig = eligible_files(inv).select(*cols)
-    sized = elig if sizes_from is None else eligible_files(sizes_from).select("size")
-
-    size_keys = (sized.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-                 .filter(F.col("n") >= 2).select("size"))
-    if materialize_stages:
-        size_keys = materialize(spark, size_keys, "size_keys")
-
-    hashed = reader.hash_candidates(elig, size_keys)
-    if materialize_stages:
-        hashed = materialize(spark, hashed, "hashed")
+    elig = eligible_files(inv)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return materialize(spark, df, name) if materialize_stages else df
+
+    if isinstance(reader, PathReader):
+        from tallyfs.sources.readers import full_hash_files, quick_hash_files
+
+        size_keys = keep(_shared_sizes(elig.select("size")), "size_keys")
+        cands = elig.select("path", "size").join(size_keys, "size", "left_semi")
+        hashed = keep(quick_hash_files(cands, reader.prefix_bytes, reader.files_per_task), "hashed")
+    else:
+        if isinstance(reader, ColumnReader):
+            rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
+        else:
+            rows = elig.select("path", "size", "quick_hash", "full_hash",
+                               F.lit(None).cast("string").alias("error"))
+        size_keys = _shared_sizes(rows.select("size"))
+        hashed = rows.join(size_keys, "size", "left_semi")
 
     ok = hashed.filter(F.col("quick_hash").isNotNull())
     quick_groups = (ok.groupBy("size", "quick_hash").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") >= 2))
     survivors = ok.join(quick_groups.select("size", "quick_hash"), ["size", "quick_hash"], "left_semi")
-    full = reader.full_hashes(survivors) if reader.lazy_full else survivors
+    if isinstance(reader, PathReader):
+        full = full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes)
+    else:
+        full = survivors
     full_ok = full.filter(F.col("full_hash").isNotNull())
     groups = (full_ok.groupBy("full_hash", "size").agg(F.count(F.lit(1)).alias("copies"))
               .filter(F.col("copies") >= 2))
     files = (full_ok.select("full_hash", "size", "path")
              .join(groups.select("full_hash", "size"), ["full_hash", "size"], "left_semi"))
     errors = hashed.filter(F.col("error").isNotNull()).select("path", "size", "error")
-    if reader.lazy_full:
+    if isinstance(reader, PathReader):
         errors = errors.unionByName(full.filter(F.col("error").isNotNull()).select("path", "size", "error"))
     return DuplicateResult(size_keys, hashed, quick_groups, survivors, full, groups, files, errors)
 

@@ -29,6 +29,7 @@ from tallyfs.operators.duplicates import (
     duplicate_summary,
     find_duplicates,
     funnel_stats,
+    hash_annotate,
     reclaimable_files,
 )
 from tallyfs.plans.materialize import materialize
@@ -119,12 +120,14 @@ def analyze(inv: DataFrame, sections: Sections = FULL, reader: ContentReader | N
 
     With ``persist`` (default: when the inventory carries ``content``) the
     inventory's narrow columns are written once to the shared checkpoint
-    folder and every section but the hashing pass reads that table, so the
-    content is read once per analysis. A listed tree (:func:`scan_tree`) is
-    persisted already.
+    folder, together with both hashes of every eligible file when duplicates
+    are wanted (:func:`hash_annotate`); every section reads that table, so
+    the content is read once per analysis. A listed tree (:func:`scan_tree`)
+    is persisted already and is hashed by path.
     """
     has_content = "content" in inv.columns
-    narrow = inv.drop("content") if has_content else inv
+    wants_hashes = sections.duplicates and has_content
+    narrow = hash_annotate(inv) if wants_hashes else (inv.drop("content") if has_content else inv)
     if persist is None:
         persist = has_content
     if persist:
@@ -143,7 +146,8 @@ def analyze(inv: DataFrame, sections: Sections = FULL, reader: ContentReader | N
 
         def result() -> DuplicateResult:
             if not funnel:
-                funnel.append(find_duplicates(inv, reader, sizes_from=narrow if has_content else None))
+                source = narrow if wants_hashes and reader is None else inv
+                funnel.append(find_duplicates(source, reader))
             return funnel[0]
 
         f["duplicate_groups"] = lambda: result().groups

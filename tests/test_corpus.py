@@ -41,6 +41,7 @@ def test_funnel_numbers(corpus):
     assert dup.candidates(inv).count() == e["cand_ref"]
     res = dup.find_duplicates(inv)
     assert res.hashed.count() == e["cand_elig"]
+    assert res.survivors.count() == e["dup_files"]
     s = dup.duplicate_summary(res.groups).first()
     assert (s["groups"], s["duplicate_files"], s["duplicate_bytes"], s["wasted_bytes"]) == \
         (e["groups"], e["dup_files"], e["dup_bytes"], e["wasted"])
@@ -74,10 +75,23 @@ def test_funnel_equals_direct_grouping(corpus):
     assert sorted(map(tuple, res.groups.collect())) == sorted(map(tuple, direct.select("full_hash", "size", "copies").collect()))
 
 
-def test_shuffled_keys_path_without_broadcast(spark):
-    """Beyond the broadcast limit every eligible file is hashed first and the
-    semi join shuffles narrow rows: same groups."""
+def test_sort_merge_plans_give_same_groups(spark):
+    """With broadcasts switched off every semi join shuffles narrow rows
+    (sort-merge): same groups."""
     inv = corpus_inventory(spark, SF01)
-    small = dup.find_duplicates(inv, dup.ColumnReader(broadcast_keys=0)).groups
-    big = dup.find_duplicates(inv, dup.ColumnReader()).groups
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, big.collect()))
+    want = sorted(map(tuple, dup.find_duplicates(inv).groups.collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, dup.find_duplicates(inv).groups.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == want
+
+
+def test_prehashed_inventory_gives_same_groups(spark):
+    inv = corpus_inventory(spark, SF01)
+    want = sorted(map(tuple, dup.find_duplicates(inv).groups.collect()))
+    pre = dup.hash_annotate(inv)
+    got = sorted(map(tuple, dup.find_duplicates(pre).groups.collect()))
+    assert got == want

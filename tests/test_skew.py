@@ -20,7 +20,7 @@ def test_hot_group(spark):
         rows.append((f"/d/{i // 100}/f{i}.bin", bytearray(content)))
     df = spark.createDataFrame(rows, "path string, content binary").repartition(16)
     inv = table_files(df, path="path", content="content")
-    res = dup.find_duplicates(inv, dup.ColumnReader(broadcast_keys=0))
+    res = dup.find_duplicates(inv, dup.ColumnReader())
     got = sorted((g["full_hash"], g["size"], g["copies"]) for g in res.groups.collect())
     cnt = Counter((hashlib.sha256(bytes(c)).hexdigest(), len(c)) for _, c in rows)
     want = sorted((h, s, n) for (h, s), n in cnt.items() if n >= 2)
