@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tallyfs.functions.columns import hash_eligible, quick_sha256_hex, sha256_hex
 from tallyfs.operators.aggregates import files_only
-from tallyfs.plans.materialize import bounded_broadcast, materialize
+from tallyfs.plans.materialize import materialize
 from tallyfs.schema import QUICK_HASH_BYTES
 
 # Largest number of rows of group keys that may be broadcast to join them back
@@ -234,34 +234,44 @@ def duplicate_summary(groups: DataFrame) -> DataFrame:
     )
 
 
-def number_groups(groups: DataFrame) -> DataFrame:
+def number_groups(groups: DataFrame) -> tuple[DataFrame, int]:
     """Add ``group_no`` 1..N in order (size desc, full_hash asc) without
-    sending all groups to one task.
+    sending all groups to one task; also returns N.
 
-    Groups are range-partitioned and sorted; each task numbers its own rows,
-    and a per-partition offset (one row per partition, so bounded by the
-    partition count) is broadcast back.
+    Groups are range-partitioned on the sort key and the partition id is
+    written with them (so a recomputation cannot renumber); each task numbers
+    its own rows, and per-partition offsets (one row per partition, so
+    bounded by the partition count) are broadcast back.
     """
     order = [F.col("size").desc(), F.col("full_hash").asc()]
-    ranged = (groups.repartitionByRange(F.col("size").desc(), F.col("full_hash").asc())
-              .withColumn("_part", F.spark_partition_id()))
+    ranged = (groups.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     ranged = materialize(groups.sparkSession, ranged, "ranged_groups")
+    n_groups = ranged.count()
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",
         (F.sum("_cnt").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_off"))
-    return (local.join(F.broadcast(offsets), "_part")
-            .withColumn("group_no", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("long"))
-            .drop("_part", "_rn", "_off"))
+    numbered = (local.join(F.broadcast(offsets), "_part")
+                .withColumn("group_no", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("long"))
+                .drop("_part", "_rn", "_off"))
+    return numbered, n_groups
 
 
 def duplicate_listing(result: DuplicateResult) -> DataFrame:
     """(group_no, full_hash, size, path): every file of every group, groups
-    numbered by (size desc, full_hash)."""
-    numbered = number_groups(result.groups).select("group_no", "full_hash", "size")
-    keys, small = bounded_broadcast(numbered, DEFAULT_BROADCAST_KEYS)
+    numbered by (size desc, full_hash).
+
+    The numbered groups are broadcast to the files only when there are at
+    most ``DEFAULT_BROADCAST_KEYS`` of them; otherwise both sides shuffle on
+    (full_hash, size) and AQE splits a group that holds a large share of
+    the files.
+    """
+    numbered, n_groups = number_groups(result.groups)
+    keys = numbered.select("group_no", "full_hash", "size")
+    if n_groups <= DEFAULT_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     return result.files.join(keys, ["full_hash", "size"]).select("group_no", "full_hash", "size", "path")
 
 

@@ -1,9 +1,9 @@
 """Archives made from the driver's tables, for the archive operators.
 
-Documents are packed into ZIP files of at most ``DOCS_PER_BUNDLE``
-consecutive ids per source: ``/corpus/<source>/bundle_<doc_id div 64>.zip``
-holding ``<lang>/doc_<doc_id>.TXT``. A group is bounded by the bundle size,
-whatever the skew of ``source``. Web pages stored under a ``.zip`` name are
+Documents are packed into ZIP files of ``DOCS_PER_BUNDLE`` consecutive ids:
+``/corpus/bundle_<doc_id div 64>.zip`` holding
+``<source>/<lang>/doc_<doc_id>.TXT``. A group is bounded by the bundle size,
+whatever the skew of ``source`` or ``lang``. Web pages stored under a ``.zip`` name are
 archives that cannot be opened.
 """
 
@@ -27,21 +27,20 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id")
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-        for doc_id, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-            info = zipfile.ZipInfo(f"{lang}/doc_{int(doc_id)}.TXT", date_time=_FIXED_TIME)
+        for doc_id, source, lang, text in zip(pdf["doc_id"], pdf["source"], pdf["lang"], pdf["text"]):
+            info = zipfile.ZipInfo(f"{source}/{lang}/doc_{int(doc_id)}.TXT", date_time=_FIXED_TIME)
             info.compress_type = zipfile.ZIP_DEFLATED
             zf.writestr(info, (text or "").encode("utf-8"))
-    first = pdf.iloc[0]
-    path = f"/corpus/{first['source']}/bundle_{int(first['bundle'])}.zip"
+    path = f"/corpus/bundle_{int(pdf['bundle'].iloc[0])}.zip"
     return pd.DataFrame({"path": [path], "content": [buf.getvalue()]})
 
 
 def bundle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): one ZIP per (source, doc_id div 64)."""
+    """(path, content): one ZIP per ``doc_id div 64``."""
     d = read_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "text",
         F.floor(F.col("doc_id") / DOCS_PER_BUNDLE).cast("long").alias("bundle"))
-    return d.groupBy("source", "bundle").applyInPandas(_pack, "path string, content binary")
+    return d.groupBy("bundle").applyInPandas(_pack, "path string, content binary")
 
 
 def bundle_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

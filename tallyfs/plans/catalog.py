@@ -6,14 +6,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfs.functions.columns import hash_eligible, is_excluded, is_hidden, size_text
+from tallyfs.functions.columns import category_of, hash_eligible, is_excluded, is_hidden, size_text
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.analyze import FULL, QUICK, analyze, summary_rows
 from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
 from tallyfs.plans.corpus import corpus_inventory, url_inventory
 from tallyfs.plans.scan import scan_tree
+from tallyfs.schema import KIND_DIR
 from tallyfs.sources import archives as arc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +72,16 @@ def q_leaf_names(spark, sf_dir):
     return f.select("path", "name", "extension", "from_archive", "archive_path")
 
 
+def q_file_categories(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return f.select("path", "extension", category_of("extension").alias("category"))
+
+
+def q_folder_rows(spark, sf_dir):
+    inv = _inv(spark, sf_dir)
+    return inv.filter(F.col("kind") == KIND_DIR).select("path", "name")
+
+
 def q_hidden_files(spark, sf_dir):
     f = _files(spark, sf_dir)
     return f.filter(is_hidden("name")).select("path", "name")
@@ -177,6 +189,8 @@ QUERIES: dict[str, Query] = {
     "largest_file": q_largest_file,
     "size_text": q_size_text,
     "leaf_names": q_leaf_names,
+    "file_categories": q_file_categories,
+    "folder_rows": q_folder_rows,
     "hidden_files": q_hidden_files,
     "excluded_files": q_excluded_files,
     "hash_eligible": q_hash_eligible,

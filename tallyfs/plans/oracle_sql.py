@@ -91,8 +91,8 @@ uf as (select *, case when contains(name, '.') then lower(split_part(name, '.',
 
 Q = QUICK_HASH_BYTES
 
-BUNDLE = "'/corpus/' || source || '/bundle_' || cast(doc_id // 64 as varchar) || '.zip'"
-ENTRIES = (f"select {BUNDLE} || '!/' || lang || '/doc_' || cast(doc_id as varchar) || '.TXT' as path, "
+BUNDLE = "'/corpus/bundle_' || cast(doc_id // 64 as varchar) || '.zip'"
+ENTRIES = (f"select {BUNDLE} || '!/' || source || '/' || lang || '/doc_' || cast(doc_id as varchar) || '.TXT' as path, "
            "'doc_' || cast(doc_id as varchar) || '.TXT' as name, "
            "cast(octet_length(encode(text)) as bigint) as size, 'txt' as extension, "
            f"true as from_archive, {BUNDLE} as archive_path from documents")
@@ -153,6 +153,8 @@ ORACLE_SQL: dict[str, str] = {
                                     "from f order by size desc, path limit 1",
     "size_text": _with(CORPUS) + f"select path, size, {sql_size_text('size')} as size_text from f",
     "leaf_names": _with(CORPUS) + "select path, name, extension, from_archive, archive_path from f",
+    "file_categories": _with(CORPUS) + f"select path, extension, {sql_category('extension')} as category from f",
+    "folder_rows": _with(CORPUS, FOLDERS) + "select path, regexp_extract(path, '([^/]*)$', 1) as name from dirs",
     "hidden_files": _with(CORPUS) + "select path, name from f where hidden",
     "excluded_files": _with(CORPUS) + "select path from f where excluded",
     "hash_eligible": _with(CORPUS) + "select path, size from elig",
