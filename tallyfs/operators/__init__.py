@@ -1,0 +1 @@
+"""Analyses over an inventory: aggregates, top-k and the duplicate funnel."""

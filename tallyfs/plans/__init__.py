@@ -1,0 +1 @@
+"""Compositions: presets, scans, lineage cuts, and the registered queries."""

@@ -24,10 +24,19 @@ class Scan:
 
 def scan_tree(spark: SparkSession, root: str, prune: tuple[str, ...] = (),
               dirs_per_task: int = 64) -> Scan:
-    """List ``root``, expand ZIP archives by path, and persist the inventory."""
+    """List ``root`` and expand ZIP archives by path.
+
+    The listing levels and the archive entries are written tables, so the
+    returned inventory is a union of persisted tables (short lineage); no
+    archive job runs when the tree holds no ZIP.
+    """
     listing = tree_inventory(spark, root, dirs_per_task=dirs_per_task, prune=prune)
-    zips = listing.filter((F.col("kind") == KIND_FILE) & is_archive("extension"))
+    zip_row = (F.col("kind") == KIND_FILE) & is_archive("extension")
+    zips = listing.filter(zip_row)
+    if zips.limit(1).count() == 0:
+        empty = spark.createDataFrame([], "path string, error string")
+        return Scan(listing, empty)
     listed = materialize(spark, list_archives(zips), "archives")
-    inv = materialize(spark, expand_archives(listing, listed=listed), "inventory")
+    inv = expand_archives(listing, listed=listed)
     errors = listed.filter(F.col("kind") == KIND_ARCHIVE_ERROR).select("path", "error")
     return Scan(inv, errors)

@@ -1,0 +1 @@
+"""Where inventories come from: listed trees, archives, and tables with content."""

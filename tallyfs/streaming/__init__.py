@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The reference analyses bounded snapshots only: every scan is a batch, with
+no watermarks, windows or state. A new snapshot is a new scan (see
+:func:`tallyfs.plans.scan.scan_tree`), so there is no streaming operator to
+rebuild here.
+"""
