@@ -40,8 +40,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a fresh temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    (tests, bench) without it gets a fresh temporary folder; on a cluster a
+    machine-local folder would not be shared, so its absence is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None) \
@@ -50,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
     local = tempfile.mkdtemp(prefix="tallyfs-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
