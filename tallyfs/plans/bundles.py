@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.plans.corpus import read_table
+from tallyfs.session import ship_package
 from tallyfs.sources.table import table_files
 
 DOCS_PER_BUNDLE = 64
@@ -40,6 +41,7 @@ def bundle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "text",
         F.floor(F.col("doc_id") / DOCS_PER_BUNDLE).cast("long").alias("bundle"))
+    ship_package(spark)
     return d.groupBy("bundle").applyInPandas(_pack, "path string, content binary")
 
 

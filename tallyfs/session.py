@@ -71,3 +71,32 @@ def _strip_scheme(path: str) -> str:
 def local_fs_path(path: str) -> str:
     """Drop a ``file:`` scheme so Python code on executors can open it."""
     return os.path.normpath(_strip_scheme(path))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tallyfs`` importable in executor Python workers.
+
+    Functions passed to ``mapInPandas`` / ``applyInPandas`` are unpickled
+    there by module name, so the package is zipped once per process and
+    handed to ``SparkContext.addPyFile`` (what ``--py-files`` does); Spark
+    distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tallyfs-pkg-"), "tallyfs.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

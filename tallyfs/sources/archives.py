@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import is_archive
 from tallyfs.schema import ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
-from tallyfs.session import local_fs_path
+from tallyfs.session import local_fs_path, ship_package
 
 KIND_ARCHIVE_ERROR = "archive_error"
 ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
@@ -85,9 +85,9 @@ def list_archives(archives: DataFrame, content: str | None = None,
     """Entries and error rows of the archives in ``archives`` (rows with a
     ``path``, and a binary ``content`` column for table-backed archives).
 
-    Archives are spread over tasks by a hash of their path; with content in
-    the rows the spread happens after the scan only when there are more
-    archives than one task should take.
+    Archives read by path are spread over tasks by a hash of their path,
+    ``archives_per_task`` each. Archives held in a content column are listed
+    where the scan put them, so their bytes are never shuffled.
     """
     cols = ["path"] + ([content] if content else [])
     src = archives.select(*cols)
@@ -95,6 +95,7 @@ def list_archives(archives: DataFrame, content: str | None = None,
         n = src.count()
         floor = archives.sparkSession.sparkContext.defaultParallelism
         src = src.repartition(max(floor, -(-n // archives_per_task)), "path")
+    ship_package(archives.sparkSession)
     listed = src.mapInPandas(_list_batches(content), ENTRY_SCHEMA)
     return listed.select(
         "kind", "path", "name", "size", "extension", "from_archive", "archive_path",

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfs.session import local_fs_path
+from tallyfs.session import local_fs_path, ship_package
 
 HASH_SCHEMA = "path string, size bigint, quick_hash string, full_hash string, error string"
 CHUNK = 1 << 20
@@ -88,6 +88,7 @@ def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int) -> Data
     spark = cands.sparkSession
     floor = spark.sparkContext.defaultParallelism
     n = cands.count()
+    ship_package(spark)
     spread = cands.repartition(_partitions(n, files_per_task, floor), "path")
     return spread.mapInPandas(_quick_batches(prefix), HASH_SCHEMA)
 
@@ -103,5 +104,6 @@ def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int) -
     floor = spark.sparkContext.defaultParallelism
     todo = survivors.select("path", "size", "quick_hash", "full_hash", "error")
     total = todo.filter(F.col("full_hash").isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ship_package(spark)
     spread = todo.repartition(_partitions(int(total), target_task_bytes, floor), "path")
     return spread.mapInPandas(_full_batches, HASH_SCHEMA)

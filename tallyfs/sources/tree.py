@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import INVENTORY_COLUMNS, KIND_DIR, KIND_FILE, KIND_SKIPPED
-from tallyfs.session import local_fs_path
+from tallyfs.session import local_fs_path, ship_package
 
 LEVEL_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
                 "mtime_s double, error string, descend boolean, chain array<string>")
@@ -121,6 +121,7 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
         raise FileNotFoundError(f"not a directory: {root}")
     prune_set = frozenset(p.lower() for p in prune)
     floor = spark.sparkContext.defaultParallelism
+    ship_package(spark)
     frontier = spark.createDataFrame([(root, [_ident(os.stat(root))])], FRONTIER_SCHEMA)
     n_dirs = 1
     levels: list[DataFrame] = []
