@@ -202,3 +202,25 @@ def summary_rows(sections: Mapping[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_outputs(report: Report, sections: Sections, base: str, scan_id: str | None = None) -> dict[str, str]:
+    """Write the reports the sections ask for; returns output -> path.
+
+    * ``csv_report``: the category and extension tables as CSV datasets.
+    * ``text_report``: the summary as text lines, and, when duplicates ran,
+      the full listing of every duplicate path (long form, written by the
+      executors).
+    """
+    from tallyfs.sinks.reports import new_scan_id, write_report, write_text_listing, write_text_summary
+
+    scan_id = scan_id or new_scan_id()
+    out: dict[str, str] = {}
+    if sections.csv_report:
+        tables = {k: report[k] for k in ("categories", "extensions") if k in report}
+        out.update(write_report(tables, base, scan_id, fmt="csv"))
+    if sections.text_report:
+        out["summary_text"] = write_text_summary(summary_rows(report), base, scan_id)
+        if "duplicate_listing" in report:
+            out["duplicate_listing_text"] = write_text_listing(report["duplicate_listing"], base, scan_id)
+    return out

@@ -55,3 +55,16 @@ def test_text_listing(spark, tmp_path):
     p = write_text_listing(dup.duplicate_listing(res), str(tmp_path / "r"), new_scan_id())
     lines = [r["value"] for r in spark.read.text(p).collect()]
     assert len(lines) == 11 and all(len(x.split("\t")) == 3 for x in lines)
+
+
+def test_write_outputs_full(spark, tmp_path):
+    from tallyfs.plans.analyze import write_outputs
+
+    inv = corpus_inventory(spark, SF001)
+    paths = write_outputs(analyze(inv, FULL), FULL, str(tmp_path / "out"))
+    assert set(paths) == {"categories", "extensions", "summary_text", "duplicate_listing_text"}
+    text = [r["value"] for r in spark.read.text(paths["summary_text"]).collect()]
+    assert "summary\tfiles -> 200" in text
+    assert len(spark.read.text(paths["duplicate_listing_text"]).collect()) == 11
+    quick = write_outputs(analyze(inv, QUICK), select_sections(quick=True, txt=True), str(tmp_path / "q"))
+    assert set(quick) == {"summary_text"}
