@@ -117,6 +117,7 @@ class PathReader(ContentReader):
     prefix_bytes: int = QUICK_HASH_BYTES
     target_task_bytes: int = 256 * 1024 * 1024
     files_per_task: int = 2_000
+    cache: str | None = None   # hash cache table, see :func:`update_hash_cache`
 
 
 def default_reader(inv: DataFrame) -> ContentReader:
@@ -188,8 +189,21 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         from tallyfs.sources.readers import full_hash_files, quick_hash_files
 
         size_keys = keep(_shared_sizes(elig.select("size")), "size_keys")
-        cands = elig.select("path", "size").join(size_keys, "size", "left_semi")
-        hashed = keep(quick_hash_files(cands, reader.prefix_bytes, reader.files_per_task), "hashed")
+        cands = elig.select("path", "size", "mtime").join(size_keys, "size", "left_semi")
+        cached = read_hash_cache(spark, reader.cache) if reader.cache else None
+        if cached is None:
+            hashed = quick_hash_files(cands.select("path", "size"), reader.prefix_bytes, reader.files_per_task)
+        else:
+            key = ["path", "size", "mtime"]
+            hits = (cands.join(cached, key)
+                    .groupBy(*key).agg(F.max("quick_hash").alias("quick_hash"),
+                                       F.max("full_hash").alias("full_hash"))
+                    .select("path", "size", "quick_hash", "full_hash",
+                            F.lit(None).cast("string").alias("error")))
+            misses = cands.join(cached, key, "left_anti").select("path", "size")
+            hashed = hits.unionByName(
+                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task))
+        hashed = keep(hashed, "hashed")
     else:
         if isinstance(reader, ColumnReader):
             rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
@@ -320,3 +334,43 @@ def funnel_stats(inv: DataFrame, result: DuplicateResult) -> DataFrame:
         F.struct(F.lit(3).alias("tier"), F.lit("full_hash").alias("stage"),
                  F.col("quick_out").alias("files_in"), F.col("full_out").alias("files_out")),
     )))
+
+
+# ---------------------------------------------------------------------------
+# Hash cache (J1): reuse hashes of files unchanged since an earlier scan
+# ---------------------------------------------------------------------------
+
+CACHE_SCHEMA = "path string, size bigint, mtime timestamp, quick_hash string, full_hash string"
+
+
+def read_hash_cache(spark, cache: str) -> DataFrame | None:
+    """The cache table, or None if it was never written."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    except Exception as exc:  # AnalysisException: path does not exist
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return None
+        raise
+
+
+def update_hash_cache(inv: DataFrame, result: DuplicateResult, cache: str) -> None:
+    """Append the hashes this run computed, keyed by (path, size, mtime).
+
+    A file is re-read only when its size or modification time changed. Rows
+    are appended (a file may appear twice: first with its quick hash, later
+    with its full hash); readers take the maximum per key among the
+    candidates they join, so the cache is never rewritten whole.
+    """
+    known = result.hashed.select("path", "size", "quick_hash", "full_hash") \
+        .filter(F.col("quick_hash").isNotNull())
+    full = result.full.filter(F.col("full_hash").isNotNull()).select(
+        "path", "size", F.col("quick_hash").alias("q2"), F.col("full_hash").alias("f2"))
+    merged = (known.join(full, ["path", "size"], "left")
+              .select("path", "size", F.coalesce("quick_hash", "q2").alias("quick_hash"),
+                      F.coalesce("full_hash", "f2").alias("full_hash")))
+    mtimes = files_only(inv).select("path", "size", "mtime").filter(F.col("mtime").isNotNull())
+    rows = merged.join(mtimes, ["path", "size"]).select("path", "size", "mtime", "quick_hash", "full_hash")
+    previous = read_hash_cache(inv.sparkSession, cache)
+    if previous is not None:
+        rows = rows.join(previous, ["path", "size", "mtime", "quick_hash", "full_hash"], "left_anti")
+    rows.write.mode("append").parquet(cache)

@@ -10,6 +10,7 @@ archives that cannot be opened.
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 
 import pandas as pd
@@ -36,18 +37,32 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [path], "content": [buf.getvalue()]})
 
 
-def bundle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): one ZIP per ``doc_id div 64``."""
+def _pack_tar(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("doc_id")
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w") as tf:
+        for doc_id, source, lang, text in zip(pdf["doc_id"], pdf["source"], pdf["lang"], pdf["text"]):
+            data = (text or "").encode("utf-8")
+            info = tarfile.TarInfo(f"{source}/{lang}/doc_{int(doc_id)}.TXT")
+            info.size = len(data)
+            tf.addfile(info, io.BytesIO(data))
+    path = f"/corpus/bundle_{int(pdf['bundle'].iloc[0])}.tar"
+    return pd.DataFrame({"path": [path], "content": [buf.getvalue()]})
+
+
+def bundle_table(spark: SparkSession, sf_dir: str, fmt: str = "zip") -> DataFrame:
+    """(path, content): one ZIP (or tar, ``fmt="tar"``) per ``doc_id div 64``."""
     d = read_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "text",
         F.floor(F.col("doc_id") / DOCS_PER_BUNDLE).cast("long").alias("bundle"))
     ship_package(spark)
-    return d.groupBy("bundle").applyInPandas(_pack, "path string, content binary")
+    pack = _pack_tar if fmt == "tar" else _pack
+    return d.groupBy("bundle").applyInPandas(pack, "path string, content binary")
 
 
-def bundle_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bundle_inventory(spark: SparkSession, sf_dir: str, fmt: str = "zip") -> DataFrame:
     """File rows (with content) of the bundles."""
-    return table_files(bundle_table(spark, sf_dir), path="path", content="content")
+    return table_files(bundle_table(spark, sf_dir, fmt), path="path", content="content")
 
 
 def fake_archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,11 @@ def q_archive_entries(spark, sf_dir):
     return arc.archive_entries(bundle_inventory(spark, sf_dir), "content").select(*ENTRY_COLUMNS)
 
 
+def q_tar_entries(spark, sf_dir):
+    inv = bundle_inventory(spark, sf_dir, fmt="tar")
+    return arc.archive_entries(inv, "content", archive_extensions=("tar",)).select(*ENTRY_COLUMNS)
+
+
 def q_archive_errors(spark, sf_dir):
     return arc.archive_errors(fake_archive_inventory(spark, sf_dir), "content").select("path")
 
@@ -207,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "url_extensions": q_url_extensions,
     "url_categories": q_url_categories,
     "archive_entries": q_archive_entries,
+    "tar_entries": q_tar_entries,
     "archive_errors": q_archive_errors,
     "expand_archives": q_expand_archives,
     "tree_inventory": q_tree_inventory,

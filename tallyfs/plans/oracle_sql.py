@@ -190,6 +190,7 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
                                      "cast(coalesce(sum(size), 0) as bigint) as bytes, count(*) as n "
                                      "from uf group by 1"),
     "archive_entries": ENTRIES,
+    "tar_entries": ENTRIES.replace(".zip'", ".tar'"),
     "archive_errors": "select '/corpus/pages/page_' || cast(page_id as varchar) || '.zip' as path from pages",
     "expand_archives": PLAIN + " union all " + ENTRIES,
     "tree_inventory": ("select 'file' as kind, regexp_extract(filename, '([^/]*)$', 1) as name, "

@@ -1,7 +1,8 @@
-"""Archive entries (A4–A6): each ZIP becomes one row per file entry.
+"""Archive entries (A4–A6, J4): each ZIP becomes one row per file entry.
 
-Only the central directory is read (``zipfile`` seeks to it), never the
-compressed data. Archives come either from storage (by path, opened on the
+Only a ZIP's central directory is read (``zipfile`` seeks to it), never the
+compressed data. Tar containers (opt-in through ``archive_extensions``) have
+no directory and are read as a stream. Archives come either from storage (by path, opened on the
 executors) or from a binary column of a table-backed inventory. An archive
 that cannot be read yields one ``archive_error`` row instead of entries; it
 never fails the job. Output is streamed in bounded batches, so an archive with
@@ -11,6 +12,7 @@ millions of entries does not build one huge frame.
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import is_archive
-from tallyfs.schema import ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
+from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
 from tallyfs.session import local_fs_path, ship_package
 
 KIND_ARCHIVE_ERROR = "archive_error"
 ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
                 "from_archive boolean, archive_path string, error string")
 BATCH_ROWS = 10_000
+# Containers read as tar streams when a caller adds them to the archive
+# extensions (the default is ZIP only).
+TAR_EXTENSIONS = ("tar", "tgz", "gz", "bz2", "xz")
 
 
 def _extension(name: str) -> str:
@@ -36,22 +41,40 @@ def _extension(name: str) -> str:
 def _entries(archive: str, source) -> Iterator[tuple]:
     """Rows for one archive; the last row is an error row if reading failed
     (entries listed before the failure are kept)."""
+    reader = _tar_entries if _extension(archive) in TAR_EXTENSIONS else _zip_entries
     try:
-        with zipfile.ZipFile(source, metadata_encoding="utf-8") as zf:
-            for info in zf.infolist():
-                if info.is_dir():
-                    continue
-                entry = info.filename
-                name = entry[entry.rfind("/") + 1:]
-                size = info.file_size if info.file_size is not None and info.file_size >= 0 else None
-                yield (KIND_FILE, archive + ARCHIVE_SEPARATOR + entry, name, size,
-                       _extension(name), True, archive, None)
-    except (zipfile.BadZipFile, OSError, UnicodeDecodeError, ValueError, EOFError,
+        for entry, size in reader(source):
+            name = entry[entry.rfind("/") + 1:]
+            yield (KIND_FILE, archive + ARCHIVE_SEPARATOR + entry, name, size,
+                   _extension(name), True, archive, None)
+    except (zipfile.BadZipFile, tarfile.TarError, OSError, UnicodeDecodeError, ValueError, EOFError,
             NotImplementedError, RuntimeError) as exc:
         yield (KIND_ARCHIVE_ERROR, archive, archive[archive.rfind("/") + 1:], None, None, False,
                None, f"{type(exc).__name__}: {exc}")
 
 
+def _zip_entries(source) -> Iterator[tuple[str, int | None]]:
+    """File entries of a ZIP from its central directory; names without the
+    UTF-8 flag are decoded as UTF-8 too (a failure makes an error row)."""
+    with zipfile.ZipFile(source, metadata_encoding="utf-8") as zf:
+        for info in zf.infolist():
+            if info.is_dir():
+                continue
+            size = info.file_size if info.file_size is not None and info.file_size >= 0 else None
+            yield info.filename, size
+
+
+def _tar_entries(source) -> Iterator[tuple[str, int | None]]:
+    """Regular-file members of a (possibly compressed) tar. A tar has no
+    central directory, so the whole stream is read, member by member."""
+    opened = (tarfile.open(fileobj=source, mode="r:*") if hasattr(source, "read")
+              else tarfile.open(name=source, mode="r:*"))
+    with opened as tf:
+        for member in tf:
+            if member.isfile():
+                yield member.name, int(member.size)
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     cols = ["kind", "path", "name", "size", "extension", "from_archive", "archive_path", "error"]
     df = pd.DataFrame(rows, columns=cols)
@@ -102,29 +125,32 @@ def list_archives(archives: DataFrame, content: str | None = None,
         F.lit(None).cast("timestamp").alias("mtime"), "error")
 
 
-def archive_entries(files: DataFrame, content: str | None = None) -> DataFrame:
+def archive_entries(files: DataFrame, content: str | None = None,
+                    archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> DataFrame:
     """File entries of every archive among ``files`` (directory entries
     dropped), in inventory columns."""
-    zips = files.filter((F.col("kind") == KIND_FILE) & is_archive("extension"))
+    zips = files.filter((F.col("kind") == KIND_FILE) & is_archive("extension", archive_extensions))
     return list_archives(zips, content).filter(F.col("kind") == KIND_FILE)
 
 
-def archive_errors(files: DataFrame, content: str | None = None) -> DataFrame:
+def archive_errors(files: DataFrame, content: str | None = None,
+                   archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> DataFrame:
     """(path, error) for archives that cannot be read; they add nothing to
     any total."""
-    zips = files.filter((F.col("kind") == KIND_FILE) & is_archive("extension"))
+    zips = files.filter((F.col("kind") == KIND_FILE) & is_archive("extension", archive_extensions))
     return list_archives(zips, content).filter(F.col("kind") == KIND_ARCHIVE_ERROR).select("path", "error")
 
 
 def expand_archives(inv: DataFrame, content: str | None = None,
-                    listed: DataFrame | None = None) -> DataFrame:
+                    listed: DataFrame | None = None,
+                    archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> DataFrame:
     """Replace every archive by its entries: the archive's own row and size
     leave the inventory, its entries (uncompressed sizes) join it.
 
     ``listed`` may pass a materialized :func:`list_archives` result so the
     archives are read once for entries and errors.
     """
-    zip_row = (F.col("kind") == KIND_FILE) & is_archive("extension")
+    zip_row = (F.col("kind") == KIND_FILE) & is_archive("extension", archive_extensions)
     if listed is None:
         listed = list_archives(inv.filter(zip_row), content)
     entries = listed.filter(F.col("kind") == KIND_FILE)

@@ -191,3 +191,65 @@ def test_analyze_sections_on_tree(spark, testdir):
                         "duplicate_summary", "duplicate_listing", "reclaimable_files", "funnel_stats"}
     tiers = [(r["tier"], r["files_in"], r["files_out"]) for r in out["funnel_stats"].orderBy("tier").collect()]
     assert tiers == [(1, 15, 15), (2, 15, 15), (3, 15, 15)]
+
+
+def test_tar_entries_opt_in(spark, tmp_path):
+    import tarfile
+
+    r = str(tmp_path / "tars")
+    os.makedirs(r)
+    with tarfile.open(f"{r}/pack.tar", "w") as tf:
+        for name, data in [("a/x.TXT", b"12345"), ("b.py", b"print()")]:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tf.addfile(info, io.BytesIO(data))
+    default = scan_tree(spark, r).inventory.collect()
+    assert [os.path.basename(x["path"]) for x in default] == ["pack.tar"]
+    inv = scan_tree(spark, r, archive_extensions=("zip", "tar")).inventory
+    got = sorted((os.path.relpath(x["path"], r), x["size"], x["extension"]) for x in inv.collect())
+    assert got == [("pack.tar!/a/x.TXT", 5, "txt"), ("pack.tar!/b.py", 7, "py")]
+
+
+def test_scan_diff(spark, tmp_path):
+    from tallyfs.operators.diff import diff_summary, scan_diff
+
+    r = str(tmp_path / "diff")
+    _write(f"{r}/keep.txt", b"same")
+    _write(f"{r}/grow.txt", b"a")
+    _write(f"{r}/gone.txt", b"bye")
+    before = scan_tree(spark, r).inventory
+    os.remove(f"{r}/gone.txt")
+    _write(f"{r}/grow.txt", b"abc")
+    _write(f"{r}/new/n.txt", b"new")
+    after = scan_tree(spark, r).inventory
+    d = {os.path.relpath(x["path"], r): x["status"] for x in scan_diff(before, after).collect()}
+    assert d == {"keep.txt": "unchanged", "grow.txt": "changed", "gone.txt": "removed", "new/n.txt": "added"}
+    s = {x["status"]: (x["files"], x["bytes_before"], x["bytes_after"])
+         for x in diff_summary(scan_diff(before, after)).collect()}
+    assert s["changed"] == (1, 1, 3) and s["added"] == (1, 0, 3) and s["removed"] == (1, 3, 0)
+
+
+def test_hash_cache_reuses_unchanged_files(spark, tmp_path):
+    r = str(tmp_path / "cache_tree")
+    _write(f"{r}/a.txt", b"x" * 9000)
+    _write(f"{r}/b.txt", b"x" * 9000)
+    _write(f"{r}/c.txt", b"y" * 9000)
+    cache = str(tmp_path / "hash_cache")
+    inv = scan_tree(spark, r).inventory
+    res = dup.find_duplicates(inv, dup.PathReader(cache=cache))
+    assert res.groups.count() == 1
+    dup.update_hash_cache(inv, res, cache)
+    rows = {os.path.basename(x["path"]): x for x in spark.read.parquet(cache).collect()}
+    # all three share a size, so all got a quick hash; only a and b reached tier 3
+    assert set(rows) == {"a.txt", "b.txt", "c.txt"}
+    assert rows["c.txt"]["full_hash"] is None and rows["a.txt"]["full_hash"] == rows["b.txt"]["full_hash"]
+    # b's bytes change without a size change; a new copy of a appears
+    _write(f"{r}/b.txt", b"z" * 9000)
+    os.utime(f"{r}/b.txt", (1, 1))
+    _write(f"{r}/d.txt", b"x" * 9000)
+    inv2 = scan_tree(spark, r).inventory
+    res2 = dup.find_duplicates(inv2, dup.PathReader(cache=cache))
+    groups = [(g["size"], g["copies"]) for g in res2.groups.collect()]
+    assert groups == [(9000, 2)]
+    members = sorted(os.path.basename(x["path"]) for x in res2.files.collect())
+    assert members == ["a.txt", "d.txt"]
