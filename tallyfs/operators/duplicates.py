@@ -25,9 +25,10 @@ from tallyfs.operators.aggregates import files_only
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import QUICK_HASH_BYTES
 
-# Largest number of rows of group keys that may be broadcast to join them back
-# to the files; beyond it the join shuffles narrow rows and AQE splits skew.
-DEFAULT_BROADCAST_KEYS = 4_000_000
+# Largest number of group keys (64-char hash, size, number: about 100 bytes a
+# row, so about 50 MB) that may be broadcast to join them back to the files;
+# beyond it the join shuffles narrow rows and AQE splits skew.
+DEFAULT_BROADCAST_KEYS = 500_000
 
 
 def eligible_files(inv: DataFrame) -> DataFrame:
