@@ -7,6 +7,11 @@ skipped items. Each level is written to the shared checkpoint folder, which
 ends its lineage; the folders of that level are the next frontier. Nothing
 about the tree passes through the driver except per-level counts.
 
+Reading one directory is sequential, but checking and stat'ing its files is
+not: past ``inline_files`` files in one directory, the rest are stat'ed by a
+separate stage spread evenly over tasks, so a directory that holds a large
+share of the tree does not make one task do all the per-file system calls.
+
 Unlike Spark's ``binaryFile`` source this sees every entry: names starting
 with ``.`` or ``_``, zero-byte files, empty directories, broken links.
 Links to directories are followed, except a link that resolves to one of its
@@ -29,7 +34,8 @@ from tallyfs.schema import INVENTORY_COLUMNS, KIND_DIR, KIND_FILE, KIND_SKIPPED
 from tallyfs.session import local_fs_path, ship_package
 
 LEVEL_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
-                "mtime_s double, error string, descend boolean, chain array<string>")
+                "mtime_s double, error string, descend boolean, chain array<string>, deferred boolean")
+LEVEL_COLUMNS = ["kind", "path", "name", "size", "extension", "mtime_s", "error", "descend", "chain", "deferred"]
 FRONTIER_SCHEMA = "path string, chain array<string>"
 BATCH_ROWS = 10_000
 
@@ -43,15 +49,42 @@ def _ident(st: os.stat_result) -> str:
     return f"{st.st_dev}:{st.st_ino}"
 
 
-def _list_dir(path: str, chain: list[str], prune: frozenset[str]) -> Iterator[tuple]:
+def _row(kind, path, name, size=None, ext=None, mtime=None, error=None, descend=False,
+         chain=None, deferred=False) -> tuple:
+    return (kind, path, name, size, ext, mtime, error, descend, chain, deferred)
+
+
+def _err(exc: OSError) -> str:
+    return f"{type(exc).__name__}: {exc.strerror or exc}"
+
+
+def _file_row(path: str, name: str, stat_fn) -> tuple:
+    """A readable file with its size and time, or a skipped row."""
+    if not os.access(path, os.R_OK):
+        return _row(KIND_SKIPPED, path, name, error="not readable")
+    try:
+        st = stat_fn()
+    except OSError as exc:
+        return _row(KIND_SKIPPED, path, name, error=_err(exc))
+    return _row(KIND_FILE, path, name, int(st.st_size), _extension(name), st.st_mtime)
+
+
+def _list_dir(path: str, chain: list[str], prune: frozenset[str], inline_files: int) -> Iterator[tuple]:
+    """Rows for the entries of one directory.
+
+    The first ``inline_files`` files are checked and stat'ed here; files past
+    that are emitted as ``deferred`` rows (name only) and stat'ed by a later,
+    evenly spread stage, so a directory holding a large share of all files
+    costs one task only the sequential read of its entries.
+    """
     try:
         it = os.scandir(path)
     except OSError as exc:
         # Passed the readability check one level up but cannot be listed:
         # it stays a folder and is also counted as skipped.
-        yield (KIND_SKIPPED, path, os.path.basename(path), None, None, None,
-               f"{type(exc).__name__}: {exc.strerror or exc}", False, None)
+        yield _row(KIND_SKIPPED, path, os.path.basename(path), error=_err(exc))
         return
+    n_files = 0
     with it:
         for entry in it:
             child = path.rstrip("/") + "/" + entry.name if path != "/" else "/" + entry.name
@@ -59,51 +92,44 @@ def _list_dir(path: str, chain: list[str], prune: frozenset[str]) -> Iterator[tu
                 is_dir = entry.is_dir(follow_symlinks=True)
             except OSError:
                 is_dir = False
-            if is_dir:
-                if prune and entry.name.lower() in prune:
-                    continue
-                if not os.access(child, os.R_OK):
-                    yield (KIND_SKIPPED, child, entry.name, None, None, None, "not readable", False, None)
-                    continue
-                try:
-                    st = entry.stat(follow_symlinks=True)
-                except OSError as exc:
-                    yield (KIND_SKIPPED, child, entry.name, None, None, None,
-                           f"{type(exc).__name__}: {exc.strerror or exc}", False, None)
-                    continue
-                ident = _ident(st)
-                if ident in chain:
-                    yield (KIND_DIR, child, entry.name, None, None, st.st_mtime,
-                           "link to an ancestor, not entered", False, None)
-                    continue
-                yield (KIND_DIR, child, entry.name, None, None, st.st_mtime, None, True, chain + [ident])
+            if not is_dir:
+                n_files += 1
+                if n_files > inline_files:
+                    yield _row(KIND_FILE, child, entry.name, ext=_extension(entry.name), deferred=True)
+                else:
+                    yield _file_row(child, entry.name, lambda e=entry: e.stat(follow_symlinks=True))
+                continue
+            if prune and entry.name.lower() in prune:
                 continue
             if not os.access(child, os.R_OK):
-                yield (KIND_SKIPPED, child, entry.name, None, None, None, "not readable", False, None)
+                yield _row(KIND_SKIPPED, child, entry.name, error="not readable")
                 continue
             try:
                 st = entry.stat(follow_symlinks=True)
             except OSError as exc:
-                yield (KIND_SKIPPED, child, entry.name, None, None, None,
-                       f"{type(exc).__name__}: {exc.strerror or exc}", False, None)
+                yield _row(KIND_SKIPPED, child, entry.name, error=_err(exc))
                 continue
-            yield (KIND_FILE, child, entry.name, int(st.st_size), _extension(entry.name),
-                   st.st_mtime, None, False, None)
+            ident = _ident(st)
+            if ident in chain:
+                yield _row(KIND_DIR, child, entry.name, mtime=st.st_mtime,
+                           error="link to an ancestor, not entered")
+                continue
+            yield _row(KIND_DIR, child, entry.name, mtime=st.st_mtime, descend=True, chain=chain + [ident])
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    cols = ["kind", "path", "name", "size", "extension", "mtime_s", "error", "descend", "chain"]
-    df = pd.DataFrame(rows, columns=cols)
+    df = pd.DataFrame(rows, columns=LEVEL_COLUMNS)
     df["size"] = df["size"].astype("Int64")
     return df
 
 
-def _scan_level(prune: frozenset[str]):
+def _scan_level(prune: frozenset[str], inline_files: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[tuple] = []
         for pdf in batches:
             for path, chain in zip(pdf["path"], pdf["chain"]):
-                for row in _list_dir(local_fs_path(path), list(chain) if chain is not None else [], prune):
+                chain_list = list(chain) if chain is not None else []
+                for row in _list_dir(local_fs_path(path), chain_list, prune, inline_files):
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
                         yield _frame(buf)
@@ -113,23 +139,40 @@ def _scan_level(prune: frozenset[str]):
     return run
 
 
+def _stat_deferred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [_file_row(p, n, lambda p=p: os.stat(local_fs_path(p)))
+                for p, n in zip(pdf["path"], pdf["name"])]
+        yield _frame(rows)
+
+
 def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
-                prune: tuple[str, ...] = ()) -> list[DataFrame]:
+                prune: tuple[str, ...] = (), inline_files: int = 20_000,
+                files_per_stat_task: int = 20_000) -> list[DataFrame]:
     """List ``root`` level by level; returns the written level tables."""
     root = local_fs_path(root)
     if not os.path.isdir(root):
         raise FileNotFoundError(f"not a directory: {root}")
     prune_set = frozenset(p.lower() for p in prune)
-    floor = spark.sparkContext.defaultParallelism
+    floor = max(spark.sparkContext.defaultParallelism, 1)
     ship_package(spark)
     frontier = spark.createDataFrame([(root, [_ident(os.stat(root))])], FRONTIER_SCHEMA)
     n_dirs = 1
     levels: list[DataFrame] = []
     depth = 0
     while n_dirs > 0:
-        parts = min(max(1, math.ceil(n_dirs / dirs_per_task)), max(floor, 1) * 64)
-        listed = frontier.repartition(parts, "path").mapInPandas(_scan_level(prune_set), LEVEL_SCHEMA)
+        parts = min(max(1, math.ceil(n_dirs / dirs_per_task)), floor * 64)
+        listed = frontier.repartition(parts, "path").mapInPandas(_scan_level(prune_set, inline_files),
+                                                                 LEVEL_SCHEMA)
         level = materialize(spark, listed, f"tree-level{depth}")
+        deferred = level.filter(F.col("deferred"))
+        n_deferred = deferred.count()
+        if n_deferred:
+            stat_parts = max(floor, math.ceil(n_deferred / files_per_stat_task))
+            stats = deferred.select("path", "name").repartition(stat_parts, "path") \
+                .mapInPandas(_stat_deferred, LEVEL_SCHEMA)
+            stats = materialize(spark, stats, f"tree-level{depth}-stat")
+            level = level.filter(~F.col("deferred")).unionByName(stats)
         levels.append(level)
         frontier = level.filter(F.col("descend")).select("path", "chain")
         n_dirs = frontier.count()
@@ -138,14 +181,14 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
 
 
 def tree_inventory(spark: SparkSession, root: str, dirs_per_task: int = 64,
-                   prune: tuple[str, ...] = ()) -> DataFrame:
+                   prune: tuple[str, ...] = (), inline_files: int = 20_000) -> DataFrame:
     """Inventory of every entry below ``root`` (root itself excluded).
 
     ``prune`` names directories (case-insensitive) that are neither counted
     nor entered, e.g. ``("$recycle.bin", "system volume information")``.
     A missing root raises; everything below it becomes rows.
     """
-    levels = tree_levels(spark, root, dirs_per_task, prune)
+    levels = tree_levels(spark, root, dirs_per_task, prune, inline_files)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -253,3 +253,21 @@ def test_hash_cache_reuses_unchanged_files(spark, tmp_path):
     assert groups == [(9000, 2)]
     members = sorted(os.path.basename(x["path"]) for x in res2.files.collect())
     assert members == ["a.txt", "d.txt"]
+
+
+def test_hot_directory_deferred_stats(spark, tmp_path):
+    """Past the inline limit, files of one directory are stat'ed by a spread
+    stage: same rows as stat'ing everything inline."""
+    from tallyfs.sources.tree import tree_inventory
+
+    r = str(tmp_path / "hot")
+    for i in range(300):
+        _write(f"{r}/big/f{i:03d}.dat", b"x" * (i % 17))
+    _write(f"{r}/small/a.txt", b"abc")
+    os.symlink(f"{r}/nowhere", f"{r}/big/broken")
+    cols = ["kind", "path", "name", "size", "extension", "error"]
+    inline = sorted(tuple(x[c] for c in cols) for x in tree_inventory(spark, r).collect())
+    spread = sorted(tuple(x[c] for c in cols) for x in tree_inventory(spark, r, inline_files=10).collect())
+    assert spread == inline
+    assert sum(1 for x in spread if x[0] == "file") == 301
+    assert [x[1] for x in spread if x[0] == "skipped"] == [f"{r}/big/broken"]
