@@ -175,9 +175,9 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
     Eligibility is applied before tier 1 (it cannot change the groups, only
     the work). Every tier is an aggregation with partial aggregation and a
     semi join on narrow rows. With ``materialize_stages`` the hashed rows
-    (and, for path reads, the size keys) are written to the shared
-    checkpoint folder, so the later outputs reuse them and a lost executor
-    never re-reads content.
+    (and, for path reads, the size keys and the full hashes) are written to
+    the shared checkpoint folder, so the later outputs reuse them and a lost
+    executor never re-reads content.
     """
     reader = reader or default_reader(inv)
     spark = inv.sparkSession
@@ -219,7 +219,9 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                     .filter(F.col("n") >= 2))
     survivors = ok.join(quick_groups.select("size", "quick_hash"), ["size", "quick_hash"], "left_semi")
     if isinstance(reader, PathReader):
-        full = full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes)
+        # Written once: groups, members and errors all read it, and whole
+        # files must not be read again for each of them.
+        full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes), "full")
     else:
         full = survivors
     full_ok = full.filter(F.col("full_hash").isNotNull())
