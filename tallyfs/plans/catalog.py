@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyfs.functions.columns import category_of, hash_eligible, is_excluded, is_hidden, size_text
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
+from tallyfs.plans import doc_tree
 from tallyfs.plans.analyze import FULL, QUICK, analyze, summary_rows
 from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
 from tallyfs.plans.corpus import corpus_inventory, url_inventory
@@ -166,6 +167,23 @@ def q_expand_archives(spark, sf_dir):
     return arc.expand_archives(mixed_inventory(spark, sf_dir), "content").select(*ENTRY_COLUMNS)
 
 
+def q_doc_tree_summary(spark, sf_dir):
+    inv, _root = doc_tree.doc_tree_inventory(spark, sf_dir)
+    return agg.scan_summary(inv)
+
+
+def q_doc_tree_files(spark, sf_dir):
+    return doc_tree.doc_tree_files(spark, sf_dir)
+
+
+def q_doc_tree_duplicates(spark, sf_dir):
+    return doc_tree.doc_tree_duplicates(spark, sf_dir)
+
+
+def q_doc_tree_listing(spark, sf_dir):
+    return doc_tree.doc_tree_listing(spark, sf_dir)
+
+
 def _tree(spark, sf_dir):
     return scan_tree(spark, sf_dir.rstrip("/")).inventory
 
@@ -215,6 +233,10 @@ QUERIES: dict[str, Query] = {
     "tar_entries": q_tar_entries,
     "archive_errors": q_archive_errors,
     "expand_archives": q_expand_archives,
+    "doc_tree_summary": q_doc_tree_summary,
+    "doc_tree_files": q_doc_tree_files,
+    "doc_tree_duplicates": q_doc_tree_duplicates,
+    "doc_tree_listing": q_doc_tree_listing,
     "tree_inventory": q_tree_inventory,
     "tree_summary": q_tree_summary,
     "tree_duplicate_summary": q_tree_duplicate_summary,

@@ -100,6 +100,21 @@ PLAIN = ("select '/corpus/benchmark/item_' || cast(item_id as varchar) || '.txt'
          "'item_' || cast(item_id as varchar) || '.txt' as name, "
          "cast(octet_length(encode(text)) as bigint) as size, 'txt' as extension, "
          "false as from_archive, cast(null as varchar) as archive_path from benchmark")
+# The document tree: every document a file on disk, the corpus's archive
+# entries plain files below a directory named bundle.zip. Files named *.zip
+# hold text, so they are unreadable archives and vanish from the inventory.
+DOC_TREE = """
+t as (select name, replace(path, '!/', '/') as path, size, extension, hidden, excluded, content
+      from f where extension <> 'zip'),
+telig as (select path, size, content from t where not hidden and not excluded),
+tpar as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as d from t),
+tdirs as (
+  select distinct array_to_string(string_split(d, '/')[1:k], '/') as path
+  from (select d, unnest(generate_series(3, len(string_split(d, '/')))) as k
+        from tpar where starts_with(d, '/corpus/'))),
+tg as (select sha256(content) as full_hash, size, count(*) as copies
+       from telig group by 1, 2 having count(*) >= 2)
+"""
 # The tree queries list the table directory itself; the check runs at sf0.01.
 TREE = "read_blob('/root/testdata/sf0.01/*.parquet')"
 
@@ -193,6 +208,15 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
     "tar_entries": ENTRIES.replace(".zip'", ".tar'"),
     "archive_errors": "select '/corpus/pages/page_' || cast(page_id as varchar) || '.zip' as path from pages",
     "expand_archives": PLAIN + " union all " + ENTRIES,
+    "doc_tree_summary": _with(CORPUS, DOC_TREE) + (
+        "select (select count(*) from t) as files, (select count(*) from tdirs) as folders, "
+        "(select cast(coalesce(sum(size), 0) as bigint) from t) as bytes, cast(0 as bigint) as skipped"),
+    "doc_tree_files": _with(CORPUS, DOC_TREE) + "select path, name, size, extension from t",
+    "doc_tree_duplicates": _with(CORPUS, DOC_TREE) + "select full_hash, size, copies from tg",
+    "doc_tree_listing": _with(CORPUS, DOC_TREE) + (
+        "select n.group_no, n.full_hash, n.size, e.path from telig e join "
+        "(select full_hash, size, row_number() over (order by size desc, full_hash) as group_no from tg) n "
+        "on sha256(e.content) = n.full_hash and e.size = n.size"),
     "tree_inventory": ("select 'file' as kind, regexp_extract(filename, '([^/]*)$', 1) as name, "
                        "cast(size as bigint) as size, 'parquet' as extension from " + TREE),
     "tree_summary": ("select count(*) as files, cast(0 as bigint) as folders, "

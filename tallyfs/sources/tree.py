@@ -165,9 +165,11 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
         listed = frontier.repartition(parts, "path").mapInPandas(_scan_level(prune_set, inline_files),
                                                                  LEVEL_SCHEMA)
         level = materialize(spark, listed, f"tree-level{depth}")
-        deferred = level.filter(F.col("deferred"))
-        n_deferred = deferred.count()
+        counts = level.agg(F.count_if(F.col("deferred")).alias("deferred"),
+                           F.count_if(F.col("descend")).alias("dirs")).first()
+        n_deferred, n_dirs = counts["deferred"], counts["dirs"]
         if n_deferred:
+            deferred = level.filter(F.col("deferred"))
             stat_parts = max(floor, math.ceil(n_deferred / files_per_stat_task))
             stats = deferred.select("path", "name").repartition(stat_parts, "path") \
                 .mapInPandas(_stat_deferred, LEVEL_SCHEMA)
@@ -175,7 +177,6 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
             level = level.filter(~F.col("deferred")).unionByName(stats)
         levels.append(level)
         frontier = level.filter(F.col("descend")).select("path", "chain")
-        n_dirs = frontier.count()
         depth += 1
     return levels
 
