@@ -118,6 +118,7 @@ class PathReader(ContentReader):
     prefix_bytes: int = QUICK_HASH_BYTES
     target_task_bytes: int = 256 * 1024 * 1024
     files_per_task: int = 2_000
+    io_threads: int = 4        # concurrent reads per task (storage latency)
     cache: str | None = None   # hash cache table, see :func:`update_hash_cache`
 
 
@@ -193,7 +194,8 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         cands = elig.select("path", "size", "mtime").join(size_keys, "size", "left_semi")
         cached = read_hash_cache(spark, reader.cache) if reader.cache else None
         if cached is None:
-            hashed = quick_hash_files(cands.select("path", "size"), reader.prefix_bytes, reader.files_per_task)
+            hashed = quick_hash_files(cands.select("path", "size"), reader.prefix_bytes, reader.files_per_task,
+                                      reader.io_threads)
         else:
             key = ["path", "size", "mtime"]
             hits = (cands.join(cached, key)
@@ -203,7 +205,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                             F.lit(None).cast("string").alias("error")))
             misses = cands.join(cached, key, "left_anti").select("path", "size")
             hashed = hits.unionByName(
-                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task))
+                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads))
         hashed = keep(hashed, "hashed")
     else:
         if isinstance(reader, ColumnReader):
@@ -221,7 +223,8 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
     if isinstance(reader, PathReader):
         # Written once: groups, members and errors all read it, and whole
         # files must not be read again for each of them.
-        full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes), "full")
+        full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
+                                    reader.io_threads), "full")
     else:
         full = survivors
     full_ok = full.filter(F.col("full_hash").isNotNull())

@@ -2,8 +2,9 @@
 
 Each task opens the files of its rows, reads at most the prefix (quick hash)
 or streams the whole file in chunks (full hash, constant memory, no 2 GB
-limit), and returns narrow rows. A file that cannot be read becomes an
-``error`` row; it never fails the job.
+limit), and returns narrow rows. A few threads per task overlap the storage
+latency of many small reads. A file that cannot be read becomes an ``error``
+row; it never fails the job.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,11 +50,20 @@ def _full(path: str) -> tuple[str | None, str | None]:
     return digest.hexdigest(), None
 
 
-def _quick_batches(prefix: int):
+def _pool_map(fn, items: list, threads: int) -> list:
+    """``fn`` over ``items`` in order, ``threads`` at a time. File reads and
+    hashing release the GIL, so a few threads hide storage latency."""
+    if threads <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(fn, items))
+
+
+def _quick_batches(prefix: int, threads: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [_quick(p, None if pd.isna(s) else int(s), prefix)
-                   for p, s in zip(pdf["path"], pdf["size"])]
+            items = [(p, None if pd.isna(s) else int(s)) for p, s in zip(pdf["path"], pdf["size"])]
+            out = _pool_map(lambda it: _quick(it[0], it[1], prefix), items, threads)
             yield pd.DataFrame({
                 "path": pdf["path"],
                 "size": pdf["size"],
@@ -63,23 +74,25 @@ def _quick_batches(prefix: int):
     return run
 
 
-def _full_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        need = pdf["full_hash"].isna()
-        full = pdf["full_hash"].copy()
-        err = pdf["error"].copy()
-        for i in pdf.index[need]:
-            h, e = _full(pdf.at[i, "path"])
-            full.at[i] = h
-            err.at[i] = e
-        yield pdf.assign(full_hash=full, error=err)
+def _full_batches(threads: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            need = list(pdf.index[pdf["full_hash"].isna()])
+            done = _pool_map(lambda i: _full(pdf.at[i, "path"]), need, threads)
+            full = pdf["full_hash"].copy()
+            err = pdf["error"].copy()
+            for i, (h, e) in zip(need, done):
+                full.at[i] = h
+                err.at[i] = e
+            yield pdf.assign(full_hash=full, error=err)
+    return run
 
 
 def _partitions(n: int, per_task: float, floor: int) -> int:
     return max(floor, int(math.ceil(n / max(per_task, 1))))
 
 
-def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int) -> DataFrame:
+def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads: int = 4) -> DataFrame:
     """(path, size) -> (path, size, quick_hash, full_hash, error).
 
     Reading 8 KB costs about the same for every file, so tasks are balanced
@@ -90,10 +103,11 @@ def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int) -> Data
     n = cands.count()
     ship_package(spark)
     spread = cands.repartition(_partitions(n, files_per_task, floor), "path")
-    return spread.mapInPandas(_quick_batches(prefix), HASH_SCHEMA)
+    return spread.mapInPandas(_quick_batches(prefix, threads), HASH_SCHEMA)
 
 
-def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int) -> DataFrame:
+def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int,
+                    threads: int = 4) -> DataFrame:
     """Fill ``full_hash`` for rows that lack it by streaming the whole file.
 
     Tasks are sized by bytes: the number of partitions is the survivors' total
@@ -106,4 +120,4 @@ def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int) -
     total = todo.filter(F.col("full_hash").isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ship_package(spark)
     spread = todo.repartition(_partitions(int(total), target_task_bytes, floor), "path")
-    return spread.mapInPandas(_full_batches, HASH_SCHEMA)
+    return spread.mapInPandas(_full_batches(threads), HASH_SCHEMA)
