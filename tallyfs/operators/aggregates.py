@@ -16,6 +16,8 @@ from tallyfs.schema import (
     KIND_FILE,
     KIND_SKIPPED,
     LARGEST_FILES_K,
+    NO_EXTENSION,
+    OTHERS,
     TOP_EXTENSIONS_K,
 )
 
@@ -72,8 +74,8 @@ def with_category(inv: DataFrame, dimension: DataFrame | None = None,
     joined = inv.join(dim, inv["extension"] == dim["_dim_ext"], "left")
     return joined.withColumn(
         "category",
-        F.when(F.col("extension").isNull() | (F.col("extension") == ""), F.lit("No extension"))
-        .otherwise(F.coalesce(F.col("_dim_cat"), F.lit("Others"))),
+        F.when(F.col("extension").isNull() | (F.col("extension") == ""), F.lit(NO_EXTENSION))
+        .otherwise(F.coalesce(F.col("_dim_cat"), F.lit(OTHERS))),
     ).drop("_dim_ext", "_dim_cat")
 
 

@@ -95,3 +95,20 @@ def test_prehashed_inventory_gives_same_groups(spark):
     pre = dup.hash_annotate(inv)
     got = sorted(map(tuple, dup.find_duplicates(pre).groups.collect()))
     assert got == want
+
+
+def test_custom_category_dimension(spark):
+    """A caller's own (extension, category) table replaces the fixed one;
+    unknown extensions are Others, empty ones No extension; small dimensions
+    are broadcast, larger ones joined with a shuffle — same result."""
+    inv = corpus_inventory(spark, SF001, with_folders=False)
+    dim = spark.createDataFrame([("txt", "Text"), ("py", "Code"), ("java", "Code")], "extension string, category string")
+    got = {r["category"]: r["n"] for r in agg.category_sizes(inv, dim).collect()}
+    counts = {r["extension"]: r["n"] for r in agg.extension_counts(inv).collect()}
+    assert got["Text"] == counts["txt"]
+    assert got["Code"] == counts["py"] + counts["java"]
+    assert got["No extension"] == counts["No extension"]
+    assert sum(got.values()) == 200
+    shuffled = agg.with_category(agg.files_only(inv), dim, broadcast_limit=0)
+    again = {r["category"]: r["n"] for r in shuffled.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert again == got
