@@ -63,12 +63,15 @@ def with_category(inv: DataFrame, dimension: DataFrame | None = None,
     """Add ``category``.
 
     The fixed dictionary is a literal CASE chain (no join). A caller's own
-    dimension (extension, category) is joined; it is broadcast only when its
-    row count is within ``broadcast_limit``.
+    dimension (extension, category) is reduced to one category per extension
+    (the smallest name, so a repeated extension cannot multiply file rows)
+    and joined; it is broadcast only when its row count is within
+    ``broadcast_limit``.
     """
     if dimension is None:
         return inv.withColumn("category", category_of("extension"))
-    dim = dimension.select(F.col("extension").alias("_dim_ext"), F.col("category").alias("_dim_cat"))
+    dim = (dimension.groupBy(F.lower(F.col("extension")).alias("_dim_ext"))
+           .agg(F.min("category").alias("_dim_cat")))
     if dim.count() <= broadcast_limit:
         dim = F.broadcast(dim)
     joined = inv.join(dim, inv["extension"] == dim["_dim_ext"], "left")
