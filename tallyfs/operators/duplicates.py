@@ -225,9 +225,14 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         # files must not be read again for each of them.
         full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
                                     reader.io_threads), "full")
+        full_ok = full.filter(F.col("full_hash").isNotNull())
     else:
+        # Every eligible file already has its full hash. Files with equal full
+        # hashes have equal sizes and prefixes, so grouping the hashed rows
+        # directly gives exactly the groups of the survivors, without the two
+        # semi joins (the tier outputs above stay for reporting).
         full = survivors
-    full_ok = full.filter(F.col("full_hash").isNotNull())
+        full_ok = rows.filter(F.col("full_hash").isNotNull())
     groups = (full_ok.groupBy("full_hash", "size").agg(F.count(F.lit(1)).alias("copies"))
               .filter(F.col("copies") >= 2))
     files = (full_ok.select("full_hash", "size", "path")

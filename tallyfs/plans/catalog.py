@@ -111,11 +111,13 @@ def q_quick_groups(spark, sf_dir):
 
 
 def q_duplicate_groups(spark, sf_dir):
-    return dup.find_duplicates(_files(spark, sf_dir)).groups
+    # One output read once: no stage needs persisting, the plan is one
+    # content scan and one aggregation.
+    return dup.find_duplicates(_files(spark, sf_dir), materialize_stages=False).groups
 
 
 def q_duplicate_summary(spark, sf_dir):
-    return dup.duplicate_summary(dup.find_duplicates(_files(spark, sf_dir)).groups)
+    return dup.duplicate_summary(dup.find_duplicates(_files(spark, sf_dir), materialize_stages=False).groups)
 
 
 def q_duplicate_listing(spark, sf_dir):
