@@ -6,6 +6,8 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _memo(fn):
+    """Build an expression once per set of plain (name / literal) arguments.
+
+    An unresolved Column is an expression tree that any number of DataFrames
+    may use, so rebuilding it (dozens of calls into the JVM for the longer
+    ones) for every query only costs driver time.
+    """
+    cached = functools.lru_cache(maxsize=256)(fn)
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        try:
+            hash((args, tuple(sorted(kwargs.items()))))
+        except TypeError:
+            return fn(*args, **kwargs)
+        if any(isinstance(a, Column) for a in args) or any(isinstance(v, Column) for v in kwargs.values()):
+            return fn(*args, **kwargs)
+        return cached(*args, **kwargs)
+    return wrapper
+
+
+@_memo
 def extension_of(name: Column | str) -> Column:
     """Text after the last dot, lowercased; ``""`` when the name has no dot.
 
@@ -32,11 +56,13 @@ def extension_of(name: Column | str) -> Column:
     return F.when(F.instr(n, ".") > 0, F.lower(F.substring_index(n, ".", -1))).otherwise(F.lit(""))
 
 
+@_memo
 def leaf_name(path: Column | str, sep: str = "/") -> Column:
     """Text after the last separator (the whole value when there is none)."""
     return F.substring_index(_col(path), sep, -1)
 
 
+@_memo
 def parent_path(path: Column | str, sep: str = "/") -> Column:
     """Everything before the last separator (``""`` for a bare name)."""
     esc = _re_escape(sep)
@@ -52,6 +78,7 @@ def virtual_path(archive: Column | str, entry: Column | str) -> Column:
     return F.concat(_col(archive), F.lit(ARCHIVE_SEPARATOR), _col(entry))
 
 
+@_memo
 def archive_of(path: Column | str) -> Column:
     """Archive part of a virtual path, null for a plain path."""
     p = _col(path)
@@ -59,12 +86,14 @@ def archive_of(path: Column | str) -> Column:
                   F.substring_index(p, ARCHIVE_SEPARATOR, 1))
 
 
+@_memo
 def extension_label(extension: Column | str) -> Column:
     """Empty or null extension -> ``No extension``."""
     e = _col(extension)
     return F.when(e.isNull() | (e == ""), F.lit(NO_EXTENSION)).otherwise(e)
 
 
+@_memo
 def category_of(extension: Column | str) -> Column:
     """Fixed category of an extension (see :data:`CATEGORY_EXTENSIONS`).
 
@@ -77,11 +106,13 @@ def category_of(extension: Column | str) -> Column:
     return expr.otherwise(F.lit(OTHERS))
 
 
+@_memo
 def is_hidden(name: Column | str) -> Column:
     """Hidden file: the leaf name starts with a dot (ancestors are not tested)."""
     return _col(name).startswith(".")
 
 
+@_memo
 def is_excluded(path: Column | str, sep: str = "/",
                 excluded: tuple[str, ...] = EXCLUDED_DIRECTORIES) -> Column:
     """True when any ancestor directory name (case-insensitive) is excluded.
@@ -95,11 +126,13 @@ def is_excluded(path: Column | str, sep: str = "/",
     return F.coalesce(F.arrays_overlap(F.transform(ancestors, F.lower), wanted), F.lit(False))
 
 
+@_memo
 def is_archive(extension: Column | str,
                archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> Column:
     return F.coalesce(_col(extension).isin(*archive_extensions), F.lit(False))
 
 
+@_memo
 def hash_eligible(name: Column | str = "name", path: Column | str = "path",
                   from_archive: Column | str = "from_archive", sep: str = "/") -> Column:
     """Files that take part in duplicate detection: not an archive entry, not
@@ -112,6 +145,7 @@ _MB = 1024 * 1024
 _GB = 1024 * 1024 * 1024
 
 
+@_memo
 def size_text(size: Column | str) -> Column:
     """Human size: ``500B`` below 1 KiB, else two decimals in KB / MB / GB
     (powers of 1024, halves rounded up, no TB)."""

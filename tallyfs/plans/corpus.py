@@ -20,27 +20,40 @@ CORPUS_EXTENSIONS = ["TXT", "pdf", "jpg", "html", "py", "java", "mp4", "csv",
 CORPUS_ROOT = "/corpus"
 
 
+# Fixed schemas of the driver's tables read here: nothing is inferred, and no
+# file footer is opened while a query is being planned.
+TABLE_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = TABLE_SCHEMAS.get(name)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
 def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text, doc_id, source, lang) with the fixture's naming rules."""
+    """(path, text, doc_id, source, lang) with the fixture's naming rules,
+    stated as SQL expressions in three small steps."""
+    exts = ", ".join("'" + e + "'" for e in CORPUS_EXTENSIONS)
     d = read_table(spark, sf_dir, "documents")
-    doc = F.col("doc_id")
-    ext = F.element_at(F.array(*[F.lit(e) for e in CORPUS_EXTENSIONS]), (doc % 16).cast("int") + 1)
-    folder = (F.when(doc % 10 == 0, F.lit("node_modules"))
-              .when(doc % 10 == 1, F.lit("Bin"))
-              .otherwise(F.lit("docs")))
-    name = F.concat(F.when(doc % 23 == 0, F.lit(".")).otherwise(F.lit("")),
-                    F.lit("doc_"), doc.cast("string"),
-                    F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("."), ext)))
-    path = (F.when(doc % 7 == 3,
-                   F.concat(F.lit(CORPUS_ROOT + "/"), F.col("source"), F.lit("/bundle.zip!/"),
-                            folder, F.lit("/"), name))
-            .otherwise(F.concat(F.lit(CORPUS_ROOT + "/"), F.col("source"), F.lit("/"), F.col("lang"),
-                                F.lit("/"), folder, F.lit("/"), name)))
-    return d.select(path.alias("path"), "text", "doc_id", "source", "lang")
+    named = d.selectExpr(
+        "doc_id", "text", "lang", "source",
+        f"element_at(array({exts}), cast(doc_id % 16 as int) + 1) as e",
+        "case when doc_id % 10 = 0 then 'node_modules' when doc_id % 10 = 1 then 'Bin' else 'docs' end as dir",
+    ).selectExpr(
+        "doc_id", "text", "lang", "source", "dir",
+        "concat(case when doc_id % 23 = 0 then '.' else '' end, 'doc_', cast(doc_id as string), "
+        "case when e = '' then '' else concat('.', e) end) as name",
+    )
+    return named.selectExpr(
+        f"case when doc_id % 7 = 3 then concat('{CORPUS_ROOT}/', source, '/bundle.zip!/', dir, '/', name) "
+        f"else concat('{CORPUS_ROOT}/', source, '/', lang, '/', dir, '/', name) end as path",
+        "text", "doc_id", "source", "lang",
+    )
 
 
 def corpus_inventory(spark: SparkSession, sf_dir: str, with_folders: bool = True) -> DataFrame:

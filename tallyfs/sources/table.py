@@ -20,7 +20,6 @@ from tallyfs.functions.columns import (
     parent_path,
 )
 from tallyfs.schema import (
-    ARCHIVE_SEPARATOR,
     INVENTORY_COLUMNS,
     KIND_DIR,
     KIND_FILE,
@@ -28,10 +27,13 @@ from tallyfs.schema import (
 
 
 def _as_binary(df: DataFrame, content: str) -> Column:
+    """The content as bytes. Spark strings are UTF-8 already, so a cast is a
+    plain byte copy (``encode`` would go through a Java string and a charset
+    encoder for every row)."""
     dtype = df.schema[content].dataType
     if isinstance(dtype, T.BinaryType):
         return F.col(content)
-    return F.encode(F.col(content).cast("string"), "UTF-8")
+    return F.col(content).cast("string").cast("binary")
 
 
 def table_files(df: DataFrame, path: str = "path", content: str | None = "content",
@@ -40,37 +42,41 @@ def table_files(df: DataFrame, path: str = "path", content: str | None = "conten
     """File rows of an inventory from a table.
 
     ``size`` defaults to the byte length of ``content`` (UTF-8 for strings).
-    ``name`` defaults to the text after the last separator of the path.
-    A path holding ``!/`` is an archive entry of the archive before it.
+    ``name`` defaults to the text after the last separator of the path (for
+    an archive entry ``a.zip!/d/x`` that is ``x``). A path holding ``!/`` is
+    an archive entry of the archive before it.
     """
-    p = F.col(path)
-    body = _as_binary(df, content) if content else None
     if size is not None:
         size_col = F.col(size).cast("long")
-    elif body is not None:
-        size_col = F.octet_length(body).cast("long")
+    elif content is not None:
+        # octet_length of a string is its UTF-8 byte count, read without a copy
+        size_col = F.octet_length(F.col(content)).cast("long")
     else:
         raise ValueError("need a size column or a content column")
-    archive = archive_of(p)
-    if name is not None:
-        leaf = F.col(name)
-    else:
-        leaf = leaf_name(F.when(archive.isNotNull(), F.substring_index(p, ARCHIVE_SEPARATOR, -1))
-                         .otherwise(p), sep)
+    first = [
+        F.col(path).alias("path"),
+        (F.col(name) if name is not None else leaf_name(path, sep)).alias("name"),
+        size_col.alias("size"),
+        (F.col(mtime).cast("timestamp") if mtime else F.lit(None).cast("timestamp")).alias("mtime"),
+    ]
+    if content is not None:
+        first.append(_as_binary(df, content).alias("content"))
+    base = df.select(*first)
+    archive = archive_of("path")
     cols = [
         F.lit(KIND_FILE).alias("kind"),
-        p.alias("path"),
-        leaf.alias("name"),
-        size_col.alias("size"),
-        extension_of(leaf).alias("extension"),
+        "path",
+        "name",
+        "size",
+        extension_of("name").alias("extension"),
         archive.isNotNull().alias("from_archive"),
         archive.alias("archive_path"),
-        (F.col(mtime).cast("timestamp") if mtime else F.lit(None).cast("timestamp")).alias("mtime"),
+        "mtime",
         F.lit(None).cast("string").alias("error"),
     ]
-    if body is not None:
-        cols.append(body.alias("content"))
-    return df.select(*cols)
+    if content is not None:
+        cols.append("content")
+    return base.select(*cols)
 
 
 def folder_rows(files: DataFrame, root: str | None = None, sep: str = "/") -> DataFrame:
