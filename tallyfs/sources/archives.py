@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import is_archive
 from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
-from tallyfs.session import local_fs_path, ship_package
+from tallyfs.session import ship_package
+from tallyfs.sources.readers import open_regular
 
 KIND_ARCHIVE_ERROR = "archive_error"
 ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
@@ -43,6 +44,8 @@ def _entries(archive: str, source) -> Iterator[tuple]:
     (entries listed before the failure are kept)."""
     reader = _tar_entries if _extension(archive) in TAR_EXTENSIONS else _zip_entries
     try:
+        if isinstance(source, str):
+            source = open_regular(source)
         for entry, size in reader(source):
             name = entry[entry.rfind("/") + 1:]
             yield (KIND_FILE, archive + ARCHIVE_SEPARATOR + entry, name, size,
@@ -51,6 +54,9 @@ def _entries(archive: str, source) -> Iterator[tuple]:
             NotImplementedError, RuntimeError) as exc:
         yield (KIND_ARCHIVE_ERROR, archive, archive[archive.rfind("/") + 1:], None, None, False,
                None, f"{type(exc).__name__}: {exc}")
+    finally:
+        if hasattr(source, "close"):
+            source.close()
 
 
 def _zip_entries(source) -> Iterator[tuple[str, int | None]]:
@@ -67,9 +73,7 @@ def _zip_entries(source) -> Iterator[tuple[str, int | None]]:
 def _tar_entries(source) -> Iterator[tuple[str, int | None]]:
     """Regular-file members of a (possibly compressed) tar. A tar has no
     central directory, so the whole stream is read, member by member."""
-    opened = (tarfile.open(fileobj=source, mode="r:*") if hasattr(source, "read")
-              else tarfile.open(name=source, mode="r:*"))
-    with opened as tf:
+    with tarfile.open(fileobj=source, mode="r:*") as tf:
         for member in tf:
             if member.isfile():
                 yield member.name, int(member.size)
@@ -89,10 +93,7 @@ def _list_batches(content_col: str | None):
             paths = pdf["path"].tolist()
             blobs = pdf[content_col].tolist() if content_col else [None] * len(paths)
             for path, blob in zip(paths, blobs):
-                if content_col:
-                    source = io.BytesIO(blob if blob is not None else b"")
-                else:
-                    source = local_fs_path(path)
+                source = io.BytesIO(blob if blob is not None else b"") if content_col else path
                 for row in _entries(path, source):
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:

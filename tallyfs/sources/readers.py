@@ -9,8 +9,11 @@ row; it never fails the job.
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import math
+import os
+import stat
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -24,9 +27,25 @@ HASH_SCHEMA = "path string, size bigint, quick_hash string, full_hash string, er
 CHUNK = 1 << 20
 
 
+def open_regular(path: str):
+    """Open a regular file for reading. A FIFO, socket or device would block
+    or never end, so it is refused (``O_NONBLOCK`` keeps the open itself from
+    waiting on a FIFO)."""
+    fd = os.open(local_fs_path(path), os.O_RDONLY | getattr(os, "O_NONBLOCK", 0))
+    try:
+        if not stat.S_ISREG(os.fstat(fd).st_mode):
+            raise OSError(errno.EINVAL, "not a regular file")
+        if hasattr(os, "set_blocking"):
+            os.set_blocking(fd, True)
+        return os.fdopen(fd, "rb")
+    except BaseException:
+        os.close(fd)
+        raise
+
+
 def _quick(path: str, size: int | None, prefix: int) -> tuple[str | None, str | None, str | None]:
     try:
-        with open(local_fs_path(path), "rb") as fh:
+        with open_regular(path) as fh:
             head = fh.read(prefix)
     except OSError as exc:
         return None, None, f"{type(exc).__name__}: {exc.strerror or exc}"
@@ -39,7 +58,7 @@ def _quick(path: str, size: int | None, prefix: int) -> tuple[str | None, str |
 def _full(path: str) -> tuple[str | None, str | None]:
     digest = hashlib.sha256()
     try:
-        with open(local_fs_path(path), "rb") as fh:
+        with open_regular(path) as fh:
             while True:
                 block = fh.read(CHUNK)
                 if not block:

@@ -271,3 +271,27 @@ def test_hot_directory_deferred_stats(spark, tmp_path):
     assert spread == inline
     assert sum(1 for x in spread if x[0] == "file") == 301
     assert [x[1] for x in spread if x[0] == "skipped"] == [f"{r}/big/broken"]
+
+
+def test_fifo_is_listed_but_never_read(spark, tmp_path):
+    """A named pipe counts as a file (as the reference counts it) but is not
+    opened for hashing: it becomes a hash error instead of a hung task."""
+    r = str(tmp_path / "fifo")
+    _write(f"{r}/empty1", b"")
+    _write(f"{r}/empty2", b"")
+    os.mkfifo(f"{r}/pipe")
+    inv = scan_tree(spark, r).inventory
+    assert agg.scan_summary(inv).first()["files"] == 3
+    res = dup.find_duplicates(inv, dup.PathReader())
+    assert [(g["size"], g["copies"]) for g in res.groups.collect()] == [(0, 2)]
+    errs = [(os.path.basename(e["path"]), e["error"]) for e in res.hash_errors.collect()]
+    assert len(errs) == 1 and errs[0][0] == "pipe" and "regular" in errs[0][1]
+
+
+def test_fifo_named_zip_is_an_archive_error(spark, tmp_path):
+    r = str(tmp_path / "fifozip")
+    _write(f"{r}/a.txt", b"a")
+    os.mkfifo(f"{r}/trap.zip")
+    scan = scan_tree(spark, r)
+    assert [os.path.basename(x["path"]) for x in scan.inventory.collect()] == ["a.txt"]
+    assert [os.path.basename(e["path"]) for e in scan.archive_errors.collect()] == ["trap.zip"]
