@@ -123,19 +123,24 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return df
 
 
-def _scan_level(prune: frozenset[str], inline_files: int):
+def _scan_level(prune: frozenset[str], inline_files: int, dirs_acc, deferred_acc):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[tuple] = []
+        n_dirs = n_deferred = 0
         for pdf in batches:
             for path, chain in zip(pdf["path"], pdf["chain"]):
                 chain_list = list(chain) if chain is not None else []
                 for row in _list_dir(local_fs_path(path), chain_list, prune, inline_files):
+                    n_dirs += row[7]
+                    n_deferred += row[9]
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
                         yield _frame(buf)
                         buf = []
         if buf:
             yield _frame(buf)
+        dirs_acc.add(n_dirs)
+        deferred_acc.add(n_deferred)
     return run
 
 
@@ -160,14 +165,20 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
     n_dirs = 1
     levels: list[DataFrame] = []
     depth = 0
+    sc = spark.sparkContext
     while n_dirs > 0:
-        parts = min(max(1, math.ceil(n_dirs / dirs_per_task)), floor * 64)
-        listed = frontier.repartition(parts, "path").mapInPandas(_scan_level(prune_set, inline_files),
-                                                                 LEVEL_SCHEMA)
+        # dirs_per_task directories a task, but never fewer tasks than cores
+        # while there are directories to spread
+        parts = min(max(math.ceil(n_dirs / dirs_per_task), min(n_dirs, floor)), floor * 64)
+        spread = frontier.repartition(parts, "path") if parts > 1 else frontier.coalesce(1)
+        # Counts for the next step come back with the listing tasks. A retried
+        # task can only make them larger, which neither ends the walk early
+        # nor skips the stat stage.
+        dirs_acc, deferred_acc = sc.accumulator(0), sc.accumulator(0)
+        listed = spread.mapInPandas(_scan_level(prune_set, inline_files, dirs_acc, deferred_acc),
+                                    LEVEL_SCHEMA)
         level = materialize(spark, listed, f"tree-level{depth}")
-        counts = level.agg(F.count_if(F.col("deferred")).alias("deferred"),
-                           F.count_if(F.col("descend")).alias("dirs")).first()
-        n_deferred, n_dirs = counts["deferred"], counts["dirs"]
+        n_deferred, n_dirs = deferred_acc.value, dirs_acc.value
         if n_deferred:
             deferred = level.filter(F.col("deferred"))
             stat_parts = max(floor, math.ceil(n_deferred / files_per_stat_task))
