@@ -102,6 +102,10 @@ class Report(Mapping):
             self._built[key] = self._factories[key]()
         return self._built[key]
 
+    def __contains__(self, key: object) -> bool:
+        # Mapping's default would build the section to answer
+        return key in self._factories
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._factories)
 

@@ -68,3 +68,12 @@ def test_write_outputs_full(spark, tmp_path):
     assert len(spark.read.text(paths["duplicate_listing_text"]).collect()) == 11
     quick = write_outputs(analyze(inv, QUICK), select_sections(quick=True, txt=True), str(tmp_path / "q"))
     assert set(quick) == {"summary_text"}
+
+
+def test_report_is_lazy(spark):
+    inv = corpus_inventory(spark, SF001)
+    report = analyze(inv, FULL)
+    assert "duplicate_listing" in report and "nothing" not in report
+    assert report._built == {}
+    report["summary"]
+    assert set(report._built) == {"summary"}
