@@ -41,6 +41,11 @@ def scan_summary(inv: DataFrame) -> DataFrame:
     )
 
 
+def skipped_items(inv: DataFrame) -> DataFrame:
+    """(path, error): everything the listing could not read."""
+    return inv.filter(F.col("kind") == KIND_SKIPPED).select("path", "error")
+
+
 def extension_counts(inv: DataFrame) -> DataFrame:
     """(extension, n): files per extension; no extension is ``No extension``."""
     return (files_only(inv)

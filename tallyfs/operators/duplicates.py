@@ -249,10 +249,12 @@ def duplicate_groups(inv: DataFrame, reader: ContentReader | None = None) -> Dat
 
 
 def duplicate_summary(groups: DataFrame) -> DataFrame:
-    """One row: groups, duplicate_files, duplicate_bytes (all copies) and
-    wasted_bytes (all copies but one). Zero, not null, when there are none."""
+    """One row: groups, has_duplicates, duplicate_files, duplicate_bytes (all
+    copies) and wasted_bytes (all copies but one). Zero, not null, when there
+    are none."""
     return groups.agg(
         F.count(F.lit(1)).alias("groups"),
+        (F.count(F.lit(1)) > 0).alias("has_duplicates"),
         F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("duplicate_files"),
         F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)).cast("long").alias("duplicate_bytes"),
         F.coalesce(F.sum(F.col("size") * (F.col("copies") - 1)), F.lit(0)).cast("long").alias("wasted_bytes"),

@@ -126,7 +126,8 @@ def _with(*ctes: str) -> str:
 EXT_COUNTS = f"select {sql_label('extension')} as extension, count(*) as n from f group by 1"
 CAT_SIZES = (f"select {sql_category('extension')} as category, "
              f"cast(coalesce(sum(size), 0) as bigint) as bytes, count(*) as n from f group by 1")
-DUP_SUMMARY = ("select count(*) as groups, cast(coalesce(sum(copies), 0) as bigint) as duplicate_files, "
+DUP_SUMMARY = ("select count(*) as groups, count(*) > 0 as has_duplicates, "
+               "cast(coalesce(sum(copies), 0) as bigint) as duplicate_files, "
                "cast(coalesce(sum(size * copies), 0) as bigint) as duplicate_bytes, "
                "cast(coalesce(sum(size * (copies - 1)), 0) as bigint) as wasted_bytes from g")
 

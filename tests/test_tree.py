@@ -60,7 +60,8 @@ def test_testdir_duplicates(spark, testdir):
     inv = scan_tree(spark, testdir).inventory
     res = dup.find_duplicates(inv, dup.PathReader())
     s = dup.duplicate_summary(res.groups).first().asDict()
-    assert s == {"groups": 3, "duplicate_files": 15, "duplicate_bytes": 89, "wasted_bytes": 58}
+    assert s == {"groups": 3, "has_duplicates": True, "duplicate_files": 15, "duplicate_bytes": 89,
+                 "wasted_bytes": 58}
     rec = dup.reclaimable_files(res).agg(F.sum("size")).first()[0]
     assert rec == 58
     listing = dup.duplicate_listing(res).collect()
@@ -134,6 +135,7 @@ def test_edges_listing(spark, edges):
     assert [os.path.basename(e["path"]) for e in scan.archive_errors.collect()] == ["fake.zip"]
     s = agg.scan_summary(scan.inventory).first()
     assert s["skipped"] == 1
+    assert [os.path.basename(x["path"]) for x in agg.skipped_items(scan.inventory).collect()] == ["broken_link"]
 
 
 def test_edges_duplicates(spark, edges):
