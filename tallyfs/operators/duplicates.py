@@ -164,9 +164,10 @@ class DuplicateResult:
     hash_errors: DataFrame     # (path, size, error)
 
 
-def _shared_sizes(rows: DataFrame) -> DataFrame:
-    return (rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") >= 2).select("size"))
+def _shared_sizes(rows: DataFrame, with_counts: bool = False) -> DataFrame:
+    keys = (rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= 2))
+    return keys if with_counts else keys.select("size")
 
 
 def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
@@ -190,12 +191,16 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
     if isinstance(reader, PathReader):
         from tallyfs.sources.readers import full_hash_files, quick_hash_files
 
-        size_keys = keep(_shared_sizes(elig.select("size")), "size_keys")
+        sized = keep(_shared_sizes(elig.select("size"), with_counts=True), "size_keys")
+        size_keys = sized.select("size")
         cands = elig.select("path", "size", "mtime").join(size_keys, "size", "left_semi")
         cached = read_hash_cache(spark, reader.cache) if reader.cache else None
         if cached is None:
+            # the candidate count comes from the small size table, so the
+            # semi join runs once, inside the hashing job
+            n_cands = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             hashed = quick_hash_files(cands.select("path", "size"), reader.prefix_bytes, reader.files_per_task,
-                                      reader.io_threads)
+                                      reader.io_threads, n_rows=int(n_cands))
         else:
             key = ["path", "size", "mtime"]
             hits = (cands.join(cached, key)
@@ -223,8 +228,11 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
     if isinstance(reader, PathReader):
         # Written once: groups, members and errors all read it, and whole
         # files must not be read again for each of them.
+        # bytes still to read whole, from the small quick-group table
+        to_read = (quick_groups.filter(F.col("size") > reader.prefix_bytes)
+                   .agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0])
         full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
-                                    reader.io_threads), "full")
+                                    reader.io_threads, total_bytes=int(to_read)), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
     else:
         # Every eligible file already has its full hash. Files with equal full

@@ -111,7 +111,8 @@ def _partitions(n: int, per_task: float, floor: int) -> int:
     return max(floor, int(math.ceil(n / max(per_task, 1))))
 
 
-def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads: int = 4) -> DataFrame:
+def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads: int = 4,
+                     n_rows: int | None = None) -> DataFrame:
     """(path, size) -> (path, size, quick_hash, full_hash, error).
 
     Reading 8 KB costs about the same for every file, so tasks are balanced
@@ -119,14 +120,14 @@ def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads
     """
     spark = cands.sparkSession
     floor = spark.sparkContext.defaultParallelism
-    n = cands.count()
+    n = cands.count() if n_rows is None else n_rows
     ship_package(spark)
     spread = cands.repartition(_partitions(n, files_per_task, floor), "path")
     return spread.mapInPandas(_quick_batches(prefix, threads), HASH_SCHEMA)
 
 
 def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int,
-                    threads: int = 4) -> DataFrame:
+                    threads: int = 4, total_bytes: int | None = None) -> DataFrame:
     """Fill ``full_hash`` for rows that lack it by streaming the whole file.
 
     Tasks are sized by bytes: the number of partitions is the survivors' total
@@ -136,7 +137,8 @@ def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int,
     spark = survivors.sparkSession
     floor = spark.sparkContext.defaultParallelism
     todo = survivors.select("path", "size", "quick_hash", "full_hash", "error")
-    total = todo.filter(F.col("full_hash").isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total = total_bytes if total_bytes is not None else \
+        todo.filter(F.col("full_hash").isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ship_package(spark)
     spread = todo.repartition(_partitions(int(total), target_task_bytes, floor), "path")
     return spread.mapInPandas(_full_batches(threads), HASH_SCHEMA)
