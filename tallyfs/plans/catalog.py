@@ -182,6 +182,10 @@ def q_doc_tree_duplicates(spark, sf_dir):
     return doc_tree.doc_tree_duplicates(spark, sf_dir)
 
 
+def q_doc_tree_archive_errors(spark, sf_dir):
+    return doc_tree.doc_tree_archive_errors(spark, sf_dir)
+
+
 def q_doc_tree_listing(spark, sf_dir):
     return doc_tree.doc_tree_listing(spark, sf_dir)
 
@@ -239,6 +243,7 @@ QUERIES: dict[str, Query] = {
     "doc_tree_files": q_doc_tree_files,
     "doc_tree_duplicates": q_doc_tree_duplicates,
     "doc_tree_listing": q_doc_tree_listing,
+    "doc_tree_archive_errors": q_doc_tree_archive_errors,
     "tree_inventory": q_tree_inventory,
     "tree_summary": q_tree_summary,
     "tree_duplicate_summary": q_tree_duplicate_summary,

@@ -70,6 +70,12 @@ def doc_tree_inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str
     return scan_tree(spark, root).inventory, root
 
 
+def doc_tree_archive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path): files named ``*.zip`` that are not archives (read by path)."""
+    root = write_doc_tree(spark, sf_dir)
+    return _as_corpus(scan_tree(spark, root).archive_errors.select("path"), root)
+
+
 def doc_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv, root = doc_tree_inventory(spark, sf_dir)
     return _as_corpus(inv.filter(F.col("kind") == "file").select("path", "name", "size", "extension"), root)

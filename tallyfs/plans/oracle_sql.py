@@ -218,6 +218,7 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
         "select n.group_no, n.full_hash, n.size, e.path from telig e join "
         "(select full_hash, size, row_number() over (order by size desc, full_hash) as group_no from tg) n "
         "on sha256(e.content) = n.full_hash and e.size = n.size"),
+    "doc_tree_archive_errors": _with(CORPUS) + "select replace(path, '!/', '/') as path from f where extension = 'zip'",
     "tree_inventory": ("select 'file' as kind, regexp_extract(filename, '([^/]*)$', 1) as name, "
                        "cast(size as bigint) as size, 'parquet' as extension from " + TREE),
     "tree_summary": ("select count(*) as files, cast(0 as bigint) as folders, "
