@@ -94,13 +94,13 @@ def folder_rows(files: DataFrame, root: str | None = None, sep: str = "/") -> Da
         depth0 = len(root.split(sep))
     else:
         depth0 = 1
-    parts = F.split(F.col("dir"), _re_escape(sep))
-    n = F.size(parts)
-    prefixes = F.when(
-        n > depth0,
-        F.transform(F.sequence(F.lit(depth0 + 1), n), lambda k: F.array_join(F.slice(parts, 1, k), sep)),
-    ).otherwise(F.array().cast("array<string>"))
-    dirs = parents.select(F.explode(prefixes).alias("path")).distinct()
+    esc = _re_escape(sep).replace("\\", "\\\\").replace("'", "\\'")
+    lit_sep = sep.replace("\\", "\\\\").replace("'", "\\'")
+    parts = f"split(dir, '{esc}')"
+    dirs = (parents.filter(F.expr(f"size({parts}) > {depth0}"))
+            .selectExpr(f"explode(transform(sequence({depth0 + 1}, size({parts})), "
+                        f"k -> array_join(slice({parts}, 1, k), '{lit_sep}'))) as path")
+            .distinct())
     return dirs.select(
         F.lit(KIND_DIR).alias("kind"),
         F.col("path"),
