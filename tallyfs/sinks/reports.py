@@ -76,11 +76,12 @@ def write_text_listing(listing: DataFrame, base: str, scan_id: str) -> str:
 
 def write_text_summary(rows: DataFrame, base: str, scan_id: str) -> str:
     """Summary rows as text lines ``<section>\t<key> -> <value or size text>``,
-    ordered by section and value (small: totals, top-k, categories)."""
+    ordered by section and value. Usually a few dozen rows, but with all
+    extensions one per extension, so the write stays a distributed sort."""
     path = section_path(base, "summary_text", scan_id)
     shown = F.coalesce(F.col("size_text"), F.col("value").cast("string"))
     lines = (rows.orderBy("section", F.col("value").desc(), "key")
              .select(F.concat_ws("\t", F.col("section"),
                                  F.concat_ws(" -> ", F.col("key"), shown)).alias("value")))
-    lines.coalesce(1).write.mode("errorifexists").text(path)
+    lines.write.mode("errorifexists").text(path)
     return path
