@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import category_of, extension_label, size_text
+from tallyfs.plans.materialize import bounded_broadcast
 from tallyfs.schema import (
     KIND_DIR,
     KIND_FILE,
@@ -77,8 +78,7 @@ def with_category(inv: DataFrame, dimension: DataFrame | None = None,
         return inv.withColumn("category", category_of("extension"))
     dim = (dimension.groupBy(F.lower(F.col("extension")).alias("_dim_ext"))
            .agg(F.min("category").alias("_dim_cat")))
-    if dim.count() <= broadcast_limit:
-        dim = F.broadcast(dim)
+    dim, _ = bounded_broadcast(dim, broadcast_limit)
     joined = inv.join(dim, inv["extension"] == dim["_dim_ext"], "left")
     return joined.withColumn(
         "category",
