@@ -297,3 +297,17 @@ def test_fifo_named_zip_is_an_archive_error(spark, tmp_path):
     scan = scan_tree(spark, r)
     assert [os.path.basename(x["path"]) for x in scan.inventory.collect()] == ["a.txt"]
     assert [os.path.basename(e["path"]) for e in scan.archive_errors.collect()] == ["trap.zip"]
+
+
+def test_zip_with_undecodable_name_is_an_error_row(spark, tmp_path):
+    r = str(tmp_path / "badname")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
+        zf.writestr("cafe.txt", b"x")          # ASCII name: no UTF-8 flag is set
+    raw = buf.getvalue().replace(b"cafe.txt", b"caf\xe9.txt")  # Latin-1 byte, not UTF-8
+    _write(f"{r}/names.zip", raw)
+    _write(f"{r}/ok.txt", b"ok")
+    scan = scan_tree(spark, r)
+    assert [os.path.basename(x["path"]) for x in scan.inventory.collect()] == ["ok.txt"]
+    errs = scan.archive_errors.collect()
+    assert len(errs) == 1 and "UnicodeDecodeError" in errs[0]["error"]
