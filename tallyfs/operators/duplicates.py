@@ -189,7 +189,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         return materialize(spark, df, name) if materialize_stages else df
 
     if isinstance(reader, PathReader):
-        from tallyfs.sources.readers import full_hash_files, quick_hash_files
+        from tallyfs.sources.readers import HASH_SCHEMA, full_hash_files, quick_hash_files
 
         sized = keep(_shared_sizes(elig.select("size"), with_counts=True), "size_keys")
         size_keys = sized.select("size")
@@ -198,9 +198,13 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         if cached is None:
             # the candidate count comes from the small size table, so the
             # semi join runs once, inside the hashing job
-            n_cands = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            hashed = quick_hash_files(cands.select("path", "size"), reader.prefix_bytes, reader.files_per_task,
-                                      reader.io_threads, n_rows=int(n_cands))
+            n_cands = int(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+            if n_cands == 0:
+                hashed = spark.createDataFrame([], HASH_SCHEMA)
+            else:
+                hashed = keep(quick_hash_files(cands.select("path", "size"), reader.prefix_bytes,
+                                               reader.files_per_task, reader.io_threads, n_rows=n_cands),
+                              "hashed")
         else:
             key = ["path", "size", "mtime"]
             hits = (cands.join(cached, key)
@@ -209,9 +213,9 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                     .select("path", "size", "quick_hash", "full_hash",
                             F.lit(None).cast("string").alias("error")))
             misses = cands.join(cached, key, "left_anti").select("path", "size")
-            hashed = hits.unionByName(
-                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads))
-        hashed = keep(hashed, "hashed")
+            hashed = keep(hits.unionByName(
+                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads)),
+                "hashed")
     else:
         if isinstance(reader, ColumnReader):
             rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
@@ -228,11 +232,17 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
     if isinstance(reader, PathReader):
         # Written once: groups, members and errors all read it, and whole
         # files must not be read again for each of them.
-        # bytes still to read whole, from the small quick-group table
-        to_read = (quick_groups.filter(F.col("size") > reader.prefix_bytes)
-                   .agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0])
-        full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
-                                    reader.io_threads, total_bytes=int(to_read)), "full")
+        # survivors and bytes still to read whole, from the small quick-group table
+        todo = quick_groups.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
+            F.coalesce(F.sum(F.when(F.col("size") > reader.prefix_bytes, F.col("size") * F.col("n"))),
+                       F.lit(0)).alias("bytes")).first()
+        if todo["files"] == 0:
+            full = spark.createDataFrame([], HASH_SCHEMA)
+        else:
+            full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
+                                        reader.io_threads, total_bytes=int(todo["bytes"]),
+                                        n_rows=int(todo["files"])), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
     else:
         # Every eligible file already has its full hash. Files with equal full

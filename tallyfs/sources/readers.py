@@ -107,8 +107,10 @@ def _full_batches(threads: int):
     return run
 
 
-def _partitions(n: int, per_task: float, floor: int) -> int:
-    return max(floor, int(math.ceil(n / max(per_task, 1))))
+def _partitions(n: int, per_task: float, floor: int, rows: int | None = None) -> int:
+    """``n / per_task`` tasks, at least one per core, never more than rows."""
+    parts = max(floor, int(math.ceil(n / max(per_task, 1))))
+    return max(1, min(parts, rows)) if rows is not None else parts
 
 
 def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads: int = 4,
@@ -122,12 +124,13 @@ def quick_hash_files(cands: DataFrame, prefix: int, files_per_task: int, threads
     floor = spark.sparkContext.defaultParallelism
     n = cands.count() if n_rows is None else n_rows
     ship_package(spark)
-    spread = cands.repartition(_partitions(n, files_per_task, floor), "path")
+    spread = cands.repartition(_partitions(n, files_per_task, floor, rows=n), "path")
     return spread.mapInPandas(_quick_batches(prefix, threads), HASH_SCHEMA)
 
 
 def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int,
-                    threads: int = 4, total_bytes: int | None = None) -> DataFrame:
+                    threads: int = 4, total_bytes: int | None = None,
+                    n_rows: int | None = None) -> DataFrame:
     """Fill ``full_hash`` for rows that lack it by streaming the whole file.
 
     Tasks are sized by bytes: the number of partitions is the survivors' total
@@ -140,5 +143,5 @@ def full_hash_files(survivors: DataFrame, prefix: int, target_task_bytes: int,
     total = total_bytes if total_bytes is not None else \
         todo.filter(F.col("full_hash").isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ship_package(spark)
-    spread = todo.repartition(_partitions(int(total), target_task_bytes, floor), "path")
+    spread = todo.repartition(_partitions(int(total), target_task_bytes, floor, rows=n_rows), "path")
     return spread.mapInPandas(_full_batches(threads), HASH_SCHEMA)

@@ -311,3 +311,19 @@ def test_zip_with_undecodable_name_is_an_error_row(spark, tmp_path):
     assert [os.path.basename(x["path"]) for x in scan.inventory.collect()] == ["ok.txt"]
     errs = scan.archive_errors.collect()
     assert len(errs) == 1 and "UnicodeDecodeError" in errs[0]["error"]
+
+
+def test_empty_tree(spark, tmp_path):
+    r = str(tmp_path / "empty_root")
+    os.makedirs(r)
+    inv = scan_tree(spark, r).inventory
+    assert agg.scan_summary(inv).first().asDict() == {"files": 0, "folders": 0, "bytes": 0, "skipped": 0}
+    assert agg.largest_files(inv).count() == 0 and agg.top_extensions(inv).count() == 0
+    res = dup.find_duplicates(inv, dup.PathReader())
+    assert dup.duplicate_summary(res.groups).first().asDict() == {
+        "groups": 0, "has_duplicates": False, "duplicate_files": 0, "duplicate_bytes": 0, "wasted_bytes": 0}
+    from tallyfs.plans.analyze import summary_rows
+    rows = summary_rows(analyze(inv)).collect()
+    assert {(x["section"], x["key"]) for x in rows} == {
+        ("summary", "files"), ("summary", "folders"), ("summary", "bytes"), ("summary", "skipped"),
+        ("duplicates", "groups"), ("duplicates", "duplicate_bytes"), ("duplicates", "wasted_bytes")}
