@@ -107,9 +107,15 @@ def _full_batches(threads: int):
     return run
 
 
+# Most tasks a hash stage gets per core: beyond it tasks take more files each
+# instead (millions of reduce partitions would bloat every shuffle index).
+MAX_TASKS_PER_CORE = 64
+
+
 def _partitions(n: int, per_task: float, floor: int, rows: int | None = None) -> int:
-    """``n / per_task`` tasks, at least one per core, never more than rows."""
-    parts = max(floor, int(math.ceil(n / max(per_task, 1))))
+    """``n / per_task`` tasks, at least one and at most 64 per core, never
+    more than rows."""
+    parts = min(max(floor, int(math.ceil(n / max(per_task, 1)))), floor * MAX_TASKS_PER_CORE)
     return max(1, min(parts, rows)) if rows is not None else parts
 
 
