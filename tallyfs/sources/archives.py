@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallyfs.functions.columns import is_archive
 from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
 from tallyfs.session import ship_package
-from tallyfs.sources.readers import open_regular
+from tallyfs.sources.readers import MAX_TASKS_PER_CORE, open_regular
 
 KIND_ARCHIVE_ERROR = "archive_error"
 ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
@@ -118,7 +118,8 @@ def list_archives(archives: DataFrame, content: str | None = None,
     if content is None:
         n = src.count()
         floor = archives.sparkSession.sparkContext.defaultParallelism
-        src = src.repartition(max(floor, -(-n // archives_per_task)), "path")
+        parts = min(max(floor, -(-n // archives_per_task)), floor * MAX_TASKS_PER_CORE)
+        src = src.repartition(max(1, min(parts, n)), "path")
     ship_package(archives.sparkSession)
     listed = src.mapInPandas(_list_batches(content), ENTRY_SCHEMA)
     return listed.select(

@@ -181,7 +181,7 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
         n_deferred, n_dirs = deferred_acc.value, dirs_acc.value
         if n_deferred:
             deferred = level.filter(F.col("deferred"))
-            stat_parts = max(floor, math.ceil(n_deferred / files_per_stat_task))
+            stat_parts = min(max(floor, math.ceil(n_deferred / files_per_stat_task)), floor * 64)
             stats = deferred.select("path", "name").repartition(stat_parts, "path") \
                 .mapInPandas(_stat_deferred, LEVEL_SCHEMA)
             stats = materialize(spark, stats, f"tree-level{depth}-stat")
