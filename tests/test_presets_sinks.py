@@ -77,3 +77,15 @@ def test_report_is_lazy(spark):
     assert report._built == {}
     report["summary"]
     assert set(report._built) == {"summary"}
+
+
+def test_write_report_parquet_round_trip(spark, tmp_path):
+    inv = corpus_inventory(spark, SF001)
+    report = analyze(inv, FULL)
+    paths = write_report(report, str(tmp_path / "pq"), new_scan_id(),
+                         names=("duplicate_groups", "duplicate_listing", "categories"))
+    assert set(paths) == {"duplicate_groups", "duplicate_listing", "categories"}
+    back = spark.read.parquet(paths["duplicate_listing"])
+    assert back.count() == 11 and "size_text" in back.columns
+    assert spark.read.parquet(paths["categories"]).agg({"bytes": "sum"}).first()[0] == 495892
+    assert "/scan_id=" in paths["categories"]
