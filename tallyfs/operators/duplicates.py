@@ -304,31 +304,69 @@ def number_groups(groups: DataFrame) -> tuple[DataFrame, int]:
     return numbered, n_groups
 
 
-def duplicate_listing(result: DuplicateResult) -> DataFrame:
+# A group with more members than this is "hot": joining its files back to its
+# group row is spread over SALT_BUCKETS tasks by a hash of the path, whether
+# or not AQE's skew handling is on. Hot groups number at most
+# files / HOT_COPIES, so their keys are a small, bounded broadcast.
+HOT_COPIES = 1_000_000
+SALT_BUCKETS = 64
+
+
+def join_to_groups(files: DataFrame, groups: DataFrame, hot_copies: int = HOT_COPIES,
+                   buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Inner join of member rows ``files`` to per-group rows ``groups`` on
+    (full_hash, size); ``groups`` carries ``copies``.
+
+    Non-hot groups join on the key alone. Members of a hot group get a salt
+    from a hash of their path and the group row is repeated once per salt, so
+    no task receives all members of one group.
+    """
+    key = ["full_hash", "size"]
+    hot = groups.filter(F.col("copies") > hot_copies).select(*key).withColumn("_hot", F.lit(True))
+    n_hot = hot.limit(DEFAULT_BROADCAST_KEYS + 1).count()
+    if n_hot == 0:
+        return files.join(groups, key)
+    if n_hot <= DEFAULT_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    salted_files = (files.join(hot, key, "left")
+                    .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(buckets)))
+                                .otherwise(F.lit(0)).cast("int"))
+                    .drop("_hot"))
+    salted_groups = (groups.join(hot, key, "left")
+                     .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
+                                                    .otherwise(F.array(F.lit(0)))))
+                     .drop("_hot"))
+    return salted_files.join(salted_groups, key + ["_salt"]).drop("_salt")
+
+
+def duplicate_listing(result: DuplicateResult, hot_copies: int = HOT_COPIES) -> DataFrame:
     """(group_no, full_hash, size, path): every file of every group, groups
     numbered by (size desc, full_hash).
 
     The numbered groups are broadcast to the files only when there are at
     most ``DEFAULT_BROADCAST_KEYS`` of them; otherwise both sides shuffle on
-    (full_hash, size) and AQE splits a group that holds a large share of
-    the files.
+    (full_hash, size), with hot groups salted (:func:`join_to_groups`).
     """
     numbered, n_groups = number_groups(result.groups)
-    keys = numbered.select("group_no", "full_hash", "size")
+    keys = numbered.select("group_no", "full_hash", "size", "copies")
     if n_groups <= DEFAULT_BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return result.files.join(keys, ["full_hash", "size"]).select("group_no", "full_hash", "size", "path")
+        joined = result.files.join(F.broadcast(keys), ["full_hash", "size"])
+    else:
+        joined = join_to_groups(result.files, keys, hot_copies)
+    return joined.select("group_no", "full_hash", "size", "path")
 
 
-def reclaimable_files(result: DuplicateResult) -> DataFrame:
+def reclaimable_files(result: DuplicateResult, hot_copies: int = HOT_COPIES) -> DataFrame:
     """(full_hash, size, path): the copies whose bytes are wasted — every member
     but the smallest path of each group. Its total size is the wasted bytes.
 
     The keeper is a min() aggregate (partial aggregation handles a huge group)
-    joined back, instead of a window that would put a whole group in one task.
+    joined back with hot groups salted, instead of a window that would put a
+    whole group in one task.
     """
-    keepers = result.files.groupBy("full_hash", "size").agg(F.min("path").alias("_keep"))
-    return (result.files.join(keepers, ["full_hash", "size"])
+    keepers = result.files.groupBy("full_hash", "size").agg(
+        F.min("path").alias("_keep"), F.count(F.lit(1)).alias("copies"))
+    return (join_to_groups(result.files, keepers, hot_copies)
             .filter(F.col("path") != F.col("_keep"))
             .select("full_hash", "size", "path"))
 

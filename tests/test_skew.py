@@ -30,3 +30,11 @@ def test_hot_group(spark):
     listing = dup.duplicate_listing(res)
     assert listing.count() == sum(n for _, _, n in want)
     assert listing.select("group_no").distinct().count() == len(want)
+    # with the hot-group threshold below the empty group's 1,000 members the
+    # salted joins run, and give the same rows
+    salted_rec = sorted(map(tuple, dup.reclaimable_files(res, hot_copies=100).collect()))
+    assert salted_rec == sorted(map(tuple, dup.reclaimable_files(res).collect()))
+    groups = res.groups.withColumn("payload", res.groups["copies"] * 2)
+    joined = dup.join_to_groups(res.files, groups, hot_copies=100, buckets=8)
+    assert joined.count() == sum(n for _, _, n in want)
+    assert joined.filter("payload != copies * 2").count() == 0
