@@ -230,9 +230,10 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                     .filter(F.col("n") >= 2))
     survivors = ok.join(quick_groups.select("size", "quick_hash"), ["size", "quick_hash"], "left_semi")
     if isinstance(reader, PathReader):
-        # Written once: groups, members and errors all read it, and whole
-        # files must not be read again for each of them.
-        # survivors and bytes still to read whole, from the small quick-group table
+        # Survivors and bytes still to read whole come from the small
+        # quick-group table. The full hashes are written once: groups,
+        # members and errors all read them, and whole files must not be read
+        # again for each of them.
         todo = quick_groups.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
             F.coalesce(F.sum(F.when(F.col("size") > reader.prefix_bytes, F.col("size") * F.col("n"))),
