@@ -14,6 +14,7 @@ hold millions of paths.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,13 @@ from tallyfs.schema import QUICK_HASH_BYTES
 # beyond it the join shuffles narrow rows and AQE splits skew.
 DEFAULT_BROADCAST_KEYS = 500_000
 
+# A key (size, hash or group) with more members than this is "hot": joining
+# its members to its key row is spread over SALT_BUCKETS tasks by a hash of
+# the path, whether or not AQE's skew handling is on. Hot keys number at most
+# rows / HOT_COPIES, so they are a small, bounded broadcast.
+HOT_COPIES = 1_000_000
+SALT_BUCKETS = 64
+
 
 def eligible_files(inv: DataFrame) -> DataFrame:
     """Files that take part in duplicate detection (known size, not from an
@@ -56,9 +64,9 @@ def size_groups(inv: DataFrame) -> DataFrame:
 def candidates(inv: DataFrame) -> DataFrame:
     """(path, size): eligible files whose size is seen at least twice among
     *all* files — the set handed to the quick hash, counted the reference's
-    way (ineligible files still make a size look shared)."""
-    keys = size_groups(inv).select("size")
-    return eligible_files(inv).select("path", "size").join(keys, "size", "left_semi")
+    way (ineligible files still make a size look shared). A size held by a
+    large share of the files is salted (:func:`salted_join`)."""
+    return salted_join(eligible_files(inv).select("path", "size"), size_groups(inv), ["size"], "n", "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -150,18 +158,62 @@ def hash_annotate(inv: DataFrame, reader: ColumnReader | None = None) -> DataFra
 # The funnel
 # ---------------------------------------------------------------------------
 
-@dataclass
 class DuplicateResult:
-    """Lazy outputs of one funnel run (all DataFrames)."""
+    """Outputs of one funnel run (all DataFrames).
 
-    size_keys: DataFrame       # (size) shared by >= 2 eligible files
-    hashed: DataFrame          # path, size, quick_hash, full_hash, error (candidates)
-    quick_groups: DataFrame    # (size, quick_hash, n) with n >= 2
-    survivors: DataFrame       # candidates in a quick group
-    full: DataFrame            # survivors with their full hash
-    groups: DataFrame          # (full_hash, size, copies) with copies >= 2
-    files: DataFrame           # (full_hash, size, path): every member of every group
-    hash_errors: DataFrame     # (path, size, error)
+    ``survivors`` and ``files`` are built on first use: selecting them runs
+    a small job that looks for hot keys (see :func:`salted_join`), which
+    a caller that only wants ``groups`` should not pay for.
+    """
+
+    def __init__(self, size_keys: DataFrame, hashed: DataFrame | Callable[[], DataFrame],
+                 quick_groups: DataFrame, groups: DataFrame, grouped_rows: DataFrame,
+                 full: DataFrame | None = None, survivors: DataFrame | None = None,
+                 full_errors: DataFrame | None = None):
+        self.size_keys = size_keys          # (size) shared by >= 2 eligible files
+        self._hashed = hashed               # candidates, or how to build them
+        self.quick_groups = quick_groups    # (size, quick_hash, n) with n >= 2
+        self.groups = groups                # (full_hash, size, copies) with copies >= 2
+        self._grouped_rows = grouped_rows   # rows with a full hash that groups were built from
+        self._full = full
+        self._survivors = survivors
+        self._full_errors = full_errors
+
+    @property
+    def hashed(self) -> DataFrame:
+        """path, size, quick_hash, full_hash, error of the candidates."""
+        if callable(self._hashed):
+            self._hashed = self._hashed()
+        return self._hashed
+
+    @property
+    def survivors(self) -> DataFrame:
+        """Candidates in a quick group (size and first 8 KB shared)."""
+        if self._survivors is None:
+            ok = self.hashed.filter(F.col("quick_hash").isNotNull())
+            self._survivors = salted_join(ok, self.quick_groups, ["size", "quick_hash"], "n", "left_semi")
+        return self._survivors
+
+    @property
+    def full(self) -> DataFrame:
+        """Survivors with their full hash."""
+        return self._full if self._full is not None else self.survivors
+
+    @property
+    def files(self) -> DataFrame:
+        """(full_hash, size, path): every member of every group."""
+        if getattr(self, "_files", None) is None:
+            self._files = salted_join(self._grouped_rows.select("full_hash", "size", "path"),
+                                      self.groups, ["full_hash", "size"], "copies", "left_semi")
+        return self._files
+
+    @property
+    def hash_errors(self) -> DataFrame:
+        """(path, size, error): files that could not be hashed."""
+        errors = self.hashed.filter(F.col("error").isNotNull()).select("path", "size", "error")
+        if self._full_errors is not None:
+            errors = errors.unionByName(self._full_errors)
+        return errors
 
 
 def _shared_sizes(rows: DataFrame, with_counts: bool = False) -> DataFrame:
@@ -193,7 +245,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
 
         sized = keep(_shared_sizes(elig.select("size"), with_counts=True), "size_keys")
         size_keys = sized.select("size")
-        cands = elig.select("path", "size", "mtime").join(size_keys, "size", "left_semi")
+        cands = salted_join(elig.select("path", "size", "mtime"), sized, ["size"], "n", "left_semi")
         cached = read_hash_cache(spark, reader.cache) if reader.cache else None
         if cached is None:
             # the candidate count comes from the small size table, so the
@@ -216,20 +268,9 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
             hashed = keep(hits.unionByName(
                 quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads)),
                 "hashed")
-    else:
-        if isinstance(reader, ColumnReader):
-            rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
-        else:
-            rows = elig.select("path", "size", "quick_hash", "full_hash",
-                               F.lit(None).cast("string").alias("error"))
-        size_keys = _shared_sizes(rows.select("size"))
-        hashed = rows.join(size_keys, "size", "left_semi")
-
-    ok = hashed.filter(F.col("quick_hash").isNotNull())
-    quick_groups = (ok.groupBy("size", "quick_hash").agg(F.count(F.lit(1)).alias("n"))
-                    .filter(F.col("n") >= 2))
-    survivors = ok.join(quick_groups.select("size", "quick_hash"), ["size", "quick_hash"], "left_semi")
-    if isinstance(reader, PathReader):
+        quick_groups = _quick_groups(hashed)
+        survivors = salted_join(hashed.filter(F.col("quick_hash").isNotNull()), quick_groups,
+                                ["size", "quick_hash"], "n", "left_semi")
         # Survivors and bytes still to read whole come from the small
         # quick-group table. The full hashes are written once: groups,
         # members and errors all read them, and whole files must not be read
@@ -245,21 +286,37 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                                         reader.io_threads, total_bytes=int(todo["bytes"]),
                                         n_rows=int(todo["files"])), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
+        groups = _full_groups(full_ok)
+        full_errors = full.filter(F.col("error").isNotNull()).select("path", "size", "error")
+        return DuplicateResult(size_keys, hashed, quick_groups, groups, full_ok, full=full,
+                               survivors=survivors, full_errors=full_errors)
+
+    if isinstance(reader, ColumnReader):
+        rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
     else:
-        # Every eligible file already has its full hash. Files with equal full
-        # hashes have equal sizes and prefixes, so grouping the hashed rows
-        # directly gives exactly the groups of the survivors, without the two
-        # semi joins (the tier outputs above stay for reporting).
-        full = survivors
-        full_ok = rows.filter(F.col("full_hash").isNotNull())
-    groups = (full_ok.groupBy("full_hash", "size").agg(F.count(F.lit(1)).alias("copies"))
-              .filter(F.col("copies") >= 2))
-    files = (full_ok.select("full_hash", "size", "path")
-             .join(groups.select("full_hash", "size"), ["full_hash", "size"], "left_semi"))
-    errors = hashed.filter(F.col("error").isNotNull()).select("path", "size", "error")
-    if isinstance(reader, PathReader):
-        errors = errors.unionByName(full.filter(F.col("error").isNotNull()).select("path", "size", "error"))
-    return DuplicateResult(size_keys, hashed, quick_groups, survivors, full, groups, files, errors)
+        rows = elig.select("path", "size", "quick_hash", "full_hash",
+                           F.lit(None).cast("string").alias("error"))
+    sized = _shared_sizes(rows.select("size"), with_counts=True)
+    # Every eligible file already has both hashes. Files with equal hashes
+    # have equal sizes (and equal full hashes equal prefixes), so grouping the
+    # hashed rows directly gives exactly the quick groups of the candidates
+    # and the groups of the survivors; the tier semi joins are only built
+    # when their outputs are asked for.
+    full_ok = rows.filter(F.col("full_hash").isNotNull())
+    return DuplicateResult(sized.select("size"),
+                           lambda: salted_join(rows, sized, ["size"], "n", "left_semi"),
+                           _quick_groups(rows), _full_groups(full_ok), full_ok)
+
+
+def _quick_groups(hashed: DataFrame) -> DataFrame:
+    return (hashed.filter(F.col("quick_hash").isNotNull())
+            .groupBy("size", "quick_hash").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= 2))
+
+
+def _full_groups(full_ok: DataFrame) -> DataFrame:
+    return (full_ok.groupBy("full_hash", "size").agg(F.count(F.lit(1)).alias("copies"))
+            .filter(F.col("copies") >= 2))
 
 
 def duplicate_groups(inv: DataFrame, reader: ContentReader | None = None) -> DataFrame:
@@ -305,39 +362,42 @@ def number_groups(groups: DataFrame) -> tuple[DataFrame, int]:
     return numbered, n_groups
 
 
-# A group with more members than this is "hot": joining its files back to its
-# group row is spread over SALT_BUCKETS tasks by a hash of the path, whether
-# or not AQE's skew handling is on. Hot groups number at most
-# files / HOT_COPIES, so their keys are a small, bounded broadcast.
-HOT_COPIES = 1_000_000
-SALT_BUCKETS = 64
-
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count_col: str, how: str = "inner",
+                hot_copies: int = HOT_COPIES, buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Join member ``rows`` (with a ``path``) to per-key rows ``keys`` that
+    carry the member count ``count_col``; ``how`` is ``inner`` (keys' columns
+    come along) or ``left_semi``.
 
-def join_to_groups(files: DataFrame, groups: DataFrame, hot_copies: int = HOT_COPIES,
-                   buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Inner join of member rows ``files`` to per-group rows ``groups`` on
-    (full_hash, size); ``groups`` carries ``copies``.
-
-    Non-hot groups join on the key alone. Members of a hot group get a salt
-    from a hash of their path and the group row is repeated once per salt, so
-    no task receives all members of one group.
+    Keys with more than ``hot_copies`` members are hot: their rows get a salt
+    from a hash of the path and their key row is repeated once per salt, so
+    the members of one key are spread over ``buckets`` tasks, with or without
+    AQE. Other keys join as usual. Hot keys number at most rows/hot_copies;
+    they are broadcast after a size check.
     """
-    key = ["full_hash", "size"]
-    hot = groups.filter(F.col("copies") > hot_copies).select(*key).withColumn("_hot", F.lit(True))
+    right = keys if how == "inner" else keys.select(*on)
+    hot = keys.filter(F.col(count_col) > hot_copies).select(*on).withColumn("_hot", F.lit(True))
     n_hot = hot.limit(DEFAULT_BROADCAST_KEYS + 1).count()
     if n_hot == 0:
-        return files.join(groups, key)
+        return rows.join(right, on, how)
     if n_hot <= DEFAULT_BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    salted_files = (files.join(hot, key, "left")
-                    .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(buckets)))
-                                .otherwise(F.lit(0)).cast("int"))
-                    .drop("_hot"))
-    salted_groups = (groups.join(hot, key, "left")
-                     .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                                                    .otherwise(F.array(F.lit(0)))))
-                     .drop("_hot"))
-    return salted_files.join(salted_groups, key + ["_salt"]).drop("_salt")
+    salted_rows = (rows.join(hot, on, "left")
+                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(buckets)))
+                               .otherwise(F.lit(0)).cast("int"))
+                   .drop("_hot"))
+    salted_keys = (right.join(hot, on, "left")
+                   .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
+                                                  .otherwise(F.array(F.lit(0)))))
+                   .drop("_hot"))
+    return salted_rows.join(salted_keys, on + ["_salt"], how).drop("_salt")
+
+
+def join_to_groups(files: DataFrame, groups: DataFrame, hot_copies: int = HOT_COPIES,
+                   buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Inner join of member rows ``files`` to per-group rows ``groups`` on
+    (full_hash, size); ``groups`` carries ``copies``. Hot groups are salted
+    (:func:`salted_join`)."""
+    return salted_join(files, groups, ["full_hash", "size"], "copies", "inner", hot_copies, buckets)
 
 
 def duplicate_listing(result: DuplicateResult, hot_copies: int = HOT_COPIES) -> DataFrame:

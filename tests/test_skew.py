@@ -38,3 +38,9 @@ def test_hot_group(spark):
     joined = dup.join_to_groups(res.files, groups, hot_copies=100, buckets=8)
     assert joined.count() == sum(n for _, _, n in want)
     assert joined.filter("payload != copies * 2").count() == 0
+    # salted semi joins keep exactly the rows a plain semi join keeps
+    keys = res.groups.select("full_hash", "size", "copies")
+    plain = res.files.join(keys.select("full_hash", "size"), ["full_hash", "size"], "left_semi")
+    salted = dup.salted_join(res.files, keys, ["full_hash", "size"], "copies", "left_semi", hot_copies=100)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert "_salt" not in salted.columns
