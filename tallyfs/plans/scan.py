@@ -35,10 +35,11 @@ def scan_tree(spark: SparkSession, root: str, prune: tuple[str, ...] = (),
     listing = tree_inventory(spark, root, dirs_per_task=dirs_per_task, prune=prune)
     zip_row = (F.col("kind") == KIND_FILE) & is_archive("extension", archive_extensions)
     zips = listing.filter(zip_row)
-    if zips.limit(1).count() == 0:
+    n_zips = zips.count()
+    if n_zips == 0:
         empty = spark.createDataFrame([], "path string, error string")
         return Scan(listing, empty)
-    listed = materialize(spark, list_archives(zips), "archives")
+    listed = materialize(spark, list_archives(zips, n_archives=n_zips), "archives")
     inv = expand_archives(listing, listed=listed, archive_extensions=archive_extensions)
     errors = listed.filter(F.col("kind") == KIND_ARCHIVE_ERROR).select("path", "error")
     return Scan(inv, errors)

@@ -105,7 +105,7 @@ def _list_batches(content_col: str | None):
 
 
 def list_archives(archives: DataFrame, content: str | None = None,
-                  archives_per_task: int = 256) -> DataFrame:
+                  archives_per_task: int = 256, n_archives: int | None = None) -> DataFrame:
     """Entries and error rows of the archives in ``archives`` (rows with a
     ``path``, and a binary ``content`` column for table-backed archives).
 
@@ -116,7 +116,7 @@ def list_archives(archives: DataFrame, content: str | None = None,
     cols = ["path"] + ([content] if content else [])
     src = archives.select(*cols)
     if content is None:
-        n = src.count()
+        n = src.count() if n_archives is None else n_archives
         floor = archives.sparkSession.sparkContext.defaultParallelism
         parts = min(max(floor, -(-n // archives_per_task)), floor * MAX_TASKS_PER_CORE)
         src = src.repartition(max(1, min(parts, n)), "path")
