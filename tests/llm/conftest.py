@@ -1,0 +1 @@
+"""Fixtures of the operator tests; SPARK comes from the parent conftest."""
