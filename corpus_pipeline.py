@@ -2,7 +2,7 @@
 
 quality classifier -> exact dedup -> SimHash near-dedup -> mixing -> encoding.
 Each stage works on all rows its predecessor kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``; the last adds the token ids.
 """
 
 from __future__ import annotations
@@ -10,9 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfs.llm import exact, simhash
-from tallyfs.llm.common import keep_keys, materialize
+from tallyfs.llm import exact, kneser_ney, mixing, sentencepieces, simhash
+from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, keep_keys, materialize, row_key, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose perplexity lies in the range of their language's trusted
+    text (``labels`` with quality 1)."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    judged = kneser_ney.quality(spark, docs, trusted)
+    rejected = materialize(spark, judged.filter("not kept").select(F.col("rk").alias("_rk")).distinct(), "quality_rejects")
+    rejected, _ = bounded_broadcast(rejected, BROADCAST_ROWS)
+    return docs.withColumn("_rk", row_key()).join(rejected, "_rk", "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +36,24 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_keys(docs, simhash.simhash_dedup(spark, docs, shingle=3, max_bits=3).filter("kept").select("rk"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix has it: as many tokens as there are, the
+    entropy of the sources half way to uniform, at most four repetitions."""
+    mixed, _ = mixing.mix(spark, docs, entropy_part=0.5, max_repeats=4.0)
+    return mixing.mixed_rows(mixed, docs.columns).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with their token ids."""
+    return sentencepieces.encode(spark, docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_stage),
     ("simhash_dedup", simhash_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", encoding_stage),
 ]
 
 #: Learned and iterative stages: SQL cannot express them.
@@ -35,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline_{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

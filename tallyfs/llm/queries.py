@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm import exact, simhash
-from tallyfs.llm.common import documents
+from tallyfs.llm import exact, kneser_ney, mixing, sentencepieces, simhash
+from tallyfs.llm.common import documents, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +15,36 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("kept")).alias("kept"), "text_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return kneser_ney.quality(spark, documents(spark, sf_dir), trusted).drop("rk")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(spark, documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    coded = sentencepieces.encode(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    plain = F.translate(F.coalesce("text", F.lit("")), sentencepieces.MARK, " ")
+    return sentencepieces.decode(spark, coded).select(
+        "doc_id", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"), "token_ids")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document's place in the mix."""
+    mixed, _ = mixing.mix(spark, documents(spark, sf_dir))
+    return mixing.mixed_rows(mixed, ["doc_id", "source", "mix_tokens", "mix_place"])
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL = {
