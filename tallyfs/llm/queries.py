@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm import exact, kneser_ney, mixing, sentencepieces, simhash
-from tallyfs.llm.common import documents, table
+from tallyfs.llm import (embeddings, exact, kneser_ney, langid, licenses, lines, mixing, sentencepieces, simhash,
+                         toxicity)
+from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, documents, table
+
+
+def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_dedup(spark, table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("kept")).alias("kept"), "text_sha256")
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(spark, documents(spark, sf_dir)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return kneser_ney.quality(spark, documents(spark, sf_dir), trusted).drop("rk")
@@ -33,18 +42,52 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"), "token_ids")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, deleted lines and runs, and a hash of what is left."""
+    rows = lines.line_dedup(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "n_runs",
+                       F.array_join(F.expr("transform(removed, x -> cast(x as string))"), ",").alias("removed"),
+                       F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document's place in the mix."""
     mixed, _ = mixing.mix(spark, documents(spark, sf_dir))
     return mixing.mixed_rows(mixed, ["doc_id", "source", "mix_tokens", "mix_place"])
 
 
+def _remainder(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows outside the held-out fifth."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_remainder(5) != 0)
+    labels, _ = bounded_broadcast(labels, BROADCAST_ROWS)
+    scored = toxicity.toxicity(spark, docs, docs.join(labels, "doc_id"))
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows outside the held-out quarter."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = langid.identify(spark, docs, docs.filter(_remainder(4) != 2))
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
+
+
 QUERIES = {
+    "op1_embedding": op1_embedding,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license": op3_license,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL = {
