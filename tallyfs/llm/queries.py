@@ -36,16 +36,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    coded = sentencepieces.encode(spark, documents(spark, sf_dir).select("doc_id", "text"))
-    plain = F.translate(F.coalesce("text", F.lit("")), sentencepieces.MARK, " ")
-    return sentencepieces.decode(spark, coded).select(
-        "doc_id", F.size("token_ids").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"), "token_ids")
+    coded = sentencepieces.encode(spark, documents(spark, sf_dir).select("doc_id", "text"), verify=True)
+    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "round_trip", "token_ids")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, deleted lines and runs, and a hash of what is left."""
     rows = lines.line_dedup(spark, documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "n_runs",
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                       F.size("removed").cast("long").alias("n_removed"), F.col("n_runs").cast("long").alias("n_runs"),
                        F.array_join(F.expr("transform(removed, x -> cast(x as string))"), ",").alias("removed"),
                        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
 
@@ -91,9 +90,81 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding": r"""
+        with recursive v as (select vec_id, label, cast(embedding as double[]) e from embeddings),
+             g as (select * from v where label is not null and len(e) > 0
+                   and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                   and len(list_filter(e, lambda x: x <> 0)) > 0),
+             l as (select a.vec_id a, b.vec_id b from g a join g b
+                   on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                   where list_cosine_similarity(a.e, b.e) >= 0.93),
+             r as (select vec_id a, vec_id b from v union select r.a, l.b from r join l on r.b = l.a)
+        select vec_id, (select count(*) from l where l.a = v.vec_id) as n_links,
+               (select min(b) from r where r.a = v.vec_id) as component_id,
+               vec_id = (select min(b) from r where r.a = v.vec_id) as kept
+        from v""",
     "op2_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents),
              g as (select t, min(doc_id) keep_id, count(*) group_size from n group by t)
         select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, sha256(n.t) as text_sha256
         from n join g using (t)""",
+    "op3_license": r"""
+        with t(label, base, notice, p1, at1, p2, at2) as (values
+               ('cc-by', true, 'cc by', 'cc by', 0, null, 0),
+               ('gpl', true, 'general public license', 'general public license', 0, null, 0),
+               ('reserved', true, 'all rights reserved', 'all rights reserved', 0, null, 0),
+               ('apache', false, 'licensed under the apache license version 2 0', 'apache license', 3, null, 0),
+               ('mit', false, 'released under the mit license', 'mit license', 3, null, 0),
+               ('mit', false, 'permission is hereby granted free of charge to any person obtaining a copy of this software',
+                'permission is hereby granted', 0, 'free of charge', 4),
+               ('bsd', false, 'redistribution and use in source and binary forms with or without modification are permitted',
+                'redistribution and use in source and binary forms', 0, null, 0),
+               ('cc-by-nc', false, 'licensed under cc by nc 4 0', 'cc by nc', 2, null, 0),
+               ('cc-by-sa', false, 'licensed under cc by sa 4 0', 'cc by sa', 2, null, 0),
+               ('cc0', false, 'cc0 1 0 universal public domain dedication', 'cc0 1 0', 0, null, 0),
+               ('gnu-gpl', false, 'licensed under the gnu general public license version 3', 'gnu general public license', 3, null, 0),
+               ('lgpl', false, 'gnu lesser general public license', 'lesser general public license', 1, null, 0),
+               ('agpl', false, 'gnu affero general public license', 'affero general public license', 1, null, 0),
+               ('mpl', false, 'mozilla public license version 2 0', 'mozilla public license', 0, null, 0),
+               ('isc', false, 'permission to use copy modify and or distribute this software for any purpose',
+                'permission to use copy modify and or distribute', 0, null, 0),
+               ('unlicense', false, 'this is free and unencumbered software released into the public domain',
+                'free and unencumbered software', 2, 'public domain', 8),
+               ('warranty', false, 'the software is provided as is without warranty of any kind', 'without warranty of any kind', 6, null, 0)),
+             w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from documents),
+             tt as (select *, string_split(notice, ' ') nw, string_split(p1, ' ') w1, coalesce(string_split(p2, ' '), []) w2 from t),
+             c as (select w.*, tt.*, unnest(range(len(words))) i from w join tt on list_contains(words, w1[1])),
+             s as (select *, i - at1 as s0 from c where words[i + 1] = w1[1] and words[i + 1:i + len(w1)] = w1),
+             f as (select doc_id, label, base, s0, len(list_filter(range(len(nw)), lambda k: s0 + k >= 0 and s0 + k < len(words)
+                          and words[greatest(s0 + k, 0) + 1] = nw[k + 1])) / len(nw)::double as share
+                   from s where p2 is null or (s0 + at2 >= 0 and words[greatest(s0 + at2, 0) + 1:s0 + at2 + len(w2)] = w2)),
+             a as (select doc_id, count(*) filter (base) n_base, min(s0) filter (base) first_word, max(s0) filter (base) last_word,
+                   string_agg(distinct label, ',' order by label) filter (base) base_labels,
+                   string_agg(distinct label, ',' order by label) labels, max(share) score from f group by doc_id)
+        select w.doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+        from w left join a using (doc_id)""",
+    "op7_lines": r"""
+        with x as (select doc_id, unnest(string_split(text, chr(10))) raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no
+                   from documents),
+             l as (select *, trim(raw, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) line,
+                   len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) w from x),
+             k as (select *, row_number() over (partition by doc_id order by no) k, sum(w) over (partition by doc_id order by no) cum
+                   from l where w > 0),
+             d as (select doc_id, list(line order by k) ls from k group by doc_id),
+             r as (select a.doc_id, a.k s, b.k e, array_to_string(d.ls[a.k:b.k], chr(10)) body
+                   from k a join k b on a.doc_id = b.doc_id and b.k between a.k and a.k + 3 join d on d.doc_id = a.doc_id
+                   where b.cum - a.cum + a.w >= 4 and (b.cum - b.w - a.cum + a.w < 4 or b.cum - a.cum < 4)),
+             c as (select *, row_number() over (partition by body order by doc_id, s) copy from r),
+             g as (select distinct c.doc_id, k.k, k.no from c join k on k.doc_id = c.doc_id and k.k between c.s and c.e where copy > 1),
+             q as (select doc_id, count(*) n_removed, string_agg(no::varchar, ',' order by no) removed,
+                   count(*) filter (not exists (select 1 from g h where h.doc_id = g.doc_id and h.k = g.k - 1)) n_runs
+                   from g group by doc_id),
+             z as (select l.doc_id, string_agg(raw, chr(10) order by l.no) clean from l left join g on g.doc_id = l.doc_id and g.no = l.no
+                   where g.no is null group by l.doc_id)
+        select documents.doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end as n_lines,
+               coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs, coalesce(removed, '') as removed,
+               sha256(coalesce(clean, '')) as clean_sha256
+        from documents left join q on q.doc_id = documents.doc_id left join z on z.doc_id = documents.doc_id""",
 }

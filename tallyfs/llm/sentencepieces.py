@@ -39,11 +39,13 @@ from tallyfs.llm.common import hot_join, materialize, prepare, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
 #: Matrices combined in one step.
 FAN = 64
 #: Words and pairs that a task remembers.
-CACHE = 300_000
+CACHE = 150_000
+#: Rows that a task encodes before it hands them on.
+SLICE = 500
 BOS = -1
 MINUS_INF = float("-inf")
 MODEL_BYTES = 64 << 20
@@ -337,36 +339,51 @@ def encode_big(spark: SparkSession, big: DataFrame, model, around: int, chunk: i
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda c: c["ids"])).alias("_ids"))
 
 
-def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def _decoded(ids: list[int], table: list[bytes]) -> str:
+    data = b"".join([table[i] for i in ids])
+    return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
+
+def _fields(df: DataFrame) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
+
+
+def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK,
+           verify: bool = False) -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>) added, as the library encodes
-    the text, for texts of any length."""
+    the text, for texts of any length; with ``verify`` also ``round_trip``:
+    whether the ids decode to the text."""
     prepare(spark)
     raw = load_model(model_path)
     around = Pieces(raw).longest
     if chunk < 4 * around:
         raise ValueError(f"chunks need {4 * around} characters at least")
     model = spark.sparkContext.broadcast(raw)
-    docs = docs.drop("token_ids")
+    docs = docs.drop("token_ids", "round_trip")
     names = docs.columns
     keyed = docs.withColumn("_rk", row_key())
     giant = F.coalesce(F.length("text"), F.lit(0)) + 1 > chunk + around
+    at = names.index("text")
+    added = ["token_ids", "round_trip"] if verify else ["token_ids"]
 
     def run(batches):
         pieces = Pieces(model.value)
-        for b in batches:
-            ids, ends = [], [0]
-            for t in b.column(at):
-                t = t.as_py()
-                one = np.array(pieces.whole(MARK + t.replace(" ", MARK)) if t else [], dtype=np.int32)
-                ids.append(one)
-                ends.append(ends[-1] + len(one))
-            col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                           pa.array(np.concatenate(ids) if ids else np.array([], dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "token_ids"])
-
-    at = names.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    small = docs.filter(~giant).mapInArrow(run, f"{fields}, token_ids array<int>")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                ids, ends, same = [], [0], []
+                for t in b.column(at):
+                    t = (t.as_py() or "").replace(" ", MARK)
+                    one = pieces.whole(MARK + t) if t else []
+                    if verify:
+                        same.append(_decoded(one, pieces.out) == t.replace(MARK, " "))
+                    ids.append(np.array(one, dtype=np.int32))
+                    ends.append(ends[-1] + len(one))
+                cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols, *([pa.array(same, pa.bool_())] if verify else [])],
+                                                 names=[*b.schema.names, *added])
+
+    small = docs.filter(~giant).mapInArrow(run, _fields(docs) + "token_ids array<int>" + ", round_trip boolean" * verify)
     big = keyed.filter(giant)
     if big.isEmpty():
         return small
@@ -375,6 +392,9 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
     per_key = materialize(spark, per_key.join(count, "_rk"), "sp_ids")
     salt = big.withColumn("_seq", F.monotonically_increasing_id())
     joined = hot_join(salt, per_key, "_rk", "_n", "_seq").select(*names, F.col("_ids").alias("token_ids"))
+    if verify:
+        joined = decode(spark, joined, model_path, out="round_trip").withColumn(
+            "round_trip", F.col("round_trip") == F.translate("text", MARK, " "))
     return small.unionByName(joined)
 
 
@@ -390,15 +410,10 @@ def decode(spark: SparkSession, rows: DataFrame, model_path: str = MODEL, ids: s
 
     def run(batches):
         table = Pieces(model.value).out
-        for b in batches:
-            texts = []
-            for x in b.column(at):
-                if not x.is_valid:
-                    texts.append(None)
-                    continue
-                data = b"".join([table[i] for i in x.values.to_numpy().tolist()])
-                texts.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{out}` string")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                texts = [_decoded(x.values.to_numpy().tolist(), table) if x.is_valid else None for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+    return rows.mapInArrow(run, _fields(rows) + f"`{out}` string")

@@ -26,11 +26,12 @@ def test_equals_library(spark, monkeypatch, chunk):
     monkeypatch.setattr(sp, "FAN", 3)  # several levels
     rows = [(i, t, "s", 7) for i, t in enumerate(texts())] + [(0, "", None, None), (None, "a b " * 60, "s", 1)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, idx int")
-    got = sp.decode(spark, sp.encode(spark, docs, chunk=chunk)).collect()
+    got = sp.decode(spark, sp.encode(spark, docs, chunk=chunk, verify=True)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.token_ids == (LIB.encode(r.text) if r.text else []), (r.doc_id, r.text[:40])
         assert r.decoded == (r.text or "").replace("▁", " ")
+        assert r.round_trip
         assert r.decoded == LIB.decode(r.token_ids)
 
 
