@@ -14,5 +14,4 @@ from tallyfs.functions.columns import (  # noqa: F401
     quick_sha256_hex,
     sha256_hex,
     size_text,
-    virtual_path,
 )

@@ -73,17 +73,14 @@ def _re_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r"\^$.|?*+()[]{}/" else ch for ch in s)
 
 
-def virtual_path(archive: Column | str, entry: Column | str) -> Column:
-    """``<archive path>!/<entry name>`` for a file inside an archive."""
-    return F.concat(_col(archive), F.lit(ARCHIVE_SEPARATOR), _col(entry))
-
-
 @_memo
-def archive_of(path: Column | str) -> Column:
-    """Archive part of a virtual path, null for a plain path."""
-    p = _col(path)
-    return F.when(F.instr(p, ARCHIVE_SEPARATOR) > 0,
-                  F.substring_index(p, ARCHIVE_SEPARATOR, 1))
+def archive_of(path: Column | str, archive_extensions: tuple[str, ...] = ARCHIVE_EXTENSIONS) -> Column:
+    """Archive part of a virtual path ``<archive>!/<entry>``, null for a plain
+    path. Only a name with an archive's extension makes an archive: a folder
+    may end in ``!`` too."""
+    ends = "|".join(_re_escape(x) for x in archive_extensions)
+    found = F.regexp_extract(_col(path), rf"(?is)^(.*?\.(?:{ends})){_re_escape(ARCHIVE_SEPARATOR)}", 1)
+    return F.when(found != "", found)
 
 
 @_memo

@@ -88,11 +88,13 @@ def with_category(inv: DataFrame, dimension: DataFrame | None = None,
 
 
 def category_sizes(inv: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
-    """(category, bytes, n): bytes and files per category."""
-    return (with_category(files_only(inv), dimension)
+    """(category, bytes, n): bytes and files per category. Files are summed per
+    extension first, so a category join sees one row per extension."""
+    per_ext = (files_only(inv).groupBy("extension")
+               .agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_bytes"), F.count(F.lit(1)).alias("_n")))
+    return (with_category(per_ext, dimension)
             .groupBy("category")
-            .agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"),
-                 F.count(F.lit(1)).alias("n")))
+            .agg(F.sum("_bytes").cast("long").alias("bytes"), F.sum("_n").cast("long").alias("n")))
 
 
 def category_labels(inv: DataFrame) -> DataFrame:

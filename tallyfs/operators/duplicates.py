@@ -26,9 +26,8 @@ from tallyfs.operators.aggregates import files_only
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import QUICK_HASH_BYTES
 
-# Largest number of group keys (64-char hash, size, number: about 100 bytes a
-# row, so about 50 MB) that may be broadcast to join them back to the files;
-# beyond it the join shuffles narrow rows and AQE splits skew.
+# Largest number of hot keys (64-char hash, size: under 100 bytes a row, so
+# under 50 MB) that may be broadcast; beyond it they are joined by a shuffle.
 DEFAULT_BROADCAST_KEYS = 500_000
 
 # A key (size, hash or group) with more members than this is "hot": joining
@@ -65,8 +64,11 @@ def candidates(inv: DataFrame) -> DataFrame:
     """(path, size): eligible files whose size is seen at least twice among
     *all* files — the set handed to the quick hash, counted the reference's
     way (ineligible files still make a size look shared). A size held by a
-    large share of the files is salted (:func:`salted_join`)."""
-    return salted_join(eligible_files(inv).select("path", "size"), size_groups(inv), ["size"], "n", "left_semi")
+    large share of the files is salted (:func:`salted_join`). The inventory is
+    read once, into narrow rows that the sizes and the members both use."""
+    narrow = files_only(inv).filter(F.col("size").isNotNull()).select("kind", "path", "size", hash_eligible().alias("_in"))
+    narrow = materialize(inv.sparkSession, narrow, "sizes")
+    return salted_join(narrow.filter("_in").select("path", "size"), size_groups(narrow), ["size"], "n", "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -100,7 +102,7 @@ class ColumnReader(ContentReader):
         c = F.col(self.content)
         quick = quick_sha256_hex(c, self.prefix_bytes)
         return df.select(
-            "path", "size",
+            "path", "size", F.monotonically_increasing_id().alias("rid"),
             quick.alias("quick_hash"),
             F.when(F.col("size") <= self.prefix_bytes, quick).otherwise(sha256_hex(c)).alias("full_hash"),
             F.when(c.isNull(), F.lit("content missing")).alias("error"),
@@ -151,6 +153,7 @@ def hash_annotate(inv: DataFrame, reader: ColumnReader | None = None) -> DataFra
         F.when(elig, quick).alias("quick_hash"),
         F.when(elig, F.when(F.col("size") <= reader.prefix_bytes, quick).otherwise(sha256_hex(c)))
         .alias("full_hash"),
+        F.monotonically_increasing_id().alias("rid"),
     )
 
 
@@ -174,7 +177,7 @@ class DuplicateResult:
         self._hashed = hashed               # candidates, or how to build them
         self.quick_groups = quick_groups    # (size, quick_hash, n) with n >= 2
         self.groups = groups                # (full_hash, size, copies) with copies >= 2
-        self._grouped_rows = grouped_rows   # rows with a full hash that groups were built from
+        self.grouped_rows = grouped_rows    # rows with a full hash that groups were built from
         self._full = full
         self._survivors = survivors
         self._full_errors = full_errors
@@ -203,7 +206,7 @@ class DuplicateResult:
     def files(self) -> DataFrame:
         """(full_hash, size, path): every member of every group."""
         if getattr(self, "_files", None) is None:
-            self._files = salted_join(self._grouped_rows.select("full_hash", "size", "path"),
+            self._files = salted_join(self.grouped_rows.select("full_hash", "size", "path"),
                                       self.groups, ["full_hash", "size"], "copies", "left_semi")
         return self._files
 
@@ -268,7 +271,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
             hashed = keep(hits.unionByName(
                 quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads)),
                 "hashed")
-        quick_groups = _quick_groups(hashed)
+        quick_groups = _quick_groups(hashed.filter(F.col("quick_hash").isNotNull()))
         survivors = salted_join(hashed.filter(F.col("quick_hash").isNotNull()), quick_groups,
                                 ["size", "quick_hash"], "n", "left_semi")
         # Survivors and bytes still to read whole come from the small
@@ -282,9 +285,12 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         if todo["files"] == 0:
             full = spark.createDataFrame([], HASH_SCHEMA)
         else:
-            full = keep(full_hash_files(survivors, reader.prefix_bytes, reader.target_task_bytes,
-                                        reader.io_threads, total_bytes=int(todo["bytes"]),
-                                        n_rows=int(todo["files"])), "full")
+            # small files have their full hash already: they pass by
+            survivors = keep(survivors, "survivors")
+            whole = full_hash_files(survivors.filter(F.col("full_hash").isNull()), reader.prefix_bytes,
+                                    reader.target_task_bytes, reader.io_threads, total_bytes=int(todo["bytes"]),
+                                    n_rows=int(todo["files"]))
+            full = keep(survivors.filter(F.col("full_hash").isNotNull()).select(*whole.columns).unionByName(whole), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
         groups = _full_groups(full_ok)
         full_errors = full.filter(F.col("error").isNotNull()).select("path", "size", "error")
@@ -292,25 +298,26 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                                survivors=survivors, full_errors=full_errors)
 
     if isinstance(reader, ColumnReader):
+        # rows without content have an error; testing that needs no hash
         rows = keep(reader.hash_rows(elig.select("path", "size", reader.content)), "hashed_all")
+        hashed_ok = rows.filter(F.col("error").isNull())
     else:
-        rows = elig.select("path", "size", "quick_hash", "full_hash",
+        rows = elig.select("path", "size", *[c for c in ("rid",) if c in elig.columns], "quick_hash", "full_hash",
                            F.lit(None).cast("string").alias("error"))
+        hashed_ok = rows.filter(F.col("full_hash").isNotNull())
     sized = _shared_sizes(rows.select("size"), with_counts=True)
     # Every eligible file already has both hashes. Files with equal hashes
     # have equal sizes (and equal full hashes equal prefixes), so grouping the
     # hashed rows directly gives exactly the quick groups of the candidates
     # and the groups of the survivors; the tier semi joins are only built
     # when their outputs are asked for.
-    full_ok = rows.filter(F.col("full_hash").isNotNull())
     return DuplicateResult(sized.select("size"),
                            lambda: salted_join(rows, sized, ["size"], "n", "left_semi"),
-                           _quick_groups(rows), _full_groups(full_ok), full_ok)
+                           _quick_groups(hashed_ok), _full_groups(hashed_ok), hashed_ok)
 
 
-def _quick_groups(hashed: DataFrame) -> DataFrame:
-    return (hashed.filter(F.col("quick_hash").isNotNull())
-            .groupBy("size", "quick_hash").agg(F.count(F.lit(1)).alias("n"))
+def _quick_groups(hashed_ok: DataFrame) -> DataFrame:
+    return (hashed_ok.groupBy("size", "quick_hash").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") >= 2))
 
 
@@ -404,16 +411,12 @@ def duplicate_listing(result: DuplicateResult, hot_copies: int = HOT_COPIES) ->
     """(group_no, full_hash, size, path): every file of every group, groups
     numbered by (size desc, full_hash).
 
-    The numbered groups are broadcast to the files only when there are at
-    most ``DEFAULT_BROADCAST_KEYS`` of them; otherwise both sides shuffle on
-    (full_hash, size), with hot groups salted (:func:`join_to_groups`).
+    One join of the hashed rows with the numbered groups, on (full_hash,
+    size), with hot groups salted (:func:`join_to_groups`).
     """
-    numbered, n_groups = number_groups(result.groups)
+    numbered, _ = number_groups(result.groups)
     keys = numbered.select("group_no", "full_hash", "size", "copies")
-    if n_groups <= DEFAULT_BROADCAST_KEYS:
-        joined = result.files.join(F.broadcast(keys), ["full_hash", "size"])
-    else:
-        joined = join_to_groups(result.files, keys, hot_copies)
+    joined = join_to_groups(result.grouped_rows.select("full_hash", "size", "path"), keys, hot_copies)
     return joined.select("group_no", "full_hash", "size", "path")
 
 
@@ -423,12 +426,17 @@ def reclaimable_files(result: DuplicateResult, hot_copies: int = HOT_COPIES) ->
 
     The keeper is a min() aggregate (partial aggregation handles a huge group)
     joined back with hot groups salted, instead of a window that would put a
-    whole group in one task.
+    whole group in one task. A table may name a path twice; then its rows are
+    told apart by the number that the hashing pass gave them (``rid``).
     """
-    keepers = result.files.groupBy("full_hash", "size").agg(
-        F.min("path").alias("_keep"), F.count(F.lit(1)).alias("copies"))
-    return (join_to_groups(result.files, keepers, hot_copies)
-            .filter(F.col("path") != F.col("_keep"))
+    rows = result.grouped_rows
+    rid = F.col("rid") if "rid" in rows.columns else F.lit(0)
+    rows = rows.select("full_hash", "size", "path", rid.cast("long").alias("_rid"))
+    keepers = rows.groupBy("full_hash", "size").agg(
+        F.min(F.struct("path", "_rid")).alias("_keep"), F.count(F.lit(1)).alias("copies")).filter("copies >= 2")
+    keepers = materialize(rows.sparkSession, keepers, "keepers")
+    return (join_to_groups(rows, keepers, hot_copies)
+            .filter((F.col("path") != F.col("_keep.path")) | (F.col("_rid") != F.col("_keep._rid")))
             .select("full_hash", "size", "path"))
 
 
@@ -437,18 +445,16 @@ def funnel_stats(inv: DataFrame, result: DuplicateResult) -> DataFrame:
 
     Tier 1 counts as the reference does: its input is every file of known
     size, its output the eligible files whose size is shared with any file.
-    Four one-row aggregates are unioned into (measure, value) rows and folded
-    into one row before the three tiers are spelled out.
+    The members of a tier are counted from its groups, so no member is joined;
+    the inventory is read once.
     """
-    stats = size_stats(inv)
+    sizes = size_stats(inv).agg(F.sum("n_all").alias("files"),
+                                F.sum(F.when(F.col("n_all") >= 2, F.col("n_eligible"))).alias("candidates"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("files", "candidates")])
     measures = (
-        stats.agg(F.lit("files").alias("measure"), F.sum("n_all").alias("value"))
-        .unionByName(stats.agg(F.lit("candidates").alias("measure"),
-                               F.sum(F.when(F.col("n_all") >= 2, F.col("n_eligible"))).alias("value")))
-        .unionByName(result.survivors.agg(F.lit("survivors").alias("measure"),
-                                          F.count(F.lit(1)).alias("value")))
-        .unionByName(result.files.agg(F.lit("duplicates").alias("measure"),
-                                      F.count(F.lit(1)).alias("value")))
+        sizes.select(F.inline(pairs))
+        .unionByName(result.quick_groups.agg(F.lit("survivors").alias("measure"), F.sum("n").alias("value")))
+        .unionByName(result.groups.agg(F.lit("duplicates").alias("measure"), F.sum("copies").alias("value")))
     )
 
     def m(name: str):

@@ -1,8 +1,10 @@
 """User-level entry points (I1–I3) and the condensed summary view (H3).
 
-``analyze`` returns a dict of lazy DataFrames, one per requested section; an
-absent key means the section was not requested. Nothing runs until a section
-is shown or written.
+``analyze`` returns a mapping of DataFrames, one per requested section; an
+absent key means the section was not requested. An inventory with content is
+written once as narrow rows when ``analyze`` is called; a section is planned
+when it is first read (duplicate sections then run the funnel) and its own
+result is computed when it is shown or written.
 """
 
 from __future__ import annotations
@@ -48,36 +50,30 @@ class Sections:
     all_extensions: bool = False
 
 
+ANALYSES = frozenset({"extensions", "categories", "largest", "duplicates"})
+REPORTS = frozenset({"text_report", "csv_report"})
+#: What each preset stands for.
+PRESETS = {"full": ANALYSES | REPORTS, "quick": ANALYSES - {"duplicates"}}
+#: Requests that the quick preset rules out.
+NOT_WITH_QUICK = frozenset({"full", "duplicates"})
+
+
 def select_sections(full: bool = False, quick: bool = False, duplicates: bool = False,
                     extensions: bool = False, categories: bool = False, largest: bool = False,
                     txt: bool = False, csv: bool = False, all_extensions: bool = False) -> Sections:
-    """Turn switches into sections, the way the command line combines flags.
-
-    * ``quick`` with ``full`` or with ``duplicates`` is a conflict.
-    * No analyzer switch at all means ``full`` (also when only ``txt``,
-      ``csv`` or ``all_extensions`` is given).
-    * ``full`` runs everything and writes both reports; ``quick`` runs all
-      but duplicates; single switches add to either.
+    """The sections that a set of switches asks for: the union of the chosen
+    presets and the single sections, ``full`` if no analysis is among them.
+    ``quick`` leaves duplicates out, so asking for them beside it is an error.
     """
-    if quick and full:
-        raise ValueError("quick and full cannot be used together")
-    if quick and duplicates:
-        raise ValueError("quick disables duplicate detection, so it conflicts with duplicates")
-    no_analyzer = not (quick or full or duplicates or extensions or categories or largest)
-    s = dict(extensions=False, categories=False, largest=False, duplicates=False,
-             text_report=False, csv_report=False)
-    if full or no_analyzer:
-        s.update(extensions=True, categories=True, largest=True, duplicates=True,
-                 text_report=True, csv_report=True)
-    if quick:
-        s.update(extensions=True, categories=True, largest=True, duplicates=False)
-    s["duplicates"] |= duplicates
-    s["extensions"] |= extensions
-    s["categories"] |= categories
-    s["largest"] |= largest
-    s["text_report"] |= txt
-    s["csv_report"] |= csv
-    return Sections(all_extensions=all_extensions, **s)
+    switches = {"full": full, "quick": quick, "duplicates": duplicates, "extensions": extensions,
+                "categories": categories, "largest": largest, "text_report": txt, "csv_report": csv}
+    asked = {name for name, on in switches.items() if on}
+    if quick and (clash := asked & NOT_WITH_QUICK):
+        raise ValueError(f"a quick run does not look for duplicates; drop quick or {sorted(clash)}")
+    if not asked & (ANALYSES | PRESETS.keys()):
+        asked.add("full")
+    chosen = frozenset().union(*(PRESETS.get(name, {name}) for name in asked))
+    return Sections(all_extensions=all_extensions, **{name: name in chosen for name in ANALYSES | REPORTS})
 
 
 FULL = select_sections(full=True)

@@ -29,6 +29,8 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id")
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+        for source in sorted(set(pdf["source"])):  # directory entries, which are no files
+            zf.writestr(zipfile.ZipInfo(f"{source}/", date_time=_FIXED_TIME), b"")
         for doc_id, source, lang, text in zip(pdf["doc_id"], pdf["source"], pdf["lang"], pdf["text"]):
             info = zipfile.ZipInfo(f"{source}/{lang}/doc_{int(doc_id)}.TXT", date_time=_FIXED_TIME)
             info.compress_type = zipfile.ZIP_DEFLATED

@@ -12,11 +12,13 @@ from tallyfs.functions.columns import category_of, hash_eligible, is_excluded, i
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans import doc_tree
-from tallyfs.plans.analyze import FULL, QUICK, analyze, summary_rows
+from tallyfs.operators.diff import diff_summary, scan_diff
+from tallyfs.plans.analyze import FULL, QUICK, Sections, analyze, summary_rows, write_outputs
 from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
-from tallyfs.plans.corpus import corpus_inventory, url_inventory
-from tallyfs.plans.scan import scan_tree
+from tallyfs.plans.corpus import changed_inventories, corpus_inventory, url_inventory
+from tallyfs.plans.materialize import materialize
 from tallyfs.schema import KIND_DIR
+from tallyfs.session import scratch_path
 from tallyfs.sources import archives as arc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +109,8 @@ def q_candidates(spark, sf_dir):
 
 
 def q_quick_groups(spark, sf_dir):
-    return dup.find_duplicates(_files(spark, sf_dir)).quick_groups
+    # the prefix hash only: nothing is written, the full hash is pruned
+    return dup.find_duplicates(_files(spark, sf_dir), materialize_stages=False).quick_groups
 
 
 def q_duplicate_groups(spark, sf_dir):
@@ -129,8 +132,9 @@ def q_reclaimable_files(spark, sf_dir):
 
 
 def q_funnel_stats(spark, sf_dir):
-    f = _files(spark, sf_dir)
-    return dup.funnel_stats(f, dup.find_duplicates(f))
+    # one pass over the content gives the sizes and the hashes
+    narrow = materialize(spark, dup.hash_annotate(_files(spark, sf_dir)), "hashed")
+    return dup.funnel_stats(narrow, dup.find_duplicates(narrow))
 
 
 def q_summary_rows(spark, sf_dir):
@@ -190,21 +194,73 @@ def q_doc_tree_listing(spark, sf_dir):
     return doc_tree.doc_tree_listing(spark, sf_dir)
 
 
-def _tree(spark, sf_dir):
-    return scan_tree(spark, sf_dir.rstrip("/")).inventory
+# The tree_ queries and the two after them list the documents' tree with broken
+# links and FIFOs in it.
+def _odd(spark, sf_dir):
+    return doc_tree.doc_tree_inventory(spark, sf_dir, odd=True)[0]
 
 
 def q_tree_inventory(spark, sf_dir):
-    return _tree(spark, sf_dir).select("kind", "name", "size", "extension")
+    return _odd(spark, sf_dir).select("kind", "name", "size", "extension")
 
 
 def q_tree_summary(spark, sf_dir):
-    return agg.scan_summary(_tree(spark, sf_dir))
+    return agg.scan_summary(_odd(spark, sf_dir))
 
 
 def q_tree_duplicate_summary(spark, sf_dir):
-    res = dup.find_duplicates(_tree(spark, sf_dir), dup.PathReader())
-    return dup.duplicate_summary(res.groups)
+    return dup.duplicate_summary(doc_tree.doc_tree_duplicates(spark, sf_dir, odd=True))
+
+
+def q_skipped_items(spark, sf_dir):
+    return doc_tree.skipped_items(spark, sf_dir)
+
+
+def q_hash_errors(spark, sf_dir):
+    return doc_tree.hash_errors(spark, sf_dir)
+
+
+def q_cached_groups(spark, sf_dir):
+    return doc_tree.cached_groups(spark, sf_dir)
+
+
+def q_scan_diff(spark, sf_dir):
+    before, after = changed_inventories(spark, sf_dir)
+    return scan_diff(before, after)
+
+
+def q_diff_summary(spark, sf_dir):
+    before, after = changed_inventories(spark, sf_dir)
+    return diff_summary(scan_diff(before, after))
+
+
+def _reported(spark, sf_dir, sections):
+    """The outputs of a full analysis, written below the checkpoint folder."""
+    report = analyze(_inv(spark, sf_dir), FULL)
+    return write_outputs(report, sections, scratch_path(spark, "reports"))
+
+
+def q_report_csv(spark, sf_dir):
+    """The CSV tables, read back."""
+    out = _reported(spark, sf_dir, Sections(csv_report=True))
+    cats = spark.read.csv(out["categories"], header=True, schema="category string, bytes bigint, n bigint, size_text string")
+    exts = spark.read.csv(out["extensions"], header=True, schema="extension string, n bigint")
+    return cats.select(F.lit("categories").alias("section"), F.col("category").alias("key"), "n", "size_text").unionByName(
+        exts.select(F.lit("extensions").alias("section"), F.col("extension").alias("key"), "n",
+                    F.lit(None).cast("string").alias("size_text")))
+
+
+def q_report_text(spark, sf_dir):
+    """The lines of the text summary and of the duplicate listing, read back."""
+    out = _reported(spark, sf_dir, Sections(text_report=True))
+    return spark.read.text([out["summary_text"], out["duplicate_listing_text"]]).select(F.col("value").alias("line"))
+
+
+def q_user_categories(spark, sf_dir):
+    """Category sizes by a caller's own dimension: each source's extension
+    letters, from the documents."""
+    dim = _files(spark, sf_dir).groupBy("extension").agg(F.min("name").alias("category"))
+    return agg.category_sizes(_files(spark, sf_dir), dim.filter("extension not in ('pdf', '')"))
 
 
 QUERIES: dict[str, Query] = {
@@ -244,6 +300,14 @@ QUERIES: dict[str, Query] = {
     "doc_tree_duplicates": q_doc_tree_duplicates,
     "doc_tree_listing": q_doc_tree_listing,
     "doc_tree_archive_errors": q_doc_tree_archive_errors,
+    "skipped_items": q_skipped_items,
+    "hash_errors": q_hash_errors,
+    "cached_groups": q_cached_groups,
+    "scan_diff": q_scan_diff,
+    "diff_summary": q_diff_summary,
+    "report_csv": q_report_csv,
+    "report_text": q_report_text,
+    "user_categories": q_user_categories,
     "tree_inventory": q_tree_inventory,
     "tree_summary": q_tree_summary,
     "tree_duplicate_summary": q_tree_duplicate_summary,

@@ -43,7 +43,8 @@ def corpus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = d.selectExpr(
         "doc_id", "text", "lang", "source",
         f"element_at(array({exts}), cast(doc_id % 16 as int) + 1) as e",
-        "case when doc_id % 10 = 0 then 'node_modules' when doc_id % 10 = 1 then 'Bin' else 'docs' end as dir",
+        "case when doc_id % 10 = 0 then 'node_modules' when doc_id % 10 = 1 then 'Bin' "
+        "when doc_id % 10 = 2 then 'wow!' else 'docs' end as dir",
     ).selectExpr(
         "doc_id", "text", "lang", "source", "dir",
         "concat(case when doc_id % 23 = 0 then '.' else '' end, 'doc_', cast(doc_id as string), "
@@ -62,6 +63,17 @@ def corpus_inventory(spark: SparkSession, sf_dir: str, with_folders: bool = True
                            root=CORPUS_ROOT, with_folders=with_folders)
 
 
+def changed_inventories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(before, after): the corpus, and the corpus with documents removed
+    (remainder 3 of 11), one byte longer (4 of 13) and renamed (6 of 17)."""
+    rows = corpus_table(spark, sf_dir)
+    after = rows.filter("doc_id % 11 != 3").selectExpr(
+        "case when doc_id % 17 = 6 then concat(path, '.moved') else path end as path",
+        "case when doc_id % 13 = 4 then concat(text, 'x') else text end as text")
+    return (table_files(rows, path="path", content="text").drop("content"),
+            table_files(after, path="path", content="text").drop("content"))
+
+
 def url_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File rows for web pages: leaf = last URL path segment (query and
     fragment dropped), content = UTF-8 html."""

@@ -22,58 +22,102 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfs.operators import aggregates
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.corpus import CORPUS_ROOT, corpus_table
-from tallyfs.plans.scan import scan_tree
+from tallyfs.plans.scan import Scan, scan_tree
 from tallyfs.session import local_fs_path, scratch_path, ship_package
 
 
-def _write_files(root: str):
+# Fixed fixture values of the odd tree: a document with remainder 5 of 97 has a
+# broken link beside it, one with remainder 7 of 89 a FIFO; of a changed tree:
+# a document with remainder 4 of 13 is one byte longer.
+LINKS, PIPES, GROWN = (97, 5), (89, 7), (13, 4)
+
+
+def _picked(doc_id: int, rule: tuple[int, int]) -> bool:
+    return doc_id % rule[0] == rule[1]
+
+
+def _again(make, *args) -> None:
+    """A retried task finds what its first attempt made."""
+    try:
+        make(*args)
+    except FileExistsError:
+        pass
+
+
+def _write_files(root: str, odd: bool = False, grown: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0
         made: set[str] = set()
         for pdf in batches:
-            for rel, text in zip(pdf["rel"], pdf["text"]):
+            for rel, text, doc_id in zip(pdf["rel"], pdf["text"], pdf["doc_id"]):
                 full = os.path.join(root, rel)
                 parent = os.path.dirname(full)
                 if parent not in made:
                     os.makedirs(parent, exist_ok=True)
                     made.add(parent)
+                if grown and not _picked(doc_id, GROWN):
+                    continue
                 with open(full, "wb") as fh:
-                    fh.write((text or "").encode("utf-8"))
+                    fh.write(((text or "") + "x" * grown).encode("utf-8"))
                 n += 1
+                if odd and _picked(doc_id, LINKS):
+                    _again(os.symlink, "no-such-target", full + ".lnk")
+                    n += 1
+                if odd and _picked(doc_id, PIPES):
+                    _again(os.mkfifo, os.path.join(parent, f"pipe_{doc_id}"))
+                    n += 1
         yield pd.DataFrame({"n": [n]})
     return run
 
 
-def write_doc_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write the tree; returns the folder that stands for ``/corpus``."""
+def _write(spark: SparkSession, sf_dir: str, root: str, **kinds) -> int:
+    """Write the documents' files below ``root``; returns how many entries."""
+    docs = corpus_table(spark, sf_dir).select(
+        F.expr(f"replace(substring(path, {len(CORPUS_ROOT) + 2}), 'bundle.zip!/', 'bundle.zip/')").alias("rel"),
+        "text", "doc_id")
+    ship_package(spark)
+    return docs.mapInPandas(_write_files(root, **kinds), "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write_doc_tree(spark: SparkSession, sf_dir: str, odd: bool = False) -> tuple[str, int]:
+    """Write the tree, with ``odd`` also links and FIFOs; returns the folder
+    that stands for ``/corpus`` and the number of entries that are no folder."""
     base = scratch_path(spark, "doc-tree")
     if "://" in base and not base.startswith("file:"):
         raise RuntimeError("the document tree needs a checkpoint directory on a mounted file system")
     root = local_fs_path(base)
-    docs = corpus_table(spark, sf_dir).select(
-        F.regexp_replace(F.substring(F.col("path"), len(CORPUS_ROOT) + 2, 1 << 20), "!/", "/").alias("rel"),
-        "text")
-    ship_package(spark)
-    docs.mapInPandas(_write_files(root + CORPUS_ROOT), "n long").agg(F.sum("n")).first()
-    return root + CORPUS_ROOT
+    return root + CORPUS_ROOT, _write(spark, sf_dir, root + CORPUS_ROOT, odd=odd)
 
 
 def _as_corpus(df: DataFrame, tree_root: str) -> DataFrame:
     """Report paths relative to the tree, as ``/corpus/...``."""
-    return df.withColumn("path", F.concat(F.lit(CORPUS_ROOT), F.substring("path", len(tree_root) + 1, 1 << 20)))
+    return df.withColumn("path", F.concat(F.lit(CORPUS_ROOT), F.expr(f"substring(path, {len(tree_root) + 1})")))
+
+
+def doc_tree_scan(spark: SparkSession, sf_dir: str, odd: bool = False) -> tuple[Scan, str]:
+    """Scan of a fresh tree and its root. Raises if the listing does not see
+    every entry that was written (a folder that is not shared)."""
+    root, written = write_doc_tree(spark, sf_dir, odd)
+    os.makedirs(root, exist_ok=True)  # an empty table has an empty tree
+    scan = scan_tree(spark, root)
+    listed = scan.inventory.filter("kind != 'dir'").count() + scan.archive_errors.count()
+    if listed != written:
+        raise RuntimeError(f"{written} entries were written, {listed} are listed: is {root} shared by all executors?")
+    return scan, root
 
 
-def doc_tree_inventory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    root = write_doc_tree(spark, sf_dir)
-    return scan_tree(spark, root).inventory, root
+def doc_tree_inventory(spark: SparkSession, sf_dir: str, odd: bool = False) -> tuple[DataFrame, str]:
+    scan, root = doc_tree_scan(spark, sf_dir, odd)
+    return scan.inventory, root
 
 
 def doc_tree_archive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path): files named ``*.zip`` that are not archives (read by path)."""
-    root = write_doc_tree(spark, sf_dir)
-    return _as_corpus(scan_tree(spark, root).archive_errors.select("path"), root)
+    scan, root = doc_tree_scan(spark, sf_dir)
+    return _as_corpus(scan.archive_errors.select("path"), root)
 
 
 def doc_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +125,34 @@ def doc_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_corpus(inv.filter(F.col("kind") == "file").select("path", "name", "size", "extension"), root)
 
 
-def doc_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_tree_duplicates(spark: SparkSession, sf_dir: str, odd: bool = False) -> DataFrame:
     """Duplicate groups found by reading the files (8 KB, then whole)."""
-    inv, _root = doc_tree_inventory(spark, sf_dir)
+    inv, _root = doc_tree_inventory(spark, sf_dir, odd)
     return dup.find_duplicates(inv, dup.PathReader()).groups
 
 
 def doc_tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv, root = doc_tree_inventory(spark, sf_dir)
     return _as_corpus(dup.duplicate_listing(dup.find_duplicates(inv, dup.PathReader())), root)
+
+
+def skipped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, error) of the odd tree's unreadable entries."""
+    inv, root = doc_tree_inventory(spark, sf_dir, odd=True)
+    return _as_corpus(aggregates.skipped_items(inv), root)
+
+
+def hash_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, size, error) of candidates of the odd tree that cannot be hashed."""
+    inv, root = doc_tree_inventory(spark, sf_dir, odd=True)
+    return _as_corpus(dup.find_duplicates(inv, dup.PathReader()).hash_errors, root)
+
+
+def cached_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups of a changed tree, found with the hash cache of a run
+    before the change."""
+    inv, root = doc_tree_inventory(spark, sf_dir)
+    reader = dup.PathReader(cache=scratch_path(spark, "hash-cache"))
+    dup.update_hash_cache(inv, dup.find_duplicates(inv, reader), reader.cache)
+    _write(spark, sf_dir, root, grown=True)
+    return dup.find_duplicates(scan_tree(spark, root).inventory, reader).groups

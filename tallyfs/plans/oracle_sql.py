@@ -7,7 +7,15 @@ from names and paths is checked, not echoed.
 
 from __future__ import annotations
 
-from tallyfs.schema import CATEGORY_EXTENSIONS, QUICK_HASH_BYTES
+# Fixed values, stated here again so that a wrong one in the code shows.
+CATEGORIES = {
+    "Images": ("png", "jpg", "gif", "bmp", "webp", "jpeg"),
+    "Documents": ("txt", "pdf", "doc", "docx", "ppt", "pptx"),
+    "Audio": ("mp3", "wav", "aac"),
+    "Video": ("mp4", "mkv", "avi", "mov"),
+    "Archive": ("zip", "rar", "7z", "tar", "gz"),
+    "Source Code": ("java", "py", "cpp", "c", "js", "html", "css", "go"),
+}
 
 
 def _sql_list(values) -> str:
@@ -16,7 +24,7 @@ def _sql_list(values) -> str:
 
 def sql_category(ext: str) -> str:
     parts = [f"case when {ext} is null or {ext} = '' then 'No extension'"]
-    for cat, exts in CATEGORY_EXTENSIONS.items():
+    for cat, exts in CATEGORIES.items():
         parts.append(f"when {ext} in ({_sql_list(exts)}) then '{cat}'")
     return " ".join(parts) + " else 'Others' end"
 
@@ -38,14 +46,15 @@ b as (
   select doc_id, source, lang, encode(text) as content,
          (['TXT','pdf','jpg','html','py','java','mp4','csv','tar.gz','','json','md','png','mp3','zip','docx'])
            [cast(doc_id % 16 as int) + 1] as e,
-         case when doc_id % 10 = 0 then 'node_modules' when doc_id % 10 = 1 then 'Bin' else 'docs' end as dir
+         case when doc_id % 10 = 0 then 'node_modules' when doc_id % 10 = 1 then 'Bin'
+              when doc_id % 10 = 2 then 'wow!' else 'docs' end as dir
   from documents),
 n as (
   select *, (case when doc_id % 23 = 0 then '.' else '' end) || 'doc_' || doc_id
             || (case when e = '' then '' else '.' || e end) as name
   from b),
 f as (
-  select name,
+  select doc_id, name,
          case when doc_id % 7 = 3 then '/corpus/' || source || '/bundle.zip!/' || dir || '/' || name
               else '/corpus/' || source || '/' || lang || '/' || dir || '/' || name end as path,
          cast(octet_length(content) as bigint) as size,
@@ -53,7 +62,7 @@ f as (
          doc_id % 7 = 3 as from_archive,
          case when doc_id % 7 = 3 then '/corpus/' || source || '/bundle.zip' end as archive_path,
          starts_with(name, '.') as hidden,
-         dir <> 'docs' as excluded,
+         dir not in ('docs', 'wow!') as excluded,
          content
   from n),
 elig as (select path, size, content from f where not from_archive and not hidden and not excluded)
@@ -89,7 +98,7 @@ uf as (select *, case when contains(name, '.') then lower(split_part(name, '.',
        from u)
 """
 
-Q = QUICK_HASH_BYTES
+Q = 8192
 
 BUNDLE = "'/corpus/bundle_' || cast(doc_id // 64 as varchar) || '.zip'"
 ENTRIES = (f"select {BUNDLE} || '!/' || source || '/' || lang || '/doc_' || cast(doc_id as varchar) || '.TXT' as path, "
@@ -104,7 +113,7 @@ PLAIN = ("select '/corpus/benchmark/item_' || cast(item_id as varchar) || '.txt'
 # entries plain files below a directory named bundle.zip. Files named *.zip
 # hold text, so they are unreadable archives and vanish from the inventory.
 DOC_TREE = """
-t as (select name, replace(path, '!/', '/') as path, size, extension, hidden, excluded, content
+t as (select name, replace(path, 'bundle.zip!/', 'bundle.zip/') as path, size, extension, hidden, excluded, content
       from f where extension <> 'zip'),
 telig as (select path, size, content from t where not hidden and not excluded),
 tpar as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as d from t),
@@ -115,8 +124,33 @@ tdirs as (
 tg as (select sha256(content) as full_hash, size, count(*) as copies
        from telig group by 1, 2 having count(*) >= 2)
 """
-# The tree queries list the table directory itself; the check runs at sf0.01.
-TREE = "read_blob('/root/testdata/sf0.01/*.parquet')"
+# The same tree with broken links and FIFOs beside some documents.
+ODD = """
+every as (select doc_id, excluded, replace(path, 'bundle.zip!/', 'bundle.zip/') as path from f),
+links as (select path || '.lnk' as path from every where doc_id % 97 = 5),
+pipes as (select 'pipe_' || doc_id as name, regexp_replace(path, '[^/]*$', '') || 'pipe_' || doc_id as path, excluded
+          from every where doc_id % 89 = 7),
+opar as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as d from every),
+odirs as (
+  select distinct array_to_string(string_split(d, '/')[1:k], '/') as path
+  from (select d, unnest(generate_series(3, len(string_split(d, '/')))) as k
+        from opar where starts_with(d, '/corpus/'))),
+zero as (select (select count(*) from pipes where not excluded) + (select count(*) from telig where size = 0) as n)
+"""
+
+
+# The corpus before and after documents go, grow by a byte and move.
+DIFF = """
+after as (
+  select case when doc_id % 17 = 6 then path || '.moved' else path end as path,
+         case when doc_id % 13 = 4 then size + 1 else size end as size
+  from f where doc_id % 11 <> 3),
+diff as (
+  select coalesce(f.path, a.path) as path, f.size as size_before, a.size as size_after,
+         case when f.path is null then 'added' when a.path is null then 'removed'
+              when f.size is distinct from a.size then 'changed' else 'unchanged' end as status
+  from f full join after a on f.path = a.path)
+"""
 
 
 def _with(*ctes: str) -> str:
@@ -218,12 +252,37 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
         "select n.group_no, n.full_hash, n.size, e.path from telig e join "
         "(select full_hash, size, row_number() over (order by size desc, full_hash) as group_no from tg) n "
         "on sha256(e.content) = n.full_hash and e.size = n.size"),
-    "doc_tree_archive_errors": _with(CORPUS) + "select replace(path, '!/', '/') as path from f where extension = 'zip'",
-    "tree_inventory": ("select 'file' as kind, regexp_extract(filename, '([^/]*)$', 1) as name, "
-                       "cast(size as bigint) as size, 'parquet' as extension from " + TREE),
-    "tree_summary": ("select count(*) as files, cast(0 as bigint) as folders, "
-                     "cast(coalesce(sum(size), 0) as bigint) as bytes, cast(0 as bigint) as skipped from " + TREE),
-    "tree_duplicate_summary": (
-        "with g as (select sha256(content) as full_hash, size, count(*) as copies from " + TREE +
-        " group by 1, 2 having count(*) >= 2) " + DUP_SUMMARY),
+    "doc_tree_archive_errors": _with(CORPUS) + "select replace(path, 'bundle.zip!/', 'bundle.zip/') as path from f where extension = 'zip'",
+    "tree_inventory": _with(CORPUS, DOC_TREE, ODD) + (
+        "select 'file' as kind, name, size, extension from t union all select 'file', name, 0, '' from pipes "
+        "union all select 'dir', regexp_extract(path, '([^/]*)$', 1), null, null from odirs "
+        "union all select 'skipped', regexp_extract(path, '([^/]*)$', 1), null, null from links"),
+    "tree_summary": _with(CORPUS, DOC_TREE, ODD) + (
+        "select (select count(*) from t) + (select count(*) from pipes) as files, (select count(*) from odirs) as folders, "
+        "(select cast(coalesce(sum(size), 0) as bigint) from t) as bytes, (select count(*) from links) as skipped"),
+    "tree_duplicate_summary": _with(CORPUS, DOC_TREE) + DUP_SUMMARY.replace("from g", "from tg"),
+    "skipped_items": _with(CORPUS, DOC_TREE, ODD) + "select path, 'not readable' as error from links",
+    "hash_errors": _with(CORPUS, DOC_TREE, ODD) + (
+        "select path, cast(0 as bigint) as size, 'OSError: not a regular file' as error from pipes, zero "
+        "where not excluded and zero.n >= 2"),
+    "cached_groups": _with(CORPUS, DOC_TREE) + (
+        "select sha256(c) as full_hash, octet_length(c) as size, count(*) as copies from "
+        "(select case when doc_id % 13 = 4 then content || encode('x') else content end as c from f "
+        "where extension <> 'zip' and not hidden and not excluded) group by 1, 2 having count(*) >= 2"),
+    "scan_diff": _with(CORPUS, DIFF) + "select path, status, size_before, size_after from diff",
+    "diff_summary": _with(CORPUS, DIFF) + (
+        "select status, count(*) as files, cast(coalesce(sum(size_before), 0) as bigint) as bytes_before, "
+        "cast(coalesce(sum(size_after), 0) as bigint) as bytes_after from diff group by status"),
+    "report_csv": _with(CORPUS) + (
+        f"select 'categories' as section, category as key, n, {sql_size_text('bytes')} as size_text from ({CAT_SIZES}) "
+        f"union all select 'extensions', extension, n, null from ({EXT_COUNTS} order by n desc, extension limit 10)"),
+    "report_text": "with s as (" + _summary_rows(True) + "), " + _with(CORPUS, GROUPS)[5:] + (
+        "select section || chr(9) || key || ' -> ' || coalesce(size_text, cast(value as varchar)) as line from s "
+        f"union all select cast(n.group_no as varchar) || chr(9) || {sql_size_text('gf.size')} || chr(9) || gf.path from gf join "
+        "(select full_hash, size, row_number() over (order by size desc, full_hash) as group_no from g) n "
+        "on gf.full_hash = n.full_hash and gf.size = n.size"),
+    "user_categories": _with(CORPUS) + (
+        "select category, cast(sum(size) as bigint) as bytes, count(*) as n from (select f.size, "
+        "case when extension = '' then 'No extension' else coalesce(c, 'Others') end as category from f left join "
+        "(select extension, min(name) as c from f where extension not in ('pdf', '') group by 1) d using (extension)) group by 1"),
 }

@@ -69,20 +69,3 @@ INVENTORY_FIELDS = [
 ]
 INVENTORY_SCHEMA = T.StructType(INVENTORY_FIELDS)
 INVENTORY_COLUMNS = [f.name for f in INVENTORY_FIELDS]
-
-# Table-backed inventories carry the bytes of each file.
-CONTENT_FIELD = T.StructField("content", T.BinaryType(), True)
-CONTENT_INVENTORY_SCHEMA = T.StructType(INVENTORY_FIELDS + [CONTENT_FIELD])
-
-HASHED_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("size", T.LongType(), True),
-    T.StructField("quick_hash", T.StringType(), True),
-    T.StructField("full_hash", T.StringType(), True),
-    T.StructField("error", T.StringType(), True),
-])
-
-
-def category_rows() -> list[tuple[str, str]]:
-    """(extension, category) pairs of the fixed dictionary."""
-    return [(ext, cat) for cat, exts in CATEGORY_EXTENSIONS.items() for ext in exts]

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import size_text
 
-TEXT_SECTIONS = ("duplicate_listing",)
-
 
 def new_scan_id(now: _dt.datetime | None = None) -> str:
     """``YYYYMMDD_HHMMSS_<8 hex>``: sortable by time, unique per run."""

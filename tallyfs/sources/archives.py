@@ -11,7 +11,10 @@ millions of entries does not build one huge frame.
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -20,39 +23,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfs.functions.columns import is_archive
+from tallyfs.functions.columns import extension_of, is_archive
 from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
 from tallyfs.session import ship_package
-from tallyfs.sources.readers import MAX_TASKS_PER_CORE, open_regular
+from tallyfs.sources.readers import open_regular
+from tallyfs.sources.tree import readable_name
 
 KIND_ARCHIVE_ERROR = "archive_error"
-ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
+ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, "
                 "from_archive boolean, archive_path string, error string")
 BATCH_ROWS = 10_000
 # Containers read as tar streams when a caller adds them to the archive
 # extensions (the default is ZIP only).
-TAR_EXTENSIONS = ("tar", "tgz", "gz", "bz2", "xz")
-
-
-def _extension(name: str) -> str:
-    dot = name.rfind(".")
-    return "" if dot < 0 else name[dot + 1:].lower()
+TAR_EXTENSIONS = (".tar", ".tgz", ".gz", ".bz2", ".xz")
+SINGLE_EXTENSIONS = (".gz", ".bz2", ".xz")
 
 
 def _entries(archive: str, source) -> Iterator[tuple]:
     """Rows for one archive; the last row is an error row if reading failed
     (entries listed before the failure are kept)."""
-    reader = _tar_entries if _extension(archive) in TAR_EXTENSIONS else _zip_entries
+    low = archive.lower()
     try:
         if isinstance(source, str):
             source = open_regular(source)
-        for entry, size in reader(source):
+        if low.endswith(TAR_EXTENSIONS):
+            found = _tar_entries(source, archive[archive.rfind("/") + 1:])
+        else:
+            found = _zip_entries(source)
+        for entry, size in found:
             name = entry[entry.rfind("/") + 1:]
-            yield (KIND_FILE, archive + ARCHIVE_SEPARATOR + entry, name, size,
-                   _extension(name), True, archive, None)
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, UnicodeDecodeError, ValueError, EOFError,
-            NotImplementedError, RuntimeError) as exc:
-        yield (KIND_ARCHIVE_ERROR, archive, archive[archive.rfind("/") + 1:], None, None, False,
+            if (shown := readable_name(entry)) is not None:
+                yield (KIND_ARCHIVE_ERROR, archive + ARCHIVE_SEPARATOR + shown, readable_name(name) or name, None, False,
+                       None, "undecodable name")
+                continue
+            yield (KIND_FILE, archive + ARCHIVE_SEPARATOR + entry, name, size, True, archive, None)
+    except Exception as exc:  # whatever a damaged archive makes a codec raise
+        yield (KIND_ARCHIVE_ERROR, archive, archive[archive.rfind("/") + 1:], None, False,
                None, f"{type(exc).__name__}: {exc}")
     finally:
         if hasattr(source, "close"):
@@ -70,17 +76,42 @@ def _zip_entries(source) -> Iterator[tuple[str, int | None]]:
             yield info.filename, size
 
 
-def _tar_entries(source) -> Iterator[tuple[str, int | None]]:
+def _tar_entries(source, leaf: str) -> Iterator[tuple[str, int | None]]:
     """Regular-file members of a (possibly compressed) tar. A tar has no
-    central directory, so the whole stream is read, member by member."""
-    with tarfile.open(fileobj=source, mode="r:*") as tf:
+    central directory, so the whole stream is read, member by member. A
+    compressed file that is no tar is a container of one entry, named like the
+    file without its ending, of unknown size."""
+    try:
+        tf = tarfile.open(fileobj=source, mode="r:*")
+    except tarfile.ReadError:
+        single = next((x for x in SINGLE_EXTENSIONS if leaf.lower().endswith(x)), None)
+        source.seek(0)
+        if single is None or not _decompresses(source, single):
+            raise
+        yield leaf[:-len(single)], None
+        return
+    with tf:
         for member in tf:
             if member.isfile():
                 yield member.name, int(member.size)
 
 
+def _decompresses(source, ending: str) -> bool:
+    """Whether the first bytes are those of a compressed stream."""
+    if not source.read(1):
+        return False
+    source.seek(0)
+    opener = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}[ending]
+    try:
+        with opener(source) as fh:
+            fh.read(1)
+        return True
+    except (OSError, EOFError, lzma.LZMAError):
+        return False
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    cols = ["kind", "path", "name", "size", "extension", "from_archive", "archive_path", "error"]
+    cols = ["kind", "path", "name", "size", "from_archive", "archive_path", "error"]
     df = pd.DataFrame(rows, columns=cols)
     df["size"] = df["size"].astype("Int64")
     return df
@@ -118,13 +149,13 @@ def list_archives(archives: DataFrame, content: str | None = None,
     if content is None:
         n = src.count() if n_archives is None else n_archives
         floor = archives.sparkSession.sparkContext.defaultParallelism
-        parts = min(max(floor, -(-n // archives_per_task)), floor * MAX_TASKS_PER_CORE)
+        parts = max(floor, -(-n // archives_per_task))
         src = src.repartition(max(1, min(parts, n)), "path")
     ship_package(archives.sparkSession)
     listed = src.mapInPandas(_list_batches(content), ENTRY_SCHEMA)
     return listed.select(
-        "kind", "path", "name", "size", "extension", "from_archive", "archive_path",
-        F.lit(None).cast("timestamp").alias("mtime"), "error")
+        "kind", "path", "name", "size", F.when(F.col("kind") == KIND_FILE, extension_of("name")).alias("extension"),
+        "from_archive", "archive_path", F.lit(None).cast("timestamp").alias("mtime"), "error")
 
 
 def archive_entries(files: DataFrame, content: str | None = None,

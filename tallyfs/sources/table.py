@@ -20,7 +20,6 @@ from tallyfs.functions.columns import (
     parent_path,
 )
 from tallyfs.schema import (
-    INVENTORY_COLUMNS,
     KIND_DIR,
     KIND_FILE,
 )
@@ -38,13 +37,15 @@ def _as_binary(df: DataFrame, content: str) -> Column:
 
 def table_files(df: DataFrame, path: str = "path", content: str | None = "content",
                 size: str | None = None, mtime: str | None = None,
-                sep: str = "/", name: str | None = None) -> DataFrame:
-    """File rows of an inventory from a table.
+                sep: str = "/", name: str | None = None, from_archive: str | None = None,
+                archive_path: str | None = None) -> DataFrame:
+    """File rows of an inventory from a table; a path names one file.
 
     ``size`` defaults to the byte length of ``content`` (UTF-8 for strings).
     ``name`` defaults to the text after the last separator of the path (for
-    an archive entry ``a.zip!/d/x`` that is ``x``). A path holding ``!/`` is
-    an archive entry of the archive before it.
+    an archive entry ``a.zip!/d/x`` that is ``x``). ``from_archive`` and
+    ``archive_path`` name columns that say what is an archive entry; without
+    them a path is one if ``!/`` follows a name with an archive's extension.
     """
     if size is not None:
         size_col = F.col(size).cast("long")
@@ -61,16 +62,22 @@ def table_files(df: DataFrame, path: str = "path", content: str | None = "conten
     ]
     if content is not None:
         first.append(_as_binary(df, content).alias("content"))
+    archive = F.col(archive_path).cast("string") if archive_path else archive_of(path)
+    if from_archive:
+        inside = F.coalesce(F.col(from_archive).cast("boolean"), F.lit(False))
+        archive = F.when(inside, archive)
+    else:
+        inside = archive.isNotNull()
+    first += [inside.alias("_inside"), archive.alias("_archive")]
     base = df.select(*first)
-    archive = archive_of("path")
     cols = [
         F.lit(KIND_FILE).alias("kind"),
         "path",
         "name",
         "size",
         extension_of("name").alias("extension"),
-        archive.isNotNull().alias("from_archive"),
-        archive.alias("archive_path"),
+        F.col("_inside").alias("from_archive"),
+        F.col("_archive").alias("archive_path"),
         "mtime",
         F.lit(None).cast("string").alias("error"),
     ]
@@ -130,9 +137,3 @@ def table_inventory(df: DataFrame, path: str = "path", content: str | None = "co
     if "content" in files.columns:
         dirs = dirs.withColumn("content", F.lit(None).cast("binary"))
     return files.unionByName(dirs)
-
-
-def inventory_columns(df: DataFrame) -> DataFrame:
-    """Drop everything but the inventory columns (content included if present)."""
-    keep = INVENTORY_COLUMNS + (["content"] if "content" in df.columns else [])
-    return df.select(*keep)

@@ -29,29 +29,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfs.functions.columns import extension_of
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import INVENTORY_COLUMNS, KIND_DIR, KIND_FILE, KIND_SKIPPED
 from tallyfs.session import local_fs_path, ship_package
 
-LEVEL_SCHEMA = ("kind string, path string, name string, size bigint, extension string, "
+LEVEL_SCHEMA = ("kind string, path string, name string, size bigint, "
                 "mtime_s double, error string, descend boolean, chain array<string>, deferred boolean")
-LEVEL_COLUMNS = ["kind", "path", "name", "size", "extension", "mtime_s", "error", "descend", "chain", "deferred"]
+LEVEL_COLUMNS = ["kind", "path", "name", "size", "mtime_s", "error", "descend", "chain", "deferred"]
 FRONTIER_SCHEMA = "path string, chain array<string>"
 BATCH_ROWS = 10_000
 
 
-def _extension(name: str) -> str:
-    dot = name.rfind(".")
-    return "" if dot < 0 else name[dot + 1:].lower()
+def readable_name(name: str) -> str | None:
+    """None for a name that is Unicode, else the name with its undecodable
+    bytes written as ``\\udcNN``."""
+    try:
+        name.encode("utf-8")
+        return None
+    except UnicodeEncodeError:
+        return name.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
 def _ident(st: os.stat_result) -> str:
     return f"{st.st_dev}:{st.st_ino}"
 
 
-def _row(kind, path, name, size=None, ext=None, mtime=None, error=None, descend=False,
+def _row(kind, path, name, size=None, mtime=None, error=None, descend=False,
          chain=None, deferred=False) -> tuple:
-    return (kind, path, name, size, ext, mtime, error, descend, chain, deferred)
+    return (kind, path, name, size, mtime, error, descend, chain, deferred)
 
 
 def _err(exc: OSError) -> str:
@@ -66,7 +72,7 @@ def _file_row(path: str, name: str, stat_fn) -> tuple:
         st = stat_fn()
     except OSError as exc:
         return _row(KIND_SKIPPED, path, name, error=_err(exc))
-    return _row(KIND_FILE, path, name, int(st.st_size), _extension(name), st.st_mtime)
+    return _row(KIND_FILE, path, name, int(st.st_size), mtime=st.st_mtime)
 
 
 def _list_dir(path: str, chain: list[str], prune: frozenset[str], inline_files: int) -> Iterator[tuple]:
@@ -88,6 +94,10 @@ def _list_dir(path: str, chain: list[str], prune: frozenset[str], inline_files:
     with it:
         for entry in it:
             child = path.rstrip("/") + "/" + entry.name if path != "/" else "/" + entry.name
+            if (shown := readable_name(entry.name)) is not None:
+                # not a string Spark can hold: a skipped row, never entered
+                yield _row(KIND_SKIPPED, path.rstrip("/") + "/" + shown, shown, error="undecodable name")
+                continue
             try:
                 is_dir = entry.is_dir(follow_symlinks=True)
             except OSError:
@@ -95,11 +105,12 @@ def _list_dir(path: str, chain: list[str], prune: frozenset[str], inline_files:
             if not is_dir:
                 n_files += 1
                 if n_files > inline_files:
-                    yield _row(KIND_FILE, child, entry.name, ext=_extension(entry.name), deferred=True)
+                    yield _row(KIND_FILE, child, entry.name, deferred=True)
                 else:
                     yield _file_row(child, entry.name, lambda e=entry: e.stat(follow_symlinks=True))
                 continue
             if prune and entry.name.lower() in prune:
+                yield _row(KIND_SKIPPED, child, entry.name, error="pruned")
                 continue
             if not os.access(child, os.R_OK):
                 yield _row(KIND_SKIPPED, child, entry.name, error="not readable")
@@ -131,8 +142,8 @@ def _scan_level(prune: frozenset[str], inline_files: int, dirs_acc, deferred_acc
             for path, chain in zip(pdf["path"], pdf["chain"]):
                 chain_list = list(chain) if chain is not None else []
                 for row in _list_dir(local_fs_path(path), chain_list, prune, inline_files):
-                    n_dirs += row[7]
-                    n_deferred += row[9]
+                    n_dirs += row[6]
+                    n_deferred += row[8]
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
                         yield _frame(buf)
@@ -169,7 +180,7 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
     while n_dirs > 0:
         # dirs_per_task directories a task, but never fewer tasks than cores
         # while there are directories to spread
-        parts = min(max(math.ceil(n_dirs / dirs_per_task), min(n_dirs, floor)), floor * 64)
+        parts = max(math.ceil(n_dirs / dirs_per_task), min(n_dirs, floor))
         spread = frontier.repartition(parts, "path") if parts > 1 else frontier.coalesce(1)
         # Counts for the next step come back with the listing tasks. A retried
         # task can only make them larger, which neither ends the walk early
@@ -181,7 +192,7 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
         n_deferred, n_dirs = deferred_acc.value, dirs_acc.value
         if n_deferred:
             deferred = level.filter(F.col("deferred"))
-            stat_parts = min(max(floor, math.ceil(n_deferred / files_per_stat_task)), floor * 64)
+            stat_parts = max(floor, math.ceil(n_deferred / files_per_stat_task))
             stats = deferred.select("path", "name").repartition(stat_parts, "path") \
                 .mapInPandas(_stat_deferred, LEVEL_SCHEMA)
             stats = materialize(spark, stats, f"tree-level{depth}-stat")
@@ -196,8 +207,10 @@ def tree_inventory(spark: SparkSession, root: str, dirs_per_task: int = 64,
                    prune: tuple[str, ...] = (), inline_files: int = 20_000) -> DataFrame:
     """Inventory of every entry below ``root`` (root itself excluded).
 
-    ``prune`` names directories (case-insensitive) that are neither counted
-    nor entered, e.g. ``("$recycle.bin", "system volume information")``.
+    ``prune`` names directories (case-insensitive) that are not entered but
+    counted as skipped, e.g. ``("$recycle.bin", "system volume information")``.
+    A name that is not valid Unicode is a skipped row with its odd bytes
+    escaped; such a folder is not entered.
     A missing root raises; everything below it becomes rows.
     """
     levels = tree_levels(spark, root, dirs_per_task, prune, inline_files)
@@ -205,7 +218,8 @@ def tree_inventory(spark: SparkSession, root: str, dirs_per_task: int = 64,
     for lv in levels[1:]:
         out = out.unionByName(lv)
     return out.select(
-        "kind", "path", "name", "size", "extension",
+        "kind", "path", "name", "size",
+        F.when(F.col("kind") == KIND_FILE, extension_of("name")).alias("extension"),
         F.lit(False).alias("from_archive"),
         F.lit(None).cast("string").alias("archive_path"),
         F.timestamp_seconds("mtime_s").alias("mtime"),

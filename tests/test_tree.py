@@ -183,7 +183,8 @@ def test_prune_directories(spark, tmp_path):
     _write(f"{r}/$RECYCLE.BIN/b.txt", b"b")
     from tallyfs.sources.tree import tree_inventory
     inv = tree_inventory(spark, r, prune=("$recycle.bin",))
-    assert sorted(os.path.relpath(x["path"], r) for x in inv.collect()) == ["keep", "keep/a.txt"]
+    assert sorted((os.path.relpath(x["path"], r), x["kind"]) for x in inv.collect()) == [
+        ("$RECYCLE.BIN", "skipped"), ("keep", "dir"), ("keep/a.txt", "file")]  # counted, not entered
 
 
 def test_analyze_sections_on_tree(spark, testdir):
