@@ -124,7 +124,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
         F.expr("coalesce(size(array_except(places, transform(places, p -> p + 1))), 0)").alias("_runs"))
     decided = materialize(spark, decided, "line_decisions")
     rows = base.join(decided, "_seq")
-    kept = F.expr("concat_ws('\\n', filter(transform(split(text, '\\n', -1), (x, i) -> if(array_contains(_removed, i), null, x)), "
-                  "x -> x is not null))")
+    # the split text as a lambda's variable, so that it is made once
+    kept = F.expr("transform(array(split(text, '\\n', -1)), a -> concat_ws('\\n', transform("
+                  "array_except(sequence(0, size(a) - 1), _removed), i -> a[i])))[0]")
     return rows.select(*names, F.when(F.col("_runs") == 0, F.col("text")).otherwise(kept).alias("clean_text"),
                        F.col("_n_lines").alias("n_lines"), F.col("_removed").alias("removed"), F.col("_runs").alias("n_runs"))
