@@ -510,3 +510,16 @@ def update_hash_cache(inv: DataFrame, result: DuplicateResult, cache: str) -> No
     if previous is not None:
         rows = rows.join(previous, ["path", "size", "mtime", "quick_hash", "full_hash"], "left_anti")
     rows.write.mode("append").parquet(cache)
+
+
+def compact_hash_cache(inv: DataFrame, cache: str, out: str) -> None:
+    """Write to ``out`` the rows of ``cache`` that files of ``inv`` can still
+    use, one per (path, size, mtime). The caller then reads ``out``."""
+    spark = inv.sparkSession
+    known = read_hash_cache(spark, cache)
+    if known is None:
+        known = spark.createDataFrame([], CACHE_SCHEMA)
+    key = ["path", "size", "mtime"]
+    rows = known.join(files_only(inv).select(*key), key, "left_semi")
+    rows.groupBy(*key).agg(F.max("quick_hash").alias("quick_hash"), F.max("full_hash").alias("full_hash")) \
+        .write.mode("errorifexists").parquet(out)

@@ -10,8 +10,10 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfs import session
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.analyze import Sections, select_sections
+from tallyfs.session import clean_scratch, scratch_path
 from tallyfs.sources.archives import archive_entries, archive_errors
 from tallyfs.sources.readers import _partitions
 from tallyfs.sources.table import folder_rows, table_files, table_inventory
@@ -96,6 +98,32 @@ def test_content_is_hashed_once(spark):
     assert not [line for line in plan.splitlines() if "Filter" in line and "sha2" in line]
 
 
+def test_hash_cache_is_compacted(spark, tmp_path):
+    for n, body in (("a", "same"), ("b", "same"), ("c", "other!")):
+        (tmp_path / n).write_text(body)
+    cache, out = (scratch_path(spark, x) for x in ("cache", "compact"))
+    for _ in range(2):
+        inv = tree_inventory(spark, str(tmp_path))
+        dup.update_hash_cache(inv, dup.find_duplicates(inv, dup.PathReader(cache=cache)), cache)
+        (tmp_path / "b").write_text("same again")
+    inv = tree_inventory(spark, str(tmp_path))
+    dup.compact_hash_cache(inv, cache, out)
+    rows = dup.read_hash_cache(spark, out).collect()
+    now = {(r.path, r.size) for r in inv.collect()}
+    assert rows and {(r.path, r.size) for r in rows} <= now and len({r.path for r in rows}) == len(rows)
+    dup.compact_hash_cache(inv, out + "-none", out + "-empty")
+    assert dup.read_hash_cache(spark, out + "-empty").count() == 0
+
+
+def test_scratch_folders_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])  # other tests still read theirs
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file:"))
+    assert clean_scratch(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
 @pytest.mark.parametrize("flags", list(itertools.product([False, True], repeat=9)))
 def test_section_switches(flags):
     full, quick, dups, exts, cats, largest, txt, csv, every = flags
