@@ -257,7 +257,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -
 
 
 def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, low: float = 0.002, high: float = 0.995,
-            slack: float = 0.75) -> DataFrame:
+            slack: float = 1.5) -> DataFrame:
     """One row per document: doc_id, rk, lang, trusted, perplexity (per
     character), score (shrunk mean log-probability), lo and hi (the accepted
     range), kept.

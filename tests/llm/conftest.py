@@ -1 +1 @@
-"""Fixtures of the operator tests; SPARK comes from the parent conftest."""
+"""The ``spark`` fixture comes from the parent conftest."""
