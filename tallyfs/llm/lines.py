@@ -5,7 +5,7 @@ no part and stay). Prefix doubling names, for every place, its next 1, 2, 4, ...
 lines by hashing two names of half the length; a stretch of any length is named
 by the two names that cover it. Suffixes that share a prefix are an interval of
 the suffix order; here an interval is the class of its common name, held
-without sorting, so doubling stays inside a document's row and one aggregation
+without sorting: doubling stays inside a document's lines and one aggregation
 finds the intervals.
 
 A run of lines counts if it has at least ``min_words`` words and stands earlier
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyfs.llm.common import hot_join, materialize, prepare
 
@@ -34,27 +35,6 @@ TRIM = " \\t\\r\\u000b\\f"
 WORDS = "regexp_count({}, '[^\\\\x20\\\\x09-\\\\x0D]+')"
 
 
-def _named(levels: int) -> list[tuple[str, str]]:
-    """(column, expression) of the names of 2^j lines, j = 0 .. levels."""
-    out = [("_n0", "transform(_lines, l -> struct(l.a as a, l.b as b))")]
-    for j in range(levels):
-        step = 1 << j
-        x, y = f"_n{j}[i]", f"_n{j}[i + {step}]"
-        out.append((f"_n{j + 1}", f"transform(filter(sequence(0, size(_n{j}) - 1), i -> i + {step} < size(_n{j})), "
-                                  f"i -> struct(xxhash64({x}, {y}) as a, xxhash64({y}, 7, {x}) as b))"))
-    return out
-
-
-def _stretch_name(levels: int) -> str:
-    """Name of the ``n`` lines from place ``i``: by its length and two names
-    that cover it."""
-    cases = []
-    for j in range(levels, -1, -1):
-        x, y = f"_n{j}[r.i]", f"_n{j}[r.i + r.n - {1 << j}]"
-        cases.append(f"when r.n >= {1 << j} then struct(xxhash64({x}, {y}, r.n) as a, xxhash64(r.n, {y}, 5, {x}) as b)")
-    return "case " + " ".join(cases) + " end"
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """(seq, doc_id, n_lines, _lines): _lines holds number, identifiers and
     words of the lines with words, in order."""
@@ -70,26 +50,32 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(seq, doc_id, i, n, name): the shortest runs of ``min_words`` words from
-    and up to every line."""
-    levels = min_words.bit_length() - 1  # such a run has at most min_words lines
-    df = lines.filter(F.size("_lines") > 0)
-    for name, e in _named(levels):
-        df = df.withColumn(name, F.expr(e))
-    # number and words of the lines taken from (up to) line i until there are enough
-    span = (f"aggregate(sequence(1, {min_words}), struct(0 as n, 0 as w), (s, k) -> case when s.w >= {min_words} or {{at}} "
-            f"is null then s else struct(s.n + 1 as n, s.w + {{at}} as w) end)")
-    ahead = span.format(at="get(_lines, i + k - 1).w")
-    back = span.format(at="get(_lines, i + 1 - k).w")
-    df = df.withColumn("_runs", F.expr(
-        f"array_distinct(concat("
-        f"transform(filter(transform(sequence(0, size(_lines) - 1), i -> struct(i as i, {ahead} as s)), "
-        f"t -> t.s.w >= {min_words}), t -> struct(t.i as i, t.s.n as n)), "
-        f"transform(filter(transform(sequence(0, size(_lines) - 1), i -> struct(i as i, {back} as s)), "
-        f"t -> t.s.w >= {min_words}), t -> struct(t.i + 1 - t.s.n as i, t.s.n as n))))"))
-    named = df.withColumn("_r", F.expr(
-        f"transform(_runs, r -> struct(r.i as i, r.n as n, {_stretch_name(levels)} as name))"))
-    return named.select("seq", "doc_id", F.explode("_r").alias("r")).select(
-        "seq", "doc_id", "r.i", "r.n", F.concat(F.hex("r.name.a"), F.lit("-"), F.hex("r.name.b")).alias("name"))
+    and up to every line, named by their length and two names that cover them.
+
+    Such a run has at most ``min_words`` lines, so names of that many lines are
+    doubled up to. The windows share one partitioning by text.
+    """
+    at = Window.partitionBy("seq").orderBy("i")
+    df = lines.select("seq", "doc_id", F.posexplode("_lines").alias("i", "l")).select(
+        "seq", "doc_id", "i", F.col("l.a").alias("a0"), F.col("l.b").alias("b0"), F.col("l.w").cast("long").alias("w"))
+    df = df.withColumn("upto", F.sum("w").over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    for j in range(min_words.bit_length() - 1):  # names of 2^(j + 1) lines from two of 2^j
+        a, b = F.col(f"a{j}"), F.col(f"b{j}")
+        a2, b2 = F.lead(a, 1 << j).over(at), F.lead(b, 1 << j).over(at)
+        df = df.select("*", F.when(a2.isNotNull(), F.xxhash64(a, b, a2, b2)).alias(f"a{j + 1}"),
+                       F.when(a2.isNotNull(), F.xxhash64(b2, F.lit(7), a2, b, a)).alias(f"b{j + 1}"))
+    runs = []
+    for n in range(1, min_words + 1):
+        j = n.bit_length() - 1
+        a, b = F.col(f"a{j}"), F.col(f"b{j}")
+        a2, b2 = (F.lead(c, n - (1 << j)).over(at) for c in (a, b))
+        words = F.lead("upto", n - 1).over(at) - F.col("upto") + F.col("w")
+        shortest = (words - F.lead("w", n - 1).over(at) < min_words) | (words - F.col("w") < min_words)
+        name = F.concat(F.hex(F.xxhash64(a, b, a2, b2, F.lit(n))), F.lit("-"),
+                        F.hex(F.xxhash64(F.lit(n), b2, F.lit(5), a2, b, a)))
+        runs.append(F.when((words >= min_words) & shortest, F.struct(F.lit(n).alias("n"), name.alias("name"))))
+    found = df.select("seq", "doc_id", "i", F.filter(F.array(*runs), lambda r: r.isNotNull()).alias("runs"))
+    return found.select("seq", "doc_id", "i", F.explode("runs").alias("r")).select("seq", "doc_id", "i", "r.n", "r.name")
 
 
 def later_copies(spark: SparkSession, lines: DataFrame, min_words: int) -> DataFrame:
