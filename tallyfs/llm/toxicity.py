@@ -11,9 +11,11 @@ sentences with a score of one half or more are the offending ones.
 
 Learning: over all labelled rows, documents with each feature are counted by
 label, first in 262,144 hash buckets, then exactly for the features in the most
-telling buckets; at most MAX_FEATURES features that stand out most for the
-toxic label are kept. The weights are fitted on at most FIT_ROWS labelled rows
-(chosen by a hash of the id), of which only these features reach the driver.
+telling buckets; every one of these that stands out for the toxic label is kept.
+The weights are fitted on all labelled rows: each document is reduced to its
+distinct bags of features, and each step's gradient is summed over the
+documents, by the tasks or, for up to DRIVER_ENTRIES features in bags, on the
+driver (the same sums). The driver otherwise holds one weight per feature.
 
 Defined cases: null and empty texts have no sentence and score 0; rows without
 label or doc_id are not learned from; without a toxic or a clean row to learn
@@ -28,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +41,15 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 HASHES = 1 << 18
 HASHED_KEPT = 8192
-MAX_FEATURES = 1024
-#: Most labelled rows that the weights are fitted on.
-FIT_ROWS = 20_000
 #: Standard errors by which a feature must stand out.
 LEAST_Z = 4.5
 CACHE = 400_000
-EPOCHS, RATE, DECAY = 400, 0.1, 2e-5
+EPOCHS, RATE = 400, 0.1
+#: Weight of the prior a row, and at most in all: rare words are not shrunk
+#: further because the table is larger.
+DECAY, PRIOR = 2e-5, 0.4
+#: Most entries of bags that are fitted on the driver; more stay on the executors.
+DRIVER_ENTRIES = 2_000_000
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -118,63 +123,97 @@ def choose_features(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     best = (rows.mapInArrow(exact, "f string, pos long, neg long").groupBy("f")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .filter(F.col("pos") > n * share).withColumn("z", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))))
-            .filter(F.col("z") >= LEAST_Z)
-            .orderBy(F.desc("z"), "f").limit(MAX_FEATURES))
-    return sorted(r.f for r in best.select("f").collect())
+            .filter(F.col("z") >= LEAST_Z))
+    return sorted(best.select("f").toArrow().column("f").to_pylist())
 
 
 def bags(rows: DataFrame, feats: list[str]) -> DataFrame:
-    """(toxic, sent, feat): per document the sentence number and the feature of
-    each place of a feature, in two lists."""
-    at = {f: i for i, f in enumerate(feats)}
+    """(toxic, times, size, feat): of each document that has features of the
+    model, its distinct sentence bags: how often each occurs, how many entries
+    it has, and the entries of all."""
+    sent = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(feats)})
 
     def run(batches):
+        at = sent.value
         own = _Cache(lambda w: tuple(at[f] for f in features(w) if f in at))
         ints = pa.list_(pa.int32())
         for b in batches:
-            sent, feat = [], []
-            for t in b.column("text"):
-                s_of, f_of, k = [], [], 0
+            out: tuple[list, ...] = ([], [], [], [])
+            for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
+                found: dict[tuple[int, ...], int] = {}
                 for s in SENTENCE.findall((t.as_py() or "").lower()):
-                    words = set(WORD.findall(s))
-                    if words:
-                        for w in words:
-                            for f in own[w]:
-                                s_of.append(k)
-                                f_of.append(f)
-                        k += 1
-                sent.append(s_of)
-                feat.append(f_of)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(sent, ints), pa.array(feat, ints)],
-                                             names=["toxic", "sent", "feat"])
-
-    return rows.mapInArrow(run, "toxic int, sent array<int>, feat array<int>")
-
-
-def fit(table: pa.Table, n_features: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the noisy-or likelihood of the labels."""
-    y = table.column("toxic").to_numpy().astype(np.float64)
+                    bag = tuple(sorted(f for w in set(WORD.findall(s)) for f in own[w]))
+                    if bag:
+                        found[bag] = found.get(bag, 0) + 1
+                if found:
+                    for col, v in zip(out, (y, list(found.values()), [len(k) for k in found], [f for k in found for f in k])):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(v, ints) for v in out[1:])],
+                                             names=["toxic", "times", "size", "feat"])
+
+    return rows.mapInArrow(run, "toxic int, times array<int>, size array<int>, feat array<int>")
+
+
+def parts(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of the rows of :func:`bags`: label of each document, document and times
+    of each bag, bag and feature of each entry."""
     # straight from the Arrow lists: no Python object per entry
-    pairs = [table.column(c).combine_chunks() for c in ("sent", "feat")]
-    row = np.repeat(np.arange(len(y)), np.diff(pairs[0].offsets.to_numpy()))
-    sent, feats = (p.flatten().to_numpy() for p in pairs)
-    keys, sents = np.unique((row << 32) | sent, return_inverse=True)
-    docs, base = keys >> 32, len(keys)
-    del row, sent, keys, pairs
+    times, size, feat = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy() for c in ("times", "size", "feat"))
+    per_doc = pa.compute.list_value_length(table.column("times")).to_numpy()
+    docs = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    return table.column("toxic").to_numpy(), docs, times, np.repeat(np.arange(len(size), dtype=np.int32), size), feat
+
+
+def gradient(held: tuple[np.ndarray, ...], w: np.ndarray, b: float) -> np.ndarray:
+    """Gradient of the negative log-likelihood by weights and, last, bias."""
+    y, docs, times, sents, feats = held
+    z = np.clip(b + np.bincount(sents, weights=w[feats], minlength=len(docs)), -30, 30)
+    # log of the probability that no sentence offends
+    none = np.bincount(docs, weights=-times * np.logaddexp(0, z), minlength=len(y))
+    none = np.minimum(none, -1e-12)
+    # d loss / d none: 1 - y clean, else -e^none / (1 - e^none)
+    g = np.where(y > 0, np.exp(none) / -np.expm1(none), -1.0)
+    gz = -g[docs] * times / (1 + np.exp(-z))
+    return np.append(np.bincount(feats, weights=gz[sents], minlength=len(w)), gz.sum())
+
+
+def summed_gradient(bagged: DataFrame, w: np.ndarray, b: float) -> np.ndarray:
+    """:func:`gradient` over a table of bags, summed by the tasks."""
+    model = bagged.sparkSession.sparkContext.broadcast((w, b))
+
+    def run(batches):
+        w, b = model.value
+        g = np.zeros(len(w) + 1)
+        for batch in batches:
+            if batch.num_rows:
+                g += gradient(parts(pa.Table.from_batches([batch])), w, b)
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at])], names=["f", "g"])
+
+    got = bagged.mapInArrow(run, "f long, g double").groupBy("f").agg(F.sum("g").alias("g")).toArrow()  # one row per feature
+    model.unpersist()
+    out = np.zeros(len(w) + 1)
+    out[got.column("f").to_numpy()] = got.column("g").to_numpy()
+    return out
+
+
+def fit(bagged: DataFrame, n_features: int, n_rows: int) -> tuple[np.ndarray, float]:
+    """Weights and bias that maximise the noisy-or likelihood of the labels."""
+    entries = bagged.agg(F.sum(F.size("feat").cast("long") + F.size("size"))).first()[0] or 0
+    if not entries:
+        return np.zeros(n_features), -6.0
+    if entries <= DRIVER_ENTRIES:
+        held = parts(bagged.toArrow())
+        step_of = lambda w, b: gradient(held, w, b)
+    else:
+        step_of = lambda w, b: summed_gradient(bagged, w, b)
+    decay = min(DECAY, PRIOR / n_rows)
     w, b = np.zeros(n_features), -6.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, EPOCHS + 1):
-        z = np.clip(b + np.bincount(sents, weights=w[feats], minlength=base), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        # log of the probability that no sentence offends
-        none = np.bincount(docs, weights=-np.logaddexp(0, z), minlength=len(y))
-        none = np.minimum(none, -1e-12)
-        # d loss / d none: 1 - y clean, else -e^none / (1 - e^none)
-        g = np.where(y > 0, np.exp(none) / -np.expm1(none), -1.0) / len(y)
-        gz = -g[docs] * p
-        grad = np.append(np.bincount(feats, weights=gz[sents], minlength=n_features), gz.sum())
-        grad[:-1] += DECAY * w
-        grad[-1] += DECAY * (b + 6)
+        grad = step_of(w, b) / n_rows
+        grad[:-1] += decay * w
+        grad[-1] += decay * (b + 6)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-10)
@@ -191,16 +230,14 @@ def train(spark: SparkSession, rows: DataFrame) -> tuple[dict[str, float], float
     if not n_pos or not n_neg:
         return {}, float("-inf")
     feats = choose_features(rows, n_pos, n_neg)
-    part = min(1.0, FIT_ROWS / (n_pos + n_neg))
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(part * 1_000_000))
-    w, b = fit(bags(some, feats).toArrow(), len(feats))
+    w, b = fit(materialize(spark, bags(rows, feats), "tox_bags"), len(feats), n_pos + n_neg)
     return dict(zip(feats, w.tolist())), b
 
 
 def score(spark: SparkSession, docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
     """(doc_id, score, offending): the noisy-or score and the offending
     sentences as (start, stop, score), places in characters."""
-    model = spark.sparkContext.broadcast((weights, bias))  # at most MAX_FEATURES entries
+    model = spark.sparkContext.broadcast((weights, bias))
 
     def run(batches):
         weights, bias = model.value

@@ -45,6 +45,34 @@ def test_toxic_sentences_are_located(spark):
     assert toxicity.toxicity(spark, docs.limit(0), labelled).count() == 0
 
 
+def _rare_toxic_words(spark, n_words, docs_each):
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n_words)]
+    plain = "one two three four five six seven".split()
+    texts = [(" ".join(rnd.sample(plain, 4)) + ". " + w + " here", 1) for w in words for _ in range(docs_each)]
+    texts += [(" ".join(rnd.sample(plain, 4)) + ". nothing here", 0) for _ in range(4 * len(texts))]
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)]
+    return words, spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+
+
+def test_every_rare_toxic_word_is_learned(spark):
+    """400 words of 8 documents each have more than 1,024 features."""
+    words, labelled = _rare_toxic_words(spark, 400, 8)
+    docs = spark.createDataFrame([(i, w + " here") for i, w in enumerate(words)], "doc_id long, text string")
+    assert all(r.score >= 0.5 for r in toxicity.toxicity(spark, docs, labelled).collect())
+
+
+def test_weights_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 12)
+    _, labelled = _rare_toxic_words(spark, 12, 8)
+    one, bias = toxicity.train(spark, labelled)
+    monkeypatch.setattr(toxicity, "DRIVER_ENTRIES", 0)
+    other, bias_too = toxicity.train(spark, labelled)
+    assert one and one == pytest.approx(other, rel=1e-6) and bias == pytest.approx(bias_too, rel=1e-6)
+
+
 def test_language_held_out(spark):
     got = queries.op10_langid(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
