@@ -10,8 +10,8 @@ fitted to document labels alone by gradient descent on that likelihood. The
 sentences with a score of one half or more are the offending ones.
 
 Learning: over all labelled rows, documents with each feature are counted by
-label, first in 262,144 hash buckets, then exactly for the features in the most
-telling buckets; every one of these that stands out for the toxic label is kept.
+label, exactly and for every feature (each task sums its own first); every one
+that stands out for the toxic label is kept.
 The weights are fitted on all labelled rows: each document is reduced to its
 distinct bags of features, and each step's gradient is summed over the
 documents, by the tasks or, for up to DRIVER_ENTRIES features in bags, on the
@@ -26,7 +26,6 @@ ignored.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,8 @@ from tallyfs.llm.common import materialize, prepare
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
-HASHES = 1 << 18
-HASHED_KEPT = 8192
+#: Features that a task counts before it passes its sums on.
+HELD = 1 << 19
 #: Standard errors by which a feature must stand out.
 LEAST_Z = 4.5
 CACHE = 400_000
@@ -56,10 +55,6 @@ def features(word: str) -> tuple[str, ...]:
     return (word + "$", *(word[:k] for k in PREFIXES if k <= len(word)))
 
 
-def _bucket(f: str) -> int:
-    return zlib.crc32(f.encode()) % HASHES
-
-
 class _Cache(dict):
     """word -> value, at most CACHE entries."""
 
@@ -74,53 +69,40 @@ class _Cache(dict):
         return v
 
 
-def standing_out(pos, neg, n_pos: float, n_neg: float):
-    """Signed root of the likelihood ratio of a feature's documents against the
-    labels' shares: how far it stands out for the toxic label."""
-    n, share = pos + neg, n_pos / (n_pos + n_neg)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = (np.where(pos > 0, pos * np.log(pos / (n * share)), 0.0)
-                 + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0.0))
-    return np.where(pos > n * share, 1.0, -1.0) * np.sqrt(2 * np.maximum(0.0, ratio))
+def choose_features(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
+    """The features of ``rows`` (text, toxic) that stand out for the toxic
+    label: the signed root of the likelihood ratio of a feature's documents
+    against the labels' shares is LEAST_Z or more."""
 
+    def counted(batches):
+        at: dict[str, int] = {}
+        ids = _Cache(lambda w: tuple(at.setdefault(f, len(at)) for f in features(w)))
+        n = np.zeros((2, 1 << 16), dtype=np.int64)
 
-def choose_features(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """The features of ``rows`` (text, toxic) that stand out most."""
+        def sums():
+            fs = list(at)
+            return pa.RecordBatch.from_arrays([pa.array(fs, pa.string()), pa.array(n[1, :len(fs)]), pa.array(n[0, :len(fs)])],
+                                              names=["f", "pos", "neg"])
 
-    def hashed(batches):
-        n = np.zeros((2, HASHES), dtype=np.int64)
-        ids = _Cache(lambda w: tuple(_bucket(f) for f in features(w)))
-        for b in batches:
-            for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
-                words = set(WORD.findall((t.as_py() or "").lower()))
-                n[y, np.unique([i for w in words for i in ids[w]]).astype(np.int64)] += 1
-        at = np.flatnonzero(n.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], names=["h", "pos", "neg"])
-
-    got = (rows.mapInArrow(hashed, "h long, pos long, neg long").groupBy("h")
-           .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow())  # at most HASHES rows
-    z = standing_out(got.column("pos").to_numpy(), got.column("neg").to_numpy(), n_pos, n_neg)
-    top = np.argsort(-z, kind="stable")[:HASHED_KEPT]
-    keep = frozenset(got.column("h").to_numpy()[top[z[top] >= LEAST_Z]].tolist())
-
-    def exact(batches):
-        n: dict[str, list[int]] = {}
-        own = _Cache(lambda w: tuple(f for f in features(w) if _bucket(f) in keep))
         for b in batches:
             for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
                 words = set(WORD.findall((t.as_py() or "").lower()))
-                for f in {f for w in words for f in own[w]}:
-                    n.setdefault(f, [0, 0])[y] += 1
-            fs = list(n)
-            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.string()), pa.array([n[f][1] for f in fs], pa.int64()),
-                                              pa.array([n[f][0] for f in fs], pa.int64())], names=["f", "pos", "neg"])
-            n = {}
+                got = np.unique(np.array([i for w in words for i in ids[w]], dtype=np.int64))
+                if len(at) > n.shape[1]:
+                    n = np.concatenate([n, np.zeros((2, max(n.shape[1], len(at) - n.shape[1])), dtype=np.int64)], axis=1)
+                n[y, got] += 1
+                if len(at) >= HELD:
+                    yield sums()
+                    at.clear()
+                    ids.clear()
+                    n[:] = 0
+        yield sums()
 
     share = n_pos / (n_pos + n_neg)
     n = F.col("pos") + F.col("neg")
     ratio = (F.when(F.col("pos") > 0, F.col("pos") * F.log(F.col("pos") / (n * share))).otherwise(0.0)
              + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - share)))).otherwise(0.0))
-    best = (rows.mapInArrow(exact, "f string, pos long, neg long").groupBy("f")
+    best = (rows.mapInArrow(counted, "f string, pos long, neg long").groupBy("f")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .filter(F.col("pos") > n * share).withColumn("z", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))))
             .filter(F.col("z") >= LEAST_Z))

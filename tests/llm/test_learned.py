@@ -64,6 +64,28 @@ def test_every_rare_toxic_word_is_learned(spark):
     assert all(r.score >= 0.5 for r in toxicity.toxicity(spark, docs, labelled).collect())
 
 
+@pytest.mark.parametrize("held", [1 << 19, 50])
+def test_no_feature_is_lost_to_others_with_its_hash(spark, monkeypatch, held):
+    """Clean words whose features share the toxic word's hashes (modulo 2**18)."""
+    import random
+
+    monkeypatch.setattr(toxicity, "HELD", held, raising=False)
+    rnd, toxic = random.Random(1), "zorkfulness"
+    open_hashes = {zlib.crc32(f.encode()) % (1 << 18) for f in toxicity.features(toxic)}
+    clean = []
+    while open_hashes:
+        w = "".join(rnd.choice("abcdefghijklm") for _ in range(9))
+        hit = open_hashes & {zlib.crc32(f.encode()) % (1 << 18) for f in toxicity.features(w)}
+        if hit:
+            clean.append(w)
+            open_hashes -= hit
+    rows = [(i, "one two " + (toxic if i % 5 == 0 else " ".join(clean)), int(i % 5 == 0)) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([(0, toxic), (1, " ".join(clean))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark, docs, labelled).collect()}
+    assert got[0] >= 0.5 and got[1] < 0.5
+
+
 def test_weights_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EPOCHS", 12)
     _, labelled = _rare_toxic_words(spark, 12, 8)
