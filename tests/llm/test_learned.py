@@ -95,6 +95,14 @@ def test_weights_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
     assert one and one == pytest.approx(other, rel=1e-6) and bias == pytest.approx(bias_too, rel=1e-6)
 
 
+def test_long_documents_come_as_distinct_bags(spark):
+    """What reaches the fit does not grow with repeated sentences."""
+    rows = spark.createDataFrame([(("a zork here. zork. " * 5000) + "fool zork. plain words.", 1), ("plain words. " * 5000, 0)],
+                                 "text string, toxic int")
+    got = toxicity.bags(rows, ["fool$", "zork$"]).collect()
+    assert [(r.toxic, r.times, r.size, r.feat) for r in got] == [(1, [10000, 1], [1, 2], [1, 0, 1])]
+
+
 def test_language_held_out(spark):
     got = queries.op10_langid(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
