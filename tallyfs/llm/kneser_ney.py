@@ -18,9 +18,9 @@ PRIOR_CHARS characters so that short texts are not judged on noise.
 Defined cases: null text counts as empty; a text is its characters after three
 start marks and before an end mark, so an empty one has one event; characters
 outside the Basic Multilingual Plane count as one symbol; a language (or null)
-with fewer than MIN_TRUSTED trusted rows takes the quantiles over all
-languages; without any trusted row nothing is rejected; repeated rows are
-judged one by one; other columns are ignored.
+with fewer than MIN_TRUSTED trusted rows cannot be judged, by its own text for
+want of it nor by that of other languages, so all its rows are kept and lo and
+hi are null; repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,7 +264,8 @@ def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, low: f
 
     The range of a language runs from its trusted rows' quantile 1 - ``high``
     to 1 - ``low`` of the score, widened on both sides by ``slack`` of the
-    distance to the median.
+    distance to the median. A language with fewer than MIN_TRUSTED trusted rows
+    has none and is kept.
     """
     scored = perplexities(spark, docs, trusted_ids)
     trusted = scored.filter("trusted")
@@ -277,13 +278,11 @@ def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, low: f
               .withColumn("m", F.coalesce("m", F.lit(all_mean)))
               .withColumn("score", (F.col("logp") + PRIOR_CHARS * F.col("m")) / (F.col("n_chars") + PRIOR_CHARS)))
     q = F.percentile_approx("score", F.array(F.lit(1 - high), F.lit(0.5), F.lit(1 - low)), F.lit(10000))
-    q_all = placed.filter("trusted").agg(q).first()[0]
-    q_all = F.array(*[F.lit(float(v)) for v in q_all]) if q_all else F.lit(None).cast("array<double>")
     q_lang = (placed.filter("trusted").groupBy("l").agg(q.alias("q"), F.count("*").alias("c"))
               .filter(F.col("c") >= MIN_TRUSTED).drop("c"))
     q_lang, _ = bounded_broadcast(q_lang, BROADCAST_ROWS)
     within = F.coalesce((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), F.lit(True))
-    return (placed.join(q_lang, "l", "left").withColumn("q", F.coalesce("q", q_all))
+    return (placed.join(q_lang, "l", "left")
             .withColumn("lo", F.expr(f"q[0] - {slack} * (q[1] - q[0])"))
             .withColumn("hi", F.expr(f"q[2] + {slack} * (q[2] - q[1])"))
             .select("doc_id", "rk", "lang", "trusted", F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"),

@@ -77,6 +77,20 @@ def test_planted_junk_goes_and_clean_stays(spark):
     assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 300)
 
 
+def test_languages_without_enough_trusted_rows_are_kept(spark):
+    """None, a few, and null as the language; junk of a judged language goes."""
+    rnd = random.Random(2)
+    words = ["быстрая", "лиса", "прыгает", "через", "ленивую", "собаку"]
+    clean = [(3000 + i, " ".join(rnd.choice(words) for _ in range(60)), ["ru", "uk", None][i % 3], 0) for i in range(90)]
+    df = spark.createDataFrame(docs() + clean, "doc_id long, text string, lang string, kept int")
+    few = [3000 + i for i in range(90) if i % 3 == 1][:5]
+    trusted = spark.createDataFrame([(i,) for i in [*range(0, 300, 2), *few]], "doc_id long")
+    got = kn.quality(spark, df, trusted).collect()
+    other = [r for r in got if r.doc_id is not None and r.doc_id >= 3000]
+    assert len(other) == 90 and all(r.kept and r.lo is None and r.hi is None for r in other)
+    assert not any(r.kept for r in got if r.doc_id in range(1000, 1020))
+
+
 def test_no_trusted_rows_and_empty_table(spark):
     df = spark.createDataFrame(docs()[:5], "doc_id long, text string, lang string, n int")
     none = spark.createDataFrame([], "doc_id long")
