@@ -11,13 +11,13 @@ again in double precision from the vectors themselves, which alone decides.
 Pairs to estimate: equal vectors are one representative. The vectors of a label
 are dealt to cells by their nearest pivot (pivots are a bounded sample, one per
 CELL_ROWS vectors, MAX_PIVOTS in all; every vector is indexed). A vector is
-compared with the cells that could hold a neighbour: those whose pivot is, by
-PROBE standard errors of the same kind, within reach. Cells are compared block
-by block (BLOCK rows of either side), so a cell that holds a third of all
-vectors is many tasks. A label of up to CELL_ROWS vectors is one cell, and
-nothing is missed there but by the code's error bound; recall against brute
-force is measured in the tests. Blocks return link counts and a spanning forest
-of their links, never the pairs.
+compared with every cell that can hold a neighbour, whatever its direction: a
+neighbour t x + sqrt(1 - t^2) u of x, u orthogonal to x, is no nearer to pivot
+p' than to x's own p if x (p - p') > sqrt(1 - t^2) |p - p'|. Cells are compared
+block by block (BLOCK rows of either side), so a cell that holds a third of all
+vectors is many tasks; in the blocks the codes prune. Nothing is missed but by
+the code's error bound. Blocks return link counts and a spanning forest of their
+links, never the pairs.
 
 Defined cases: a null label, a null, empty or zero vector, and null or
 non-finite components link with nothing; vectors of different lengths are never
@@ -40,7 +40,8 @@ from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, connected_comp
 
 THRESHOLD = 0.93
 ERRORS = 5.0
-PROBE = 4.0
+#: Allowance for rounding where cells are ruled out.
+ROUNDING = 1e-9
 CELL_ROWS = 4096
 MAX_PIVOTS = 8192
 BLOCK = 2048
@@ -125,10 +126,11 @@ def _block_links(threshold: float, turn_seed: int):
     return run
 
 
-def _cells(pivots: dict, probe: float, threshold: float):
+def _cells(pivots: dict, threshold: float):
     """Partition function: each representative's home cell and the cells it
     must be compared with."""
-    away = math.sqrt(1 - threshold * threshold)
+    # below 0 a neighbour may be anywhere
+    away = math.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else float("inf")
 
     def run(batches):
         for pdf in batches:
@@ -143,8 +145,8 @@ def _cells(pivots: dict, probe: float, threshold: float):
                     home = near.argmax(axis=1)
                     gap = near.max(axis=1, keepdims=True) - near
                     apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))[home]
-                    # a neighbour is threshold * x + away * (random direction)
-                    reach = threshold * gap <= probe * away * apart / math.sqrt(max(1, dim - 1))
+                    # the home cell is always within reach (infinity times no distance is not a number)
+                    reach = ~(gap > away * apart + ROUNDING)
                 q, cell = np.nonzero(reach)
                 rep, v, n = part["rep"].to_numpy(), part["v"].to_numpy(), part["n"].to_numpy()
                 out.append(pd.DataFrame({"label": label, "dim": dim, "cell": home, "base": True, "rep": rep, "v": v, "n": n}))
@@ -177,7 +179,7 @@ def choose_pivots(reps: DataFrame) -> dict:
     return {k: unit(np.stack(g["v"].to_numpy()).astype(np.float64)) for k, g in got.groupby(["label", "dim"])}
 
 
-def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, probe: float = PROBE) -> DataFrame:
+def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id,
     n_links (others linked directly), component_id (smallest vec_id reachable),
     kept (vec_id = component_id)."""
@@ -192,7 +194,7 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float =
             .withColumn("dim", F.size("v")))
     reps = materialize(spark, reps, "emb_reps")
     placed = reps.select("label", "dim", "rep", "v", "n").mapInPandas(
-        _cells(choose_pivots(reps), probe, threshold),
+        _cells(choose_pivots(reps), threshold),
         "label long, dim int, cell int, base boolean, rep long, v array<double>, n long")
     placed = materialize(spark, placed, "emb_cells")
     # Two-way blocks: each query block of a cell meets each base block.

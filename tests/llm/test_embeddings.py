@@ -60,6 +60,36 @@ def test_equals_brute_force(spark, monkeypatch, cell_rows, block):
         assert 0.99 * total <= kept <= total
 
 
+@pytest.mark.parametrize("dim", [128, 768])
+def test_links_between_neighbouring_families_in_other_cells(spark, monkeypatch, dim):
+    """Two dense families with centres at cosine 0.95, several cells each."""
+    monkeypatch.setattr(emb, "CELL_ROWS", 50)
+    rnd = np.random.default_rng(dim)
+    one, side = np.linalg.qr(rnd.standard_normal((dim, 2)))[0].T
+    centres = [one, 0.95 * one + (1 - 0.95 ** 2) ** 0.5 * side]
+    x = np.concatenate([c + 0.05 * rnd.standard_normal((150, dim)) / dim ** 0.5 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in emb.embedding_dedup(spark, df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert links.min() > 150
+    assert got == {i: (int(n), 0) for i, n in enumerate(links)}
+
+
+def test_cells_within_reach_hold_every_neighbour():
+    """Pivots that are data points, neighbours straight towards another pivot."""
+    import pandas as pd
+
+    rnd = np.random.default_rng(8)
+    one, side = np.linalg.qr(rnd.standard_normal((768, 2)))[0].T
+    pivots = np.array([one, 0.95 * one + (1 - 0.95 ** 2) ** 0.5 * side])
+    pdf = pd.DataFrame({"label": 0, "dim": 768, "rep": [0], "v": [one.tolist()], "n": 1})
+    out = next(emb._cells({(0, 768): pivots}, 0.93)(iter([pdf])))
+    assert sorted(out[~out["base"]]["cell"]) == [0, 1]
+    far = next(emb._cells({(0, 768): np.array([one, side])}, 0.93)(iter([pdf])))
+    assert list(far[~far["base"]]["cell"]) == [0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert emb.embedding_dedup(spark, df).count() == 0
