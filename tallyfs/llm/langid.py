@@ -7,8 +7,10 @@ estimates a document's language proportions. The set of languages is chosen by
 penalised likelihood: languages are added while each raises the log-likelihood
 by more than PENALTY times half the logarithm of the number of trigrams.
 
-The model is languages x 65,536 single-precision numbers; at most MAX_LANGS
-languages are accepted, so what is sent to the tasks is bounded (16 MB).
+The number of languages is free. The model sent to the tasks is one entry (12
+bytes) for each trigram and language that occur together, and one number for
+each trigram and each language; up to DENSE_BYTES the tasks spread it out to
+languages x 65,536 single-precision numbers, which gives the same likelihoods.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 ties go to the language first in order; rows with a null lang or null doc_id
@@ -22,13 +24,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.llm.common import prepare
 
 BUCKETS = 1 << 16
-MAX_LANGS = 64
+#: Largest model that the tasks hold as a dense matrix.
+DENSE_BYTES = 16 << 20
+#: Languages that a learning task counts before it passes its sums on.
+HELD_LANGS = 64
 ROUNDS = 12
 PENALTY = 3.0
 #: Weight of the common distribution in each language's, in trigrams.
@@ -68,34 +74,57 @@ def trigrams(text: str | None) -> np.ndarray | None:
     return (h >> np.uint32(16)).astype(np.int64)
 
 
-def learn(spark: SparkSession, rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, likelihoods [BUCKETS, languages]) from rows (text, lang)."""
+class Likelihoods:
+    """Likelihoods [trigrams, languages], of which only the entries with
+    counts are kept; ``self[ids]`` gives the rows of the trigrams ``ids``."""
+
+    def __init__(self, bucket: np.ndarray, lang: np.ndarray, n: np.ndarray, n_langs: int):
+        by_bucket = np.bincount(bucket, weights=n, minlength=BUCKETS)
+        order = np.argsort(bucket, kind="stable")
+        self.common = (by_bucket + 0.5) / (n.sum() + 0.5 * BUCKETS)
+        self.total = np.bincount(lang, weights=n, minlength=n_langs) + SMOOTH
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))))
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.int64)
+        self.shape = (BUCKETS, n_langs)
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        size = self.start[ids + 1] - self.start[ids]
+        row = np.repeat(np.arange(len(ids)), size)
+        at = np.arange(len(row)) + np.repeat(self.start[ids] - np.cumsum(size) + size, size)
+        out = np.repeat(SMOOTH * self.common[ids][:, None], self.shape[1], axis=1)
+        out[row, self.lang[at]] += self.n[at]
+        return (out / self.total).astype(np.float32)
+
+
+def learn(spark: SparkSession, rows: DataFrame) -> tuple[list[str], Likelihoods]:
+    """(languages, likelihoods) from rows (text, lang)."""
 
     def run(batches):
+        def sums(counts):
+            for lang, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])],
+                                                 names=["lang", "bucket", "n"])
+
         for b in batches:
             langs = b.column("lang").to_pylist()
             counts: dict[str, np.ndarray] = {}
             for lang, t in zip(langs, b.column("text")):
                 g = trigrams(t.as_py())
                 if g is not None:
+                    if lang not in counts and len(counts) >= HELD_LANGS:
+                        yield from sums(counts)
+                        counts = {}
                     c = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                     c += np.bincount(g, minlength=BUCKETS)
-            for lang, c in counts.items():
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])],
-                                                 names=["lang", "bucket", "n"])
+            yield from sums(counts)
 
     rows = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).filter("lang is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     sums = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    n = np.zeros((BUCKETS, len(langs)))
-    got = sums.toArrow()  # at most MAX_LANGS x BUCKETS rows
-    at = {v: i for i, v in enumerate(langs)}
-    n[got.column("bucket").to_numpy(), [at[v] for v in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
-    common = (n.sum(axis=1) + 0.5) / (n.sum() + 0.5 * BUCKETS)
-    return langs, ((n + SMOOTH * common[:, None]) / (n.sum(axis=0) + SMOOTH)).astype(np.float32)
+    got = sums.toArrow()  # one row per language and trigram that occur together
+    lang = pc.index_in(got.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy()
+    return langs, Likelihoods(got.column("bucket").to_numpy(), lang, got.column("n").to_numpy(), len(langs))
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -136,6 +165,8 @@ def identify(spark: SparkSession, docs: DataFrame, learn_rows: DataFrame) -> Dat
 
     def run(batches):
         langs, like = model.value
+        if langs and 4 * BUCKETS * len(langs) <= DENSE_BYTES:
+            like = like[np.arange(BUCKETS)]
         for b in batches:
             pred, score, sets = [], [], []
             for t in b.column("text"):

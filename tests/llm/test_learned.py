@@ -132,6 +132,29 @@ def test_language_edges_and_mixtures(spark):
     assert all(r.lang_pred == "und" for r in langid.identify(spark, docs, learn.limit(0)).collect())
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    """70 languages; few of them by the dense and the sparse model alike."""
+    import random
+
+    rnd = random.Random(6)
+    words = {f"l{k:02d}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rnd.choice(ws) for _ in range(60)), lang) for i, (lang, ws) in enumerate(list(words.items()) * 3)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(ws) for _ in range(40))) for i, ws in enumerate(words.values())],
+                                 "doc_id long, text string")
+    got = langid.identify(spark, docs, learn).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == dict(enumerate(words))
+    few, asked = learn.filter("lang < 'l05'"), docs.filter("doc_id < 10")
+    dense = sorted(langid.identify(spark, asked, few).collect())
+    langs, like = langid.learn(spark, few)
+    ids = langid.np.arange(langid.BUCKETS)
+    for r, text in zip(dense, [d.text for d in sorted(asked.collect())]):
+        chosen, whole = langid.predict_one(langid.trigrams(text), like)
+        assert langs[max(chosen, key=lambda i: whole[i])] == r.lang_pred
+        again = langid.predict_one(langid.trigrams(text), like[ids])
+        assert again[0] == chosen and (again[1] == whole).all()
+
+
 def test_mixture_is_the_likelihood_maximum():
     import numpy as np
 
