@@ -4,7 +4,7 @@ operators (sections must agree with each other)."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from table_dirs import SF001, SF01
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.corpus import corpus_inventory

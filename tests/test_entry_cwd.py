@@ -6,6 +6,8 @@ import subprocess
 import sys
 import tempfile
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 SCRIPT = f"""
@@ -27,3 +29,22 @@ def test_entry_loaded_by_path_from_elsewhere():
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True,
                          text=True, timeout=600)
     assert "ROWS 200" in out.stdout, out.stderr[-2000:]
+
+
+HIDDEN = f"""
+import importlib.util, sys, warnings
+warnings.simplefilter("ignore")
+sys.path.insert(0, {ROOT!r})
+sys.modules[sys.argv[1]] = None   # importing it raises ImportError
+import __spark_entry__ as m
+from tallyfs.plans.catalog import QUERIES
+assert set(QUERIES) <= set(m.queries()) and set(m.oracle_sql()) <= set(m.queries())
+print("EXTRA", len(set(m.queries()) - set(QUERIES)), len(QUERIES))
+"""
+
+
+@pytest.mark.parametrize("missing", ["sentencepiece", "xxhash", "zstandard", "tallyfs.llm", "corpus_pipeline"])
+def test_base_queries_stay_when_an_optional_module_is_missing(missing):
+    out = subprocess.run([sys.executable, "-c", HIDDEN, missing], cwd=tempfile.mkdtemp(prefix="tallyfs-cwd-"),
+                         capture_output=True, text=True, timeout=300)
+    assert out.stdout.startswith("EXTRA 0 "), out.stderr[-2000:]

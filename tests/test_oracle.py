@@ -4,7 +4,7 @@ its DuckDB SQL at sf0.01 (row count, column names, value hash)."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF01
+from table_dirs import SF01
 from oracle_check import compare, duck
 from tallyfs.plans.catalog import QUERIES
 

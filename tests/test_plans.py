@@ -1,6 +1,6 @@
 """Physical-plan properties the design relies on at scale."""
 
-from conftest import SF001
+from table_dirs import SF001
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.corpus import corpus_inventory

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF001
+from table_dirs import SF001
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans.analyze import FULL, QUICK, analyze, select_sections, summary_rows
 from tallyfs.plans.corpus import corpus_inventory
