@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.plans.materialize import bounded_broadcast, materialize
 from tallyfs.session import ensure_checkpoint_dir, ship_package
 
-__all__ = ["bounded_broadcast", "connected_components", "documents", "hot_join", "keep_keys",
+__all__ = ["bounded_broadcast", "connected_components", "documents", "hot_join", "free_name", "keep_keys", "lean",
            "materialize", "prepare", "row_key", "lower_ascii", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,6 +41,36 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def release_memory() -> None:
+    """Give memory that is free but held back to the system: a worker that
+    Spark keeps for the next task should not keep the last one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run`` (batches to batches), with the memory released when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Key of a row by its id and text; rows equal in both share it."""
     return F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
@@ -69,9 +102,10 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: str, count_col: str, salt_by:
 def keep_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose :func:`row_key` is in ``keys`` (column ``rk``),
     one row for each key: rows equal in id and text count as one."""
-    keyed = docs.withColumn("_rk", row_key())
-    kept = keyed.join(keys.select(F.col("rk").alias("_rk")), "_rk", "left_semi")
-    return kept.dropDuplicates(["_rk"]).select(*docs.columns)
+    rk = free_name(docs, "_rk")
+    keyed = docs.withColumn(rk, row_key())
+    kept = keyed.join(keys.select(F.col("rk").alias(rk)), rk, "left_semi")
+    return kept.dropDuplicates([rk]).select(*docs.columns)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

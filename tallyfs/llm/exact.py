@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm.common import hot_join, materialize, prepare, row_key
+from tallyfs.llm.common import hot_join, lean, materialize, prepare, row_key
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 WINDOW = 16
@@ -35,6 +35,8 @@ SLICE = 1 << 20
 DIGEST_BYTES = 16
 #: Chunk bytes that a task remembers, to send a repeated chunk once.
 SEEN_CHUNKS = 200_000
+#: Chunk bytes that leave a task at once.
+BATCH_BYTES = 4 << 20
 
 
 def _gear() -> np.ndarray:
@@ -101,7 +103,7 @@ def recipes(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
                 names=["doc_id", "rk", "recipe", "text_sha256"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("rk", row_key())
-            .mapInArrow(run, "doc_id long, rk string, recipe binary, text_sha256 string"))
+            .mapInArrow(lean(run), "doc_id long, rk string, recipe binary, text_sha256 string"))
 
 
 def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
@@ -109,8 +111,13 @@ def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
 
     def run(batches):
         seen: set = set()
+
+        def sent(ids, data):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(data, pa.binary())],
+                                              names=["digest", "chunk"])
+
         for b in batches:
-            ids, data = [], []
+            ids, data, size = [], [], 0
             for t in b.column("text").cast(pa.binary()):
                 for d, piece in _chunks(normalise(t.as_py()), width):
                     mark = (d, hash(piece))
@@ -120,10 +127,13 @@ def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
                         seen.add(mark)
                         ids.append(d)
                         data.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(data, pa.binary())],
-                                             names=["digest", "chunk"])
+                        size += len(piece)
+                        if size >= BATCH_BYTES:
+                            yield sent(ids, data)
+                            ids, data, size = [], [], 0
+            yield sent(ids, data)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary, chunk binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "digest binary, chunk binary")
 
 
 def collisions(docs: DataFrame, narrow: DataFrame, width: int) -> DataFrame:

@@ -8,7 +8,7 @@ joins and aggregations over the n-gram tables.
 Scoring: documents are packed into shards of about SHARD_CHARS characters. A
 shard asks for its distinct n-grams only; the requests of all shards are joined
 with the model by n-gram and return by shard to the packed texts, which lie in
-a bucketed table and do not move. Nothing of the model is broadcast or
+a bucketed table below the checkpoint folder and do not move. Nothing of the model is broadcast or
 collected, and its size is not limited.
 
 Decision: per language, a document's mean log-probability is compared with
@@ -33,11 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, materialize, prepare, row_key
+from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, lean, materialize, prepare, release_memory, row_key
+from tallyfs.session import scratch_path
 
 ORDER = 4
 START, END = "\x02", "\x03"
 SHARD_CHARS = 8_000_000
+#: Characters whose n-grams are indexed at once: what a task holds beside its
+#: texts does not grow with a batch, a shard or a giant text.
+BLOCK_CHARS = 500_000
 #: Largest lookup table of the n-gram indexer; beyond it, sorting is used.
 TABLE = 1 << 24
 PRIOR_CHARS = 200
@@ -83,34 +87,41 @@ def grams(pieces: list[bytes]):
     return code.view(np.int64), inv, n, np.maximum(sizes - ORDER + 1, 0)
 
 
-def pieces_of(text: str | None, chars: int = SHARD_CHARS):
+def pieces_of(text: str | None, chars: int | None = None):
     """The marked text in pieces of ``chars`` n-grams at most, overlapping so
-    that each n-gram is in one piece."""
-    marked = START * (ORDER - 1) + (text or "") + END
-    for k in range(0, len(marked) - ORDER + 1, chars):
-        yield marked[k:k + chars + ORDER - 1].encode("utf-8", "replace")
+    that each n-gram is in one piece. Only one piece is held at a time."""
+    text = text or ""
+    chars = chars or min(BLOCK_CHARS, SHARD_CHARS)
+    before = ORDER - 1
+    for k in range(0, len(text) + 1, chars):  # n-gram i ends at symbol i of text + END
+        piece = START * max(0, before - k) + text[max(0, k - before):k + chars]
+        yield (piece + END if k + chars > len(text) else piece).encode("utf-8", "replace")
+
+
+def blocks(pieces, size: int | None = None):
+    """``pieces`` in lists of about ``size`` bytes, never an empty list."""
+    size, held, n = size or BLOCK_CHARS, [], 0
+    for p in pieces:
+        held.append(p)
+        n += len(p)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the column ``text``."""
+    """(gram, n) over the column ``text``. Each block's counts leave the task
+    before the next block is read."""
 
     def run(batches):
         for b in batches:
-            held, size = [], 0
-            parts = []
-            for t in b.column("text"):
-                for p in pieces_of(t.as_py()):
-                    held.append(p)
-                    size += len(p)
-                    if size >= SHARD_CHARS:
-                        parts.append(grams(held))
-                        held, size = [], 0
-            if held:
-                parts.append(grams(held))
-            for code, _, n, _ in parts:
+            for held in blocks(p for t in b.column("text") for p in pieces_of(t.as_py())):
+                code, _, n, _ = grams(held)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _suffix(k: int):
@@ -181,7 +192,7 @@ def pack(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
                 out = {c: [v.take(rows).to_pylist()] for c, v in cols.items()}
                 pieces = [p for _, _, p in held]
                 out |= {"shard": [f"{out['seq'][0][0]}-{held[0][1]}"], "size": [[len(p) for p in pieces]],
-                        "text": [zstandard.compress(b"".join(pieces), 3)], "grams": [grams(pieces)[0]]}
+                        "text": [zstandard.compress(b"".join(pieces), 3)], "grams": [distinct_grams(pieces)]}
                 return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
             held, size = [], 0
@@ -200,14 +211,23 @@ def pack(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
                         ("size", ints), ("text", pa.binary()), ("grams", ints)])
     rows = docs.select(F.monotonically_increasing_id().alias("seq"), F.col("doc_id").cast("long"),
                        row_key().alias("rk"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    packed = rows.mapInArrow(run, "shard string, seq array<long>, doc_id array<long>, rk array<string>, "
+    packed = rows.mapInArrow(lean(run), "shard string, seq array<long>, doc_id array<long>, rk array<string>, "
                                   "lang array<string>, size array<long>, text binary, grams array<long>")
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     name = f"tallyfs_kn_{uuid.uuid4().hex[:12]}"
-    packed.write.bucketBy(int(min(2000, max(2, chars // SHARD_CHARS))), "shard").format("parquet").saveAsTable(name)
+    packed.write.bucketBy(int(min(2000, max(2, chars // SHARD_CHARS))), "shard") \
+        .option("path", scratch_path(spark, "kn_shards")).format("parquet").saveAsTable(name)
     return spark.table(name), name
 
 
+def distinct_grams(pieces: list[bytes]) -> np.ndarray:
+    """The distinct codes of ``pieces``, block by block."""
+    out = np.array([], dtype=np.int64)
+    for held in blocks(pieces):
+        out = np.union1d(out, grams(held)[0])
+    return out
+
+
 def _score(packed: pa.Table, probs: pa.Table) -> pa.Table:
     """Log-probability and events of each piece of one shard."""
     names = ["seq", "doc_id", "rk", "lang", "logp", "n"]
@@ -216,17 +236,21 @@ def _score(packed: pa.Table, probs: pa.Table) -> pa.Table:
     for r in packed.to_pylist() if packed.num_rows else []:
         ends = np.cumsum(r["size"])
         data = zstandard.decompress(r["text"])
-        held = [data[e - s:e] for e, s in zip(ends.tolist(), r["size"])]
-        code, inv, _, places = grams(held)
         known, lp = probs.column("gram").to_numpy(), probs.column("logp").to_numpy()
         order = np.argsort(known)
-        at = np.searchsorted(known, code, sorter=order)
-        at = order[np.minimum(at, len(known) - 1)]
-        if not np.array_equal(known[at], code):
-            raise RuntimeError("a shard lacks n-grams that it asked for")
-        steps = np.concatenate(([0.0], np.cumsum(lp[at].astype(np.float64)[inv])))
-        stop = np.cumsum(places)
-        out.append([r["seq"], r["doc_id"], r["rk"], r["lang"], steps[stop] - steps[stop - places], places])
+        known, lp = known[order], lp[order].astype(np.float64)
+        sums, events = [], []
+        for held in blocks(data[e - s:e] for e, s in zip(ends.tolist(), r["size"])):
+            code, inv, _, places = grams(held)
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            if not np.array_equal(known[at], code):
+                raise RuntimeError("a shard lacks n-grams that it asked for")
+            steps = np.concatenate(([0.0], np.cumsum(lp[at][inv])))
+            stop = np.cumsum(places)
+            sums.append(steps[stop] - steps[stop - places])
+            events.append(places)
+        out.append([r["seq"], r["doc_id"], r["rk"], r["lang"], np.concatenate(sums), np.concatenate(events)])
+    release_memory()
     cols = [pa.array(np.concatenate([o[k] for o in out]) if k > 3 else [v for o in out for v in o[k]], t) if out
             else pa.array([], t) for k, t in enumerate(types)]
     return pa.table(cols, names=names)
@@ -244,16 +268,17 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -
     model = train(spark, base.join(marks, "doc_id", "left_semi"))
     symbols = model[0][0].count()
     packed, name = pack(spark, base)
-    asked = spark.table(name).select(F.col("shard").alias("asker"), F.explode("grams").alias("gram"))
-    probs = materialize(spark, log_probs(model, asked.select("gram").distinct(), symbols), "kn_probs")
-    parts = (packed.drop("grams").groupBy("shard")
-             .cogroup(asked.join(probs, "gram").groupBy("asker"))
-             .applyInArrow(_score, "seq long, doc_id long, rk string, lang string, logp double, n long"))
-    whole = parts.groupBy("seq", "doc_id", "rk", "lang").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n_chars"))
-    scored = materialize(spark, whole.join(marks.withColumn("trusted", F.lit(True)), "doc_id", "left")
-                         .withColumn("trusted", F.coalesce("trusted", F.lit(False))).drop("seq"), "kn_scored")
-    spark.sql(f"drop table {name}")
-    return scored
+    try:
+        asked = spark.table(name).select(F.col("shard").alias("asker"), F.explode("grams").alias("gram"))
+        probs = materialize(spark, log_probs(model, asked.select("gram").distinct(), symbols), "kn_probs")
+        parts = (packed.drop("grams").groupBy("shard")
+                 .cogroup(asked.join(probs, "gram").groupBy("asker"))
+                 .applyInArrow(_score, "seq long, doc_id long, rk string, lang string, logp double, n long"))
+        whole = parts.groupBy("seq", "doc_id", "rk", "lang").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n_chars"))
+        return materialize(spark, whole.join(marks.withColumn("trusted", F.lit(True)), "doc_id", "left")
+                           .withColumn("trusted", F.coalesce("trusted", F.lit(False))).drop("seq"), "kn_scored")
+    finally:  # the files lie below the checkpoint folder, only the name goes
+        spark.sql(f"drop table {name}")
 
 
 def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, low: float = 0.002, high: float = 0.995,

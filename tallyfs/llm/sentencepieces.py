@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tallyfs.llm.common import hot_join, materialize, prepare, row_key
+from tallyfs.llm.common import free_name, hot_join, lean, materialize, prepare, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -313,7 +313,7 @@ def encode_big(spark: SparkSession, big: DataFrame, model, around: int, chunk: i
             t = pa.list_(pa.struct([("e", pa.int32()), ("x", pa.int32()), ("w", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("idx"), pa.array(cells, t)], names=["rk", "idx", "cells"])
 
-    levels = [materialize(spark, chunks.mapInArrow(transfers, f"rk string, idx long, cells {CELLS}"), "sp_level")]
+    levels = [materialize(spark, chunks.mapInArrow(lean(transfers), f"rk string, idx long, cells {CELLS}"), "sp_level")]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
         up = (levels[-1].withColumn("_block", F.expr(f"idx div {FAN}")).groupBy("rk", "_block")
               .applyInPandas(_up, f"rk string, idx long, cells {CELLS}"))
@@ -334,7 +334,7 @@ def encode_big(spark: SparkSession, big: DataFrame, model, around: int, chunk: i
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("idx"), pa.array(ids, pa.list_(pa.int32()))],
                                              names=["rk", "idx", "ids"])
 
-    traced = chunks.join(states, ["rk", "idx"]).mapInArrow(backtrace, "rk string, idx long, ids array<int>")
+    traced = chunks.join(states, ["rk", "idx"]).mapInArrow(lean(backtrace), "rk string, idx long, ids array<int>")
     return traced.groupBy(F.col("rk").alias("_rk")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ids"))), lambda c: c["ids"])).alias("_ids"))
 
@@ -383,7 +383,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols, *([pa.array(same, pa.bool_())] if verify else [])],
                                                  names=[*b.schema.names, *added])
 
-    small = docs.filter(~giant).mapInArrow(run, _fields(docs) + "token_ids array<int>" + ", round_trip boolean" * verify)
+    small = docs.filter(~giant).mapInArrow(lean(run), _fields(docs) + "token_ids array<int>" + ", round_trip boolean" * verify)
     big = keyed.filter(giant)
     if big.isEmpty():
         return small
@@ -416,4 +416,4 @@ def decode(spark: SparkSession, rows: DataFrame, model_path: str = MODEL, ids: s
                 texts = [_decoded(x.values.to_numpy().tolist(), table) if x.is_valid else None for x in b.column(at)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(run, _fields(rows) + f"`{out}` string")
+    return rows.mapInArrow(lean(run), _fields(rows) + f"`{out}` string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm.common import connected_components, hot_join, materialize, prepare, row_key
+from tallyfs.llm.common import connected_components, hot_join, lean, materialize, prepare, row_key
 
 SEED = 42
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .withColumn("rk", row_key())
-            .mapInArrow(run, "doc_id long, rk string, fp long"))
+            .mapInArrow(lean(run), "doc_id long, rk string, fp long"))
 
 
 def _variants(rows: DataFrame, width: int) -> DataFrame:
@@ -186,7 +186,7 @@ def near_links(spark: SparkSession, points: DataFrame, max_bits: int = 3) -> Dat
     while True:
         last = width == 16  # 53 bits fixed: 2,048 rows at most
         res = (_variants(rows, width).repartition("key").sortWithinPartitions("key")
-               .mapInArrow(_links(max_bits, width, last),
+               .mapInArrow(lean(_links(max_bits, width, last)),
                            "a long, b long, key long, off int, fp long, node long"))
         res = materialize(spark, res, "simhash_links")
         links = res.filter("a is not null").select("a", "b")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallyfs.llm import kneser_ney as kn
@@ -67,6 +68,30 @@ def test_model_equals_plain(spark, monkeypatch, shard):
         assert r.logp == pytest.approx(sum(math.log(p(s[i:i + 4])) for i in range(len(s) - 3)), rel=1e-4)
 
 
+def test_pieces_hold_every_gram_once():
+    text = "abcdefghij" * 3
+    for t in ("", "a", None, text):
+        marked = kn.START * 3 + (t or "") + kn.END
+        want = Counter(marked[i:i + 4] for i in range(len(marked) - 3))
+        for chars in (1, 2, 3, 4, 7, 30, 31, 100):
+            pieces = [p.decode() for p in kn.pieces_of(t, chars)]
+            assert Counter(p[i:i + 4] for p in pieces for i in range(len(p) - 3)) == want
+            assert max(len(p) for p in pieces) <= chars + 3
+
+
+def test_a_batch_is_counted_block_by_block(monkeypatch):
+    """What is indexed at once is bounded by the block, not by the batch."""
+    monkeypatch.setattr(kn, "BLOCK_CHARS", 1000)
+    seen = []
+    real = kn.grams
+    monkeypatch.setattr(kn, "grams", lambda held: seen.append(sum(map(len, held))) or real(held))
+    texts = ["lorem ipsum " * k for k in range(1, 60)] + ["x" * 50_000]
+    pieces = [p for t in texts for p in kn.pieces_of(t)]
+    codes = kn.distinct_grams(pieces)
+    assert max(seen) < 3000 and len(seen) > 20
+    assert np.array_equal(codes, np.unique(real(pieces)[0]))
+
+
 def test_planted_junk_goes_and_clean_stays(spark):
     rows = docs()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int")
