@@ -79,9 +79,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def hot_join(rows: DataFrame, keys: DataFrame, on: str, count_col: str, salt_by: str,
-             hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Inner join of member ``rows`` to per-key ``keys`` (one row per ``on``,
-    with the member count ``count_col``).
+             hot_rows: int = HOT_ROWS, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """Join (``how`` inner or left) of member ``rows`` to per-key ``keys`` (one
+    row per ``on``, with the member count ``count_col``).
 
     Members of a key with more than ``hot_rows`` rows are dealt over ``salts``
     tasks by a hash of ``salt_by`` and that key's row is repeated per salt.
@@ -96,7 +96,7 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: str, count_col: str, salt_by:
               .drop("_hot_key"))
     last = F.when(F.col(count_col) > hot_rows, salts - 1).otherwise(0)
     spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    return salted.join(spread, [on, "_salt"]).drop("_salt")
+    return salted.join(spread, [on, "_salt"], how).drop("_salt")
 
 
 def keep_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:

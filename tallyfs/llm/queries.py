@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfs.llm import (embeddings, exact, kneser_ney, langid, licenses, lines, mixing, sentencepieces, simhash,
-                         toxicity)
+from tallyfs.llm import (divergence, embeddings, exact, filter_audit, kneser_ney, langid, licenses, lines, mixing,
+                         sentencepieces, simhash, toxicity, warc)
 from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, documents, table
+from tallyfs.session import scratch_path
 
 
 def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters, per language."""
+    return filter_audit.audit(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language, and the terms that mark a source."""
+    return divergence.divergence(spark, documents(spark, sf_dir))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives below the checkpoint folder and read back."""
+    archives = warc.write_warc(spark, table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    records = warc.read_warc(spark, archives).filter("kind = 'record' and type in ('response', 'revisit')")
+    return warc.resolve(records).select(
+        F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"))
+
+
 QUERIES = {
     "op1_embedding": op1_embedding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +107,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_divergence": op12_divergence,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL = {
@@ -167,4 +190,66 @@ ORACLE_SQL = {
                coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs, coalesce(removed, '') as removed,
                sha256(coalesce(clean, '')) as clean_sha256
         from documents left join q on q.doc_id = documents.doc_id left join z on z.doc_id = documents.doc_id""",
+    "op11_filter_audit": r"""
+        with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part from documents),
+             firsts as (select t, min(doc_id) m from d group by t),
+             lab as (select doc_id, bool_or(quality = 1) g, bool_or(toxic = 1) x from labels group by doc_id),
+             w as (select d.*, m, regexp_extract_all(d.t, '[^\x20\x09-\x0D]+') ws, length(d.t) cp,
+                   length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g')) up from d join firsts using (t)),
+             f as (select doc_id, part, (len(ws) < 100)::int + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::int
+                   + 4 * (100 * up > 10 * cp)::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+                   + 16 * coalesce(doc_id > m, false)::int as mask from w),
+             c as (select part, mask, coalesce(g, false) g, coalesce(x, false) x, count(*) n
+                   from f left join lab using (doc_id) group by all),
+             k(i) as (values (0), (1), (2), (3), (4)),
+             o as (select [a.i, b.i, c.i, d.i, e.i] p from k a, k b, k c, k d, k e
+                   where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+             s as (select array_to_string(list_transform(p, lambda z: substr('ABCDE', z + 1, 1)), '') filter_order, j as step,
+                   1 << p[j] as bit, coalesce(list_sum(list_transform(p[1:j - 1], lambda z: 1 << z)), 0)::int as earlier
+                   from o, (select unnest(range(1, 6)) j)),
+             r as (select part, filter_order, step, bit,
+                   coalesce(sum(n) filter (mask & (earlier | bit) = 0), 0) kept,
+                   coalesce(sum(n) filter (mask & earlier = 0 and mask & bit <> 0), 0) removed,
+                   coalesce(sum(n) filter (mask & earlier <> 0 and mask & bit <> 0), 0) redundant,
+                   coalesce(sum(n) filter (mask = bit), 0) unique_fails,
+                   coalesce(sum(n) filter (g and mask & earlier = 0 and mask & bit <> 0), 0) good_lost,
+                   coalesce(sum(n) filter (x and mask & earlier = 0 and mask & bit <> 0), 0) toxic_lost
+                   from c, s group by all)
+        select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
+               redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+               toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+        from r""",
+    "op12_divergence": r"""
+        with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+             x as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+             kept as (select lang, term from x group by 1, 2 having count(distinct rid) >= 10),
+             c as (select lang, source, term, count(*) n from x semi join kept using (lang, term) group by all),
+             v as (select lang, count(*) v from kept group by 1),
+             g as (select lang, source, coalesce(v, 0) v, coalesce((select sum(n) from c where c.lang = s.lang and c.source = s.source), 0) n
+                   from (select distinct lang, source from d) s left join v using (lang)),
+             p as (select g.lang, g.source, term, coalesce(c.n, 0) n,
+                   1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) p
+                   from g join kept using (lang) left join c using (lang, source, term)),
+             l as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 2)) // ((select sum(n) from c where c.lang = p.lang)
+                   + 2 * (select v from v where v.lang = p.lang)) q from p group by lang, term),
+             pv as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) f
+                    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+             pairs as (select a.lang, a.source, b.source item, coalesce(f, 0)::bigint as value from g a join g b on a.lang = b.lang
+                    and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+             terms as (select lang, source, term item, (((p - q) * (p - q)) // (p + q))::bigint as value
+                       from p join l using (lang, term) where n > 0 and p > q),
+             u as (select lang, source, 'pair' part, item, value from pairs union all select lang, source, 'term', item, value from terms),
+             r as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from u)
+        select * from r where part = 'pair' or rank <= 10""",
+    "op13_warc": r"""
+        with p as (select page_id, encode(coalesce(html, '')) b from pages),
+             h as (select page_id, octet_length(b)::bigint n, sha1(b) s, max(page_id) over (partition by b) m from p),
+             v as (select *, list_transform(range(0, 8), lambda k: ('0x' || substr(s, 5 * k + 1, 5))::bigint) five,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' abc from h)
+        select page_id, n as payload_bytes, array_to_string(list_transform(five, lambda x: substr(abc, (x >> 15) + 1, 1)
+               || substr(abc, ((x >> 10) & 31) + 1, 1) || substr(abc, ((x >> 5) & 31) + 1, 1) || substr(abc, (x & 31) + 1, 1)), '')
+               as payload_digest, case when page_id is not distinct from m then 'response' else 'revisit' end as record_type,
+               case when page_id is distinct from m then m end as refers_to
+        from v""",
 }
