@@ -88,24 +88,30 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: str, count_col: str, salt_by:
     Hot keys number at most rows / hot_rows; the list is broadcast only if it
     counts at most BROADCAST_ROWS.
     """
-    hot = keys.filter(F.col(count_col) > hot_rows).select(F.col(on).alias("_hot_key"))
+    key, salt = (free_name(rows, free_name(keys, c)) for c in ("_hot_key", "_salt"))
+    hot = keys.filter(F.col(count_col) > hot_rows).select(F.col(on).alias(key))
     hot, _ = bounded_broadcast(hot, BROADCAST_ROWS)
-    salted = (rows.join(hot, F.col(on) == F.col("_hot_key"), "left")
-              .withColumn("_salt", F.when(F.col("_hot_key").isNotNull(),
-                                          F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0))
-              .drop("_hot_key"))
+    salted = (rows.join(hot, F.col(on) == F.col(key), "left")
+              .withColumn(salt, F.when(F.col(key).isNotNull(),
+                                       F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0))
+              .drop(key))
     last = F.when(F.col(count_col) > hot_rows, salts - 1).otherwise(0)
-    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    return salted.join(spread, [on, "_salt"], how).drop("_salt")
+    spread = keys.withColumn(salt, F.explode(F.sequence(F.lit(0), last)))
+    return salted.join(spread, [on, salt], how).drop(salt)
 
 
 def keep_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose :func:`row_key` is in ``keys`` (column ``rk``),
-    one row for each key: rows equal in id and text count as one."""
+    one row for each key: rows equal in id and text count as one. Of rows that
+    differ in other columns, the one whose other columns are the smallest as
+    JSON is kept."""
     rk = free_name(docs, "_rk")
     keyed = docs.withColumn(rk, row_key())
     kept = keyed.join(keys.select(F.col("rk").alias(rk)), rk, "left_semi")
-    return kept.dropDuplicates([rk]).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order)
+    return kept.groupBy(rk).agg(row.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -11,16 +11,17 @@ with the model by n-gram and return by shard to the packed texts, which lie in
 a bucketed table below the checkpoint folder and do not move. Nothing of the model is broadcast or
 collected, and its size is not limited.
 
-Decision: per language, a document's mean log-probability is compared with
-quantiles of the trusted documents' own, shrunk towards the language's mean by
-PRIOR_CHARS characters so that short texts are not judged on noise.
+Decision: a fifth of the trusted documents is left out of the counts. Per
+language, a document's mean log-probability is compared with quantiles of these,
+shrunk towards the language's mean by PRIOR_CHARS characters so that short texts
+are not judged on noise; a language with few of them leans on the spread of all.
 
 Defined cases: null text counts as empty; a text is its characters after three
 start marks and before an end mark, so an empty one has one event; characters
 outside the Basic Multilingual Plane count as one symbol; a language (or null)
-with fewer than MIN_TRUSTED trusted rows cannot be judged, by its own text for
-want of it nor by that of other languages, so all its rows are kept and lo and
-hi are null; repeated rows are judged one by one; other columns are ignored.
+without a left-out trusted row cannot be judged, by its own text for want of it
+nor by that of other languages, so all its rows are kept and lo and hi are null;
+repeated rows are judged one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ BLOCK_CHARS = 500_000
 #: Largest lookup table of the n-gram indexer; beyond it, sorting is used.
 TABLE = 1 << 24
 PRIOR_CHARS = 200
-MIN_TRUSTED = 50
 
 
 def _dense(values: np.ndarray, size: int):
@@ -281,34 +281,40 @@ def perplexities(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame) -
         spark.sql(f"drop table {name}")
 
 
-def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, low: float = 0.002, high: float = 0.995,
-            slack: float = 1.5) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, tail: float = 0.05, reach: float = 4.0,
+            pooled_rows: int = 20, folds: int = 5) -> DataFrame:
     """One row per document: doc_id, rk, lang, trusted, perplexity (per
     character), score (shrunk mean log-probability), lo and hi (the accepted
     range), kept.
 
-    The range of a language runs from its trusted rows' quantile 1 - ``high``
-    to 1 - ``low`` of the score, widened on both sides by ``slack`` of the
-    distance to the median. A language with fewer than MIN_TRUSTED trusted rows
-    has none and is kept.
+    One trusted row in ``folds`` (by a hash of its id) is left out of the counts
+    and serves to set the ranges. A language's range reaches from the median of
+    its left-out scores ``reach`` times as far as their quantiles ``tail`` and
+    1 - ``tail``; these two distances are means of the language's own and of all
+    languages' together, the latter weighing as ``pooled_rows`` rows.
     """
-    scored = perplexities(spark, docs, trusted_ids)
-    trusted = scored.filter("trusted")
+    ids = materialize(spark, trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id"))
+                      .filter("doc_id is not null").distinct(), "kn_ids")
+    left_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
+    scored = perplexities(spark, docs, ids.filter(~left_out))
+    held, _ = bounded_broadcast(ids.filter(left_out).withColumn("held", F.lit(True)), BROADCAST_ROWS)
+    scored = (scored.join(held, "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+              .withColumn("l", F.coalesce("lang", F.lit(""))))
     mean = F.sum("logp") / F.sum("n_chars")
-    all_mean = trusted.agg(mean).first()[0] or 0.0
-    by_lang = (trusted.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(mean.alias("m"), F.count("*").alias("c"))
-               .filter(F.col("c") >= MIN_TRUSTED).drop("c"))
-    by_lang, _ = bounded_broadcast(by_lang, BROADCAST_ROWS)
-    placed = (scored.withColumn("l", F.coalesce("lang", F.lit(""))).join(by_lang, "l", "left")
-              .withColumn("m", F.coalesce("m", F.lit(all_mean)))
+    all_mean = scored.filter("held").agg(mean).first()[0] or 0.0
+    by_lang, _ = bounded_broadcast(materialize(spark, scored.filter("held").groupBy("l").agg(mean.alias("m")), "kn_means"),
+                                   BROADCAST_ROWS)
+    placed = (scored.join(by_lang, "l", "left").withColumn("m", F.coalesce("m", F.lit(all_mean)))
               .withColumn("score", (F.col("logp") + PRIOR_CHARS * F.col("m")) / (F.col("n_chars") + PRIOR_CHARS)))
-    q = F.percentile_approx("score", F.array(F.lit(1 - high), F.lit(0.5), F.lit(1 - low)), F.lit(10000))
-    q_lang = (placed.filter("trusted").groupBy("l").agg(q.alias("q"), F.count("*").alias("c"))
-              .filter(F.col("c") >= MIN_TRUSTED).drop("c"))
-    q_lang, _ = bounded_broadcast(q_lang, BROADCAST_ROWS)
+    q = F.percentile_approx("score", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)), F.lit(10000))
+    own = materialize(spark, placed.filter("held").groupBy("l").agg(q.alias("q"), F.count("*").alias("c")), "kn_quantiles")
+    own, _ = bounded_broadcast(own, BROADCAST_ROWS)
+    gap = F.percentile_approx(F.col("score") - F.col("q")[1], F.array(F.lit(tail), F.lit(1 - tail)), F.lit(10000))
+    below, above = placed.filter("held").join(own, "l").agg(gap).first()[0] or (0.0, 0.0)
+    weight = f"/ (c + {pooled_rows})"
     within = F.coalesce((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), F.lit(True))
-    return (placed.join(q_lang, "l", "left")
-            .withColumn("lo", F.expr(f"q[0] - {slack} * (q[1] - q[0])"))
-            .withColumn("hi", F.expr(f"q[2] + {slack} * (q[2] - q[1])"))
-            .select("doc_id", "rk", "lang", "trusted", F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"),
-                    "score", "lo", "hi", within.alias("kept")))
+    return (placed.join(own, "l", "left")
+            .withColumn("lo", F.expr(f"q[1] - {reach} * (c * (q[1] - q[0]) + {pooled_rows} * {-below!r}D) {weight}"))
+            .withColumn("hi", F.expr(f"q[1] + {reach} * (c * (q[2] - q[1]) + {pooled_rows} * {above!r}D) {weight}"))
+            .select("doc_id", "rk", "lang", (F.col("trusted") | F.col("held")).alias("trusted"),
+                    F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"), "score", "lo", "hi", within.alias("kept")))

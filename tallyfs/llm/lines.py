@@ -99,10 +99,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     prepare(spark)
     results = ("clean_text", "n_lines", "removed", "n_runs")
     names = [c for c in docs.columns if c not in results]
-    base = docs.select(F.monotonically_increasing_id().alias("_seq"), *names)
+    # The user's row is one column: no name of it meets a name used here.
+    base = docs.select(F.monotonically_increasing_id().alias("_seq"), F.col("text").cast("string").alias("_text"),
+                       F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     base = materialize(spark, base, "line_docs")
-    lines = materialize(spark, line_table(base.select(F.col("_seq").alias("seq"), F.col("doc_id").cast("long").alias("doc_id"),
-                                                      F.col("text").cast("string").alias("text"))), "line_ids")
+    lines = materialize(spark, line_table(base.select(
+        F.col("_seq").alias("seq"), F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_text").alias("text"))), "line_ids")
     gone = later_copies(spark, lines, min_words)
     decided = lines.join(gone, "seq", "left").select(
         F.col("seq").alias("_seq"), F.col("n_lines").alias("_n_lines"),
@@ -111,7 +113,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     decided = materialize(spark, decided, "line_decisions")
     rows = base.join(decided, "_seq")
     # the split text as a lambda's variable, so that it is made once
-    kept = F.expr("transform(array(split(text, '\\n', -1)), a -> concat_ws('\\n', transform("
+    kept = F.expr("transform(array(split(_text, '\\n', -1)), a -> concat_ws('\\n', transform("
                   "array_except(sequence(0, size(a) - 1), _removed), i -> a[i])))[0]")
-    return rows.select(*names, F.when(F.col("_runs") == 0, F.col("text")).otherwise(kept).alias("clean_text"),
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in names],
+                       F.when(F.col("_runs") == 0, F.col("_text")).otherwise(kept).alias("clean_text"),
                        F.col("_n_lines").alias("n_lines"), F.col("_removed").alias("removed"), F.col("_runs").alias("n_runs"))

@@ -47,7 +47,7 @@ def _source(col: str = "source"):
 
 def _place(seed: int):
     """Place of a row in the permutation, 0 to 2^63 - 1."""
-    return F.expr(f"shiftrightunsigned(xxhash64(_rk, {seed}), 1)")
+    return F.shiftrightunsigned(F.xxhash64(row_key(), F.lit(seed)), 1)
 
 
 def source_totals(docs: DataFrame) -> DataFrame:
@@ -182,8 +182,11 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float | None = None, entro
     returned; ``mix_copies`` says how often it stands in the mix.
     """
     prepare(spark)
-    keyed = docs.withColumn("_rk", row_key())
-    narrow = keyed.select("_rk", _source().alias("src"), _tokens().alias("t"), _place(seed).alias("place"))
+    # The user's row is one column: no name of it meets a name used here.
+    kept = [c for c in docs.columns if c not in ("mix_copies", "mix_tokens", "mix_place")]
+    keyed = docs.select(row_key().alias("_rk"), _source().alias("_src"), _tokens().alias("_tokens"), _place(seed).alias("_place"),
+                        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"))
+    narrow = keyed.select("_rk", F.col("_src").alias("src"), F.col("_tokens").alias("t"), F.col("_place").alias("place"))
     narrow = materialize(spark, narrow, "mix_rows")
     plan = materialize(spark, weights(spark, docs, budget, entropy_part, max_repeats), "mix_weights")
     cuts = _last_passes(spark, narrow, plan)
@@ -192,11 +195,11 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float | None = None, entro
         F.col("cut_rk").alias("_cut_rk")), "mix_cuts")
     per_source, _ = bounded_broadcast(per_source, BROADCAST_ROWS)
     before = ((F.col("_place") < F.col("_cut")) | ((F.col("_place") == F.col("_cut")) & (F.col("_rk") <= F.col("_cut_rk"))))
-    mixed = (keyed.withColumn("_src", _source()).withColumn("_place", _place(seed)).join(per_source, "_src")
-             .withColumn("mix_copies", F.col("_passes") + F.coalesce(before.cast("int"), F.lit(0)))
-             .withColumn("mix_tokens", _tokens()))
-    kept = [c for c in docs.columns if c not in ("mix_copies", "mix_tokens", "mix_place")]
-    return mixed.select(*kept, "mix_copies", "mix_tokens", F.col("_place").alias("mix_place")), plan
+    mixed = keyed.join(per_source, "_src").select(
+        *[F.col("_row").getField(c).alias(c) for c in kept],
+        (F.col("_passes") + F.coalesce(before.cast("int"), F.lit(0))).alias("mix_copies"),
+        F.col("_tokens").alias("mix_tokens"), F.col("_place").alias("mix_place"))
+    return mixed, plan
 
 
 def mixed_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ def op1_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(spark, documents(spark, sf_dir)).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("kept")).alias("kept"), "text_sha256")
+        "kept", "text_sha256")
 
 
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:

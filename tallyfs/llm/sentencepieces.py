@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tallyfs.llm.common import free_name, hot_join, lean, materialize, prepare, row_key
+from tallyfs.llm.common import hot_join, lean, materialize, prepare, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -361,7 +361,6 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
     model = spark.sparkContext.broadcast(raw)
     docs = docs.drop("token_ids", "round_trip")
     names = docs.columns
-    keyed = docs.withColumn("_rk", row_key())
     giant = F.coalesce(F.length("text"), F.lit(0)) + 1 > chunk + around
     at = names.index("text")
     added = ["token_ids", "round_trip"] if verify else ["token_ids"]
@@ -384,14 +383,17 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
                                                  names=[*b.schema.names, *added])
 
     small = docs.filter(~giant).mapInArrow(lean(run), _fields(docs) + "token_ids array<int>" + ", round_trip boolean" * verify)
-    big = keyed.filter(giant)
+    # The user's row is one column: no name of it meets a name used here.
+    big = docs.filter(giant).select(row_key().alias("_rk"), F.col("text").cast("string").alias("text"),
+                                    F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     if big.isEmpty():
         return small
     per_key = encode_big(spark, big.select("_rk", "text"), model, around, chunk)
     count = big.groupBy("_rk").agg(F.count("*").alias("_n"))
     per_key = materialize(spark, per_key.join(count, "_rk"), "sp_ids")
-    salt = big.withColumn("_seq", F.monotonically_increasing_id())
-    joined = hot_join(salt, per_key, "_rk", "_n", "_seq").select(*names, F.col("_ids").alias("token_ids"))
+    salt = big.select("_rk", "_row", F.monotonically_increasing_id().alias("_seq"))
+    joined = hot_join(salt, per_key, "_rk", "_n", "_seq").select(
+        *[F.col("_row").getField(c).alias(c) for c in names], F.col("_ids").alias("token_ids"))
     if verify:
         joined = decode(spark, joined, model_path, out="round_trip").withColumn(
             "round_trip", F.col("round_trip") == F.translate("text", MARK, " "))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,20 +103,38 @@ def test_planted_junk_goes_and_clean_stays(spark):
     assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 300)
 
 
-def test_languages_without_enough_trusted_rows_are_kept(spark):
-    """None, a few, and null as the language; junk of a judged language goes."""
+def test_languages_with_few_or_no_trusted_rows(spark):
+    """Without any, rows are kept unjudged; with a few, clean rows stay and junk
+    goes by the spread of all languages; null is a language like any other."""
     rnd = random.Random(2)
     words = ["быстрая", "лиса", "прыгает", "через", "ленивую", "собаку"]
     clean = [(3000 + i, " ".join(rnd.choice(words) for _ in range(60)), ["ru", "uk", None][i % 3], 0) for i in range(90)]
-    df = spark.createDataFrame(docs() + clean, "doc_id long, text string, lang string, kept int")
-    few = [3000 + i for i in range(90) if i % 3 == 1][:5]
+    junk = [(4000 + i, "#@!" * 60, "uk", 0) for i in range(5)]
+    df = spark.createDataFrame(docs() + clean + junk, "doc_id long, text string, lang string, kept int")
+    few = [3000 + i for i in range(90) if i % 3 == 1]
+    held = [i for i in few if zlib.crc32(str(i).encode()) % 5 == 0]
+    few = held[:2] + [i for i in few if i not in held][:6]
     trusted = spark.createDataFrame([(i,) for i in [*range(0, 300, 2), *few]], "doc_id long")
     got = kn.quality(spark, df, trusted).collect()
-    other = [r for r in got if r.doc_id is not None and r.doc_id >= 3000]
-    assert len(other) == 90 and all(r.kept and r.lo is None and r.hi is None for r in other)
+    other = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id >= 3000}
+    assert len(other) == 95 and all(r.kept for i, r in other.items() if i < 4000)
+    assert not any(other[4000 + i].kept for i in range(5))
+    assert all((r.lo is None) == (r.lang != "uk") and (r.hi is None) == (r.lang != "uk") for r in other.values())
     assert not any(r.kept for r in got if r.doc_id in range(1000, 1020))
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_labelled_rows(spark, sf):
+    """Good rows that were left out of the counts stay, junk goes."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    docs_ = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = kn.quality(spark, docs_, labels.filter("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
+    held = [r.kept for r in got if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, junk = ([r.kept for r in got if r.quality == k] for k in (1, 0))
+    assert sum(held) / len(held) >= 0.99 and sum(good) / len(good) >= 0.995
+    assert sum(junk) / len(junk) < 0.1
+
+
 def test_no_trusted_rows_and_empty_table(spark):
     df = spark.createDataFrame(docs()[:5], "doc_id long, text string, lang string, n int")
     none = spark.createDataFrame([], "doc_id long")
