@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.llm import exact, kneser_ney, mixing, sentencepieces, simhash
-from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, keep_keys, materialize, row_key, table
+from tallyfs.llm.common import BROADCAST_ROWS, bounded_broadcast, free_name, keep_keys, materialize, row_key, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text (``labels`` with quality 1)."""
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     judged = kneser_ney.quality(spark, docs, trusted)
-    rejected = materialize(spark, judged.filter("not kept").select(F.col("rk").alias("_rk")).distinct(), "quality_rejects")
-    rejected, _ = bounded_broadcast(rejected, BROADCAST_ROWS)
-    return docs.withColumn("_rk", row_key()).join(rejected, "_rk", "left_anti").select(*docs.columns)
+    # A text is judged as text of its language, so the language is part of the key.
+    name = free_name(docs, "_key")
+    key = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    rejected = judged.filter("not kept").select(F.concat("rk", F.lit("|"), key).alias(name)).distinct()
+    rejected, _ = bounded_broadcast(materialize(spark, rejected, "quality_rejects"), BROADCAST_ROWS)
+    keyed = docs.withColumn(name, F.concat(row_key(), F.lit("|"), key))
+    return keyed.join(rejected, name, "left_anti").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
