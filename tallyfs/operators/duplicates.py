@@ -25,17 +25,17 @@ from tallyfs.functions.columns import hash_eligible, quick_sha256_hex, sha256_he
 from tallyfs.operators.aggregates import files_only
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import QUICK_HASH_BYTES
+from tallyfs.sources.storage import Store
 
 # Largest number of hot keys (64-char hash, size: under 100 bytes a row, so
 # under 50 MB) that may be broadcast; beyond it they are joined by a shuffle.
 DEFAULT_BROADCAST_KEYS = 500_000
 
 # A key (size, hash or group) with more members than this is "hot": joining
-# its members to its key row is spread over SALT_BUCKETS tasks by a hash of
-# the path, whether or not AQE's skew handling is on. Hot keys number at most
-# rows / HOT_COPIES, so they are a small, bounded broadcast.
+# its members to its key row is spread by a hash of the path over as many salts
+# as it has this many members, whether or not AQE's skew handling is on. Hot
+# keys number at most rows / HOT_COPIES, so they are a small, bounded broadcast.
 HOT_COPIES = 1_000_000
-SALT_BUCKETS = 64
 
 
 def eligible_files(inv: DataFrame) -> DataFrame:
@@ -130,6 +130,7 @@ class PathReader(ContentReader):
     files_per_task: int = 2_000
     io_threads: int = 4        # concurrent reads per task (storage latency)
     cache: str | None = None   # hash cache table, see :func:`update_hash_cache`
+    store: Store | None = None  # file system of the paths, if not that of their scheme or a mount
 
 
 def default_reader(inv: DataFrame) -> ContentReader:
@@ -258,7 +259,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                 hashed = spark.createDataFrame([], HASH_SCHEMA)
             else:
                 hashed = keep(quick_hash_files(cands.select("path", "size"), reader.prefix_bytes,
-                                               reader.files_per_task, reader.io_threads, n_rows=n_cands),
+                                               reader.files_per_task, reader.io_threads, n_rows=n_cands, store=reader.store),
                               "hashed")
         else:
             key = ["path", "size", "mtime"]
@@ -269,7 +270,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
                             F.lit(None).cast("string").alias("error")))
             misses = cands.join(cached, key, "left_anti").select("path", "size")
             hashed = keep(hits.unionByName(
-                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads)),
+                quick_hash_files(misses, reader.prefix_bytes, reader.files_per_task, reader.io_threads, store=reader.store)),
                 "hashed")
         quick_groups = _quick_groups(hashed.filter(F.col("quick_hash").isNotNull()))
         survivors = salted_join(hashed.filter(F.col("quick_hash").isNotNull()), quick_groups,
@@ -289,7 +290,7 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
             survivors = keep(survivors, "survivors")
             whole = full_hash_files(survivors.filter(F.col("full_hash").isNull()), reader.prefix_bytes,
                                     reader.target_task_bytes, reader.io_threads, total_bytes=int(todo["bytes"]),
-                                    n_rows=int(todo["files"]))
+                                    n_rows=int(todo["files"]), store=reader.store)
             full = keep(survivors.filter(F.col("full_hash").isNotNull()).select(*whole.columns).unionByName(whole), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
         groups = _full_groups(full_ok)
@@ -370,41 +371,40 @@ def number_groups(groups: DataFrame) -> tuple[DataFrame, int]:
 
 
 def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count_col: str, how: str = "inner",
-                hot_copies: int = HOT_COPIES, buckets: int = SALT_BUCKETS) -> DataFrame:
+                hot_copies: int = HOT_COPIES) -> DataFrame:
     """Join member ``rows`` (with a ``path``) to per-key rows ``keys`` that
-    carry the member count ``count_col``; ``how`` is ``inner`` (keys' columns
-    come along) or ``left_semi``.
+    carry the member count ``count_col``; ``how`` is ``inner`` or ``left``
+    (keys' columns come along) or ``left_semi``.
 
     Keys with more than ``hot_copies`` members are hot: their rows get a salt
-    from a hash of the path and their key row is repeated once per salt, so
-    the members of one key are spread over ``buckets`` tasks, with or without
-    AQE. Other keys join as usual. Hot keys number at most rows/hot_copies;
+    from a hash of the path and their key row is repeated once per salt, twice
+    as many as the members are times ``hot_copies``: no salt is expected to have
+    more than about half of ``hot_copies`` members, however many the key has,
+    with or without AQE. Other keys join as usual. Hot keys number at most rows/hot_copies;
     they are broadcast after a size check.
     """
-    right = keys if how == "inner" else keys.select(*on)
-    hot = keys.filter(F.col(count_col) > hot_copies).select(*on).withColumn("_hot", F.lit(True))
+    right = keys.select(*on) if how == "left_semi" else keys
+    hot = keys.filter(F.col(count_col) > hot_copies).select(
+        *on, F.ceil(F.col(count_col) * 2 / F.lit(hot_copies)).cast("int").alias("_salts"))
     n_hot = hot.limit(DEFAULT_BROADCAST_KEYS + 1).count()
     if n_hot == 0:
         return rows.join(right, on, how)
     if n_hot <= DEFAULT_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     salted_rows = (rows.join(hot, on, "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("path"), F.lit(buckets)))
-                               .otherwise(F.lit(0)).cast("int"))
-                   .drop("_hot"))
+                   .withColumn("_salt", F.pmod(F.xxhash64("path"), F.coalesce("_salts", F.lit(1))).cast("int"))
+                   .drop("_salts"))
     salted_keys = (right.join(hot, on, "left")
-                   .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                                                  .otherwise(F.array(F.lit(0)))))
-                   .drop("_hot"))
+                   .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+                   .drop("_salts"))
     return salted_rows.join(salted_keys, on + ["_salt"], how).drop("_salt")
 
 
-def join_to_groups(files: DataFrame, groups: DataFrame, hot_copies: int = HOT_COPIES,
-                   buckets: int = SALT_BUCKETS) -> DataFrame:
+def join_to_groups(files: DataFrame, groups: DataFrame, hot_copies: int = HOT_COPIES) -> DataFrame:
     """Inner join of member rows ``files`` to per-group rows ``groups`` on
     (full_hash, size); ``groups`` carries ``copies``. Hot groups are salted
     (:func:`salted_join`)."""
-    return salted_join(files, groups, ["full_hash", "size"], "copies", "inner", hot_copies, buckets)
+    return salted_join(files, groups, ["full_hash", "size"], "copies", "inner", hot_copies)
 
 
 def duplicate_listing(result: DuplicateResult, hot_copies: int = HOT_COPIES) -> DataFrame:

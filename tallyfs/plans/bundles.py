@@ -9,6 +9,7 @@ archives that cannot be opened.
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 import zipfile
@@ -39,26 +40,36 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [path], "content": [buf.getvalue()]})
 
 
-def _pack_tar(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack_tar(pdf: pd.DataFrame, mode: str = "w", ending: str = "tar") -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id")
     buf = io.BytesIO()
-    with tarfile.open(fileobj=buf, mode="w") as tf:
+    with tarfile.open(fileobj=buf, mode=mode) as tf:
         for doc_id, source, lang, text in zip(pdf["doc_id"], pdf["source"], pdf["lang"], pdf["text"]):
             data = (text or "").encode("utf-8")
             info = tarfile.TarInfo(f"{source}/{lang}/doc_{int(doc_id)}.TXT")
             info.size = len(data)
             tf.addfile(info, io.BytesIO(data))
-    path = f"/corpus/bundle_{int(pdf['bundle'].iloc[0])}.tar"
+    path = f"/corpus/bundle_{int(pdf['bundle'].iloc[0])}.{ending}"
     return pd.DataFrame({"path": [path], "content": [buf.getvalue()]})
 
 
+def _pack_mixed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """By the bundle's number a tar.gz, a tar.xz, or one gzip file per document."""
+    k = int(pdf["bundle"].iloc[0]) % 3
+    if k < 2:
+        return _pack_tar(pdf, *(("w:gz", "tar.gz"), ("w:xz", "tar.xz"))[k])
+    return pd.DataFrame({"path": [f"/corpus/doc_{int(i)}.TXT.gz" for i in pdf["doc_id"]],
+                         "content": [gzip.compress((t or "").encode("utf-8"), mtime=0) for t in pdf["text"]]})
+
+
 def bundle_table(spark: SparkSession, sf_dir: str, fmt: str = "zip") -> DataFrame:
-    """(path, content): one ZIP (or tar, ``fmt="tar"``) per ``doc_id div 64``."""
+    """(path, content): one ZIP per ``doc_id div 64``; with ``fmt`` a tar, or
+    ``mixed`` compressed containers."""
     d = read_table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "text",
         F.floor(F.col("doc_id") / DOCS_PER_BUNDLE).cast("long").alias("bundle"))
     ship_package(spark)
-    pack = _pack_tar if fmt == "tar" else _pack
+    pack = {"tar": lambda pdf: _pack_tar(pdf), "mixed": _pack_mixed}.get(fmt, _pack)
     return d.groupBy("bundle").applyInPandas(pack, "path string, content binary")
 
 

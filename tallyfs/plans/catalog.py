@@ -12,7 +12,7 @@ from tallyfs.functions.columns import category_of, hash_eligible, is_excluded, i
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
 from tallyfs.plans import doc_tree
-from tallyfs.operators.diff import diff_summary, scan_diff
+from tallyfs.operators.diff import diff_summary, scan_diff, scan_moves
 from tallyfs.plans.analyze import FULL, QUICK, Sections, analyze, summary_rows, write_outputs
 from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
 from tallyfs.plans.corpus import changed_inventories, corpus_inventory, url_inventory
@@ -165,6 +165,12 @@ def q_tar_entries(spark, sf_dir):
     return arc.archive_entries(inv, "content", archive_extensions=("tar",)).select(*ENTRY_COLUMNS)
 
 
+def q_compressed_entries(spark, sf_dir):
+    """Entries of tar.gz, tar.xz and gzip files."""
+    inv = bundle_inventory(spark, sf_dir, fmt="mixed")
+    return arc.archive_entries(inv, "content", archive_extensions=("gz", "xz")).select(*ENTRY_COLUMNS)
+
+
 def q_archive_errors(spark, sf_dir):
     return arc.archive_errors(fake_archive_inventory(spark, sf_dir), "content").select("path")
 
@@ -224,6 +230,55 @@ def q_cached_groups(spark, sf_dir):
     return doc_tree.cached_groups(spark, sf_dir)
 
 
+# The store_ queries write, list and read the tree through a file-system handle.
+def q_store_files(spark, sf_dir):
+    return doc_tree.doc_tree_files(spark, sf_dir, handle=True)
+
+
+def q_store_duplicates(spark, sf_dir):
+    return doc_tree.doc_tree_duplicates(spark, sf_dir, handle=True)
+
+
+def q_store_archive_errors(spark, sf_dir):
+    return doc_tree.doc_tree_archive_errors(spark, sf_dir, handle=True)
+
+
+def q_store_skipped_items(spark, sf_dir):
+    return doc_tree.skipped_items(spark, sf_dir, handle=True)
+
+
+def q_store_summary(spark, sf_dir):
+    return agg.scan_summary(doc_tree.doc_tree_inventory(spark, sf_dir, odd=True, handle=True)[0])
+
+
+def q_pruned_items(spark, sf_dir):
+    return doc_tree.pruned_items(spark, sf_dir)
+
+
+def q_relisted_files(spark, sf_dir):
+    return doc_tree.relisted_files(spark, sf_dir)
+
+
+def q_relisted_folders(spark, sf_dir):
+    return doc_tree.relisted_folders(spark, sf_dir)
+
+
+def q_incremental_groups(spark, sf_dir):
+    return doc_tree.incremental_groups(spark, sf_dir)
+
+
+def q_incremental_reads(spark, sf_dir):
+    return doc_tree.incremental_reads(spark, sf_dir)
+
+
+def q_tree_source_files(spark, sf_dir):
+    return doc_tree.tree_source_files(spark, sf_dir)
+
+
+def q_scan_moves(spark, sf_dir):
+    return scan_moves(*changed_inventories(spark, sf_dir, hashed=True))
+
+
 def q_scan_diff(spark, sf_dir):
     before, after = changed_inventories(spark, sf_dir)
     return scan_diff(before, after)
@@ -245,9 +300,10 @@ def q_report_csv(spark, sf_dir):
     out = _reported(spark, sf_dir, Sections(csv_report=True))
     cats = spark.read.csv(out["categories"], header=True, schema="category string, bytes bigint, n bigint, size_text string")
     exts = spark.read.csv(out["extensions"], header=True, schema="extension string, n bigint")
-    return cats.select(F.lit("categories").alias("section"), F.col("category").alias("key"), "n", "size_text").unionByName(
+    return cats.select(F.lit("categories").alias("section"), F.col("category").alias("key"), "n", "bytes",
+                       "size_text").unionByName(
         exts.select(F.lit("extensions").alias("section"), F.col("extension").alias("key"), "n",
-                    F.lit(None).cast("string").alias("size_text")))
+                    F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("size_text")))
 
 
 def q_report_text(spark, sf_dir):
@@ -257,8 +313,8 @@ def q_report_text(spark, sf_dir):
 
 
 def q_user_categories(spark, sf_dir):
-    """Category sizes by a caller's own dimension: each source's extension
-    letters, from the documents."""
+    """Category sizes by a caller's own dimension: the category of an extension
+    is the smallest file name that has it; pdf and no extension have none."""
     dim = _files(spark, sf_dir).groupBy("extension").agg(F.min("name").alias("category"))
     return agg.category_sizes(_files(spark, sf_dir), dim.filter("extension not in ('pdf', '')"))
 
@@ -311,4 +367,17 @@ QUERIES: dict[str, Query] = {
     "tree_inventory": q_tree_inventory,
     "tree_summary": q_tree_summary,
     "tree_duplicate_summary": q_tree_duplicate_summary,
+    "compressed_entries": q_compressed_entries,
+    "store_files": q_store_files,
+    "store_duplicates": q_store_duplicates,
+    "store_archive_errors": q_store_archive_errors,
+    "store_skipped_items": q_store_skipped_items,
+    "store_summary": q_store_summary,
+    "pruned_items": q_pruned_items,
+    "relisted_files": q_relisted_files,
+    "relisted_folders": q_relisted_folders,
+    "incremental_groups": q_incremental_groups,
+    "incremental_reads": q_incremental_reads,
+    "tree_source_files": q_tree_source_files,
+    "scan_moves": q_scan_moves,
 }

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfs.operators.duplicates import hash_annotate
 from tallyfs.sources.table import table_files, table_inventory
 
 # Fixed fixture values: extension of document ``doc_id`` is entry
@@ -63,15 +64,16 @@ def corpus_inventory(spark: SparkSession, sf_dir: str, with_folders: bool = True
                            root=CORPUS_ROOT, with_folders=with_folders)
 
 
-def changed_inventories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def changed_inventories(spark: SparkSession, sf_dir: str, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(before, after): the corpus, and the corpus with documents removed
-    (remainder 3 of 11), one byte longer (4 of 13) and renamed (6 of 17)."""
+    (remainder 3 of 11), one byte longer (4 of 13) and renamed (6 of 17); with
+    ``hashed`` eligible files have their hashes."""
     rows = corpus_table(spark, sf_dir)
     after = rows.filter("doc_id % 11 != 3").selectExpr(
         "case when doc_id % 17 = 6 then concat(path, '.moved') else path end as path",
         "case when doc_id % 13 = 4 then concat(text, 'x') else text end as text")
-    return (table_files(rows, path="path", content="text").drop("content"),
-            table_files(after, path="path", content="text").drop("content"))
+    both = [table_files(df, path="path", content="text") for df in (rows, after)]
+    return tuple(hash_annotate(inv) if hashed else inv.drop("content") for inv in both)
 
 
 def url_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,8 +274,8 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
         "select status, count(*) as files, cast(coalesce(sum(size_before), 0) as bigint) as bytes_before, "
         "cast(coalesce(sum(size_after), 0) as bigint) as bytes_after from diff group by status"),
     "report_csv": _with(CORPUS) + (
-        f"select 'categories' as section, category as key, n, {sql_size_text('bytes')} as size_text from ({CAT_SIZES}) "
-        f"union all select 'extensions', extension, n, null from ({EXT_COUNTS} order by n desc, extension limit 10)"),
+        f"select 'categories' as section, category as key, n, bytes, {sql_size_text('bytes')} as size_text from ({CAT_SIZES}) "
+        f"union all select 'extensions', extension, n, null, null from ({EXT_COUNTS} order by n desc, extension limit 10)"),
     "report_text": "with s as (" + _summary_rows(True) + "), " + _with(CORPUS, GROUPS)[5:] + (
         "select section || chr(9) || key || ' -> ' || coalesce(size_text, cast(value as varchar)) as line from s "
         f"union all select cast(n.group_no as varchar) || chr(9) || {sql_size_text('gf.size')} || chr(9) || gf.path from gf join "
@@ -285,4 +285,61 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
         "select category, cast(sum(size) as bigint) as bytes, count(*) as n from (select f.size, "
         "case when extension = '' then 'No extension' else coalesce(c, 'Others') end as category from f left join "
         "(select extension, min(name) as c from f where extension not in ('pdf', '') group by 1) d using (extension)) group by 1"),
+    "compressed_entries": (
+        "with c as (select *, (doc_id // 64) % 3 as k, cast(octet_length(encode(text)) as bigint) as n, "
+        "case when (doc_id // 64) % 3 = 2 then '/corpus/doc_' || doc_id || '.TXT.gz' else '/corpus/bundle_' || (doc_id // 64) "
+        "|| case when (doc_id // 64) % 3 = 0 then '.tar.gz' else '.tar.xz' end end as box from documents) "
+        "select box || '!/' || case when k = 2 then '' else source || '/' || lang || '/' end || 'doc_' || doc_id || '.TXT' as path, "
+        "'doc_' || doc_id || '.TXT' as name, case when k < 2 then n end as size, 'txt' as extension, true as from_archive, "
+        "box as archive_path from c"),
+    "store_files": _with(CORPUS, DOC_TREE) + "select path, name, size, extension from t",
+    "store_duplicates": _with(CORPUS, DOC_TREE) + "select full_hash, size, copies from tg",
+    "store_archive_errors": _with(CORPUS) + "select replace(path, 'bundle.zip!/', 'bundle.zip/') as path from f where extension = 'zip'",
+    "store_skipped_items": _with(CORPUS, DOC_TREE, ODD) + "select path, 'not readable' as error from links",
+    "store_summary": _with(CORPUS, DOC_TREE, ODD) + (
+        "select (select count(*) from t) + (select count(*) from pipes) as files, (select count(*) from odirs) as folders, "
+        "(select cast(coalesce(sum(size), 0) as bigint) from t) as bytes, (select count(*) from links) as skipped"),
+    "pruned_items": _with(CORPUS, DOC_TREE, ODD) + (
+        "select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) || '/$RECYCLE.BIN' as path, 'pruned' as error "
+        "from every where doc_id % 41 = 8"),
+    "relisted_files": _with(CORPUS) + (
+        ", e as (select *, replace(path, 'bundle.zip!/', 'bundle.zip/') as spot from f) "
+        "select spot as path, name, size + case when doc_id % 13 = 4 then 1 else 0 end as size, extension from e where doc_id % 31 <> 6 "
+        "union all select spot || '.new', name || '.new', size, 'new' from e where doc_id % 29 = 5"),
+    "relisted_folders": _with(CORPUS, DOC_TREE, ODD) + (
+        ", touched as (select distinct regexp_extract(path, '^(.*)/[^/]*$', 1) as d from every where doc_id % 29 = 5 or doc_id % 31 = 6) "
+        "select true as listed, (select count(*) from touched) + 1 as folders "
+        "union all select false, (select count(*) from odirs) - (select count(*) from touched)"),
+    "incremental_groups": _with(CORPUS, DOC_TREE) + (
+        "select sha256(c) as full_hash, octet_length(c) as size, count(*) as copies from "
+        "(select case when doc_id % 13 = 4 then content || encode('x') else content end as c from f "
+        "where extension <> 'zip' and not hidden and not excluded) group by 1, 2 having count(*) >= 2"),
+    "incremental_reads": _with(CORPUS) + f"""
+, e as (select doc_id, size s0, sha256(content[1:{Q}]) q0, case when doc_id % 13 = 4 then content || encode('x') else content end c1
+        from f where extension <> 'zip' and not hidden and not excluded),
+  first as (select * from e where doc_id % 5 <> 0),
+  s1 as (select s0 from first group by s0 having count(*) >= 2),
+  g1 as (select s0, q0 from first group by s0, q0 having count(*) >= 2),
+  now as (select octet_length(c1) as size, sha256(c1[1:{Q}]) as quick,
+                 doc_id % 5 <> 0 and doc_id % 13 <> 4 and s0 in (select s0 from s1) as has_quick,
+                 doc_id % 5 <> 0 and doc_id % 13 <> 4 and (s0, q0) in (select (s0, q0) from g1) as has_full from e),
+  counted as (select *, count(*) over (partition by size) as n_size, count(*) over (partition by size, quick) as n_quick from now)
+select 'quick_hash' as stage, count(*) as files, cast(coalesce(sum(least(size, {Q})), 0) as bigint) as bytes
+from counted where n_size >= 2 and not has_quick
+union all select 'full_hash', count(*), cast(coalesce(sum(size), 0) as bigint) from counted where n_quick >= 2 and size > {Q} and not has_full""",
+    "tree_source_files": _with(CORPUS) + (
+        "select replace(path, 'bundle.zip!/', 'bundle.zip/') as path, name, size from f where starts_with(path, '/corpus/src1')"),
+    "scan_moves": _with(CORPUS) + """
+, every as (select doc_id, path, size, content, not from_archive and not hidden and not excluded as ok from f),
+  older as (select path, size, case when ok then sha256(content) end as h from every),
+  newer as (select case when doc_id % 17 = 6 then path || '.moved' else path end as path,
+               case when doc_id % 13 = 4 then size + 1 else size end as size,
+               case when ok then sha256(case when doc_id % 13 = 4 then content || encode('x') else content end) end as h
+        from every where doc_id % 11 <> 3),
+  gone as (select *, row_number() over (partition by h, size order by path) as k from older where path not in (select path from newer)),
+  fresh as (select *, row_number() over (partition by h, size order by path) as k from newer where path not in (select path from older))
+select coalesce(fresh.path, gone.path) as path, case when fresh.path is null then 'removed' when gone.path is null then 'added'
+       else 'moved' end as status, case when fresh.path is not null then gone.path end as path_before,
+       coalesce(fresh.size, gone.size) as size
+from gone full join fresh on gone.h = fresh.h and gone.size = fresh.size and gone.k = fresh.k""",
 }

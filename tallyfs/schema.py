@@ -32,6 +32,10 @@ EXCLUDED_DIRECTORIES: tuple[str, ...] = (
     ".git", "node_modules", "target", "bin",
 )
 
+# Directory names (compared lowercased) of the operating system's own, which a
+# listing may leave out (``prune=SYSTEM_DIRECTORIES``).
+SYSTEM_DIRECTORIES: tuple[str, ...] = ("$recycle.bin", "system volume information")
+
 # Extensions treated as containers whose entries replace them.
 ARCHIVE_EXTENSIONS: tuple[str, ...] = ("zip",)
 

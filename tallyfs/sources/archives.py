@@ -27,6 +27,7 @@ from tallyfs.functions.columns import extension_of, is_archive
 from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
 from tallyfs.session import ship_package
 from tallyfs.sources.readers import open_regular
+from tallyfs.sources.storage import Store
 from tallyfs.sources.tree import readable_name
 
 KIND_ARCHIVE_ERROR = "archive_error"
@@ -39,13 +40,13 @@ TAR_EXTENSIONS = (".tar", ".tgz", ".gz", ".bz2", ".xz")
 SINGLE_EXTENSIONS = (".gz", ".bz2", ".xz")
 
 
-def _entries(archive: str, source) -> Iterator[tuple]:
+def _entries(archive: str, source, store: Store | None = None) -> Iterator[tuple]:
     """Rows for one archive; the last row is an error row if reading failed
     (entries listed before the failure are kept)."""
     low = archive.lower()
     try:
         if isinstance(source, str):
-            source = open_regular(source)
+            source = store.open(source) if store is not None else open_regular(source)
         if low.endswith(TAR_EXTENSIONS):
             found = _tar_entries(source, archive[archive.rfind("/") + 1:])
         else:
@@ -117,7 +118,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return df
 
 
-def _list_batches(content_col: str | None):
+def _list_batches(content_col: str | None, store: Store | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[tuple] = []
         for pdf in batches:
@@ -125,7 +126,7 @@ def _list_batches(content_col: str | None):
             blobs = pdf[content_col].tolist() if content_col else [None] * len(paths)
             for path, blob in zip(paths, blobs):
                 source = io.BytesIO(blob if blob is not None else b"") if content_col else path
-                for row in _entries(path, source):
+                for row in _entries(path, source, store):
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
                         yield _frame(buf)
@@ -136,7 +137,7 @@ def _list_batches(content_col: str | None):
 
 
 def list_archives(archives: DataFrame, content: str | None = None,
-                  archives_per_task: int = 256, n_archives: int | None = None) -> DataFrame:
+                  archives_per_task: int = 256, n_archives: int | None = None, store: Store | None = None) -> DataFrame:
     """Entries and error rows of the archives in ``archives`` (rows with a
     ``path``, and a binary ``content`` column for table-backed archives).
 
@@ -152,7 +153,7 @@ def list_archives(archives: DataFrame, content: str | None = None,
         parts = max(floor, -(-n // archives_per_task))
         src = src.repartition(max(1, min(parts, n)), "path")
     ship_package(archives.sparkSession)
-    listed = src.mapInPandas(_list_batches(content), ENTRY_SCHEMA)
+    listed = src.mapInPandas(_list_batches(content, store), ENTRY_SCHEMA)
     return listed.select(
         "kind", "path", "name", "size", F.when(F.col("kind") == KIND_FILE, extension_of("name")).alias("extension"),
         "from_archive", "archive_path", F.lit(None).cast("timestamp").alias("mtime"), "error")

@@ -123,8 +123,11 @@ class Store:
         mtime = info.mtime_ns / 1e9 if info.mtime_ns is not None else None
         ident = path
         if local and kind == DIR:
-            st = os.stat(info.path)
-            ident, mtime = f"{st.st_dev}:{st.st_ino}", st.st_mtime
+            try:
+                st = os.stat(info.path)
+                ident, mtime = f"{st.st_dev}:{st.st_ino}", st.st_mtime
+            except OSError:  # gone since; it will not be listed either
+                pass
         return Entry(path, posixpath.basename(path.rstrip("/")), kind, info.size, mtime, ident)
 
     def entry(self, path: str) -> Entry:
@@ -173,6 +176,14 @@ class Store:
         with self.open(path) as fh:
             return read_at(fh, start, length)
 
+    def make_folder(self, path: str) -> None:
+        """A folder with those above it; there may be one already."""
+        fs, rest = self._at(path)
+        try:
+            fs.create_dir(rest, recursive=True)
+        except (pa.ArrowException, OSError) as exc:
+            raise _as_os_error(exc, path) from exc
+
     def create(self, path: str):
         """A new file for writing, its folder made if need be. It is complete
         once closed; object stores show it only then."""

@@ -16,7 +16,11 @@ Unlike Spark's ``binaryFile`` source this sees every entry: names starting
 with ``.`` or ``_``, zero-byte files, empty directories, broken links.
 Links to directories are followed, except a link that resolves to one of its
 own ancestors (it is listed as a folder with an error and not entered).
-Executors must see the same file system as the driver (a shared mount).
+A plain path must be a mount that all executors share. A root with a scheme
+(``hdfs://``, ``s3://``, ``file://``) or a caller's own ``store`` is listed
+through a file-system handle (``sources/storage.py``): one selector call per
+folder brings names, sizes and times, so no file is stat'ed, and paths keep
+their scheme.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from tallyfs.functions.columns import extension_of
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import INVENTORY_COLUMNS, KIND_DIR, KIND_FILE, KIND_SKIPPED
 from tallyfs.session import local_fs_path, ship_package
+from tallyfs.sources.storage import DIR, MISSING, Store, normal_path, store_of
 
 LEVEL_SCHEMA = ("kind string, path string, name string, size bigint, "
                 "mtime_s double, error string, descend boolean, chain array<string>, deferred boolean")
@@ -128,20 +133,43 @@ def _list_dir(path: str, chain: list[str], prune: frozenset[str], inline_files:
             yield _row(KIND_DIR, child, entry.name, mtime=st.st_mtime, descend=True, chain=chain + [ident])
 
 
+def _list_store(store: Store, path: str, chain: list[str], prune: frozenset[str]) -> Iterator[tuple]:
+    """Rows for the entries of one folder of a store; the same rules as for a
+    mounted folder."""
+    try:
+        for e in store.entries(path):
+            if (shown := readable_name(e.name)) is not None:
+                yield _row(KIND_SKIPPED, path.rstrip("/") + "/" + shown, shown, error="undecodable name")
+            elif e.kind == MISSING:
+                yield _row(KIND_SKIPPED, e.path, e.name, error="not readable")
+            elif e.kind != DIR:
+                yield _row(KIND_FILE, e.path, e.name, e.size or 0, mtime=e.mtime_s)
+            elif e.name.lower() in prune:
+                yield _row(KIND_SKIPPED, e.path, e.name, error="pruned")
+            elif e.ident in chain:
+                yield _row(KIND_DIR, e.path, e.name, mtime=e.mtime_s, error="link to an ancestor, not entered")
+            else:
+                yield _row(KIND_DIR, e.path, e.name, mtime=e.mtime_s, descend=True, chain=chain + [e.ident])
+    except OSError as exc:  # it stays a folder and is also counted as skipped
+        yield _row(KIND_SKIPPED, path, os.path.basename(path), error=_err(exc))
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=LEVEL_COLUMNS)
     df["size"] = df["size"].astype("Int64")
     return df
 
 
-def _scan_level(prune: frozenset[str], inline_files: int, dirs_acc, deferred_acc):
+def _scan_level(prune: frozenset[str], inline_files: int, dirs_acc, deferred_acc, store: Store | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buf: list[tuple] = []
         n_dirs = n_deferred = 0
         for pdf in batches:
             for path, chain in zip(pdf["path"], pdf["chain"]):
                 chain_list = list(chain) if chain is not None else []
-                for row in _list_dir(local_fs_path(path), chain_list, prune, inline_files):
+                listed = (_list_store(store, path, chain_list, prune) if store is not None
+                          else _list_dir(local_fs_path(path), chain_list, prune, inline_files))
+                for row in listed:
                     n_dirs += row[6]
                     n_deferred += row[8]
                     buf.append(row)
@@ -162,17 +190,30 @@ def _stat_deferred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(rows)
 
 
+def _root(root: str, store: Store | None) -> tuple[str, str, Store | None]:
+    """(path, identity, store) of the folder to list; raises if it is none."""
+    store = store_of(root, store)
+    if store is None:
+        root = local_fs_path(root)
+        if not os.path.isdir(root):
+            raise FileNotFoundError(f"not a directory: {root}")
+        return root, _ident(os.stat(root)), None
+    root = normal_path(root)
+    entry = store.entry(root)
+    if entry.kind != DIR:
+        raise FileNotFoundError(f"not a directory: {root}")
+    return root, entry.ident, store
+
+
 def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
                 prune: tuple[str, ...] = (), inline_files: int = 20_000,
-                files_per_stat_task: int = 20_000) -> list[DataFrame]:
+                files_per_stat_task: int = 20_000, store: Store | None = None) -> list[DataFrame]:
     """List ``root`` level by level; returns the written level tables."""
-    root = local_fs_path(root)
-    if not os.path.isdir(root):
-        raise FileNotFoundError(f"not a directory: {root}")
+    root, ident, store = _root(root, store)
     prune_set = frozenset(p.lower() for p in prune)
     floor = max(spark.sparkContext.defaultParallelism, 1)
     ship_package(spark)
-    frontier = spark.createDataFrame([(root, [_ident(os.stat(root))])], FRONTIER_SCHEMA)
+    frontier = spark.createDataFrame([(root, [ident])], FRONTIER_SCHEMA)
     n_dirs = 1
     levels: list[DataFrame] = []
     depth = 0
@@ -186,7 +227,7 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
         # task can only make them larger, which neither ends the walk early
         # nor skips the stat stage.
         dirs_acc, deferred_acc = sc.accumulator(0), sc.accumulator(0)
-        listed = spread.mapInPandas(_scan_level(prune_set, inline_files, dirs_acc, deferred_acc),
+        listed = spread.mapInPandas(_scan_level(prune_set, inline_files, dirs_acc, deferred_acc, store),
                                     LEVEL_SCHEMA)
         level = materialize(spark, listed, f"tree-level{depth}")
         n_deferred, n_dirs = deferred_acc.value, dirs_acc.value
@@ -204,19 +245,24 @@ def tree_levels(spark: SparkSession, root: str, dirs_per_task: int = 64,
 
 
 def tree_inventory(spark: SparkSession, root: str, dirs_per_task: int = 64,
-                   prune: tuple[str, ...] = (), inline_files: int = 20_000) -> DataFrame:
+                   prune: tuple[str, ...] = (), inline_files: int = 20_000, store: Store | None = None) -> DataFrame:
     """Inventory of every entry below ``root`` (root itself excluded).
 
     ``prune`` names directories (case-insensitive) that are not entered but
-    counted as skipped, e.g. ``("$recycle.bin", "system volume information")``.
+    counted as skipped, e.g. ``SYSTEM_DIRECTORIES``.
     A name that is not valid Unicode is a skipped row with its odd bytes
     escaped; such a folder is not entered.
     A missing root raises; everything below it becomes rows.
     """
-    levels = tree_levels(spark, root, dirs_per_task, prune, inline_files)
+    levels = tree_levels(spark, root, dirs_per_task, prune, inline_files, store=store)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    return level_inventory(out)
+
+
+def level_inventory(out: DataFrame) -> DataFrame:
+    """Rows of the listing as inventory rows."""
     return out.select(
         "kind", "path", "name", "size",
         F.when(F.col("kind") == KIND_FILE, extension_of("name")).alias("extension"),

@@ -35,7 +35,7 @@ def test_hot_group(spark):
     salted_rec = sorted(map(tuple, dup.reclaimable_files(res, hot_copies=100).collect()))
     assert salted_rec == sorted(map(tuple, dup.reclaimable_files(res).collect()))
     groups = res.groups.withColumn("payload", res.groups["copies"] * 2)
-    joined = dup.join_to_groups(res.files, groups, hot_copies=100, buckets=8)
+    joined = dup.join_to_groups(res.files, groups, hot_copies=100)
     assert joined.count() == sum(n for _, _, n in want)
     assert joined.filter("payload != copies * 2").count() == 0
     # salted semi joins keep exactly the rows a plain semi join keeps
@@ -44,3 +44,16 @@ def test_hot_group(spark):
     salted = dup.salted_join(res.files, keys, ["full_hash", "size"], "copies", "left_semi", hot_copies=100)
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
     assert "_salt" not in salted.columns
+
+
+def test_salts_follow_the_size_of_the_key(spark):
+    """A key twice as large gets twice as many salts: the rows that one task
+    gets of it stay below the bound."""
+    for n in (4_000, 16_000):
+        rows = spark.range(n).selectExpr("concat('/d/f', id) as path", "cast(0 as bigint) as size")
+        keys = spark.createDataFrame([(0, n)], "size bigint, n bigint")
+        joined = dup.salted_join(rows, keys, ["size"], "n", "left_semi", hot_copies=1_000)
+        assert joined.count() == n
+        # the salts as the join deals them
+        salts = rows.selectExpr(f"pmod(xxhash64(path), {n * 2 // 1_000}) as s").groupBy("s").count().collect()
+        assert len(salts) == n * 2 // 1_000 and max(r["count"] for r in salts) < 1_000
