@@ -36,9 +36,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, whether they decode to its text, and how many
+    chunks the text was scanned in."""
     coded = sentencepieces.encode(spark, documents(spark, sf_dir).select("doc_id", "text"), verify=True)
-    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "round_trip", "token_ids")
+    around = sentencepieces.Pieces(sentencepieces.load_model()).longest
+    chunks = F.expr(f"int(greatest(1, (coalesce(length(text), 0) + {sentencepieces.CHUNK - around}) div {sentencepieces.CHUNK}))")
+    return coded.select("doc_id", F.size("token_ids").alias("n_tokens"), "round_trip", chunks.alias("n_chunks"), "token_ids")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ Inside a chunk, a piece boundary is certain before every space mark that
 follows another character (no piece of such a vocabulary goes on over it; this
 is checked when the model is loaded). Between such places the library encodes,
 word by word with a bounded cache; only the characters between a chunk's ends
-and its first and last certain place need the matrix. Texts of one chunk are
-the same computation without boundaries.
+and its first and last certain place need the matrix. A text of several chunks
+but at most SPREAD characters goes through the same matrices within one task;
+texts of one chunk are the same computation without boundaries.
 
 The model file's path is a parameter; its bytes (under 1 MB) are sent to the
 tasks. Defined cases: null and empty texts have no pieces; characters that the
@@ -26,6 +27,7 @@ result; other columns are kept, earlier results of the same names replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -39,7 +41,10 @@ from tallyfs.llm.common import hot_join, lean, materialize, prepare, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 65_536
+CHUNK = 16_384
+#: A text of up to this many characters is scanned by one task, all its chunks
+#: one after the other; the chunks of a longer one are dealt out.
+SPREAD = 1 << 20
 #: Matrices combined in one step.
 FAN = 64
 #: Words and pairs that a task remembers.
@@ -259,22 +264,55 @@ def _up(pdf):
     return pdf.iloc[:1][["rk"]].assign(idx=pdf["_block"].iloc[0], cells=[cells])[["rk", "idx", "cells"]]
 
 
-def _down(pdf):
-    """States at the ends of each matrix of a block whose ends are known."""
-    pdf = pdf.sort_values("idx")
-    scores = [{int(pdf["entry"].iloc[0]): (0.0, None)}]
-    for cells in pdf["cells"]:
+def boundary_states(matrices: list[dict], entry: int, exit_: int) -> list[tuple[int, int]]:
+    """(state before, state after) of each of consecutive matrices on the best
+    path from ``entry`` to ``exit_``."""
+    scores = [{entry: (0.0, None)}]
+    for m in matrices:
         nxt: dict[int, tuple] = {}
-        for (e, x), w in _matrix(cells).items():
+        for (e, x), w in m.items():
             if e in scores[-1] and scores[-1][e][0] + w > nxt.get(x, (MINUS_INF,))[0]:
                 nxt[x] = (scores[-1][e][0] + w, e)
         scores.append(nxt)
-    state, states = int(pdf["exit"].iloc[0]), []
-    for k in range(len(pdf), 0, -1):
+    state, states = exit_, []
+    for k in range(len(matrices), 0, -1):
         before = scores[k][state][1]
         states.append((before, state))
         state = before
     states.reverse()
+    return states
+
+
+def cut(marked: str, around: int, chunk: int) -> list[tuple[str, int, int, bool, bool]]:
+    """Arguments of the chunks of a marked text (see :class:`Chunk`)."""
+    n, out = n_chunks(len(marked), around, chunk), []
+    for k in range(n):
+        at, last = k * chunk, k == n - 1
+        left, core = min(at, around), len(marked) - at if last else chunk
+        out.append((marked[at - left:at + core + around], left, core, k == 0, last))
+    return out
+
+
+def n_chunks(length: int, around: int, chunk: int) -> int:
+    """Chunks of a marked text; a last one shorter than ``around`` joins the one
+    before."""
+    return max(1, (length + chunk - around - 1) // chunk)
+
+
+def scan_text(pieces: Pieces, marked: str, around: int, chunk: int) -> list[int]:
+    """Ids of a marked text by the matrices of its chunks."""
+    chunks = [Chunk(pieces, *c) for c in cut(marked, around, chunk)]
+    matrices = [{(e, x): w for e, x, w in c.transfer()} for c in chunks]
+    whole = functools.reduce(combine, matrices)
+    exit_ = next(x for e, x in whole if e == BOS)
+    states = boundary_states(matrices, BOS, exit_)
+    return [i for c, (e, x) in zip(chunks, states) for i in c.ids(e, x)]
+
+
+def _down(pdf):
+    """States at the ends of each matrix of a block whose ends are known."""
+    pdf = pdf.sort_values("idx")
+    states = boundary_states([_matrix(c) for c in pdf["cells"]], int(pdf["entry"].iloc[0]), int(pdf["exit"].iloc[0]))
     return pdf[["rk", "idx"]].assign(entry=[a for a, _ in states], exit=[b for _, b in states])
 
 
@@ -349,7 +387,7 @@ def _fields(df: DataFrame) -> str:
 
 
 def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK,
-           verify: bool = False) -> DataFrame:
+           verify: bool = False, spread: int = SPREAD) -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>) added, as the library encodes
     the text, for texts of any length; with ``verify`` also ``round_trip``:
     whether the ids decode to the text."""
@@ -361,7 +399,8 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
     model = spark.sparkContext.broadcast(raw)
     docs = docs.drop("token_ids", "round_trip")
     names = docs.columns
-    giant = F.coalesce(F.length("text"), F.lit(0)) + 1 > chunk + around
+    spread = max(chunk, spread)
+    giant = F.coalesce(F.length("text"), F.lit(0)) + 1 > spread + around
     at = names.index("text")
     added = ["token_ids", "round_trip"] if verify else ["token_ids"]
 
@@ -373,7 +412,10 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk:
                 ids, ends, same = [], [0], []
                 for t in b.column(at):
                     t = (t.as_py() or "").replace(" ", MARK)
-                    one = pieces.whole(MARK + t) if t else []
+                    if len(t) + 1 > chunk + around:
+                        one = scan_text(pieces, MARK + t, around, chunk)
+                    else:
+                        one = pieces.whole(MARK + t) if t else []
                     if verify:
                         same.append(_decoded(one, pieces.out) == t.replace(MARK, " "))
                     ids.append(np.array(one, dtype=np.int32))

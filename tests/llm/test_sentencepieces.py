@@ -21,12 +21,12 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("chunk", [64, 100, 16384])
-def test_equals_library(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,spread", [(64, 64), (64, 300), (100, 100), (sp.CHUNK, sp.SPREAD)])
+def test_equals_library(spark, monkeypatch, chunk, spread):
     monkeypatch.setattr(sp, "FAN", 3)  # several levels
     rows = [(i, t, "s", 7) for i, t in enumerate(texts())] + [(0, "", None, None), (None, "a b " * 60, "s", 1)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, idx int")
-    got = sp.decode(spark, sp.encode(spark, docs, chunk=chunk, verify=True)).collect()
+    got = sp.decode(spark, sp.encode(spark, docs, chunk=chunk, spread=spread, verify=True)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.token_ids == (LIB.encode(r.text) if r.text else []), (r.doc_id, r.text[:40])
@@ -42,6 +42,27 @@ def test_empty_table_and_null_ids(spark):
     assert [r.decoded for r in sp.decode(spark, rows).collect()] == [None, "", "\x7f�"]
 
 
+@pytest.mark.parametrize("chunk", [64, 100, 1000])
+def test_scan_of_one_text(chunk):
+    """All chunks of a text in one task; the number of chunks as reported."""
+    pieces = sp.Pieces(sp.load_model())
+    around = pieces.longest
+    for t in texts():
+        if t:
+            marked = sp.MARK + t.replace(" ", sp.MARK)
+            assert sp.scan_text(pieces, marked, around, chunk) == LIB.encode(t), t[:40]
+            parts = sp.cut(marked, around, chunk)
+            assert "".join(s[left:left + core] for s, left, core, _, _ in parts) == marked
+            assert len(parts) == max(1, (len(t) + chunk - around) // chunk)
+
+
+def test_longer_texts_of_the_tables_go_through_the_scan(spark):
+    from tallyfs.llm.queries import op6_sentencepiece
+
+    got = op6_sentencepiece(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_chunks > 1 for r in got) >= 5 and all(r.round_trip for r in got)
+
+
 def test_combine_is_associative():
     rnd = random.Random(1)
 
