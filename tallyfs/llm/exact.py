@@ -3,9 +3,11 @@
 Each normalised text is cut where a rolling hash of its last 16 bytes says so,
 and every chunk gets an identifier (a digest of its bytes). A text's recipe is
 its ordered list of identifiers. Identifiers are verified: the bytes of every
-chunk whose digest occurs more than once travel once (each task sends each
-distinct chunk once) and must be one and the same; if any digest names two
-contents, all identifiers are made again at twice the width. Documents are then
+chunk whose digest occurs more than once travel once per task and must be one
+and the same; if any digest names two contents, all identifiers are made again
+at twice the width. Tasks know the repeated digests by a bit table of fixed size
+(a Bloom filter): every repeated digest is in it, and of the others so few that
+hardly any byte moves for nothing. Documents are then
 equal exactly when their recipes are, so only recipes are compared and joined:
 a long text never moves again.
 
@@ -21,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,9 @@ SLICE = 1 << 20
 DIGEST_BYTES = 16
 #: Chunk bytes that a task remembers, to send a repeated chunk once.
 SEEN_CHUNKS = 200_000
+#: Bits of the table of repeated digests: 8 MB, whatever their number. When it
+#: fills up, more chunks than needed travel; none is missed.
+BLOOM_BITS = 1 << 26
 #: Chunk bytes that leave a task at once.
 BATCH_BYTES = 4 << 20
 
@@ -106,11 +112,34 @@ def recipes(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
             .mapInArrow(lean(run), "doc_id long, rk string, recipe binary, text_sha256 string"))
 
 
-def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
-    """(digest, chunk) of all documents, repeats within a task mostly left out."""
+def _places(h: int) -> tuple[int, int, int]:
+    """The three bits of a digest, from its 64-bit hash."""
+    return h & (BLOOM_BITS - 1), h >> 19 & (BLOOM_BITS - 1), h >> 38 & (BLOOM_BITS - 1)
+
+
+def repeated_bits(narrow: DataFrame, width: int) -> bytes:
+    """The bit table of the digests that occur in the recipes more than once."""
+    ids = narrow.select(F.explode(F.expr(
+        f"transform(sequence(0, greatest(length(recipe) div {width} - 1, 0)), "
+        f"i -> substring(recipe, cast(i * {width} + 1 as int), {width}))")).alias("digest")) \
+        .filter(F.length("digest") > 0)
+    repeated = ids.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    h, mask = "xxhash64(digest)", BLOOM_BITS - 1
+    bit = F.explode(F.expr(f"array({h} & {mask}L, shiftrightunsigned({h}, 19) & {mask}L, shiftrightunsigned({h}, 38) & {mask}L)"))
+    words = repeated.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()  # BLOOM_BITS / 64 rows at most
+    table = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.astype("<i8").tobytes()
+
+
+def chunk_table(docs: DataFrame, width: int, bits) -> DataFrame:
+    """(digest, chunk) of all documents' chunks that are in the broadcast table
+    ``bits``, repeats within a task mostly left out."""
 
     def run(batches):
         seen: set = set()
+        table = bits.value
 
         def sent(ids, data):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(data, pa.binary())],
@@ -120,6 +149,8 @@ def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
             ids, data, size = [], [], 0
             for t in b.column("text").cast(pa.binary()):
                 for d, piece in _chunks(normalise(t.as_py()), width):
+                    if not all(table[p >> 3] >> (p & 7) & 1 for p in _places(xxhash.xxh64_intdigest(d, 42))):
+                        continue
                     mark = (d, hash(piece))
                     if mark not in seen:
                         if len(seen) >= SEEN_CHUNKS:
@@ -136,16 +167,12 @@ def chunk_table(docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "digest binary, chunk binary")
 
 
-def collisions(docs: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
+def collisions(spark: SparkSession, docs: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
     """Digests that stand for more than one content. Only chunks whose digest
     occurs in the recipes more than once can, so only those are sent."""
-    ids = narrow.select(F.explode(F.expr(
-        f"transform(sequence(0, greatest(length(recipe) div {width} - 1, 0)), "
-        f"i -> substring(recipe, cast(i * {width} + 1 as int), {width}))")).alias("digest")) \
-        .filter(F.length("digest") > 0)
-    repeated = ids.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    chunks = chunk_table(docs, width).join(repeated, "digest", "left_semi")
-    return chunks.distinct().groupBy("digest").agg(F.count("*").alias("contents")).filter("contents > 1")
+    bits = spark.sparkContext.broadcast(repeated_bits(narrow, width))
+    return (chunk_table(docs, width, bits).groupBy("digest")
+            .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least != most"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, width: int = DIGEST_BYTES) -> DataFrame:
@@ -154,7 +181,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, width: int = DIGEST_BYTES)
     prepare(spark)
     while True:
         narrow = materialize(spark, recipes(docs, width), "recipes")
-        if collisions(docs, narrow, width).isEmpty():
+        if collisions(spark, docs, narrow, width).isEmpty():
             break
         width *= 2
         if width > 64:

@@ -61,5 +61,17 @@ def test_colliding_digests_are_widened(spark):
     check(spark, rows, width=1)
 
 
+def test_only_repeated_chunks_are_sent(spark):
+    rnd = random.Random(6)
+    unique = [(i, " ".join(str(rnd.random()) for _ in range(400)), 0, "") for i in range(60)]
+    twice = [(i + 100, unique[i][1], 0, "") for i in range(5)]
+    docs = spark.createDataFrame(unique + twice, "doc_id long, text string, recipe int, digest string")
+    narrow = exact.recipes(docs, 16)
+    bits = spark.sparkContext.broadcast(exact.repeated_bits(narrow, 16))
+    sent = {bytes(r.digest) for r in exact.chunk_table(docs, 16, bits).collect()}
+    want = {d for _, t, *_ in twice for d, _ in exact._chunks(exact.normalise(t.encode()), 16)}
+    assert want <= sent and len(sent) <= len(want) + 1
+
+
 def test_empty(spark):
     assert exact.exact_dedup(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
