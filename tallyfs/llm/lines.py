@@ -100,18 +100,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     results = ("clean_text", "n_lines", "removed", "n_runs")
     names = [c for c in docs.columns if c not in results]
     # The user's row is one column: no name of it meets a name used here.
-    base = docs.select(F.monotonically_increasing_id().alias("_seq"), F.col("text").cast("string").alias("_text"),
-                       F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    base = docs.select(F.monotonically_increasing_id().alias("_seq"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     base = materialize(spark, base, "line_docs")
+    text = F.col("_row.text").cast("string")
     lines = materialize(spark, line_table(base.select(
-        F.col("_seq").alias("seq"), F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_text").alias("text"))), "line_ids")
+        F.col("_seq").alias("seq"), F.col("_row.doc_id").cast("long").alias("doc_id"), text.alias("text"))), "line_ids")
     gone = later_copies(spark, lines, min_words)
     decided = lines.join(gone, "seq", "left").select(
         F.col("seq").alias("_seq"), F.col("n_lines").alias("_n_lines"),
         F.expr("coalesce(transform(places, p -> _lines[p].no), cast(array() as array<int>))").alias("_removed"),
         F.expr("coalesce(size(array_except(places, transform(places, p -> p + 1))), 0)").alias("_runs"))
     decided = materialize(spark, decided, "line_decisions")
-    rows = base.join(decided, "_seq")
+    rows = base.join(decided, "_seq").withColumn("_text", text)
     # the split text as a lambda's variable, so that it is made once
     kept = F.expr("transform(array(split(_text, '\\n', -1)), a -> concat_ws('\\n', transform("
                   "array_except(sequence(0, size(a) - 1), _removed), i -> a[i])))[0]")
