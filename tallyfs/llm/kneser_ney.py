@@ -291,7 +291,8 @@ def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, tail:
     and serves to set the ranges. A language's range reaches from the median of
     its left-out scores ``reach`` times as far as their quantiles ``tail`` and
     1 - ``tail``; these two distances are means of the language's own and of all
-    languages' together, the latter weighing as ``pooled_rows`` rows.
+    languages' together, the latter weighing as ``pooled_rows`` rows. Its upper
+    end is that of the counted rows if theirs is higher.
     """
     ids = materialize(spark, trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id"))
                       .filter("doc_id is not null").distinct(), "kn_ids")
@@ -307,14 +308,28 @@ def quality(spark: SparkSession, docs: DataFrame, trusted_ids: DataFrame, tail:
     placed = (scored.join(by_lang, "l", "left").withColumn("m", F.coalesce("m", F.lit(all_mean)))
               .withColumn("score", (F.col("logp") + PRIOR_CHARS * F.col("m")) / (F.col("n_chars") + PRIOR_CHARS)))
     q = F.percentile_approx("score", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)), F.lit(10000))
-    own = materialize(spark, placed.filter("held").groupBy("l").agg(q.alias("q"), F.count("*").alias("c")), "kn_quantiles")
-    own, _ = bounded_broadcast(own, BROADCAST_ROWS)
-    gap = F.percentile_approx(F.col("score") - F.col("q")[1], F.array(F.lit(tail), F.lit(1 - tail)), F.lit(10000))
-    below, above = placed.filter("held").join(own, "l").agg(gap).first()[0] or (0.0, 0.0)
-    weight = f"/ (c + {pooled_rows})"
+
+    def spread(rows: DataFrame, prefix: str) -> tuple[DataFrame, float, float]:
+        """Quantiles and rows per language; of all, how far the quantiles are
+        from the language's median."""
+        own = rows.groupBy("l").agg(q.alias(f"{prefix}_q"), F.count("*").alias(f"{prefix}_n"))
+        own, _ = bounded_broadcast(materialize(spark, own, "kn_quantiles"), BROADCAST_ROWS)
+        gap = F.percentile_approx(F.col("score") - F.col(f"{prefix}_q")[1], F.array(F.lit(tail), F.lit(1 - tail)), F.lit(10000))
+        below, above = rows.join(own, "l").agg(gap).first()[0] or (0.0, 0.0)
+        return own, -below, above
+
+    def end(prefix: str, k: int, pooled: float) -> str:
+        """One end of the range: ``reach`` times the way to quantile k."""
+        sign, (near, far) = ("-", ("q[1]", "q[0]")) if k == 0 else ("+", ("q[2]", "q[1]"))
+        return (f"{prefix}_q[1] {sign} {reach} * ({prefix}_n * ({prefix}_{near} - {prefix}_{far}) + {pooled_rows} * {pooled!r}D) "
+                f"/ ({prefix}_n + {pooled_rows})")
+
+    left, below, above = spread(placed.filter("held"), "left")
+    # Counted text, and copies of it, scores best; it is not too good to be kept.
+    counted, _, best = spread(placed.filter("trusted"), "counted")
     within = F.coalesce((F.col("score") >= F.col("lo")) & (F.col("score") <= F.col("hi")), F.lit(True))
-    return (placed.join(own, "l", "left")
-            .withColumn("lo", F.expr(f"q[1] - {reach} * (c * (q[1] - q[0]) + {pooled_rows} * {-below!r}D) {weight}"))
-            .withColumn("hi", F.expr(f"q[1] + {reach} * (c * (q[2] - q[1]) + {pooled_rows} * {above!r}D) {weight}"))
+    return (placed.join(left, "l", "left").join(counted, "l", "left")
+            .withColumn("lo", F.expr(end("left", 0, below)))
+            .withColumn("hi", F.expr(f"if(left_n is null, null, greatest({end('left', 2, above)}, {end('counted', 2, best)}))"))
             .select("doc_id", "rk", "lang", (F.col("trusted") | F.col("held")).alias("trusted"),
                     F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"), "score", "lo", "hi", within.alias("kept")))
