@@ -13,16 +13,23 @@ import gzip
 import io
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.plans.corpus import read_table
-from tallyfs.session import ship_package
+from tallyfs.plans.materialize import materialize
+from tallyfs.session import scratch_path, ship_package
+from tallyfs.sources.archives import KIND_FILE, list_archives
+from tallyfs.sources.storage import Store, normal_path
 from tallyfs.sources.table import table_files
+from tallyfs.sources.zip_split import cut_ranges, directory_places
 
 DOCS_PER_BUNDLE = 64
+#: The bundles' directories are a few KB long; ranges of this length cut them.
+BUNDLE_RANGE = 1024
 _FIXED_TIME = (1980, 1, 1, 0, 0, 0)
 
 
@@ -99,3 +106,40 @@ def mixed_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (plain_inventory(spark, sf_dir)
             .unionByName(bundle_inventory(spark, sf_dir))
             .unionByName(fake_archive_inventory(spark, sf_dir)))
+
+
+def _write_bundles(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = Store()
+        for pdf in batches:
+            paths = [root + path.removeprefix("/corpus") for path in pdf["path"]]
+            for path, data in zip(paths, pdf["content"]):
+                with store.create(path) as fh:
+                    fh.write(data)
+            yield pd.DataFrame({"path": paths, "size": [len(data) for data in pdf["content"]]})
+    return run
+
+
+def written_bundles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """(path, size) of the bundles written as files, and their folder."""
+    root = normal_path(scratch_path(spark, "bundles"))
+    Store().make_folder(root)
+    files = bundle_table(spark, sf_dir).mapInPandas(_write_bundles(root), "path string, size bigint")
+    return materialize(spark, files, "bundle_files"), root
+
+
+def split_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the written bundles, their directories dealt out by ranges."""
+    files, root = written_bundles(spark, sf_dir)
+    rows = list_archives(files, split_bytes=BUNDLE_RANGE).filter(F.col("kind") == KIND_FILE)
+    cut = [F.concat(F.lit("/corpus"), F.expr(f"substring({c}, {len(root) + 1})")).alias(c) for c in ("path", "archive_path")]
+    return rows.select(*cut, "name", "size", "extension", "from_archive")
+
+
+def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, directory_bytes, ranges) of the written bundles whose directory is cut."""
+    files, root = written_bundles(spark, sf_dir)
+    places = directory_places(files, files.count(), 256, None)
+    ranges = cut_ranges(places, BUNDLE_RANGE).groupBy("path").agg(
+        (F.max("end") - F.min("lo")).alias("directory_bytes"), F.count("*").alias("ranges"))
+    return ranges.withColumn("path", F.concat(F.lit("/corpus"), F.expr(f"substring(path, {len(root) + 1})")))

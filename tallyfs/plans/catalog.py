@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tallyfs.functions.columns import category_of, hash_eligible, is_excluded, is_hidden, size_text
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
-from tallyfs.plans import doc_tree
 from tallyfs.operators.diff import diff_summary, scan_diff, scan_moves
+from tallyfs.plans import bundles, doc_tree
 from tallyfs.plans.analyze import FULL, QUICK, Sections, analyze, summary_rows, write_outputs
 from tallyfs.plans.bundles import bundle_inventory, fake_archive_inventory, mixed_inventory
 from tallyfs.plans.corpus import changed_inventories, corpus_inventory, url_inventory
@@ -171,6 +171,14 @@ def q_compressed_entries(spark, sf_dir):
     return arc.archive_entries(inv, "content", archive_extensions=("gz", "xz")).select(*ENTRY_COLUMNS)
 
 
+def q_split_entries(spark, sf_dir):
+    return bundles.split_entries(spark, sf_dir)
+
+
+def q_split_ranges(spark, sf_dir):
+    return bundles.split_ranges(spark, sf_dir)
+
+
 def q_archive_errors(spark, sf_dir):
     return arc.archive_errors(fake_archive_inventory(spark, sf_dir), "content").select("path")
 
@@ -380,4 +388,6 @@ QUERIES: dict[str, Query] = {
     "incremental_reads": q_incremental_reads,
     "tree_source_files": q_tree_source_files,
     "scan_moves": q_scan_moves,
+    "split_entries": q_split_entries,
+    "split_ranges": q_split_ranges,
 }

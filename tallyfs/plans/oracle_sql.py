@@ -241,6 +241,12 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
                                      "from uf group by 1"),
     "archive_entries": ENTRIES,
     "tar_entries": ENTRIES.replace(".zip'", ".tar'"),
+    "split_entries": ENTRIES,
+    "split_ranges": (
+        f"select path, cast(sum(n) as bigint) as directory_bytes, cast(ceil(sum(n) / 1024.0) as bigint) as ranges from "
+        f"(select {BUNDLE} as path, 46 + octet_length(encode(source || '/' || lang || '/doc_' || cast(doc_id as varchar) || '.TXT')) as n "
+        f"from documents union all select path, 46 + octet_length(encode(source || '/')) from (select distinct {BUNDLE} as path, source from documents)) "
+        "group by path having sum(n) > 1024"),
     "archive_errors": "select '/corpus/pages/page_' || cast(page_id as varchar) || '.zip' as path from pages",
     "expand_archives": PLAIN + " union all " + ENTRIES,
     "doc_tree_summary": _with(CORPUS, DOC_TREE) + (

@@ -1,7 +1,7 @@
 """Archive entries (A4–A6, J4): each ZIP becomes one row per file entry.
 
 Only a ZIP's central directory is read (``zipfile`` seeks to it), never the
-compressed data. Tar containers (opt-in through ``archive_extensions``) have
+compressed data; a long directory is dealt out in byte ranges (``zip_split``). Tar containers (opt-in through ``archive_extensions``) have
 no directory and are read as a stream. Archives come either from storage (by path, opened on the
 executors) or from a binary column of a table-backed inventory. An archive
 that cannot be read yields one ``archive_error`` row instead of entries; it
@@ -14,6 +14,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
 import lzma
 import tarfile
 import zipfile
@@ -27,8 +28,10 @@ from tallyfs.functions.columns import extension_of, is_archive
 from tallyfs.schema import ARCHIVE_EXTENSIONS, ARCHIVE_SEPARATOR, INVENTORY_COLUMNS, KIND_FILE
 from tallyfs.session import ship_package
 from tallyfs.sources.readers import open_regular
-from tallyfs.sources.storage import Store
+from tallyfs.sources.storage import Store, python_file
 from tallyfs.sources.tree import readable_name
+from tallyfs.sources.zip_split import (SPLIT_BYTES, aligned_ranges, checked_ranges, cut_ranges, directory_places,
+                                       range_source)
 
 KIND_ARCHIVE_ERROR = "archive_error"
 ENTRY_SCHEMA = ("kind string, path string, name string, size bigint, "
@@ -46,7 +49,7 @@ def _entries(archive: str, source, store: Store | None = None) -> Iterator[tuple
     low = archive.lower()
     try:
         if isinstance(source, str):
-            source = store.open(source) if store is not None else open_regular(source)
+            source = python_file(store.open(source) if store is not None else open_regular(source))
         if low.endswith(TAR_EXTENSIONS):
             found = _tar_entries(source, archive[archive.rfind("/") + 1:])
         else:
@@ -118,42 +121,75 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return df
 
 
+def _in_batches(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    while buf := list(itertools.islice(rows, BATCH_ROWS)):
+        yield _frame(buf)
+
+
 def _list_batches(content_col: str | None, store: Store | None = None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buf: list[tuple] = []
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in batches:
             paths = pdf["path"].tolist()
             blobs = pdf[content_col].tolist() if content_col else [None] * len(paths)
             for path, blob in zip(paths, blobs):
                 source = io.BytesIO(blob if blob is not None else b"") if content_col else path
-                for row in _entries(path, source, store):
-                    buf.append(row)
-                    if len(buf) >= BATCH_ROWS:
-                        yield _frame(buf)
-                        buf = []
-        if buf:
-            yield _frame(buf)
-    return run
+                yield from _entries(path, source, store)
+    return lambda batches: _in_batches(listed(batches))
+
+
+def _list_ranges(store: Store | None):
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield from _entries(r.path, range_source(r, store))
+    return lambda batches: _in_batches(listed(batches))
+
+
+def _list_split(large: DataFrame, n: int, archives_per_task: int, store: Store | None,
+                split_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(archives of ``large`` that are better read whole, rows of the others)."""
+    spark = large.sparkSession
+    places = directory_places(large, n, archives_per_task, store)
+    whole = places.filter(f"hi is null or hi - lo <= {int(split_bytes)}").select("path")
+    good, bad = checked_ranges(aligned_ranges(cut_ranges(places, split_bytes), store), store)
+    errors = bad.select(
+        F.lit(KIND_ARCHIVE_ERROR).alias("kind"), "path", F.substring_index("path", "/", -1).alias("name"),
+        F.lit(None).cast("long").alias("size"), F.lit(False).alias("from_archive"),
+        F.lit(None).cast("string").alias("archive_path"), "error")
+    ship_package(spark)
+    return whole, good.mapInPandas(_list_ranges(store), ENTRY_SCHEMA).unionByName(errors)
 
 
 def list_archives(archives: DataFrame, content: str | None = None,
-                  archives_per_task: int = 256, n_archives: int | None = None, store: Store | None = None) -> DataFrame:
+                  archives_per_task: int = 256, n_archives: int | None = None, store: Store | None = None,
+                  split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Entries and error rows of the archives in ``archives`` (rows with a
     ``path``, and a binary ``content`` column for table-backed archives).
 
     Archives read by path are spread over tasks by a hash of their path,
-    ``archives_per_task`` each. Archives held in a content column are listed
-    where the scan put them, so their bytes are never shuffled.
+    ``archives_per_task`` each; a ZIP larger than ``split_bytes`` (by the
+    column ``size``, if there is one) whose directory is longer than that is
+    listed by one task per ``split_bytes`` of directory. Archives held in a
+    content column are listed where the scan put them, so their bytes are never
+    shuffled.
     """
+    spark = archives.sparkSession
+    ship_package(spark)
     cols = ["path"] + ([content] if content else [])
-    src = archives.select(*cols)
+    src, split = archives.select(*cols), None
     if content is None:
         n = src.count() if n_archives is None else n_archives
-        floor = archives.sparkSession.sparkContext.defaultParallelism
-        parts = max(floor, -(-n // archives_per_task))
+        if "size" in archives.columns:
+            stream = F.lower("path").rlike("(" + "|".join(TAR_EXTENSIONS).replace(".", "[.]") + ")$")
+            large = F.coalesce((F.col("size") > split_bytes) & ~stream, F.lit(False))
+            if n_large := archives.filter(large).count():
+                whole, split = _list_split(archives.filter(large), n_large, archives_per_task, store, split_bytes)
+                src = archives.filter(~large).select("path").unionByName(whole)
+        parts = max(spark.sparkContext.defaultParallelism, -(-n // archives_per_task))
         src = src.repartition(max(1, min(parts, n)), "path")
-    ship_package(archives.sparkSession)
     listed = src.mapInPandas(_list_batches(content, store), ENTRY_SCHEMA)
+    if split is not None:
+        listed = listed.unionByName(split)
     return listed.select(
         "kind", "path", "name", "size", F.when(F.col("kind") == KIND_FILE, extension_of("name")).alias("extension"),
         "from_archive", "archive_path", F.lit(None).cast("timestamp").alias("mtime"), "error")

@@ -18,6 +18,7 @@ percent-decoded.
 from __future__ import annotations
 
 import errno
+import io
 import os
 import posixpath
 import stat
@@ -205,6 +206,43 @@ def read_at(fh, start: int, length: int) -> bytes:
         raise OSError(errno.EIO, str(exc)) from exc
 
 
+class _PythonFile(io.RawIOBase):
+    """A handle's file as Python's readers expect one: a place before the first
+    byte is an ``OSError``."""
+
+    def __init__(self, fh):
+        self._fh = fh
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, place: int, whence: int = io.SEEK_SET) -> int:
+        try:
+            return self._fh.seek(place, whence)
+        except pa.ArrowException as exc:
+            raise OSError(errno.EINVAL, str(exc)) from exc
+
+    def tell(self) -> int:
+        return self._fh.tell()
+
+    def readinto(self, buffer) -> int:
+        data = self._fh.read(len(buffer))
+        buffer[:len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self._fh.close()
+        super().close()
+
+
+def python_file(fh):
+    """``fh`` for a reader of Python's library."""
+    return io.BufferedReader(_PythonFile(fh)) if isinstance(fh, pa.NativeFile) else fh
+
+
 def store_of(path: str, store: Store | None = None) -> Store | None:
     """The store that ``path`` is in: the caller's, or that of its scheme; None
     for a path on a mount."""
