@@ -211,10 +211,13 @@ def write_outputs(report: Report, sections: Sections, base: str, scan_id: str |
     * ``text_report``: the summary as text lines, and, when duplicates ran,
       the full listing of every duplicate path (long form, written by the
       executors).
+
+    The scan is committed when all of them are written.
     """
-    from tallyfs.sinks.reports import new_scan_id, write_report, write_text_listing, write_text_summary
+    from tallyfs.sinks.reports import commit_scan, new_scan_id, write_report, write_text_listing, write_text_summary
 
     scan_id = scan_id or new_scan_id()
+    spark = report["summary"].sparkSession
     out: dict[str, str] = {}
     if sections.csv_report:
         tables = {k: report[k] for k in ("categories", "extensions") if k in report}
@@ -223,4 +226,5 @@ def write_outputs(report: Report, sections: Sections, base: str, scan_id: str |
         out["summary_text"] = write_text_summary(summary_rows(report), base, scan_id)
         if "duplicate_listing" in report:
             out["duplicate_listing_text"] = write_text_listing(report["duplicate_listing"], base, scan_id)
+    commit_scan(spark, base, scan_id, {k: "text" if k.endswith("_text") else "csv" for k in out})
     return out

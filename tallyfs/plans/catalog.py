@@ -19,6 +19,7 @@ from tallyfs.plans.corpus import changed_inventories, corpus_inventory, url_inve
 from tallyfs.plans.materialize import materialize
 from tallyfs.schema import KIND_DIR
 from tallyfs.session import scratch_path
+from tallyfs.sinks.reports import read_section, write_report
 from tallyfs.sources import archives as arc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,6 +321,19 @@ def q_report_text(spark, sf_dir):
     return spark.read.text([out["summary_text"], out["duplicate_listing_text"]]).select(F.col("value").alias("line"))
 
 
+CATEGORY_TABLE = "category string, bytes bigint, n bigint, size_text string"
+
+
+def q_committed_reports(spark, sf_dir):
+    """The category tables of the committed scans below a folder that holds a
+    whole report and one that ended after its first section."""
+    base = scratch_path(spark, "reports")
+    report = analyze(_inv(spark, sf_dir), QUICK)
+    write_outputs(report, Sections(csv_report=True), base, "whole")
+    write_report({"categories": report["categories"]}, base, "ended-early", fmt="csv")
+    return read_section(spark, base, "categories", CATEGORY_TABLE)
+
+
 def q_user_categories(spark, sf_dir):
     """Category sizes by a caller's own dimension: the category of an extension
     is the smallest file name that has it; pdf and no extension have none."""
@@ -388,6 +402,7 @@ QUERIES: dict[str, Query] = {
     "incremental_reads": q_incremental_reads,
     "tree_source_files": q_tree_source_files,
     "scan_moves": q_scan_moves,
+    "committed_reports": q_committed_reports,
     "split_entries": q_split_entries,
     "split_ranges": q_split_ranges,
 }

@@ -282,6 +282,8 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
     "report_csv": _with(CORPUS) + (
         f"select 'categories' as section, category as key, n, bytes, {sql_size_text('bytes')} as size_text from ({CAT_SIZES}) "
         f"union all select 'extensions', extension, n, null, null from ({EXT_COUNTS} order by n desc, extension limit 10)"),
+    "committed_reports": _with(CORPUS) + (
+        f"select category, bytes, n, {sql_size_text('bytes')} as size_text, 'whole' as scan_id from ({CAT_SIZES})"),
     "report_text": "with s as (" + _summary_rows(True) + "), " + _with(CORPUS, GROUPS)[5:] + (
         "select section || chr(9) || key || ' -> ' || coalesce(size_text, cast(value as varchar)) as line from s "
         f"union all select cast(n.group_no as varchar) || chr(9) || {sql_size_text('gf.size')} || chr(9) || gf.path from gf join "

@@ -6,17 +6,24 @@ second run never truncates an earlier one, even within the same second, as
 the scan id carries a random suffix. Tables keep numeric bytes *and* the
 size text. The duplicate listing is written in long form by the executors;
 it never passes through the driver.
+
+A scan is committed by a manifest ``<base>/_scans/<id>``, written after its last
+section. It names the sections; readers take committed scans only, so a run that
+died between two sections leaves nothing that looks like a report.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfs.functions.columns import size_text
+from tallyfs.plans.markers import markers, put_marker
+
 
 
 def new_scan_id(now: _dt.datetime | None = None) -> str:
@@ -83,3 +90,33 @@ def write_text_summary(rows: DataFrame, base: str, scan_id: str) -> str:
                                  F.concat_ws(" -> ", F.col("key"), shown)).alias("value")))
     lines.write.mode("errorifexists").text(path)
     return path
+
+
+def commit_scan(spark: SparkSession, base: str, scan_id: str, sections: dict[str, str]) -> None:
+    """Make the sections of a scan visible to readers, all at once.
+    ``sections``: section -> format (``csv``, ``parquet`` or ``text``). Raises if
+    the scan was committed before."""
+    put_marker(spark, f"{base.rstrip('/')}/_scans/{scan_id}", json.dumps(sections, sort_keys=True))
+
+
+def committed_scans(spark: SparkSession, base: str) -> dict[str, dict[str, str]]:
+    """scan id -> its sections and their formats, oldest scan first."""
+    found = markers(spark, f"{base.rstrip('/')}/_scans")
+    return {scan: json.loads(found[scan]) for scan in sorted(found)}
+
+
+def read_section(spark: SparkSession, base: str, section: str, schema: str, scan_id: str | None = None) -> DataFrame:
+    """One section of every committed scan, or of one, with its ``scan_id``
+    (which must not be a column of the section). Scans without it add no rows;
+    without any committed scan the result is empty."""
+    parts: dict[str, list[str]] = {}
+    for scan, sections in committed_scans(spark, base).items():
+        if section in sections and scan_id in (None, scan):
+            parts.setdefault(sections[section], []).append(section_path(base, section, scan))
+    out = spark.createDataFrame([], schema).withColumn("scan_id", F.lit(None).cast("string"))
+    for fmt, paths in sorted(parts.items()):
+        reader = spark.read.option("basePath", f"{base.rstrip('/')}/{section}").schema(f"{schema}, scan_id string")
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        out = out.unionByName(reader.format(fmt).load(paths))
+    return out

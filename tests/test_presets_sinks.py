@@ -89,3 +89,39 @@ def test_write_report_parquet_round_trip(spark, tmp_path):
     assert back.count() == 11 and "size_text" in back.columns
     assert spark.read.parquet(paths["categories"]).agg({"bytes": "sum"}).first()[0] == 495892
     assert "/scan_id=" in paths["categories"]
+
+
+def test_only_committed_scans_are_read(spark, tmp_path, monkeypatch):
+    from tallyfs.plans.analyze import write_outputs
+    from tallyfs.sinks import reports
+
+    base, report = str(tmp_path / "r"), analyze(corpus_inventory(spark, SF001), QUICK)
+    schema = "category string, bytes bigint, n bigint, size_text string"
+    assert reports.committed_scans(spark, base) == {}
+    assert reports.read_section(spark, base, "categories", schema).count() == 0
+    both = select_sections(quick=True, csv=True)
+    write_outputs(report, both, base, "s1")
+    write_outputs(report, both, base, "s2")
+
+    # A run that dies between its last two sections, and one whose manifest was cut short.
+    def dies(*args):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(reports, "write_text_summary", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            write_outputs(report, select_sections(quick=True, csv=True, txt=True), base, "s3")
+    assert os.path.isdir(reports.section_path(base, "categories", "s3"))
+    write_report({"categories": report["categories"]}, base, "s4", fmt="csv")
+    with open(f"{base}/_scans/s4", "w") as fh:
+        fh.write('{"categories": "csv"}')
+
+    assert list(reports.committed_scans(spark, base)) == ["s1", "s2"]
+    rows = reports.read_section(spark, base, "categories", schema)
+    assert {r["scan_id"] for r in rows.select("scan_id").distinct().collect()} == {"s1", "s2"}
+    assert rows.count() == 2 * report["categories"].count()
+    assert rows.filter("scan_id = 's2'").agg({"bytes": "sum"}).first()[0] == 495892
+    one = reports.read_section(spark, base, "categories", schema, "s1")
+    assert {r["scan_id"] for r in one.collect()} == {"s1"}
+    assert reports.read_section(spark, base, "nothing", schema).count() == 0
+    with pytest.raises(Exception, match="exists"):
+        reports.commit_scan(spark, base, "s1", {})
