@@ -169,7 +169,7 @@ def list_archives(archives: DataFrame, content: str | None = None,
     Archives read by path are spread over tasks by a hash of their path,
     ``archives_per_task`` each; a ZIP larger than ``split_bytes`` (by the
     column ``size``, if there is one) whose directory is longer than that is
-    listed by one task per ``split_bytes`` of directory. Archives held in a
+    listed in ranges of ``split_bytes``, about 8 MB of directory to a task. Archives held in a
     content column are listed where the scan put them, so their bytes are never
     shuffled.
     """

@@ -212,35 +212,42 @@ def cut_ranges(places: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return cut.select("path", "k", "lo", F.least(F.col("lo") + int(split_bytes), F.col("end")).alias("hi"), "end")
 
 
-def aligned_ranges(ranges: DataFrame, store: Store | None = None) -> DataFrame:
+def _deal(ranges: DataFrame, task_bytes: int) -> tuple[DataFrame, int]:
+    """The ranges spread over tasks of about ``task_bytes`` of directory, and
+    the number of ranges."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
+    return ranges.repartition(max(1, min(n, tasks)), "path", "k"), n
+
+
+def aligned_ranges(ranges: DataFrame, store: Store | None = None, task_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The ranges with ``start``, their first header, and ``next``, the first
     one behind them. ``next`` is null where the directory is damaged, and what
     follows in that archive means nothing."""
     spark = ranges.sparkSession
     ship_package(spark)
-    n = ranges.count()
-    first = ranges.withColumn("due", F.when(F.col("k") == 0, F.col("lo")))
-    known = materialize(spark, first.repartition(max(1, n), "path", "k").mapInPandas(_walk(store), RANGE_SCHEMA), "zip_ranges")
+    first, _ = _deal(ranges.withColumn("due", F.when(F.col("k") == 0, F.col("lo"))), task_bytes)
+    known = materialize(spark, first.mapInPandas(_walk(store), RANGE_SCHEMA), "zip_ranges")
     # A window holds the ranges of one archive, a few numbers for each.
     before = Window.partitionBy("path").orderBy("k")
     while True:
         seen = known.withColumn("due", F.lag("next").over(before))
         wrong = F.col("due").isNotNull() & ~F.col("start").eqNullSafe(F.col("due"))
-        n_wrong = seen.filter(wrong).count()
+        again, n_wrong = _deal(seen.filter(wrong), task_bytes)
         if n_wrong == 0:
             return known
-        again = seen.filter(wrong).repartition(n_wrong, "path", "k").mapInPandas(_walk(store), RANGE_SCHEMA)
-        known = materialize(spark, seen.filter(~wrong).drop("due").unionByName(again), "zip_ranges")
+        known = materialize(spark, seen.filter(~wrong).drop("due").unionByName(again.mapInPandas(_walk(store), RANGE_SCHEMA)), "zip_ranges")
 
 
-def checked_ranges(ranges: DataFrame, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
+def checked_ranges(ranges: DataFrame, store: Store | None = None,
+                   task_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(ranges with headers of sound archives, (path, error) of damaged ones:
     what their first damaged range says)."""
     spark = ranges.sparkSession
     owning = ranges.filter("start is not null and start < hi")
-    n = owning.count()
-    dealt = owning.repartition(max(1, n), "path", "k")
+    dealt, _ = _deal(owning, task_bytes)
     bad = dealt.mapInPandas(_check(store), ERROR_SCHEMA).groupBy("path").agg(F.min_by("error", "k").alias("error"))
     bad = materialize(spark, bad, "zip_errors")
     few, _ = bounded_broadcast(bad.select("path"), BROADCAST_PATHS)
-    return owning.join(few, "path", "left_anti").repartition(max(1, n), "path", "k"), bad
+    sound, _ = _deal(owning.join(few, "path", "left_anti"), task_bytes)
+    return sound, bad

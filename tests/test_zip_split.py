@@ -97,7 +97,7 @@ def test_tasks_grow_with_the_entries_of_one_archive(spark, tmp_path):
     for n in (60, 600):
         path = make_zip(tmp_path / f"{n}.zip", n)
         places = zs.directory_places(spark.createDataFrame([(path,)], "path string"), 1, 256, None)
-        good, bad = zs.checked_ranges(zs.aligned_ranges(zs.cut_ranges(places, 1000)))
+        good, bad = zs.checked_ranges(zs.aligned_ranges(zs.cut_ranges(places, 1000)), task_bytes=1000)
         assert bad.count() == 0
         counts.append(good.rdd.getNumPartitions())
         starts = good.selectExpr("next - start as n").collect()
