@@ -122,11 +122,15 @@ class PathReader(ContentReader):
     Here every byte read is I/O, so the funnel is followed literally: only
     files whose size is shared are opened, for at most 8 KB; only survivors
     of that tier larger than 8 KB are read whole, streamed in 1 MiB chunks,
-    with tasks balanced by bytes rather than by file count.
+    with tasks balanced by bytes rather than by file count. Files of more than
+    one block are first compared by blocks that many tasks read
+    (``operators/large_files.py``); with a hash cache all are read whole, since
+    their full hashes are what the cache keeps.
     """
 
     prefix_bytes: int = QUICK_HASH_BYTES
     target_task_bytes: int = 256 * 1024 * 1024
+    block_bytes: int | None = 128 * 1024 * 1024  # None: no file is split
     files_per_task: int = 2_000
     io_threads: int = 4        # concurrent reads per task (storage latency)
     cache: str | None = None   # hash cache table, see :func:`update_hash_cache`
@@ -173,7 +177,7 @@ class DuplicateResult:
     def __init__(self, size_keys: DataFrame, hashed: DataFrame | Callable[[], DataFrame],
                  quick_groups: DataFrame, groups: DataFrame, grouped_rows: DataFrame,
                  full: DataFrame | None = None, survivors: DataFrame | None = None,
-                 full_errors: DataFrame | None = None):
+                 full_errors: DataFrame | None = None, large_reads: DataFrame | None = None):
         self.size_keys = size_keys          # (size) shared by >= 2 eligible files
         self._hashed = hashed               # candidates, or how to build them
         self.quick_groups = quick_groups    # (size, quick_hash, n) with n >= 2
@@ -182,6 +186,7 @@ class DuplicateResult:
         self._full = full
         self._survivors = survivors
         self._full_errors = full_errors
+        self.large_reads = large_reads      # (stage, files, bytes) of files compared by blocks, if there were any
 
     @property
     def hashed(self) -> DataFrame:
@@ -200,7 +205,8 @@ class DuplicateResult:
 
     @property
     def full(self) -> DataFrame:
-        """Survivors with their full hash."""
+        """Survivors with their full hash (null for a large file that its
+        blocks already told from all others)."""
         return self._full if self._full is not None else self.survivors
 
     @property
@@ -279,24 +285,34 @@ def find_duplicates(inv: DataFrame, reader: ContentReader | None = None,
         # quick-group table. The full hashes are written once: groups,
         # members and errors all read them, and whole files must not be read
         # again for each of them.
+        split = None if reader.cache else reader.block_bytes
+        large = F.col("size") > max(split, reader.prefix_bytes) if split else F.lit(False)
         todo = quick_groups.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
-            F.coalesce(F.sum(F.when(F.col("size") > reader.prefix_bytes, F.col("size") * F.col("n"))),
+            F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("large"),
+            F.coalesce(F.sum(F.when((F.col("size") > reader.prefix_bytes) & ~large, F.col("size") * F.col("n"))),
                        F.lit(0)).alias("bytes")).first()
+        large_reads = None
         if todo["files"] == 0:
             full = spark.createDataFrame([], HASH_SCHEMA)
         else:
             # small files have their full hash already: they pass by
             survivors = keep(survivors, "survivors")
-            whole = full_hash_files(survivors.filter(F.col("full_hash").isNull()), reader.prefix_bytes,
+            whole = full_hash_files(survivors.filter(F.col("full_hash").isNull() & ~large), reader.prefix_bytes,
                                     reader.target_task_bytes, reader.io_threads, total_bytes=int(todo["bytes"]),
                                     n_rows=int(todo["files"]), store=reader.store)
+            if todo["large"]:
+                from tallyfs.operators.large_files import hash_large_files
+
+                split_rows = hash_large_files(spark, survivors.filter(F.col("full_hash").isNull() & large), reader.target_task_bytes,
+                                              split, reader.io_threads, reader.store)
+                whole, large_reads = whole.unionByName(split_rows.rows), split_rows.reads
             full = keep(survivors.filter(F.col("full_hash").isNotNull()).select(*whole.columns).unionByName(whole), "full")
         full_ok = full.filter(F.col("full_hash").isNotNull())
         groups = _full_groups(full_ok)
         full_errors = full.filter(F.col("error").isNotNull()).select("path", "size", "error")
         return DuplicateResult(size_keys, hashed, quick_groups, groups, full_ok, full=full,
-                               survivors=survivors, full_errors=full_errors)
+                               survivors=survivors, full_errors=full_errors, large_reads=large_reads)
 
     if isinstance(reader, ColumnReader):
         # rows without content have an error; testing that needs no hash

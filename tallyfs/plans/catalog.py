@@ -280,6 +280,14 @@ def q_incremental_reads(spark, sf_dir):
     return doc_tree.incremental_reads(spark, sf_dir)
 
 
+def q_block_groups(spark, sf_dir):
+    return doc_tree.block_groups(spark, sf_dir)
+
+
+def q_block_reads(spark, sf_dir):
+    return doc_tree.block_reads(spark, sf_dir)
+
+
 def q_tree_source_files(spark, sf_dir):
     return doc_tree.tree_source_files(spark, sf_dir)
 
@@ -405,4 +413,6 @@ QUERIES: dict[str, Query] = {
     "committed_reports": q_committed_reports,
     "split_entries": q_split_entries,
     "split_ranges": q_split_ranges,
+    "block_groups": q_block_groups,
+    "block_reads": q_block_reads,
 }

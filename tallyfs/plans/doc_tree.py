@@ -235,6 +235,28 @@ def relisted_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relisted(spark, sf_dir)[0].folders.groupBy("listed").agg(F.count("*").alias("folders"))
 
 
+#: The documents are small; prefix and block are too, so that they have many blocks.
+SMALL_BLOCKS = {"prefix_bytes": 64, "block_bytes": 512}
+
+
+def _by_blocks(spark: SparkSession, sf_dir: str) -> dup.DuplicateResult:
+    inv, _root = doc_tree_inventory(spark, sf_dir)
+    return dup.find_duplicates(inv, dup.PathReader(**SMALL_BLOCKS))
+
+
+def block_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups found by prefix, blocks and one whole read a group."""
+    return _by_blocks(spark, sf_dir).groups
+
+
+def block_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stage, files, bytes) read in blocks, whole for a group, whole again."""
+    reads = _by_blocks(spark, sf_dir).large_reads
+    if reads is None:  # no file of more than one block
+        reads = spark.createDataFrame([(s, 0, 0) for s in ("blocks", "once", "again")], "stage string, files bigint, bytes bigint")
+    return reads
+
+
 def _updated(spark: SparkSession, sf_dir: str) -> Update:
     """Duplicates of a tree that grew and changed after it was first scanned."""
     root, base = _fresh_root(spark), scratch_path(spark, "duplicate-state")

@@ -322,6 +322,14 @@ union all select 3, 'full_hash', surv, dupf from q, d""",
         "select sha256(c) as full_hash, octet_length(c) as size, count(*) as copies from "
         "(select case when doc_id % 13 = 4 then content || encode('x') else content end as c from f "
         "where extension <> 'zip' and not hidden and not excluded) group by 1, 2 having count(*) >= 2"),
+    "block_groups": _with(CORPUS, DOC_TREE) + "select full_hash, size, copies from tg",
+    "block_reads": _with(CORPUS, DOC_TREE) + """
+, shared as (select *, count(*) over (partition by size, sha256(content[1:64])) as n from telig),
+  read as (select size, sha256(content) as h from shared where n >= 2 and size > 512),
+  copied as (select size, h from read group by 1, 2 having count(*) >= 2)
+select 'blocks' as stage, count(*) as files, cast(coalesce(sum(size), 0) as bigint) as bytes from read
+union all select 'once', count(*), cast(coalesce(sum(size), 0) as bigint) from copied
+union all select 'again', 0, 0""",
     "incremental_reads": _with(CORPUS) + f"""
 , e as (select doc_id, size s0, sha256(content[1:{Q}]) q0, case when doc_id % 13 = 4 then content || encode('x') else content end c1
         from f where extension <> 'zip' and not hidden and not excluded),
