@@ -12,10 +12,12 @@ sentences with a score of one half or more are the offending ones.
 Learning: over all labelled rows, documents with each feature are counted by
 label, exactly and for every feature (each task sums its own first); every one
 that stands out for the toxic label is kept.
-The weights are fitted on all labelled rows: each document is reduced to its
-distinct bags of features, and each step's gradient is summed over the
-documents, by the tasks or, for up to DRIVER_ENTRIES features in bags, on the
-driver (the same sums). The driver otherwise holds one weight per feature.
+The weights are fitted on all labelled rows: the clean ones collapse into their
+distinct sentence bags with counts (their loss is a sum over bags), toxic ones
+into their distinct lists of bags, which leaves every sum as it is. Each step's
+gradient is summed over these, by the tasks or, for up to DRIVER_ENTRIES
+features in bags, on the driver (the same sums). The driver otherwise holds one
+weight per feature.
 
 Defined cases: null and empty texts have no sentence and score 0; rows without
 label or doc_id are not learned from; without a toxic or a clean row to learn
@@ -48,9 +50,9 @@ EPOCHS, RATE = 400, 0.1
 #: further because the table is larger.
 DECAY, PRIOR = 2e-5, 0.4
 #: Most entries of bags that are fitted on the driver (4 bytes each, worked on
-#: BLOCK_ROWS documents at a time); more stay on the executors.
+#: about BLOCK_ENTRIES at a time); more stay on the executors.
 DRIVER_ENTRIES = 16_000_000
-BLOCK_ROWS = 4096
+BLOCK_ENTRIES = 1 << 19
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -112,51 +114,72 @@ def choose_features(rows: DataFrame, n_pos: int, n_neg: int) -> list[str]:
 
 
 def bags(rows: DataFrame, feats: list[str]) -> DataFrame:
-    """(toxic, times, size, feat): of each document that has features of the
-    model, its distinct sentence bags: how often each occurs, how many entries
-    it has, and the entries of all."""
+    """(toxic, n, times, size, feat): what the likelihood needs of ``rows``,
+    equal parts once.
+
+    The loss of a clean document is a sum over its sentence bags, so clean rows
+    become one row per distinct bag of all of them, with how often it occurs
+    (``times``; n is 1). A toxic document needs its bags together: one row per
+    distinct list of bags, with how often each occurs, and the number ``n`` of
+    documents that have this list. ``size`` holds the entries of each bag,
+    ``feat`` the entries of all. Documents without features of the model are
+    left out.
+    """
     sent = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(feats)})
 
     def run(batches):
         at = sent.value
         own = _Cache(lambda w: tuple(at[f] for f in features(w) if f in at))
-        ints = pa.list_(pa.int32())
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            clean: dict[tuple[int, ...], int] = {}
+            lists: dict[tuple, int] = {}
             for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
-                found: dict[tuple[int, ...], int] = {}
+                found: dict[tuple[int, ...], int] = {} if y else clean
                 for s in SENTENCE.findall((t.as_py() or "").lower()):
                     bag = tuple(sorted(f for w in set(WORD.findall(s)) for f in own[w]))
                     if bag:
                         found[bag] = found.get(bag, 0) + 1
-                if found:
-                    for col, v in zip(out, (y, list(found.values()), [len(k) for k in found], [f for k in found for f in k])):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(v, ints) for v in out[1:])],
-                                             names=["toxic", "times", "size", "feat"])
-
-    return rows.mapInArrow(run, "toxic int, times array<int>, size array<int>, feat array<int>")
+                if y and found:
+                    key = tuple(sorted(found.items()))
+                    lists[key] = lists.get(key, 0) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0] * len(clean) + [1] * len(lists), pa.int32()),
+                 pa.array([1] * len(clean) + list(lists.values()), pa.int64()),
+                 pa.array([[k] for k in clean.values()] + [[k for _, k in key] for key in lists], longs),
+                 pa.array([[len(k)] for k in clean] + [[len(k) for k, _ in key] for key in lists], ints),
+                 pa.array(list(clean) + [[f for k, _ in key for f in k] for key in lists], ints)],
+                names=["toxic", "n", "times", "size", "feat"])
+
+    counted = rows.mapInArrow(run, "toxic int, n long, times array<long>, size array<int>, feat array<int>")
+    clean = (counted.filter("toxic = 0").groupBy("feat").agg(F.sum(F.col("times")[0]).alias("t"))
+             .select(F.lit(0).alias("toxic"), F.lit(1).cast("long").alias("n"), F.array("t").alias("times"),
+                     F.array(F.size("feat")).alias("size"), "feat"))
+    lists = (counted.filter("toxic = 1").groupBy("times", "size", "feat").agg(F.sum("n").alias("n"))
+             .select(F.lit(1).alias("toxic"), "n", "times", "size", "feat"))
+    return clean.unionByName(lists)
 
 
 def parts(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Of the rows of :func:`bags`: label of each document, document and times
+    """Of the rows of :func:`bags`: label and number of each, row and times
     of each bag, bag and feature of each entry."""
     # straight from the Arrow lists: no Python object per entry
     times, size, feat = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy() for c in ("times", "size", "feat"))
     per_doc = pa.compute.list_value_length(table.column("times")).to_numpy()
     docs = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
-    return table.column("toxic").to_numpy(), docs, times, np.repeat(np.arange(len(size), dtype=np.int32), size), feat
+    return (table.column("toxic").to_numpy(), table.column("n").to_numpy(), docs, times,
+            np.repeat(np.arange(len(size), dtype=np.int32), size), feat)
 
 
 def gradient(held: tuple[np.ndarray, ...], w: np.ndarray, b: float) -> np.ndarray:
     """Gradient of the negative log-likelihood by weights and, last, bias."""
-    y, docs, times, sents, feats = held
+    y, n, docs, times, sents, feats = held
     z = np.clip(b + np.bincount(sents, weights=w[feats], minlength=len(docs)), -30, 30)
     # log of the probability that no sentence offends
     none = np.bincount(docs, weights=-times * np.logaddexp(0, z), minlength=len(y))
     none = np.minimum(none, -1e-12)
     # d loss / d none: 1 - y clean, else -e^none / (1 - e^none)
-    g = np.where(y > 0, np.exp(none) / -np.expm1(none), -1.0)
+    g = n * np.where(y > 0, np.exp(none) / -np.expm1(none), -1.0)
     gz = -g[docs] * times / (1 + np.exp(-z))
     return np.append(np.bincount(feats, weights=gz[sents], minlength=len(w)), gz.sum())
 
@@ -196,7 +219,9 @@ def fit(bagged: DataFrame, n_features: int, n_rows: int) -> tuple[np.ndarray, fl
         return np.zeros(n_features), -6.0
     if entries <= DRIVER_ENTRIES:
         table = bagged.toArrow()
-        held = [table.slice(k, BLOCK_ROWS) for k in range(0, len(table), BLOCK_ROWS)]
+        upto = np.cumsum(pa.compute.list_value_length(table.column("feat")).to_numpy(), dtype=np.int64)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(BLOCK_ENTRIES, upto[-1], BLOCK_ENTRIES)), [len(table)]]))
+        held = [table.slice(k, m - k) for k, m in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         step_of = lambda w, b: held_gradient(held, w, b)
     else:
         step_of = lambda w, b: summed_gradient(bagged, w, b)

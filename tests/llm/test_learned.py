@@ -1,7 +1,10 @@
 """Toxicity and language: held-out accuracy, planted cases, defined edges."""
 
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,12 +98,67 @@ def test_weights_by_tasks_equal_those_of_the_driver(spark, monkeypatch):
     assert one and one == pytest.approx(other, rel=1e-6) and bias == pytest.approx(bias_too, rel=1e-6)
 
 
-def test_long_documents_come_as_distinct_bags(spark):
-    """What reaches the fit does not grow with repeated sentences."""
-    rows = spark.createDataFrame([(("a zork here. zork. " * 5000) + "fool zork. plain words.", 1), ("plain words. " * 5000, 0)],
-                                 "text string, toxic int")
-    got = toxicity.bags(rows, ["fool$", "zork$"]).collect()
-    assert [(r.toxic, r.times, r.size, r.feat) for r in got] == [(1, [10000, 1], [1, 2], [1, 0, 1])]
+def _bag_rows(spark, rows, feats):
+    got = toxicity.bags(spark.createDataFrame(rows, "text string, toxic int").repartition(3), feats).collect()
+    return sorted((r.toxic, r.n, r.times, r.size, r.feat) for r in got)
+
+
+def test_equal_bags_come_once(spark):
+    rows = [("zork. " * 10_000 + "zork fool.", 1), ("nothing here", 0), (None, 1), ("", 0), ("zork fool. " + "Zork! " * 10_000, 1),
+            ("fool zork\nzork zork. fool", 0), ("fool", 0), ("zork", 1)]
+    assert _bag_rows(spark, rows, ["fool$", "zork$"]) == [
+        (0, 1, [1], [1], [1]), (0, 1, [1], [2], [0, 1]), (0, 1, [2], [1], [0]),
+        (1, 1, [1], [1], [1]), (1, 2, [1, 10_000], [2, 1], [0, 1, 1])]
+    assert _bag_rows(spark, [(None, 0)], ["zork$"]) == []
+
+
+def _plain_loss(rows, feats, w, b):
+    """The negative log-likelihood, document by document."""
+    loss = 0.0
+    for text, y in rows:
+        none = 0.0
+        for s in toxicity.SENTENCE.findall((text or "").lower()):
+            has = [f for word in set(toxicity.WORD.findall(s)) for f in toxicity.features(word) if f in feats]
+            if has:
+                none -= math.log1p(math.exp(b + sum(w[feats.index(f)] for f in has)))
+        if none:
+            loss -= math.log(-math.expm1(none)) if y else none
+    return loss
+
+
+def test_gradient_equals_differences_of_the_plain_loss(spark):
+    rnd = random.Random(4)
+    words = ["zork", "zorka", "fool", "foolish", "plain", "words", "good"]
+    docs = [". ".join(" ".join(rnd.choices(words, k=rnd.randrange(4))) for _ in range(rnd.randrange(6))) for _ in range(40)]
+    rows = [(rnd.choice(docs), rnd.randrange(2)) for _ in range(150)]
+    feats = sorted({"zork$", "zor", "zork", "fool$", "foo", "foolis", "good$"})
+    w, b, h = np.array([rnd.uniform(-1, 2) for _ in feats]), -1.5, 1e-5
+    table = toxicity.bags(spark.createDataFrame(rows, "text string, toxic int").repartition(3), feats).toArrow()
+    got = toxicity.gradient(toxicity.parts(table), w, b)
+    for k in range(len(feats)):
+        step = np.zeros(len(feats))
+        step[k] = h
+        want = (_plain_loss(rows, feats, w + step, b) - _plain_loss(rows, feats, w - step, b)) / (2 * h)
+        assert abs(got[k] - want) < 1e-5 * max(1, abs(want))
+    want = (_plain_loss(rows, feats, w, b + h) - _plain_loss(rows, feats, w, b - h)) / (2 * h)
+    assert abs(got[-1] - want) < 1e-5 * max(1, abs(want))
+
+
+def _plain_score(text, weights, bias):
+    keep = 1.0
+    for s in toxicity.SENTENCE.findall((text or "").lower()):
+        z = sum(weights.get(f, 0.0) for word in set(toxicity.WORD.findall(s)) for f in toxicity.features(word))
+        if z:
+            keep *= 1 - 1 / (1 + math.exp(-min(30, max(-30, bias + z))))
+    return 1 - keep
+
+
+def test_scores_equal_the_plain_noisy_or(spark):
+    weights, bias = {"zork$": 6.0, "zor": 1.5, "fool$": 2.0, "plain$": -0.5}, -4.0
+    texts = ["", None, "zork fool. plain zorro\nfool", "ZORK! " * 50, "fool. " * 9, "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, weights, bias).collect()}
+    assert all(abs(got[k] - _plain_score(t, weights, bias)) < 1e-9 for k, t in enumerate(texts))
 
 
 def test_language_held_out(spark):
