@@ -145,19 +145,17 @@ def bags(rows: DataFrame, feats: list[str]) -> DataFrame:
                     lists[key] = lists.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(clean) + [1] * len(lists), pa.int32()),
-                 pa.array([1] * len(clean) + list(lists.values()), pa.int64()),
-                 pa.array([[k] for k in clean.values()] + [[k for _, k in key] for key in lists], longs),
+                 pa.array([*clean.values(), *lists.values()], pa.int64()),
+                 pa.array([[]] * len(clean) + [[k for _, k in key] for key in lists], longs),
                  pa.array([[len(k)] for k in clean] + [[len(k) for k, _ in key] for key in lists], ints),
                  pa.array(list(clean) + [[f for k, _ in key for f in k] for key in lists], ints)],
                 names=["toxic", "n", "times", "size", "feat"])
 
-    counted = rows.mapInArrow(run, "toxic int, n long, times array<long>, size array<int>, feat array<int>")
-    clean = (counted.filter("toxic = 0").groupBy("feat").agg(F.sum(F.col("times")[0]).alias("t"))
-             .select(F.lit(0).alias("toxic"), F.lit(1).cast("long").alias("n"), F.array("t").alias("times"),
-                     F.array(F.size("feat")).alias("size"), "feat"))
-    lists = (counted.filter("toxic = 1").groupBy("times", "size", "feat").agg(F.sum("n").alias("n"))
-             .select(F.lit(1).alias("toxic"), "n", "times", "size", "feat"))
-    return clean.unionByName(lists)
+    equal = (rows.mapInArrow(run, "toxic int, n long, times array<long>, size array<int>, feat array<int>")
+             .groupBy("toxic", "times", "size", "feat").agg(F.sum("n").alias("n")))
+    clean = F.col("toxic") == 0  # a clean bag's times are its sum, not part of its key
+    return equal.select("toxic", F.when(clean, F.lit(1)).otherwise(F.col("n")).cast("long").alias("n"),
+                        F.when(clean, F.array("n")).otherwise(F.col("times")).alias("times"), "size", "feat")
 
 
 def parts(table: pa.Table) -> tuple[np.ndarray, ...]:
