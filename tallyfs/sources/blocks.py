@@ -25,7 +25,7 @@ from tallyfs.sources.readers import CHUNK, _opener, _partitions, _pool_map
 from tallyfs.sources.storage import Store
 
 BLOCK_BYTES = 128 << 20
-#: Digests that one inner digest covers: 256 GB of a row's 512 GB at the default size.
+#: Digests that one inner digest covers (512 GB of a file at the default block size).
 FAN = 4096
 
 DIGEST_SCHEMA = "path string, size bigint, block bigint, digest string, error string"
