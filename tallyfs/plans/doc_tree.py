@@ -16,10 +16,12 @@ a file-system handle. Links and FIFOs need a mount.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,14 @@ LINKS, PIPES, GROWN = (97, 5), (89, 7), (13, 4)
 # A document with remainder 8 of 41 has a copy in a system folder.
 ADDED, GONE, SYSTEM = (29, 5), (31, 6), (41, 8)
 LATE = "doc_id % 5 = 0"
+#: A writing task gets its documents in Arrow batches of about these bytes (a
+#: longer document is a batch of its own) and turns so many rows of one into
+#: Python values at a time.
+BATCH_CONF, BATCH_BYTES, ROWS_AT_ONCE = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, 64
 
 
-def _picked(doc_id: int, rule: tuple[int, int]) -> bool:
-    return doc_id % rule[0] == rule[1]
+def _picked(doc_id: int | None, rule: tuple[int, int]) -> bool:
+    return doc_id is not None and doc_id % rule[0] == rule[1]
 
 
 def _again(make, *args) -> None:
@@ -80,12 +86,30 @@ def _put(root: str):
     return put
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started meanwhile hand texts to Python ``BATCH_BYTES`` at a time."""
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
+
+
+def _few_rows(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """The rows of a batch, ``ROWS_AT_ONCE`` at a time: the texts of a whole
+    batch are held once, in Arrow, and never as Python values too."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield list(zip(*(column.to_pylist() for column in batch.slice(at, ROWS_AT_ONCE).columns)))
+
+
 def _write_files(root: str, odd: bool = False, grown: bool = False, changed: bool = False, system: bool = False):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, put = 0, _put(root)
-        for pdf in batches:
-            for rel, text, doc_id in zip(pdf["rel"], pdf["text"], pdf["doc_id"]):
-                full, data = f"{root}/{rel}", (text or "").encode("utf-8")
+        for rows in itertools.chain.from_iterable(map(_few_rows, batches)):
+            for rel, content, doc_id in rows:
+                full, data = f"{root}/{rel}", content or b""
                 if changed:
                     if _picked(doc_id, ADDED):
                         put(full + ".new", data)
@@ -105,7 +129,7 @@ def _write_files(root: str, odd: bool = False, grown: bool = False, changed: boo
                     n += 1
                 if system and _picked(doc_id, SYSTEM):
                     put(f"{parent}/$RECYCLE.BIN/{os.path.basename(full)}", data)
-        yield pd.DataFrame({"n": [n]})
+        yield pa.RecordBatch.from_pydict({"n": [n]})
     return run
 
 
@@ -113,9 +137,10 @@ def _write(spark: SparkSession, sf_dir: str, root: str, where: str = "true", **k
     """Write the documents' files below ``root``; returns how many entries."""
     docs = corpus_table(spark, sf_dir).filter(where).select(
         F.expr(f"replace(substring(path, {len(CORPUS_ROOT) + 2}), 'bundle.zip!/', 'bundle.zip/')").alias("rel"),
-        "text", "doc_id")
+        F.col("text").cast("binary").alias("content"), "doc_id")
     ship_package(spark)
-    return docs.mapInPandas(_write_files(root, **kinds), "n long").agg(F.sum("n")).first()[0] or 0
+    with _small_batches(spark):
+        return docs.mapInArrow(_write_files(root, **kinds), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _fresh_root(spark: SparkSession, handle: bool = False, odd: bool = False) -> str:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import errno
 import io
+import itertools
 import os
 import posixpath
 import stat
@@ -36,6 +37,8 @@ HOST_SCHEMES = ("hdfs", "viewfs")
 SAME_SCHEME = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfss": "abfs"}
 #: Bytes of one ranged read when a file is read on.
 READ_BYTES = 1 << 20
+#: Names of a local folder that the handle is asked about in one call.
+NAMES_AT_ONCE = 1_000
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,14 @@ def _handle(prefix: str, path: str) -> pafs.FileSystem:
     return _HANDLES[key]
 
 
+def _encodes(name: str) -> bool:
+    try:
+        name.encode("utf-8")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
 def _as_os_error(exc: Exception, path: str) -> OSError:
     return exc if isinstance(exc, OSError) else OSError(errno.EIO, str(exc), path)
 
@@ -139,24 +150,36 @@ class Store:
         except (pa.ArrowException, OSError) as exc:
             raise _as_os_error(exc, path) from exc
 
+    def _local_entries(self, fs: pafs.FileSystem, rest: str, base: str) -> Iterator[Entry]:
+        try:
+            found = os.scandir(rest)
+        except OSError:
+            fs.get_file_info(pafs.FileSelector(rest))  # says why in the handle's words
+            raise
+        with found:
+            names = (entry.name for entry in found)
+            while part := list(itertools.islice(names, NAMES_AT_ONCE)):
+                known = [name for name in part if _encodes(name)]
+                infos = dict(zip(known, fs.get_file_info([f"{rest.rstrip('/')}/{name}" for name in known])))
+                for name in part:
+                    if name not in infos or infos[name].type == pafs.FileType.NotFound:
+                        yield Entry(base + name, name, MISSING)
+                    else:
+                        yield self._entry(base + name, infos[name], True)
+
     def entries(self, path: str) -> Iterator[Entry]:
-        """Everything directly in a folder, with sizes and times, from one
-        selector call. A local handle leaves out links without a target; they
-        are added by name as kind ``missing``."""
+        """Everything directly in a folder, with sizes and times. A local folder
+        is read on by ``NAMES_AT_ONCE`` names, so a long one is never held whole;
+        its links without a target, and names that are not Unicode, are of kind
+        ``missing``. Other handles bring a folder in one selector call."""
         fs, rest = self._at(path)
         base = path.rstrip("/") + "/"
         try:
-            infos = fs.get_file_info(pafs.FileSelector(rest, recursive=False))
-            local = fs.type_name == "local"
-            seen = set()
-            for info in infos:
-                name = info.base_name
-                seen.add(name)
-                yield self._entry(base + name, info, local)
-            if local:
-                for name in os.listdir(rest):
-                    if name not in seen:
-                        yield Entry(base + name, name, MISSING)
+            if fs.type_name == "local":
+                yield from self._local_entries(fs, rest, base)
+            else:
+                for info in fs.get_file_info(pafs.FileSelector(rest, recursive=False)):
+                    yield self._entry(base + info.base_name, info, False)
         except (pa.ArrowException, UnicodeError, OSError) as exc:
             raise _as_os_error(exc, path) from exc
 

@@ -2,17 +2,21 @@
 the tree as a table."""
 
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfs.operators import aggregates as agg
 from tallyfs.operators import duplicates as dup
+from tallyfs.plans import doc_tree
 from tallyfs.plans.scan import scan_tree
 from tallyfs.sources import datasource
 from tallyfs.sources.storage import Store, has_scheme, normal_path, read_at, split_scheme
-from tallyfs.sources.tree import tree_inventory
+from tallyfs.sources.tree import _list_store, tree_inventory
 from test_tree import edges, testdir  # noqa: F401  the golden trees
 
 COLUMNS = ["kind", "path", "name", "size", "extension", "error"]
@@ -99,3 +103,93 @@ def test_unwanted_subtrees_are_never_opened(spark, tmp_path):
     for part in reader.partitions():
         list(reader.read(part))
     assert set(opened) == {str(tmp_path), f"{tmp_path}/d7", f"{tmp_path}/d7/deep"}
+
+
+def test_a_long_folder_is_never_held_whole(tmp_path):
+    """Python's memory while a folder is listed does not grow with the folder,
+    and what is not stat'ed yet is seen as it is then."""
+    names = {f"doc_{i:06d}.txt" for i in range(20_000)}
+    for name in names:
+        open(tmp_path / name, "wb").close()
+    store, folder = Store(), f"file://{tmp_path}"
+    next(store.entries(folder))  # the handle is open
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in store.entries(folder))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(names) and peak < 1_000_000
+    found = store.entries(folder)
+    first = next(found)
+    for name in names:
+        (tmp_path / name).write_bytes(b"x")
+    rest = list(found)
+    assert {first.name, *(e.name for e in rest)} == names and len(rest) == len(names) - 1
+    assert sum(e.size for e in rest) > 15_000
+
+
+def test_odd_names_of_a_local_folder(tmp_path):
+    os.symlink("nowhere", tmp_path / "broken")
+    os.symlink(".", tmp_path / "up")
+    os.mkfifo(tmp_path / "pipe")
+    (tmp_path / "a%20?.txt").write_bytes(b"ab")
+    open(os.fsencode(tmp_path) + b"/f\xe9.txt", "wb").close()
+    folder = f"file://{tmp_path}"
+    got = {r[2]: (r[0], r[3], r[5]) for r in _list_store(Store(), folder, [Store().entry(folder).ident], frozenset())}
+    assert got == {"broken": ("skipped", None, "not readable"), "up": ("dir", None, "link to an ancestor, not entered"),
+                   "pipe": ("file", 0, None), "a%20?.txt": ("file", 2, None),
+                   "f\\udce9.txt": ("skipped", None, "undecodable name")}
+
+
+def _documents(path, rows):
+    columns = list(zip(*rows))
+    types = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())]
+    table = pa.table({name: pa.array(values, kind) for (name, kind), values in zip(types, columns)})
+    os.makedirs(path)
+    pa.parquet.write_table(table.append_column("n_chars", pa.array([0] * len(rows), pa.int64())), f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_documents_are_written_from_small_batches(spark, tmp_path, monkeypatch):
+    """Ten thousand rows of long texts would be one batch of a task."""
+    rows = [(i, f"{i} " + "long text é" * (1_000 if i != 7 else 600_000), "en", "src0") for i in range(2_000)]
+    sf_dir = _documents(tmp_path / "in", rows)
+    longest = max(len(r[1].encode()) for r in rows)
+
+    def too_large(root, **kinds):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [int(b.nbytes > doc_tree.BATCH_BYTES + longest)]})
+        return run
+
+    before = spark.conf.get(doc_tree.BATCH_CONF, None)
+    with monkeypatch.context() as m:
+        m.setattr(doc_tree, "_write_files", too_large)
+        assert doc_tree._write(spark, sf_dir, str(tmp_path / "none")) == 0
+    assert spark.conf.get(doc_tree.BATCH_CONF, None) == before
+
+    content = [r[1] for r in rows]
+    batch = pa.RecordBatch.from_pydict({"rel": [f"d/f{i}" for i in range(2_000)], "content": pa.array(content, pa.binary()),
+                                        "doc_id": [r[0] for r in rows]}).slice(8)
+    tracemalloc.start()
+    try:
+        counts = [b.to_pydict() for b in doc_tree._write_files(str(tmp_path / "out"))(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts == [{"n": [1_992]}] and peak < batch.nbytes / 5
+    assert all((tmp_path / "out" / "d" / f"f{i}").read_bytes() == content[i].encode() for i in (8, 71, 72, 1_999))
+
+
+@pytest.mark.parametrize("handle", [False, True])
+def test_written_documents_are_the_texts(spark, tmp_path, handle):
+    rows = [(1, "plain", "en", "src0"), (2, None, "en", "src0"), (7, "é中\U0001f600\x00\r\n", "fr", "src1"),
+            (96, "", "de", "src0"), (None, "no id", "en", "src1"), (3, "x" * 300_000, "es", "src1")]
+    root, n = doc_tree.write_doc_tree(spark, _documents(tmp_path / "in", rows), odd=not handle, handle=handle)
+    base = root.removeprefix("file://")
+    got = sorted(open(os.path.join(d, f), "rb").read() for d, _, files in os.walk(base) for f in files
+                 if os.path.isfile(os.path.join(d, f)) and not f.startswith("pipe_"))
+    assert got == sorted((r[1] or "").encode() for r in rows)
+    pipes = sorted(f for _, _, files in os.walk(base) for f in files if f.startswith("pipe_"))
+    assert (pipes, n) == (([], len(rows)) if handle else (["pipe_7", "pipe_96"], len(rows) + 2))
