@@ -119,8 +119,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     smallest node reachable.
 
     Large-star / small-star: every round replaces the edges by shorter ones to
-    the least neighbour, one written table per round, until nothing changes.
-    Only a row count and a checksum reach the driver.
+    the least neighbour, one written table per step, until nothing changes: read
+    four times by the second step, the first would be planned as often. Only a
+    row count and a checksum reach the driver.
     """
     cur = materialize(spark, edges.filter("a != b")
                       .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -134,6 +135,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(cur.join(least, "a").filter("a > m").select("a", F.col("m").alias("b"))).distinct())
+        large = materialize(spark, large, "cc_large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())

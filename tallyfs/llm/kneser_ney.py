@@ -145,7 +145,8 @@ def train(spark: SparkSession, trusted: DataFrame) -> list[DataFrame]:
         d = discounts(*m)
         D = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         ctx = F.expr("shiftrightunsigned(gram, 16)")
-        total = c.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(D).alias("freed"))
+        total = materialize(spark, c.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(D).alias("freed")),
+                            f"kn_contexts{k}")
         seen = (c.withColumn("ctx", ctx).join(total, "ctx")
                 .select("gram", ((F.col("n") - D) / F.col("total")).alias("seen")))
         back = total.select("ctx", (F.col("freed") / F.col("total")).alias("back"))
@@ -161,12 +162,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def log_probs(model, asked: DataFrame, symbols: int) -> DataFrame:
-    """(gram, logp) of the distinct ``asked`` 4-grams."""
+    """(gram, logp) of the distinct ``asked`` 4-grams. Each order reads written
+    tables and writes one: the driver never plans or runs the joins of several
+    orders at once."""
+    spark = asked.sparkSession
+    wanted = {ORDER: materialize(spark, asked.select("gram"), "kn_asked")}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = materialize(spark, wanted[k + 1].select(_suffix(k).alias("gram")).distinct(), f"kn_asked{k}")
     lower = None
     for k in range(1, ORDER + 1):
         seen, back = model[k - 1]
-        grams_k = (asked.select("gram") if k == ORDER else asked.select(_suffix(k).alias("gram")).distinct())
-        grams_k = grams_k.withColumn("ctx", F.expr("shiftrightunsigned(gram, 16)"))
+        grams_k = wanted[k].withColumn("ctx", F.expr("shiftrightunsigned(gram, 16)"))
         p = grams_k.join(seen, "gram", "left").join(back, "ctx", "left")
         if lower is None:
             rest = F.lit(1.0 / (symbols + 1))
@@ -175,6 +181,8 @@ def log_probs(model, asked: DataFrame, symbols: int) -> DataFrame:
             rest = F.col("p_low")
         prob = F.coalesce("seen", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * rest
         lower = p.select(F.col("gram").alias("low"), prob.alias("p_low"))
+        if k < ORDER:
+            lower = materialize(spark, lower, f"kn_lower{k}")
     return lower.select(F.col("low").alias("gram"), F.log("p_low").cast("float").alias("logp"))
 
 

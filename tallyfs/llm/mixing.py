@@ -57,18 +57,14 @@ def source_totals(docs: DataFrame) -> DataFrame:
 
 
 def _mix_figures(totals: DataFrame, whole: int, budget: float, exponents: list[float]):
-    """Entropy and largest repetition of the mix at each exponent, in one job."""
+    """Entropy and largest repetition of the mix at each exponent, in one job.
+    A row per exponent with three figures: with all of them in one row, the
+    driver plans and compiles as many aggregates as there are figures."""
     lp = F.log(F.col("tokens") / F.lit(float(whole)))
-    aggs = []
-    for a in exponents:
-        e = F.exp(F.lit(a) * lp)
-        aggs += [F.sum(e), F.sum(e * lp), F.max(F.exp(F.lit(a - 1.0) * lp))]
-    row = totals.agg(*aggs).first()
-    out = []
-    for k, a in enumerate(exponents):
-        z, zl, m = row[3 * k:3 * k + 3]
-        out.append((math.log(z) - a * zl / z, budget / whole * m / z))
-    return out
+    grid = totals.select(lp.alias("lp"), F.posexplode(F.array(*[F.lit(float(a)) for a in exponents])).alias("k", "a"))
+    e = F.exp(F.col("a") * F.col("lp"))
+    rows = grid.groupBy("k").agg(F.sum(e), F.sum(e * F.col("lp")), F.max(F.exp((F.col("a") - 1.0) * F.col("lp")))).collect()
+    return [(math.log(z) - exponents[k] * zl / z, budget / whole * m / z) for k, z, zl, m in sorted(rows)]
 
 
 def _bisect(totals, whole, budget, low_is_good, test):
